@@ -59,3 +59,17 @@ def _round(entries: Column, smallest: bool) -> Column:
         return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(alone)))
 
     return F.aggregate(entries, F.slice(entries, 1, 0), take)
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
+
+    Null counts as empty text. Of repeated rows with the same id and text all are marked alike. An empty
+    table gives an empty one. A null id stays only where its group has no other.
+    """
+    spark = docs.sparkSession
+    work = Work(spark, "exact")
+    rows = work.write("rows", signed(docs, id_col, text_col, normalise))
+    groups = work.write("groups", merged_groups(rows, id_col, keep))
+    # both sides are shuffled here, so that a hot text is split as a skewed partition
+    return rows.join(groups, ["sha", "h2", "bytes"]).select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
