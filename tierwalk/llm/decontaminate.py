@@ -69,8 +69,9 @@ class Items:
         if not len(at):
             return []
         keys = padded[at[:, None] + np.arange(n)].astype(">u4")
-        flat = np.ascontiguousarray(keys).view(f"S{4 * n}").ravel() if False else np.ascontiguousarray(keys).view([("k", f"V{4 * n}")])["k"].ravel()
-        raw = np.array([x.tobytes() for x in flat], dtype=object)
+        data, wide = np.ascontiguousarray(keys).tobytes(), 4 * n
+        raw = np.empty(len(at), object)
+        raw[:] = [data[i : i + wide] for i in range(0, len(data), wide)]
         order = np.argsort(raw, kind="stable")
         suffixes, places = raw[order], at[order]
         found = []
@@ -84,7 +85,7 @@ class Items:
         return found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of at most BLOCK_BYTES, read through an iterator, so that the driver holds one block's rows at a time."""
     block, size = [], 0
     rows = columns(benchmark, [item_col, text_col]).filter(F.col(f"`{text_col}`").isNotNull())
@@ -107,10 +108,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     rows = columns(docs, [id_col, text_col]).select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "row long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
     parts = []
+    first = Items([], window)
     for k, block in enumerate(_blocks(benchmark, item_col, item_text) if benchmark is not None else []):
+        if k == 0:
+            first = Items(block, window)
+            continue
+        if k == 1:  # row numbers have to be the same in every pass
+            rows = work.write("rows", rows)
+            parts.append(work.write("block0", rows.mapInArrow(_scan(spark.sparkContext.broadcast(first)), schema)))
         parts.append(work.write(f"block{k}", rows.mapInArrow(_scan(spark.sparkContext.broadcast(Items(block, window))), schema)))
     if not parts:
-        parts.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(Items([], window))), schema))
+        parts.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(first)), schema))
     if len(parts) == 1:
         out = parts[0]
     else:
