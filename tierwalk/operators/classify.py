@@ -1,0 +1,26 @@
+"""Names and codes against ordered lookup lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def first_match(name: Column, ordered: list[tuple[str, str]]) -> Column:
+    """Label of the first token, in list order, that is a word of the name; null without one."""
+    low = F.lower(name)
+    return F.coalesce(*[F.when(low.rlike(rf"\b{token}\b"), label) for token, label in ordered])
+
+
+def bands(df: DataFrame, value: str, ranges: list[tuple[str, int, int]]) -> DataFrame:
+    """A row for each range (label, low, high) that a value falls in; ranges may overlap."""
+    hit = F.array_compact(F.array(*[F.when(F.col(value).between(lo, hi), F.lit(label)) for label, lo, hi in ranges]))
+    return df.withColumn("band", F.explode(F.array_distinct(hit)))
+
+
+def word_score(name: Column, weights: dict[str, float]) -> Column:
+    """Sum of the weights of contained words, 1 at most."""
+    total = F.lit(0.0)
+    for w, x in weights.items():
+        total = total + F.when(F.contains(F.lower(name), F.lit(w)), x).otherwise(0.0)
+    return F.least(F.lit(1.0), total)
