@@ -210,7 +210,7 @@ def test_decontamination(spark, docs, none, texts):
 def test_ngram_components(spark, docs, none, texts, n, percent):
     sets = []
     for t in texts:
-        w = ngram_join.WORDS.findall((t or "").translate(ngram_join.LOWER))
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
     root = list(range(len(texts)))
     for i, j in combinations(range(len(texts)), 2):

@@ -6,23 +6,27 @@ hash), the same for all documents. Two sets with Jaccard similarity t or more sh
 first |x| - ceil(t |x|) + 1 columns, so only those columns are multiplied to find pairs; the size bound and
 the position bound discard pairs; the overlap of the others is accumulated over all their columns.
 
-Links only have to connect. So the product goes in rounds: first each row of a column meets a few pivots of
-that column (linear in the column), links are contracted to components, and the last round multiplies only
-rows of one column that are still in different components. No link between components is lost.
+Links only have to connect. So the product goes in rounds: first each row of a column meets the smallest and
+the largest row of that column (linear in the column), links are contracted to components, and the last round
+multiplies only rows of one column that are still in different components. No link between components is lost.
 
-Null and empty texts have no n-grams and link with nothing; repeated rows are equal sets. Empty tables give
-empty tables. Columns other than the id and the text are left behind.
+Sets are hashed again from texts where a step needs them: a text is smaller on disk, and when shuffled, than
+its hashes, which don't compress.
+
+Null and empty texts have no n-grams and link with nothing; repeated rows are equal sets; rows that share an
+id but not a text are one document with several sets. Empty tables give empty tables. Columns other than the
+id and the text are left behind.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierwalk.llm.common import Work, columns, large_batches, ship
@@ -30,145 +34,167 @@ from tierwalk.llm.components import connected
 
 #: Slots of the frequency histogram: its size is fixed, whatever the input's.
 SLOTS = 1 << 18
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Word hashes that a worker remembers at most.
+MEMORY = 1 << 20
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
 
+_words = _WordHashes()
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-word shingles; fewer words are one shingle, none give none."""
-    words = WORDS.findall((text or "").translate(LOWER))
+
+def shingle_set(text: str | bytes | None, n: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's n-word shingles; fewer words are one shingle, none give none.
+
+    Bytes split at ASCII white space and lower-case A-Z only. A shingle's hash is a polynomial of its words' hashes.
+    """
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    words = raw.lower().split()
     if not words:
         return np.empty(0, np.int64)
-    h = xxhash.xxh3_64_intdigest
-    if len(words) <= n:
-        grams = {h(" ".join(words).encode("utf-8", "surrogatepass"))}
-    else:
-        grams = {h(" ".join(words[i : i + n]).encode("utf-8", "surrogatepass")) for i in range(len(words) - n + 1)}
-    return np.sort(np.fromiter(grams, np.uint64, len(grams)).view(np.int64))
+    if len(words) < n:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64).view(np.int64)
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    k = len(words) - n + 1
+    g = np.zeros(k, np.uint64)
+    for j in range(n):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + k]
+    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique((g ^ (g >> np.uint64(29))).view(np.int64))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays], dtype=np.int64))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    """Values of a text column as UTF-8."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def incidence(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of the matrix: doc_id, grams, n_shingles and a 128-bit signature of the set."""
-    rows = columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def signatures(rows: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit signature of the set, and text_hash of rows (doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), n) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), _lists(sets), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string())],
-                ["doc_id", "grams", "n_shingles", "sig"],
-            )
+            sizes, sigs = [], []
+            for t in _bytes(b.column(2)):
+                s = shingle_set(t, n)
+                sizes.append(len(s))
+                sigs.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.string()), b.column(1)], ["doc_id", "n_shingles", "sig", "text_hash"])
+
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, sig string, text_hash long")
 
-    return rows.mapInArrow(run, "doc_id long, grams array<long>, n_shingles long, sig string")
 
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
 
-def _histogram(sets: DataFrame) -> np.ndarray:
+
+def _histogram(reps: DataFrame, n: int) -> np.ndarray:
     """Documents for each slot of n-gram hashes, over all rows; SLOTS numbers, whatever the input's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            values = b.column(0).flatten().to_numpy()
-            total += np.bincount(values.view(np.uint64) % np.uint64(SLOTS), minlength=SLOTS)
+            for t in _bytes(b.column(0)):
+                np.add.at(total, _slots(shingle_set(t, n)), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
     out = np.zeros(SLOTS, np.int64)
-    got = sets.select("grams").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = reps.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
-def _postings(reps: DataFrame, ranks, num: int, den: int) -> DataFrame:
+def _postings(reps: DataFrame, ranks, n: int, num: int, den: int) -> DataFrame:
     """The first columns of every row: gram, doc_id, size, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = ranks.value
         for b in batches:
-            ids, sizes = b.column(0).to_numpy(), b.column(2).to_numpy()
             out = ([], [], [], [])
-            for i, grams in enumerate(b.column(1)):
-                g = grams.values.to_numpy()
+            for doc, t in zip(b.column(0).to_pylist(), _bytes(b.column(1)), strict=True):
+                g = shingle_set(t, n)
                 k = len(g) - -(-num * len(g) // den) + 1
-                order = np.lexsort((g, freq[(g.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)]))[:k]
-                for o, x in zip(out, (g[order], np.full(k, ids[i]), np.full(k, sizes[i]), np.arange(k)), strict=True):
+                order = np.lexsort((g, freq[_slots(g)]))[:k]
+                for o, x in zip(out, (g[order], np.full(k, doc), np.full(k, len(g)), np.arange(k)), strict=True):
                     o.append(x.astype(np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], ["gram", "doc_id", "size", "pos"])
 
-    return reps.select("doc_id", "grams", "n_shingles").mapInArrow(run, "gram long, doc_id long, size long, pos long")
+    return reps.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, size long, pos long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs whose whole rows overlap enough: the overlap counts of the product, in blocks of Arrow batches."""
-    sets = reps.select("doc_id", "grams")
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b").select("a", "b", "ga", "gb")
+    texts = reps.select("doc_id", "text")
+    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = lru_cache(64)(lambda t: shingle_set(t, n))
         for b in batches:
-            left, right, keep = b.column(2), b.column(3), np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                n = int((x[at] == y).sum())
-                keep[i] = den * n >= num * (len(x) + len(y) - n)
+            keep = np.zeros(b.num_rows, bool)
+            for i, (s, t) in enumerate(zip(_bytes(b.column(2)), _bytes(b.column(3)), strict=True)):
+                x, y = grams(s), grams(t)
+                both_have = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = den * both_have >= num * (len(x) + len(y) - both_have)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 2) -> DataFrame:
+def _near(sizes: tuple[Column, Column], places: tuple[Column, Column], num: int, den: int) -> Column:
+    """The size bound and the position bound of two rows at a column that both have."""
+    (x, y), (i, j) = sizes, places
+    least = F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
+    return (den * F.least(x, y) >= num * F.greatest(x, y)) & (F.least(x - i, y - j) + F.least(i, j) >= least)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent/100 or more) for each row of docs."""
     spark = docs.sparkSession
     ship(spark)
-    large_batches(spark, 1000)
+    large_batches(spark, 500)
     work = Work(spark, "ngram")
     num, den = percent, 100
-    rows = work.write("rows", incidence(docs, n, id_col, text_col))
-    members = rows.select("doc_id", "n_shingles", "sig")
-    # equal sets are one row; the arrays aren't shuffled for that, only ids and signatures
-    classes = work.write("classes", members.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    reps = work.write("reps", rows.filter("n_shingles > 0").dropDuplicates(["doc_id"]).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    ranks = spark.sparkContext.broadcast(_histogram(reps))
-    posts = work.write("posts", _postings(reps, ranks, num, den))
-    comp = work.write("comp0", reps.select("doc_id", F.col("doc_id").alias("comp")))
-    for k in range(pivots):
-        # a pivot of a column: its row with the smallest (or, next, the largest) size; linear in the column
-        best = F.min if k % 2 == 0 else F.max
-        pivot = posts.groupBy("gram").agg(best(F.struct("size", "doc_id")).alias("p"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("gram", F.col("p.doc_id").alias("pid"), F.col("p.size").alias("psize"))
-        pivot = work.write(f"pivot{k}", pivot)
-        met = posts.join(pivot, "gram").filter("doc_id <> pid").filter(den * F.least("size", "psize") >= num * F.greatest("size", "psize"))
-        pairs = met.select(F.least("doc_id", "pid").alias("a"), F.greatest("doc_id", "pid").alias("b")).distinct()
-        pairs = _open(pairs, comp)
-        links = work.write(f"links{k}", _verified(pairs, reps, num, den))
-        comp = work.write(f"comp{k + 1}", _contract(comp, links, work, f"c{k}"))
+    rows = columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
+    members = work.write("members", signatures(rows, n))
+    # equal sets are one row of the matrix
+    first = members.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    classes = work.write("classes", first.select("sig", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash")))
+    reps = work.write("reps", rows.join(classes.select(F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text"))
+    ranks = spark.sparkContext.broadcast(_histogram(reps, n))
+    posts = work.write("posts", _postings(reps, ranks, n, num, den))
+    # a column of one row has no pairs; its pivots are its smallest and its largest row
+    row = F.struct("size", "doc_id", "pos")
+    ends = posts.groupBy("gram").agg(F.min(row).alias("p"), F.max(row).alias("q"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    shared = work.write("shared", posts.join(work.write("ends", ends), "gram"))
+    work.drop("posts", "ends")
+    met = shared.select("doc_id", "size", "pos", F.explode(F.array("p", "q")).alias("p")).select("doc_id", "size", "pos", F.col("p.doc_id").alias("pid"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos"))
+    met = met.filter("doc_id <> pid").filter(_near((F.col("size"), F.col("psize")), (F.col("pos"), F.col("ppos")), num, den))
+    pairs = work.write("pairs0", met.select(F.least("doc_id", "pid").alias("a"), F.greatest("doc_id", "pid").alias("b")).distinct())
+    links = work.write("links0", _verified(pairs, reps, n, num, den))
+    comp = work.write("comp0", _contract(reps.select("doc_id", F.col("doc_id").alias("comp")).distinct(), links, work, "c0"))
     # the last round: rows of one column in different components
-    now = posts.join(comp, "doc_id")
+    now = shared.select("gram", "doc_id", "size", "pos").join(comp, "doc_id")
     mixed = work.write("mixed", now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram"))
     left = work.write("left", now.join(mixed, "gram", "left_semi"))
+    work.drop("shared", "mixed")
     x, y = left.alias("x"), left.alias("y")
-    bound = F.ceil(F.lit(num) * (F.col("x.size") + F.col("y.size")) / F.lit(num + den))
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & (den * F.least("x.size", "y.size") >= num * F.greatest("x.size", "y.size")) & (F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) + F.least("x.pos", "y.pos") >= bound))
-    pairs = work.write("pairs", pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    links = work.write("last", _verified(pairs, reps, num, den))
-    comp = work.write("comp", _contract(comp, links, work, "end"))
+    found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _near((F.col("x.size"), F.col("y.size")), (F.col("x.pos"), F.col("y.pos")), num, den))
+    found = found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    links = work.write("links1", _verified(work.write("pairs1", found), reps, n, num, den))
+    comp = work.write("comp", _contract(comp, links, work, "c1"))
+    work.drop("reps", "left", "pairs0", "pairs1", "comp0", "links0", "links1")
     named = work.write("named", classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep").select("sig", "comp"))
     return members.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def _open(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs that aren't connected yet."""
-    a, b = comp.withColumnsRenamed({"doc_id": "a", "comp": "ca"}), comp.withColumnsRenamed({"doc_id": "b", "comp": "cb"})
-    return pairs.join(a, "a").join(b, "b").filter("ca <> cb").select("a", "b")
-
-
 def _contract(comp: DataFrame, links: DataFrame, work: Work, name: str) -> DataFrame:
     a, b = comp.withColumnsRenamed({"doc_id": "a", "comp": "ca"}), comp.withColumnsRenamed({"doc_id": "b", "comp": "cb"})
     edges = links.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
