@@ -1,0 +1,37 @@
+"""Searches and rollups over submission and holdings rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def search(df: DataFrame, pattern: str, names: list[str], key: str, latest: str, seq: str) -> DataFrame:
+    """Of each key's rows in which a name holds the pattern, in any case, the latest; of several the first."""
+    hit = F.lit(False)
+    for n in names:
+        hit = hit | F.coalesce(F.contains(F.lower(F.col(n)), F.lit(pattern.lower())), F.lit(False))
+    rest = [c for c in df.columns if c != key]
+    return df.filter(hit).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(latest), -F.col(seq))).alias("_r")).select(key, "_r.*")
+
+
+def cross_tab(df: DataFrame, key: str, fields: list[str], codes: list[str]) -> DataFrame:
+    """code and, for each field, the keys with any of the codes in that field among the keys that have this code anywhere."""
+    sets = df.groupBy(key).agg(*[F.collect_set(F.when(F.col(f).isin(codes), F.col(f))).alias(f) for f in fields])
+    found = sets.withColumn("code", F.explode(F.array_distinct(F.concat(*fields))))
+    return found.groupBy("code").agg(*[F.count_if(F.size(f) > 0).alias(f"n_{f}") for f in fields])
+
+
+def mixed(df: DataFrame, fields: list[str], codes: list[str]) -> DataFrame:
+    """Rows with a code inside and one outside the list; blanks don't count. inside, outside: those codes, in order of the fields."""
+    own = F.array_distinct(F.filter(F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]), lambda x: x != ""))
+    wanted = F.array(*map(F.lit, codes))
+    rows = df.withColumns({"_in": F.array_intersect(own, wanted), "_out": F.array_except(own, wanted)}).filter("size(_in) > 0 and size(_out) > 0")
+    return rows.withColumns({"inside": F.array_join("_in", ", "), "outside": F.array_join("_out", ", ")}).drop("_in", "_out")
+
+
+def holdings(df: DataFrame, key: str, first: list[str], distinct: str, amount: str, flag: str, seq: list[str]) -> DataFrame:
+    """Per key: attributes of its first row, distinct places, sum of amounts, rows, or-ed flag."""
+    return df.groupBy(key).agg(
+        F.min_by(F.struct(*first), F.struct(*seq)).alias("_f"), F.count_distinct(distinct).alias(f"n_{distinct}"), F.sum(amount).alias(f"sum_{amount}"), F.count(F.lit(1)).alias("n_rows"), F.bool_or(flag).alias(flag)
+    ).select(key, "_f.*", f"n_{distinct}", f"sum_{amount}", "n_rows", flag)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwalk.functions import text
-from tierwalk.operators import classify, edges, graph, records
+from tierwalk.operators import classify, edges, graph, records, rollups
+from tierwalk.sources import edge_files
 
 TIER_OF = ("ADVERSARIAL", "CONDUIT", "OPACITY", "MONITORED", "STANDARD")
 COLOURS = [("red", "WARM"), ("small", "SIZE"), ("blue", "COLD"), ("widget", "THING")]
@@ -120,13 +121,44 @@ def word_scores(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", classify.word_score(F.col("p_name"), WEIGHTS).alias("score"))
 
 
+def edge_lines(spark, sf_dir):
+    rows = edge_table(spark, sf_dir)
+    return rows.select("source", "target", edge_files.line(rows, ("source", "target", "relationship", "obscuring", "depth", "filed")).alias("line"))
+
+
+def name_search(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name", "o_orderpriority", "o_orderdate", "o_orderkey")
+    return rollups.search(rows, "URGENT", ["c_name", "o_orderpriority"], "c_custkey", "o_orderdate", "o_orderkey")
+
+
+def code_cross_tab(spark, sf_dir):
+    return rollups.cross_tab(_t(spark, sf_dir, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"], ["N", "F"])
+
+
+def intermediaries(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return rollups.mixed(rows, ["l_returnflag", "l_linestatus"], ["N", "F"]).select("l_orderkey", "l_linenumber", "inside", "outside")
+
+
+def holdings_rollup(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").withColumn("returned", F.col("l_returnflag") == "R")
+    return rollups.holdings(rows, "l_partkey", ["l_orderkey", "l_linenumber"], "l_suppkey", "l_quantity", "returned", ["l_orderkey", "l_linenumber"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (edge_dedup, edge_summary, edge_rating, best_record, first_record, co_registrants, descend, name_linkage, gap_anti_join, country_scan, country_counts, segment_counts, index_stats, sanitized_fields, number_tokens, name_class, size_bands, word_scores)}
+    return {f.__name__: f for f in (edge_lines, name_search, code_cross_tab, intermediaries, holdings_rollup, edge_dedup, edge_summary, edge_rating, best_record, first_record, co_registrants, descend, name_linkage, gap_anti_join, country_scan, country_counts, segment_counts, index_stats, sanitized_fields, number_tokens, name_class, size_bands, word_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
     bucket = "CASE WHEN source_tier IN ('ADVERSARIAL','CONDUIT','OPACITY') THEN source_tier WHEN target_tier IN ('ADVERSARIAL','CONDUIT','OPACITY') THEN target_tier END"
     return {
+        "edge_lines": f"WITH {EDGES_SQL} SELECT source, target, concat_ws('|', source, target, relationship, CASE WHEN obscuring THEN 'Y' ELSE '' END, depth, filed) AS line FROM edges",
+        "name_search": "SELECT c_custkey, c_name, o_orderpriority, o_orderdate, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), 'urgent') OR contains(lower(o_orderpriority), 'urgent') QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1",
+        "code_cross_tab": """WITH k AS (SELECT l_orderkey, bool_or(l_returnflag IN ('N', 'F')) AS a, bool_or(l_linestatus IN ('N', 'F')) AS b FROM lineitem GROUP BY 1),
+            c AS (SELECT l_orderkey, l_returnflag AS code FROM lineitem WHERE l_returnflag IN ('N', 'F') UNION SELECT l_orderkey, l_linestatus FROM lineitem WHERE l_linestatus IN ('N', 'F'))
+            SELECT code, count(*) FILTER (a) AS n_l_returnflag, count(*) FILTER (b) AS n_l_linestatus FROM c JOIN k USING (l_orderkey) GROUP BY 1""",
+        "intermediaries": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('N', 'F') THEN l_returnflag ELSE l_linestatus END AS inside, CASE WHEN l_returnflag IN ('N', 'F') THEN l_linestatus ELSE l_returnflag END AS outside FROM lineitem WHERE (l_returnflag IN ('N', 'F')) <> (l_linestatus IN ('N', 'F'))",
+        "holdings_rollup": "SELECT l_partkey, min((l_orderkey, l_linenumber))[1] AS l_orderkey, min((l_orderkey, l_linenumber))[2] AS l_linenumber, count(DISTINCT l_suppkey) AS n_l_suppkey, sum(l_quantity) AS sum_l_quantity, count(*) AS n_rows, bool_or(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1",
         "edge_dedup": f"WITH {EDGES_SQL} SELECT source, target, relationship, count(*) AS n_edges, min(depth) AS depth, bool_or(obscuring) AS obscuring, min(filed) AS filed FROM edges GROUP BY ALL",
         "edge_summary": f"WITH {EDGES_SQL}, b AS (SELECT *, {bucket} AS bucket FROM edges) SELECT count(*) AS n_edges, count(*) FILTER (bucket = 'ADVERSARIAL') AS n_adversarial, count(*) FILTER (bucket = 'CONDUIT') AS n_conduit, count(*) FILTER (bucket = 'OPACITY') AS n_opacity, count(*) FILTER (obscuring) AS n_obscuring, max(depth) AS max_depth FROM b",
         "edge_rating": f"""WITH {EDGES_SQL}, p AS (SELECT source, bool_or('ADVERSARIAL' IN (source_tier, target_tier)) AS adv, bool_or('CONDUIT' IN (source_tier, target_tier)) AS con, bool_or('OPACITY' IN (source_tier, target_tier)) AS opa,
