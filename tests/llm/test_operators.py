@@ -147,6 +147,16 @@ def test_gru_is_a_distribution():
     assert m.score([a, b])[0] == pytest.approx(m.score([a])[0], rel=1e-4)
 
 
+def test_gru_learns_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(gru, "FIT_DOCS", 1)
+    pairs = [(i, " ".join(f"v{(i * 3 + k) % 9}" for k in range(40))) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in pairs], SCHEMA).repartition(3)
+    seen, one = [], gru._pass_over
+    monkeypatch.setattr(gru, "_pass_over", lambda *a: seen.append(one(*a)))
+    got = gru.score(docs).collect()
+    assert seen == [got[0]["train_tokens"]] * gru.EPOCHS
+
+
 def test_exact(spark, docs, none, texts):
     got = rows(exact_dedup.duplicates(docs, keep="largest"))
     for i, t in enumerate(texts):
