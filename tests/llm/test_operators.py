@@ -179,6 +179,14 @@ def test_link_graph(spark):
     assert linkgraph.judge(pages.limit(0)).count() == 0
 
 
+def test_link_graph_joins_hosts_and_resolves_links(spark):
+    urls = [("http://casino.shop.com/", None), ("http://www.shop.com/", None), ("http://m.one.example.com/", None), ("http://casino.two.example.com/", None), ("http://cap.com/", "<A HREF = '//CASINO.shop.com/y'>"), ("http://up.com/", '<a href=HTTPS://up.casino.co.uk>'), ("http://rel.com/", '<a href="/casino.shop.com/"> <a data-href="//casino.shop.com">'), ("http://hand.com/", None), ("http://b.co.uk/", None)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in linkgraph.judge(pages, seeds=(("hand.com", "block"),)).collect()}
+    assert got == {"casino.shop.com": "block", "www.shop.com": "block", "m.one.example.com": "allow", "casino.two.example.com": "block", "cap.com": "block", "up.com": "block", "rel.com": "allow", "hand.com": "block", "b.co.uk": "allow"}
+    assert {(r["src"], r["dst"]) for r in linkgraph.host_edges(pages).collect()} >= {("m.one.example.com", "one.example.com"), ("one.example.com", "m.one.example.com"), ("up.casino.co.uk", "casino.co.uk")}
+
+
 def test_chunks(spark, none):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join(map(str, rng.integers(0, 10**6, n)))

@@ -1,7 +1,8 @@
 """URL filters: rules first, then trust and distrust spread over the graph of hosts.
 
-Edges go from a page's host to the hosts of absolute links in its html, and both ways between a host and
-its parent domain where both have pages. Trust is personalised PageRank from trusted seeds; distrust is the
+Edges go from a page's host to the hosts of the links in its html (absolute or without a scheme, in any case;
+relative links stay on the host or go to that of <base>), and both ways between each host met and its
+registrable domain, whether or not that has pages; so hosts of one domain are two steps apart. Trust is personalised PageRank from trusted seeds; distrust is the
 same over reversed edges from blocked seeds. A host is blocked where distrust passes the threshold and trust.
 
 Null urls and urls without :// have an empty host and path, fit no rule and are allowed. Null html has no
@@ -10,6 +11,9 @@ links. Repeated rows are judged alike; repeated links count once for a pair of h
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,10 @@ from tierwalk.llm.common import Work, columns
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words in a host's name that make it a blocked seed.
 BAD_NAMES = ("adult", "cheap-pills", "casino", "xxx")
+#: Input for callers: (host, allow or block) of seeds by hand; a seed stands for its subdomains as well.
+SEEDS: tuple[tuple[str, str], ...] = ()
+#: Suffixes of several labels under which each name is a site of its own; any last label is one besides.
+SUFFIXES = ("example.com", "example.net", "example.org", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,12 +47,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def site_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registrable domain of a host, one label under its longest suffix; '' where there is none, as for addresses."""
+    site = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    for s in sorted(suffixes, key=len):
+        site = F.when((host == s) | host.endswith(f".{s}"), F.regexp_extract(host, r"([^.]+\." + re.escape(s) + ")$", 1)).otherwise(site)
+    return F.when(host.rlike(r"^[0-9.]+(:[0-9]*)?$|[\[\]]"), "").otherwise(site)
+
+
+def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Distinct edges (src, dst) without loops."""
     src = columns(pages, [url_col, html_col]).select(host_of(F.col(url_col)).alias("src"), F.col(html_col).alias("html"))
-    links = src.select("src", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(coalesce(html, ''), 'href\\s*=\\s*[\"\']?(https?://[^/?#\"\'>\\s]+)', 1)"))).alias("url")).select("src", host_of(F.col("url")).alias("dst"))
-    hosts = src.select("src").filter("src <> ''").distinct()
-    up = hosts.select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst")).join(hosts.select(F.col("src").alias("dst")), "dst").select("src", "dst")
+    found = F.expr(r"regexp_extract_all(coalesce(html, ''), '(?i)[\\s\"\'/]href\\s*=\\s*[\"\']?\\s*((?:https?:)?//[^/?#\"\'>\\s]+)', 1)")
+    links = src.select("src", F.explode(F.array_distinct(found)).alias("url")).select("src", host_of(F.regexp_replace("url", "^(?:[^/]*:)?//", "http://")).alias("dst")).distinct()
+    hosts = src.select("src").union(links.select("dst")).distinct()
+    up = hosts.select("src", site_of(F.col("src"), suffixes).alias("dst"))
     both = up.union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return links.union(both).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
@@ -62,8 +79,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, work: Work, name: str, rounds:
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, bad_names=BAD_NAMES, threshold: float = 0.0, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """page_id, host, path, rule, verdict, trust and distrust of the host."""
+def judge(pages: DataFrame, rules=RULES, bad_names=BAD_NAMES, threshold: float = 0.0, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", seeds: Sequence[tuple[str, str]] = SEEDS, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust and distrust of the host; bad_names and seeds are where distrust starts."""
     work = Work(pages.sparkSession, "hosts")
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -71,9 +88,18 @@ def judge(pages: DataFrame, rules=RULES, bad_names=BAD_NAMES, threshold: float =
     bad = F.lit(False)
     for b in bad_names:
         bad = bad | F.col("host").contains(b)
-    hosts = work.write("all", rows.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("ill")).withColumn("bad", bad))
-    edges = work.write("edges", host_edges(pages, url_col, html_col))
-    trust = propagate(edges, hosts.filter("good > 0 and ill = 0 and not bad").select("host"), work, "trust")
+    for h, v in seeds:
+        if v == "block":
+            bad = bad | (F.col("host") == h) | F.col("host").endswith(f".{h}")
+    well = F.col("good") > 0
+    for h, v in seeds:
+        if v == "allow":
+            well = well | (F.col("host") == h) | F.col("host").endswith(f".{h}")
+    edges = work.write("edges", host_edges(pages, url_col, html_col, suffixes))
+    met = edges.select(F.col("src").alias("host")).union(edges.select("dst")).withColumn("ruled", F.lit(None).cast("string"))
+    judged = rows.filter("host <> ''").select("host", "ruled").union(met)
+    hosts = work.write("all", judged.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("ill")).withColumns({"bad": bad, "well": well}))
+    trust = propagate(edges, hosts.filter("well and ill = 0 and not bad").select("host"), work, "trust")
     distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), hosts.filter("bad").select("host"), work, "distrust")
     found = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     found = work.write("found", found.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
