@@ -187,6 +187,14 @@ def test_link_graph_joins_hosts_and_resolves_links(spark):
     assert {(r["src"], r["dst"]) for r in linkgraph.host_edges(pages).collect()} >= {("m.one.example.com", "one.example.com"), ("one.example.com", "m.one.example.com"), ("up.casino.co.uk", "casino.co.uk")}
 
 
+def test_link_graph_distrust_from_rules_and_far_away(spark):
+    chain = [(i, f"http://c{i}.com/", f'<a href="http://c{i + 1}.com/">') for i in range(14)] + [(14, "http://c14.com/", '<a href="http://casino.com/">')]
+    more = [(20, "http://ruled.net/x", None), (21, "http://to-ruled.com/", '<a href="http://ruled.net/">'), (22, "http://part.example.com/de/1", None), (23, "http://part.example.com/en/1", None), (24, "http://to-part.com/", '<a href="http://part.example.com/">')]
+    got = rows(linkgraph.judge(spark.createDataFrame(chain + more, "page_id long, url string, html string")), "page_id")
+    assert {got[i]["verdict"] for i in range(15)} == {"block"} and got[21]["verdict"] == "block"
+    assert got[23]["verdict"] == got[24]["verdict"] == "allow"
+
+
 def test_chunks(spark, none):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join(map(str, rng.integers(0, 10**6, n)))

@@ -3,7 +3,8 @@
 Edges go from a page's host to the hosts of the links in its html (absolute or without a scheme, in any case;
 relative links stay on the host or go to that of <base>), and both ways between each host met and its
 registrable domain, whether or not that has pages; so hosts of one domain are two steps apart. Trust is personalised PageRank from trusted seeds; distrust is the
-same over reversed edges from blocked seeds. A host is blocked where distrust passes the threshold and trust.
+same over reversed edges from blocked seeds: hosts with a bad name and hosts whose pages the rules all block (a
+rule for some paths says nothing of the host's other pages). A host is blocked where distrust passes the threshold and trust.
 
 Null urls and urls without :// have an empty host and path, fit no rule and are allowed. Null html has no
 links. Repeated rows are judged alike; repeated links count once for a pair of hosts.
@@ -66,17 +67,27 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", s
     return links.union(both).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, work: Work, name: str, rounds: int = 8, damping: float = 0.85) -> DataFrame:
-    """host, rank: rank flows along edges (src, dst) and returns to the seeds; every round is a written table."""
-    n = max(1, seeds.count())
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    flow = work.write(f"{name}-flow", edges.join(degree, "src"))
-    base = work.write(f"{name}-seeds", seeds.select("host", F.lit(1.0 / n).alias("rank")))
-    rank = base
-    for k in range(rounds):
-        moved = flow.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") / F.col("out")).alias("rank"))
-        rank = work.write(f"{name}-{k}", moved.union(base.select("host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
+def propagate(edges: DataFrame, seeds: DataFrame, work: Work, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """kind, host, rank: each kind's rank flows along its edges (kind, src, dst) and returns to its seeds (kind, host).
+
+    Rounds, each a written table, go on until a round changes a kind's ranks by less than tolerance of a whole of 1
+    and reaches no new host.
+    """
+    degree = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("out"))
+    flow = work.write("flow", edges.join(degree, ["kind", "src"]))
+    base = work.write("seeds", seeds.join(seeds.groupBy("kind").agg((1.0 / F.count(F.lit(1))).alias("rank")), "kind"))
+    rank, k = base, 0
+    while True:
+        moved = flow.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") / F.col("out")).alias("rank"))
+        new = work.write(f"rank{k}", moved.union(base.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        if k % 4 == 3:
+            both = new.join(rank.withColumnRenamed("rank", "old"), ["kind", "host"], "full")
+            change = both.groupBy("kind").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count_if(F.col("old").isNull()).alias("fresh"))
+            if change.filter((F.col("by") >= tolerance) | (F.col("fresh") > 0)).isEmpty():
+                return new
+        if k:
+            work.drop(f"rank{k - 1}")
+        rank, k = new, k + 1
 
 
 def judge(pages: DataFrame, rules=RULES, bad_names=BAD_NAMES, threshold: float = 0.0, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", seeds: Sequence[tuple[str, str]] = SEEDS, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
@@ -97,11 +108,12 @@ def judge(pages: DataFrame, rules=RULES, bad_names=BAD_NAMES, threshold: float =
             well = well | (F.col("host") == h) | F.col("host").endswith(f".{h}")
     edges = work.write("edges", host_edges(pages, url_col, html_col, suffixes))
     met = edges.select(F.col("src").alias("host")).union(edges.select("dst")).withColumn("ruled", F.lit(None).cast("string"))
-    judged = rows.filter("host <> ''").select("host", "ruled").union(met)
-    hosts = work.write("all", judged.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("ill")).withColumns({"bad": bad, "well": well}))
-    trust = propagate(edges, hosts.filter("well and ill = 0 and not bad").select("host"), work, "trust")
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), hosts.filter("bad").select("host"), work, "distrust")
-    found = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
+    judged = rows.filter("host <> ''").select("host", "ruled", F.lit(1).alias("page")).union(met.withColumn("page", F.lit(0)))
+    hosts = work.write("all", judged.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("ill"), F.sum("page").alias("pages")).withColumns({"bad": bad, "well": well}))
+    kinds = edges.withColumn("kind", F.lit("trust")).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("distrust")))
+    starts = hosts.filter("well and ill = 0 and not bad").select(F.lit("trust").alias("kind"), "host").union(hosts.filter("bad or (ill > 0 and ill = pages)").select(F.lit("distrust"), "host"))
+    ranks = propagate(kinds.select("kind", "src", "dst"), starts, work)
+    found = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == c, F.col("rank"))).alias(c) for c in ("trust", "distrust")])
     found = work.write("found", found.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     out = rows.join(found, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     own = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
