@@ -120,6 +120,18 @@ def test_shards(spark, docs, none, texts):
     assert sharding.propagate(none, 8).count() == 0
 
 
+def test_shards_leave_no_group_cut_that_fits(spark):
+    texts = [f"alone {i}" for i in range(1200)] + [f"pair {i}" for i in range(200)] * 2
+    texts += [f"group {i}" for i in range(60) for _ in range(3 + i % 20)] + ["many"] * 900
+    docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    at, sizes = defaultdict(set), defaultdict(int)
+    for r in sharding.propagate(docs, 8).collect():
+        at[texts[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += 1
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert [t for t, s in at.items() if len(s) > 1] == ["many"]
+
+
 def test_gru(spark, docs, none, texts):
     got = rows(gru.score(docs))
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i * 3).encode()) % 7 != 2]

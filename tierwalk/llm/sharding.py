@@ -1,9 +1,11 @@
 """Balanced label propagation: documents move towards their neighbours' shards under quotas. DataFrame functions only.
 
 Neighbours of a document are the documents with an equal text; its neighbours' labels are its group's counts
-of shards, so a round joins documents to one row per group. Flows between shards are limited to what comes
-back plus free room, by hash, so sizes stay near the quota. At the end whole numbers are put right: shards
-over their quota give up rows, alone ones first. Law `rows`: counts differ by one at most.
+of shards, so a round joins documents to one row per group; ties go by a hash of the group. Only groups that fit
+into a shard move. What a shard takes in is limited, by hash of the group, to its quota less the rows of such
+groups that stay; documents without links are in nobody's way. Rounds go on until the cut groups stop falling.
+At the end whole numbers are put right: shards over their quota give up rows, alone ones first, then those of
+groups larger than a shard, then the largest groups. Law `rows`: counts differ by one at most.
 
 A null text counts as empty and has 1 byte of size. Rows with equal or null ids are rows of their own.
 Tables of fewer rows than shards leave shards empty; an empty table gives an empty one.
@@ -35,28 +37,40 @@ def propagate(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: str = "
     state = work.write("start", rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")))
     total = state.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    for k in range(rounds):
+    sizes = state.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    every = work.write("sized", state.join(sizes, "grp"))
+    fits = (F.col("m") > 1) & (F.col("m") <= max(1, min(quota)))
+    state, rest = every.filter(fits), every.filter(~fits)
+    open_to, last, k = [True] * shards, None, 0
+    while True:
+        free = F.get(F.array(*map(F.lit, open_to)), F.col("shard"))
         counts = state.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = work.write(f"best{k}", counts.groupBy("grp").agg(F.max(F.struct("n", "shard"))["shard"].alias("want"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("spread")).filter("spread > 1").select("grp", "want"))
+        best = counts.groupBy("grp").agg(F.max(F.struct(free.alias("free"), "n", F.xxhash64("grp", "shard", F.lit(k)).alias("tie"), "shard"))["shard"].alias("want"), F.count(F.lit(1)).alias("spread"))
+        best = work.write(f"best{k}", best.filter("spread > 1").select("grp", "want"))
+        cut = best.count()
+        if not cut or k >= rounds and cut >= last:
+            break
+        last = cut
         wish = work.write(f"wish{k}", state.join(best, "grp", "left").withColumn("want", F.coalesce("want", "shard")))
         flow = [[0] * shards for _ in range(shards)]
         for r in wish.groupBy("shard", "want").count().collect():  # shards x shards numbers
             flow[r["shard"]][r["want"]] = r["count"]
-        load = [sum(row) for row in flow]
-        allowed = [[min(flow[i][j], flow[j][i]) for j in range(shards)] for i in range(shards)]
-        for j in range(shards):
-            room = max(0, quota[j] - load[j] + sum(flow[j][i] - allowed[j][i] for i in range(shards) if i != j) // 2)
-            more = sum(flow[i][j] - allowed[i][j] for i in range(shards) if i != j)
-            for i in range(shards):
-                if i != j and more:
-                    allowed[i][j] += min(1.0, room / more) * (flow[i][j] - allowed[i][j])
-        share = F.array(*[F.lit(float(allowed[i][j] / flow[i][j]) if flow[i][j] else 0.0) for i in range(shards) for j in range(shards)])
+        # the largest shares of the wishes that no shard's quota forbids, counting what leaves it
+        share = [1.0] * shards
+        for _ in range(100):
+            for j in range(shards):
+                more = sum(flow[i][j] for i in range(shards) if i != j)
+                room = quota[j] - sum(flow[j]) + sum(share[i] * flow[j][i] for i in range(shards) if i != j)
+                share[j] = min(share[j], max(0.0, room / more)) if more else 1.0
+        open_to = [x >= 1.0 for x in share]
         # a group moves as a whole or not at all
-        goes = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.get(share, F.col("shard") * shards + F.col("want"))
+        goes = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.get(F.array(*map(F.lit, share)), F.col("want"))
         state = work.write(f"state{k}", wish.withColumn("shard", F.when(goes, F.col("want")).otherwise(F.col("shard"))).drop("want"))
-    # whole numbers: rows over the quota go; alone ones first, then by group
-    sizes = state.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-    placed = ranked(work.write("sized", state.join(sizes, "grp")), "shard", ["m", "grp", "uid"], work, "placed")
+        k += 1
+    state = work.write("moved", state.unionByName(rest))
+    # whole numbers: rows over the quota go; alone ones first, then groups that no shard holds, then by group
+    turn = F.when(F.col("m") == 1, 0).when(~fits, 1).otherwise(2)
+    placed = ranked(state.withColumns({"turn": turn, "less": -F.col("m")}), "shard", ["turn", "less", "grp", "uid"], work, "placed")
     load = [0] * shards
     for r in state.groupBy("shard").count().collect():  # one number for each shard
         load[r["shard"]] = r["count"]
