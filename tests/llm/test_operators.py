@@ -222,6 +222,14 @@ def test_chunks(spark, none):
         assert sum(b - a for a, b in zip([0, *chunks.cuts(data)], chunks.cuts(data))) == len(data)
 
 
+def test_chunks_of_repeated_ids(spark):
+    text = " ".join(map(str, np.random.default_rng(6).integers(0, 10**6, 80)))
+    for key in (4, None):
+        got = chunks.repeats(spark.createDataFrame([(key, text, None, None, None, None, None)] * 2, SCHEMA)).collect()
+        assert [r["n_bytes"] for r in got] == [len(text)] * 2
+        assert sorted(r["n_removed"] for r in got) == [0, got[0]["n_chunks"]] and got[0]["n_chunks"] == got[0]["n_repeated"] > 1
+
+
 def test_decontamination(spark, docs, none, texts):
     items = [(1, " ".join(texts[3].split()[5:20])), (2, "w1 w2 zzz"), (3, "ONE two"), (4, None), (5, "..."), (6, " ".join(texts[-2].split()[100:111])), (10, texts[3])]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -48,14 +48,18 @@ def cuts(data: bytes, bits: int = BITS, least: int = LEAST, most: int = MOST) ->
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, end, d1, d2 (128-bit digest) for every chunk."""
+    """uid (a number of the row), doc_id, start, end, d1, d2 (128-bit digest) for every chunk; and for every row one with a null start.
+
+    Numbers are the same in one written result only.
+    """
     ship(docs.sparkSession)
     large_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, start, end, digest = [], [], [], []
-            for i, t in enumerate(b.column(1)):
+            n = b.num_rows
+            row, start, end, digest = list(range(n)), [None] * n, [None] * n, [bytes(16)] * n
+            for i, t in enumerate(b.column(2)):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 a = 0
                 for e in cuts(data):
@@ -65,24 +69,25 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     digest.append(xxhash.xxh3_128_digest(data[a:e]))
                     a = e
             d = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "start", "end", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)], pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["uid", "doc_id", "start", "end", "d1", "d2"])
 
-    rows = columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start int, end int, d1 long, d2 long")
+    rows = columns(docs, [id_col, text_col]).select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, "uid long, doc_id long, start int, end int, d1 long, d2 long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per doc_id: n_chunks, n_repeated (chunks found elsewhere too), n_removed (copies that aren't the original), n_bytes, repeated_bytes, spans to remove."""
+    """Per row, with its doc_id: n_chunks, n_repeated (chunks found elsewhere too), n_removed (copies that aren't the original), n_bytes, repeated_bytes, spans to remove."""
     work = Work(docs.sparkSession, "chunks")
-    rows = work.write("rows", chunked(docs, id_col, text_col))
-    first = work.write("first", rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    every = work.write("rows", chunked(docs, id_col, text_col))
+    rows = every.filter("start is not null")
+    first = work.write("first", rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start", "uid")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # both sides are exchanged for this join, so a digest with very many rows is split as skewed
-    known = rows.join(first, ["d1", "d2"], "left").select("doc_id", "start", "end", F.col("n").isNotNull().alias("copy"), (F.col("n").isNotNull() & ~((F.col("f.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("f.start") == F.col("start")))).alias("extra"))
+    known = rows.join(first, ["d1", "d2"], "left").select("uid", "start", "end", F.col("n").isNotNull().alias("copy"), (F.col("n").isNotNull() & ~((F.col("f.uid") == F.col("uid")) & (F.col("f.start") == F.col("start")))).alias("extra"))
     length = (F.col("end") - F.col("start")).cast("long")
-    per = known.groupBy("doc_id").agg(
+    per = known.groupBy("uid").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_if("copy").alias("n_repeated"), F.count_if("extra").alias("n_removed"), F.sum(length).alias("n_bytes"), F.sum(F.when(F.col("copy"), length).otherwise(0)).alias("repeated_bytes"),
         F.array_sort(F.collect_list(F.when(F.col("extra"), F.struct("start", "end")))).alias("spans"),
     )
-    ids = columns(docs, [id_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    ids = every.filter("start is null").select("uid", "doc_id")
     zero = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n_chunks", "n_repeated", "n_removed", "n_bytes", "repeated_bytes")}
-    return ids.join(per, "doc_id", "left").withColumns(zero | {"spans": F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))})
+    return ids.join(per, "uid", "left").drop("uid").withColumns(zero | {"spans": F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))})
