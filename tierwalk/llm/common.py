@@ -32,15 +32,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get())
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tierwalk-"))
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tierwalk-"))
+    return str(sc._jsc.sc().getCheckpointDir().get())
 
 
 class Work:
@@ -60,10 +63,16 @@ class Work:
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Removes all tables of the run, once its result doesn't read them any more."""
+        self._delete(self.base)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +88,17 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def sliced(batches, rows: int):
+    """The batches in slices of at most `rows` rows, as views.
+
+    Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default) except for a single longer
+    row, and by 10,000 rows; what a function builds from a slice is bounded by this number besides.
+    """
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def large_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds an Arrow batch by rows; very long texts make batches large, so keep them short."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

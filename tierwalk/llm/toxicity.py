@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwalk.llm.common import columns, large_batches, ship
+from tierwalk.llm.common import Work, columns, ship, sliced
 
-#: Labelled rows that a fit uses at most (those with the smallest id hashes), and entries of a lexicon at most.
+#: Labelled ids that a fit uses at most (those with the smallest hashes), and patterns that a task counts before it gives them away.
 FIT_ROWS = 200_000
-ENTRIES = 5_000
+HELD = 300_000
 # Seeds and exceptions.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "clown")
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pond scum", "class clown")
@@ -103,40 +104,56 @@ class Lexicon:
         self.curve = b
 
 
+@lru_cache(1 << 16)
+def _of_word(w: str) -> tuple[str, ...]:
+    return (f" {w} ", *(f" {w[:n]}" for n in range(4, min(len(w), 8) + 1)))
+
+
 def _patterns(text: str | None) -> set[str]:
-    out = set()
-    for w in fold(text).split():
-        out.add(f" {w} ")
-        for n in range(4, min(len(w), 8) + 1):
-            out.add(f" {w[:n]}")
+    """Whole words and beginnings of words that a text holds."""
+    out: set[str] = set()
+    for w in set(fold(text).split()):
+        out.update(_of_word(w))
     return out
 
 
 def learn(labelled: DataFrame) -> Lexicon:
-    """Lexicon from rows (doc_id, text, toxic); at most FIT_ROWS of them, chosen by hash."""
+    """Lexicon from rows (text, toxic), toxic 0 or 1; they are read three times and should be a written table."""
     spark = labelled.sparkSession
     ship(spark)
-    rows = labelled.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    rows = labelled.select("text", F.col("toxic").cast("long").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # counts of a task's rows, given away when there are many, so that few rows are exchanged
+        got: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v[0] for v in got.values()], pa.int64()), pa.array([v[1] for v in got.values()], pa.int64())], ["p", "a", "n"])
+            got.clear()
+            return out
+
         for b in batches:
-            p, y = [], []
             for t, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                got = _patterns(t.as_py())
-                p += got
-                y += [toxic] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(y, pa.int64())], ["p", "y"])
-
-    sums = rows.groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()
+                for p in _patterns(t.as_py()):
+                    v = got.setdefault(p, [0, 0])
+                    v[0] += toxic
+                    v[1] += 1
+                if len(got) > HELD:
+                    yield flush()
+        if got:
+            yield flush()
+
+    sums = rows.groupBy("toxic").count().collect()
     total = {r["toxic"]: r["count"] for r in sums}
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
         return Lexicon({f" {s}": 3.0 for s in SEEDS})
-    counts = rows.select("text", F.col("toxic").cast("long")).mapInArrow(run, "p string, y long").groupBy("p").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    # log odds, and how many standard errors they are from none
+    counts = rows.mapInArrow(run, "p string, a long, n long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    # log odds, less some standard errors of theirs
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (neg + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
-    top = counts.filter("a >= 5").select("p", (odds - 1.5 * error).alias("w"), F.col("a")).filter("w > 1").orderBy(F.desc(F.col("w") * F.sqrt("a")), "p").limit(ENTRIES).collect()
+    # as many as the sample has; its size is bounded, so theirs is
+    top = counts.filter("a >= 5").select("p", (odds - 1.5 * error).alias("w")).filter("w > 1").collect()
     lexicon = Lexicon({r["p"]: float(r["w"]) for r in top} | {f" {s} ": 3.0 for s in SEEDS if not any(r["p"] == f" {s} " for r in top)})
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -145,7 +162,8 @@ def learn(labelled: DataFrame) -> Lexicon:
             f = [shared.value.features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], ["f", "y"])
 
-    got = rows.select("text", F.col("toxic").cast("long")).mapInArrow(feats, "f array<double>, y long").toPandas()
+    # four numbers for each row of the bounded sample
+    got = rows.mapInArrow(feats, "f array<double>, y long").toPandas()
     lexicon.fit_curve(np.array(got["f"].tolist()), got["y"].to_numpy(float))
     return lexicon
 
@@ -155,20 +173,29 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learns from labels of rows that aren't held out."""
-    y = columns(labels, ["doc_id", "toxic"]).filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return learn(columns(docs, ["doc_id", "text"]).join(y, "doc_id"))
+    """Learns from labels of rows that aren't held out, of at most FIT_ROWS ids.
+
+    Ids are chosen among the labels, before any text is read; the chosen ones are few enough to broadcast (16 bytes
+    each), so documents are scanned once, without an exchange, and only the sample's texts are written.
+    """
+    y = columns(labels, ["doc_id", "toxic"]).filter(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    work = Work(docs.sparkSession, "toxicity")
+    sample = work.write("sample", columns(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    lexicon = learn(sample)
+    work.close()
+    return lexicon
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id and score for each row of docs; a scan without shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    large_batches(spark, 1000)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1000):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     return columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
@@ -178,12 +205,11 @@ def accept(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFra
     """Rows that score under the threshold, with their columns; decided row by row, so null ids are kept or dropped by text."""
     spark = docs.sparkSession
     ship(spark)
-    large_batches(spark, 1000)
     shared = spark.sparkContext.broadcast(lexicon)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1000):
             yield b.filter(pa.array([shared.value.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
