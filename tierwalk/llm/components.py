@@ -9,7 +9,7 @@ from tierwalk.llm.common import Work
 
 
 def connected(edges: DataFrame, work: Work, name: str) -> DataFrame:
-    """node, root (smallest node of its component) for each node of edges (a, b)."""
+    """node, root (smallest node of its component) for each node of edges (a, b), roots included."""
     e = work.write(f"{name}-e", edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     k = 0
     while True:
@@ -25,4 +25,4 @@ def connected(edges: DataFrame, work: Work, name: str) -> DataFrame:
         if same:
             break
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots
+    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,202 +1,209 @@
 """Jaccard self-join of documents on word n-grams, as a blocked sparse product of the document by n-gram incidence.
 
-A document is its set of distinct 64-bit n-gram hashes. Documents with equal sets are one row of the
-matrix. N-grams are ordered from rare to frequent (a histogram of fixed size over hash slots, then the
-hash), the same for all documents. Two sets with Jaccard similarity t or more share an n-gram within their
-first |x| - ceil(t |x|) + 1 columns, so only those columns are multiplied to find pairs; the size bound and
-the position bound discard pairs; the overlap of the others is accumulated over all their columns.
-
-Links only have to connect. So the product goes in rounds: first each row of a column meets the smallest and
-the largest row of that column (linear in the column), links are contracted to components, and the last round
-multiplies only rows of one column that are still in different components. No link between components is lost.
-
-Sets are hashed again from texts where a step needs them: a text is smaller on disk, and when shuffled, than
-its hashes, which don't compress.
-
-Null and empty texts have no n-grams and link with nothing; repeated rows are equal sets; rows that share an
-id but not a text are one document with several sets. Empty tables give empty tables. Columns other than the
-id and the text are left behind.
+A row of the matrix is a distinct set of 64-bit n-gram hashes; documents with equal sets share a row, named by a
+128-bit digest of the set. Columns (n-grams) have one order for all rows, from rare to frequent: by a sketch of fixed
+size that counts all documents, then by hash. Any order gives whole results; a good one makes columns short.
+
+The product X X^T is taken in blocks. Two rows of similarity t or more share a column within the first
+|x| - ceil(t |x|) + 1 of each, so only those are multiplied to find pairs. At the first column that two rows share, at
+places i and j, their overlap is at most min(|x| - i, |y| - j); a pair has to pass this bound, and the bound of the
+sizes, in at least one column. The overlaps of the pairs left are counted over all columns.
+
+Links only have to connect, so the product goes in two rounds. First every row of a column meets the column's pivot,
+the row where the column comes first, which is the one with the fewest rare n-grams: linear in the column. Links are
+contracted; then rows of one column that are still apart meet each other. No link between components is lost.
+
+Null and empty texts have no n-grams and link with nothing: component_id is their own id. Repeated rows are equal sets.
+Rows that share an id are rows of their own. Rows with a null id link as others do, but no component is named by
+them while it has another id. Empty tables give empty tables. Columns other than the id and the text are left behind.
+Texts are hashed in pieces of hashing.PIECE bytes or one text, whichever is more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tierwalk.llm.common import Work, columns, large_batches, ship
+from tierwalk.llm import hashing
+from tierwalk.llm.common import Work, columns, ship
 from tierwalk.llm.components import connected
 
-#: Slots of the frequency histogram: its size is fixed, whatever the input's.
-SLOTS = 1 << 18
-#: Word hashes that a worker remembers at most.
-MEMORY = 1 << 20
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
-def shingle_set(text: str | bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-word shingles; fewer words are one shingle, none give none.
-
-    Bytes split at ASCII white space and lower-case A-Z only. A shingle's hash is a polynomial of its words' hashes.
-    """
-    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    words = raw.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64).view(np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = len(words) - n + 1
-    g = np.zeros(k, np.uint64)
-    for j in range(n):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + k]
-    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((g ^ (g >> np.uint64(29))).view(np.int64))
-
-
-def _bytes(column: pa.Array) -> list[bytes | None]:
-    """Values of a text column as UTF-8."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-def signatures(rows: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit signature of the set, and text_hash of rows (doc_id, text_hash, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, sigs = [], []
-            for t in _bytes(b.column(2)):
-                s = shingle_set(t, n)
-                sizes.append(len(s))
-                sigs.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.string()), b.column(1)], ["doc_id", "n_shingles", "sig", "text_hash"])
-
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, sig string, text_hash long")
+#: Slots of the sketch, its bits, and the slots of one of its parts; the size is fixed, whatever the input's.
+SLOTS_LOG, PART_LOG = 21, 16
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
-    return (grams.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
+    return (grams >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
 
 
-def _histogram(reps: DataFrame, n: int) -> np.ndarray:
-    """Documents for each slot of n-gram hashes, over all rows; SLOTS numbers, whatever the input's size."""
+def frequencies(texts: DataFrame, n: int) -> np.ndarray:
+    """One byte for each slot: four times the binary logarithm of the n-grams counted there, over all rows of (text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOTS_LOG, np.int64)
         for b in batches:
-            for t in _bytes(b.column(0)):
-                np.add.at(total, _slots(shingle_set(t, n)), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
-
-    out = np.zeros(SLOTS, np.int64)
-    got = reps.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+            for _, _, _, g in hashing.sets(b.column(0), n):
+                total += np.bincount(_slots(g), minlength=1 << SLOTS_LOG)
+        parts = total.reshape(-1, 1 << PART_LOG)
+        some = np.flatnonzero(parts.any(axis=1))
+        packed = [pa.compress(parts[i].astype(np.uint64).tobytes(), codec="zstd", asbytes=True) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(pa.decompress(packed, 8 << PART_LOG, codec="zstd", asbytes=True), np.uint64)
+                sums[part] = sums[part] + got if part in sums else got
+        level = [np.rint(4 * np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["part", "level"])
+
+    out = np.zeros(1 << SLOTS_LOG, np.uint8)
+    parts = 1 << (SLOTS_LOG - PART_LOG)
+    summed = texts.mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, level binary")
+    for r in summed.collect():  # SLOTS bytes in all
+        out[r["part"] << PART_LOG : (r["part"] + 1) << PART_LOG] = np.frombuffer(r["level"], np.uint8)
     return out
 
 
-def _postings(reps: DataFrame, ranks, n: int, num: int, den: int) -> DataFrame:
-    """The first columns of every row: gram, doc_id, size, pos."""
+def _incidence(rows: DataFrame, ranks, n: int, num: int, den: int) -> DataFrame:
+    """For every row (id, text_hash, text) one row id, text_hash, n_shingles, sig; and for its set, once in a task, the first columns: sig, size, gram, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = ranks.value
+        level = ranks.value
+        seen: set[bytes] = set()
         for b in batches:
-            out = ([], [], [], [])
-            for doc, t in zip(b.column(0).to_pylist(), _bytes(b.column(1)), strict=True):
-                g = shingle_set(t, n)
-                k = len(g) - -(-num * len(g) // den) + 1
-                order = np.lexsort((g, freq[_slots(g)]))[:k]
-                for o, x in zip(out, (g[order], np.full(k, doc), np.full(k, len(g)), np.arange(k)), strict=True):
-                    o.append(x.astype(np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], ["gram", "doc_id", "size", "pos"])
+            for lo, hi, at, g in hashing.sets(b.column(2), n):
+                sizes = np.diff(at)
+                sigs = [xxhash.xxh3_128_digest(g[i:j].data) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                none = pa.nulls(hi - lo, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), none, none], names)
+                out, whose = [], []
+                for r, s in enumerate(sigs):
+                    if s is None or s in seen:
+                        continue
+                    seen.add(s)
+                    x = g[at[r] : at[r + 1]]
+                    k = len(x) - -(-num * len(x) // den) + 1
+                    rank = level[_slots(x)]
+                    if k < len(x):  # only rows up to the k-th smallest have to be put in order
+                        few = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1])
+                        x, rank = x[few], rank[few]
+                    out.append(x[np.lexsort((x, rank))[:k]])
+                    whose.append(r)
+                if not out:
+                    continue
+                k = np.array([len(o) for o in out])
+                who = np.repeat(np.array(whose), k)
+                pos = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                none = pa.nulls(len(who), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 0).take(none), none, pa.array(sizes[who], pa.int64()), pa.array(sigs, pa.binary()).take(pa.array(who)), pa.array(np.concatenate(out).view(np.int64)), pa.array(pos, pa.int64())], names)
+
+    names = ["id", "text_hash", "n", "sig", "gram", "pos"]
+    whole = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n")), T.StructField("sig", T.BinaryType()), T.StructField("gram", T.LongType()), T.StructField("pos", T.LongType())])
+    for f in whole:
+        f.nullable = True
+    return rows.select("id", "text_hash", "text").mapInArrow(run, whole)
+
 
-    return reps.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, size long, pos long")
+def _near(sizes: tuple[Column, Column], places: tuple[Column, Column], num: int, den: int) -> Column:
+    """The size bound, and the bound at the first column that two rows share."""
+    (x, y), (i, j) = sizes, places
+    least = F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
+    return (den * F.least(x, y) >= num * F.greatest(x, y)) & (F.least(x - i, y - j) >= least)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs whose whole rows overlap enough: the overlap counts of the product, in blocks of Arrow batches."""
-    texts = reps.select("doc_id", "text")
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose whole rows overlap enough; sets are (sig, grams)."""
+    both = pairs.join(sets.withColumnsRenamed({"sig": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"sig": "b", "grams": "gb"}), "b").select("a", "b", "ga", "gb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = lru_cache(64)(lambda t: shingle_set(t, n))
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i, (s, t) in enumerate(zip(_bytes(b.column(2)), _bytes(b.column(3)), strict=True)):
-                x, y = grams(s), grams(t)
-                both_have = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = den * both_have >= num * (len(x) + len(y) - both_have)
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                # places of x's columns in y: both are sorted
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common = int((y[at] == x).sum())
+                keep[i] = den * common >= num * (len(x) + len(y) - common)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
-def _near(sizes: tuple[Column, Column], places: tuple[Column, Column], num: int, den: int) -> Column:
-    """The size bound and the position bound of two rows at a column that both have."""
-    (x, y), (i, j) = sizes, places
-    least = F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
-    return (den * F.least(x, y) >= num * F.greatest(x, y)) & (F.least(x - i, y - j) + F.least(i, j) >= least)
+def _whole_rows(rows: DataFrame, reps: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """sig and sorted grams of the wanted sets (sig), hashed again from one document of each."""
+    of = wanted.join(reps, "sig").select(F.col("row.id").alias("rid"), F.col("row.text_hash").alias("text_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, at, g in hashing.sets(b.column(0), n):
+                got = [g[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in got], pa.binary()), pa.array(got, pa.binary())], ["sig", "grams"])
+
+    found = rows.join(of, (rows["text_hash"] == of["text_hash"]) & rows["id"].eqNullSafe(of["rid"]), "left_semi")
+    # rows that repeat id and text are the same set again
+    return found.select("text").mapInArrow(run, "sig binary, grams binary").dropDuplicates(["sig"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent/100 or more) for each row of docs."""
+    """The id, n_shingles, and component_id (smallest id reachable by links of percent/100 or more) for each row of docs; ids are of any type that has an order."""
     spark = docs.sparkSession
     ship(spark)
-    large_batches(spark, 500)
     work = Work(spark, "ngram")
     num, den = percent, 100
-    rows = columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
-    members = work.write("members", signatures(rows, n))
-    # equal sets are one row of the matrix
-    first = members.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
-    classes = work.write("classes", first.select("sig", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash")))
-    reps = work.write("reps", rows.join(classes.select(F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text"))
-    ranks = spark.sparkContext.broadcast(_histogram(reps, n))
-    posts = work.write("posts", _postings(reps, ranks, n, num, den))
-    # a column of one row has no pairs; its pivots are its smallest and its largest row
-    row = F.struct("size", "doc_id", "pos")
-    ends = posts.groupBy("gram").agg(F.min(row).alias("p"), F.max(row).alias("q"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    shared = work.write("shared", posts.join(work.write("ends", ends), "gram"))
-    work.drop("posts", "ends")
-    met = shared.select("doc_id", "size", "pos", F.explode(F.array("p", "q")).alias("p")).select("doc_id", "size", "pos", F.col("p.doc_id").alias("pid"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos"))
-    met = met.filter("doc_id <> pid").filter(_near((F.col("size"), F.col("psize")), (F.col("pos"), F.col("ppos")), num, den))
-    pairs = work.write("pairs0", met.select(F.least("doc_id", "pid").alias("a"), F.greatest("doc_id", "pid").alias("b")).distinct())
-    links = work.write("links0", _verified(pairs, reps, n, num, den))
-    comp = work.write("comp0", _contract(reps.select("doc_id", F.col("doc_id").alias("comp")).distinct(), links, work, "c0"))
-    # the last round: rows of one column in different components
-    now = shared.select("gram", "doc_id", "size", "pos").join(comp, "doc_id")
-    mixed = work.write("mixed", now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram"))
+    text = F.col(f"`{text_col}`")
+    rows = columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    ranks = spark.sparkContext.broadcast(frequencies(rows.select("text"), n))
+    incidence = work.write("incidence", _incidence(rows, ranks, n, num, den))
+    members = incidence.filter("gram is null")
+    reps = work.write("reps", members.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.min(F.struct("id", "text_hash")).alias("row")))
+    # the first eight bytes of a row's name, and its place before them, are numbers: aggregates of numbers need no sort
+    part = F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long")
+    posts = incidence.filter("gram is not null").select("gram", "sig", F.col("n").alias("size"), "pos", part.alias("part"))
+    low = (F.least("pos", F.lit((1 << 15) - 1)) * (1 << 48) + F.shiftright("part", 8)).alias("low")
+    ends = posts.select("gram", "part", low).groupBy("gram").agg(F.min("low").alias("first"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("gram", "first")
+    shared = work.write("shared", posts.select("gram", "sig", "size", "pos", low).join(ends, "gram").select("gram", "sig", "size", "pos", (F.col("low") == F.col("first")).alias("pivot")).distinct())
+    pivots = shared.filter("pivot").select("gram", F.col("sig").alias("psig"), F.col("size").alias("psize"), F.col("pos").alias("ppos"))
+    met = shared.filter("not pivot").join(pivots, "gram").filter(_near((F.col("size"), F.col("psize")), (F.col("pos"), F.col("ppos")), num, den))
+    pairs = work.write("pairs0", met.select(F.least("sig", "psig").alias("a"), F.greatest("sig", "psig").alias("b")).distinct())
+    links = work.write("links0", _overlaps(pairs, work.write("sets0", _whole_rows(rows, reps, _nodes(pairs), n)), num, den))
+    roots = work.write("roots0", connected(links, work, "c0"))
+    # the second round: rows of one column in different components
+    now = shared.select("gram", "sig", "size", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+    now = work.write("now", now)
+    mixed = now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram")
     left = work.write("left", now.join(mixed, "gram", "left_semi"))
-    work.drop("shared", "mixed")
     x, y = left.alias("x"), left.alias("y")
-    found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _near((F.col("x.size"), F.col("y.size")), (F.col("x.pos"), F.col("y.pos")), num, den))
-    found = found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = work.write("links1", _verified(work.write("pairs1", found), reps, n, num, den))
-    comp = work.write("comp", _contract(comp, links, work, "c1"))
-    work.drop("reps", "left", "pairs0", "pairs1", "comp0", "links0", "links1")
-    named = work.write("named", classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep").select("sig", "comp"))
-    return members.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-
-
-def _contract(comp: DataFrame, links: DataFrame, work: Work, name: str) -> DataFrame:
-    a, b = comp.withColumnsRenamed({"doc_id": "a", "comp": "ca"}), comp.withColumnsRenamed({"doc_id": "b", "comp": "cb"})
-    edges = links.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    roots = connected(edges, work, name).withColumnsRenamed({"node": "comp", "root": "root"})
-    return comp.join(roots, "comp", "left").select("doc_id", F.coalesce("root", "comp").alias("comp"))
+    found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _near((F.col("x.size"), F.col("y.size")), (F.col("x.pos"), F.col("y.pos")), num, den))
+    found = work.write("pairs1", found.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = work.write("links1", _overlaps(found, work.write("sets1", _whole_rows(rows, reps, _nodes(found), n)), num, den))
+    roots = work.write("roots", _joined(roots, more, work))
+    named = roots.join(reps.select(F.col("sig").alias("node"), "rep"), "node")
+    names = named.groupBy("root").agg(F.min("rep").alias("name"))
+    named = work.write("named", reps.select("sig", "rep").join(roots.join(names, "root").select(F.col("node").alias("sig"), "name"), "sig", "left").select("sig", F.coalesce("name", "rep").alias("name")))
+    work.drop("reps", "shared", "now", "left", "pairs0", "pairs1", "links0", "links1", "sets0", "sets1", "roots0", "roots")
+    # both sides are exchanged, so that a set with very many copies is split as skewed
+    return members.select("id", "n", "sig").join(named, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame, work: Work) -> DataFrame:
+    """Components (node, root) after more links (a, b) between them."""
+    a, b = roots.withColumnsRenamed({"node": "a", "root": "ra"}), roots.withColumnsRenamed({"node": "b", "root": "rb"})
+    edges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
+    over = work.write("over", connected(edges, work, "c1")).withColumnsRenamed({"node": "old", "root": "new"})
+    kept = roots.join(over, roots["root"] == over["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    # components that were single rows are nodes of the new links only
+    fresh = over.select(F.col("old").alias("node"), F.col("new").alias("root")).join(roots, "node", "left_anti")
+    return kept.unionByName(fresh)
