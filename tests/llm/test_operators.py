@@ -8,9 +8,10 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from tierwalk.llm import bpe, chunks, decontaminate, exact_dedup, gru, linkgraph, ngram_join, rangecoder, sharding, tokenstore, toxicity
+from tierwalk.llm import bpe, chunks, decontaminate, exact_dedup, gru, hashing, linkgraph, ngram_join, rangecoder, sharding, tokenstore, toxicity
 from tierwalk.llm.common import Work
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, grams string, rep long"
@@ -132,16 +133,23 @@ def test_shards_leave_no_group_cut_that_fits(spark):
     assert [t for t, s in at.items() if len(s) > 1] == ["many"]
 
 
-def test_gru(spark, docs, none, texts):
+def spaced(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+@pytest.mark.parametrize("hot", [1 << 19, 40])
+def test_gru(spark, docs, none, texts, hot, monkeypatch):
+    monkeypatch.setattr(gru, "HOT", hot)
+    monkeypatch.setattr(gru, "KNOWN", 20)
     got = rows(gru.score(docs))
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i * 3).encode()) % 7 != 2]
     count = defaultdict(int)
     for t in train:
-        for w in [*gru.words(t), None]:
+        for w in [*spaced(t), None]:
             count[w] += 1
     n, v = sum(count.values()), len(count)
     for i, t in enumerate(texts):
-        w = [*gru.words(t), None]
+        w = [*spaced(t), None]
         r = got[i * 3]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count.get(x, 0) > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((count.get(x, 0) + 1) / (n + v + 1)) for x in w))
@@ -149,18 +157,69 @@ def test_gru(spark, docs, none, texts):
     assert gru.score(none).count() == 0
 
 
+def test_gru_keeps_rows_with_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b a", None, None, None, None, None), (None, "a b a", None, None, None, None, None), (5, "c", None, None, None, None, None), (5, "a", None, None, None, None, None)], SCHEMA)
+    got = gru.score(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"]) for r in got) == [(0, 4, 4), (0, 4, 4), (5, 2, 2), (5, 2, 2)]
+
+
+def few_words(n):
+    m = gru.GRU(gru.word_hashes([f"w{i}" for i in range(n)]))
+    return m, lambda t: m.ids(*next(iter(gru.texts_of(pa.array([t], pa.string()))))[2:])[0]
+
+
 def test_gru_is_a_distribution():
-    m = gru.GRU([f"w{i}" for i in range(30)])
+    m, ids = few_words(30)
+    assert ids("w0 W29 other").tolist() == [2, 31, gru.OTHER, gru.END]
     m.fit([np.arange(2, 20)] * 20, epochs=1)
     h = np.random.default_rng(0).standard_normal((1, gru.HIDDEN)).astype(np.float32)
     total = sum(np.exp(m.log_probs(h, np.array([y]))[0]) for y in range(32))
     assert total == pytest.approx(1, abs=1e-4)
-    a, b = m.ids("w1 w2 w3 " * 90), m.ids("w5")
-    assert m.score([a, b])[0] == pytest.approx(m.score([a])[0], rel=1e-4)
 
 
-def test_gru_learns_from_every_document(spark, monkeypatch):
-    monkeypatch.setattr(gru, "FIT_DOCS", 1)
+def test_gru_scores_like_a_plain_forward_pass(monkeypatch):
+    monkeypatch.setattr(gru, "STATES", 7)
+    m, ids = few_words(30)
+    m.fit([np.arange(2, 20)] * 20, epochs=1)
+    docs = [ids(t) for t in ("w1 w2 w3 " * 90, "w5", "", "x w3 w3 w1")]
+    got = m.score(np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs]))))
+    for d, g in zip(docs, got, strict=True):
+        h, last, total = np.zeros((1, gru.HIDDEN), np.float32), np.array([m.start]), 0.0
+        for y in d:
+            h, _ = m.step(last, h)
+            total += m.log_probs(h, np.array([y]))[0]
+            last = np.array([y])
+        assert g == pytest.approx(total, rel=1e-4)
+
+
+def test_gru_gradients():
+    m, _ = few_words(10)
+    rng = np.random.default_rng(1)
+    h, y = rng.standard_normal((6, gru.HIDDEN)), rng.integers(0, 12, 6)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    grads = {k: np.zeros_like(v) for k, v in m.p.items()}
+    _, dh = m.log_probs(h, y, grads)
+    loss = lambda: -m.log_probs(h, y).sum()
+    for x, g in ((m.p["C"], grads["C"]), (m.p["V"], grads["V"]), (m.p["cb"], grads["cb"]), (h, dh)):
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        old = x[at]
+        x[at] = old + 1e-5
+        up = loss()
+        x[at] = old - 1e-5
+        assert g[at] == pytest.approx((up - loss()) / 2e-5, rel=1e-3)
+        x[at] = old
+
+
+def test_gru_learns_a_cycle():
+    # the loss through time falls to what only a state can reach: every word's successor is known
+    m, _ = few_words(18)
+    flow = np.tile(np.arange(2, 20), 40)
+    m.fit([flow] * 10, epochs=12)
+    assert m.score(flow, np.array([0, len(flow)]))[0] / len(flow) > -0.3
+
+
+def test_gru_learns_from_its_share_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(gru, "SHARE", 1)
     pairs = [(i, " ".join(f"v{(i * 3 + k) % 9}" for k in range(40))) for i in range(120)]
     docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in pairs], SCHEMA).repartition(3)
     seen, one = [], gru._pass_over
@@ -169,6 +228,18 @@ def test_gru_learns_from_every_document(spark, monkeypatch):
     assert seen == [got[0]["train_tokens"]] * gru.EPOCHS
 
 
+def test_word_hashes_like_words(texts):
+    of = {}
+    for alphabet, find in ((hashing.SPACED, spaced), (hashing.LETTERS, lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))):
+        data, offsets = hashing.as_bytes(pa.array([*texts, "ends", "Ends here"]).slice(1))
+        h, start, end, bounds = hashing.words(data, offsets, alphabet)
+        for i, t in enumerate([*texts, "ends", "Ends here"][1:]):
+            assert [data[a:b].tobytes().decode().lower() for a, b in zip(start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]], strict=True)] == [w.lower() for w in find(t)]
+            for w, x in zip(find(t), h[bounds[i] : bounds[i + 1]], strict=True):
+                assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of)
+
+
 def test_exact(spark, docs, none, texts):
     got = rows(exact_dedup.duplicates(docs, keep="largest"))
     for i, t in enumerate(texts):

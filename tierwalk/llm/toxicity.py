@@ -36,17 +36,30 @@ LOOKS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у":
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _looks = str.maketrans(LOOKS)
 _signs = str.maketrans(SIGNS)
-_mixed = re.compile(r"\S*[^\W\d_]\S*")
+_signed = re.compile(rf"(?<!\S)[^\s{re.escape(''.join(SIGNS))}]*[{re.escape(''.join(SIGNS))}]\S*")
+_letter = re.compile(r"[^\W\d_]")
 _tail = re.compile(r"[\W_]+$")
-_gap = re.compile(r"[^\w]+")
+_word = re.compile(r"\w+")
+_foreign = re.compile(f"[{''.join(LOOKS)}]")
+
+
+def _read(m: re.Match) -> str:
+    """A word with signs in it: they are letters if it has a letter, but not at its end."""
+    return _tail.sub("", m[0]).translate(_signs) if _letter.search(m[0]) else m[0]
 
 
 def fold(text: str | None) -> str:
     """Lower-case words, one space around each; look-alikes and signs inside words are letters."""
-    t = unicodedata.normalize("NFKC", text or "").lower().translate(_looks)
+    t = text or ""
+    if t.isascii():
+        t = t.lower()
+    else:
+        t = unicodedata.normalize("NFKC", t).lower()
+        if _foreign.search(t):
+            t = t.translate(_looks)
     if any(s in t for s in SIGNS):
-        t = _mixed.sub(lambda m: _tail.sub("", m[0]).translate(_signs), t)
-    return f" {_gap.sub(' ', t).strip()} "
+        t = _signed.sub(_read, t)
+    return f" {' '.join(_word.findall(t))} "
 
 
 class Lexicon:
