@@ -2,7 +2,9 @@
 
 A cut falls after a byte whose gear hash (over the last bytes) has its lowest bits clear, never within the
 minimum of the last cut; a chunk never exceeds the maximum. Chunks with equal digests (128 bits) are copies.
-The first place of a digest (smallest doc_id, then offset) is the original; runs of copied chunks are spans.
+The first place of a digest (smallest doc_id, then offset) is the original. Copied chunks next to each other are a
+run; a run counts from LEAST_RUN bytes on, since short chunks, as of a common phrase, also recur by chance. Inside
+the runs that count, neighbouring chunks that aren't the original are one span to remove.
 
 Null and empty texts have no chunks. Repeated rows are copies of each other: one of them is the original.
 Whitespace runs and case are left as they are. Offsets are in UTF-8 bytes.
@@ -15,14 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierwalk.llm.common import Work, columns, large_batches, ship
+from tierwalk.llm.common import Work, columns, ship, sliced
 
 #: One value for each byte, from a seeded generator.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 WINDOW, BITS, LEAST, MOST = 16, 5, 16, 192
+#: Bytes of a run of copied chunks from which it counts: about half of a passage of fifty words.
+LEAST_RUN = 160
 
 
 def cuts(data: bytes, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
@@ -53,10 +57,9 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Numbers are the same in one written result only.
     """
     ship(docs.sparkSession)
-    large_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1000):
             n = b.num_rows
             row, start, end, digest = list(range(n)), [None] * n, [None] * n, [bytes(16)] * n
             for i, t in enumerate(b.column(2)):
@@ -75,18 +78,26 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, "uid long, doc_id long, start int, end int, d1 long, d2 long")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row, with its doc_id: n_chunks, n_repeated (chunks found elsewhere too), n_removed (copies that aren't the original), n_bytes, repeated_bytes, spans to remove."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
+    """Per row, with its doc_id: n_chunks, n_repeated (copied chunks in runs that count), n_removed (those of them that aren't the original), n_bytes, repeated_bytes, spans to remove (start, end)."""
     work = Work(docs.sparkSession, "chunks")
     every = work.write("rows", chunked(docs, id_col, text_col))
     rows = every.filter("start is not null")
     first = work.write("first", rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start", "uid")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # both sides are exchanged for this join, so a digest with very many rows is split as skewed
-    known = rows.join(first, ["d1", "d2"], "left").select("uid", "start", "end", F.col("n").isNotNull().alias("copy"), (F.col("n").isNotNull() & ~((F.col("f.uid") == F.col("uid")) & (F.col("f.start") == F.col("start")))).alias("extra"))
+    original = (F.col("f.uid") == F.col("uid")) & (F.col("f.start") == F.col("start"))
+    known = rows.join(first, ["d1", "d2"], "left").select("uid", "start", "end", F.col("n").isNotNull().alias("copy"), (F.col("n").isNotNull() & ~original).alias("extra"))
+    # chunks tile a row's text, so what lies between two that aren't copied is a run; a row's chunks are few and sorted once
+    inside = Window.partitionBy("uid").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = known.withColumns({"run": F.when(F.col("copy"), F.count_if(~F.col("copy")).over(inside)).otherwise(-1), "part": F.count_if(~F.col("extra")).over(inside)})
     length = (F.col("end") - F.col("start")).cast("long")
-    per = known.groupBy("uid").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.count_if("copy").alias("n_repeated"), F.count_if("extra").alias("n_removed"), F.sum(length).alias("n_bytes"), F.sum(F.when(F.col("copy"), length).otherwise(0)).alias("repeated_bytes"),
-        F.array_sort(F.collect_list(F.when(F.col("extra"), F.struct("start", "end")))).alias("spans"),
+    pieces = known.groupBy("uid", "run", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if("extra").alias("extra"), F.sum(length).alias("bytes"), F.min(F.when(F.col("extra"), F.col("start"))).alias("start"), F.max(F.when(F.col("extra"), F.col("end"))).alias("end"))
+    span = F.struct("start", "end")
+    runs = pieces.groupBy("uid", "run").agg(F.sum("n").alias("n"), F.sum("extra").alias("extra"), F.sum("bytes").alias("bytes"), F.collect_list(F.when(F.col("extra") > 0, span)).alias("spans"))
+    counts = (F.col("run") >= 0) & (F.col("bytes") >= least_run)
+    per = runs.groupBy("uid").agg(
+        F.sum("n").alias("n_chunks"), F.sum(F.when(counts, F.col("n")).otherwise(0)).alias("n_repeated"), F.sum(F.when(counts, F.col("extra")).otherwise(0)).alias("n_removed"), F.sum("bytes").alias("n_bytes"),
+        F.sum(F.when(counts, F.col("bytes")).otherwise(0)).alias("repeated_bytes"), F.array_sort(F.flatten(F.collect_list(F.when(counts, F.col("spans"))))).alias("spans"),
     )
     ids = every.filter("start is null").select("uid", "doc_id")
     zero = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n_chunks", "n_repeated", "n_removed", "n_bytes", "repeated_bytes")}

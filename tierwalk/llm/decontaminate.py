@@ -1,19 +1,23 @@
 """Benchmark decontamination by suffix arrays over the documents.
 
-Every Arrow batch of documents is a shard: its words are numbered by the benchmark's vocabulary, and the
-suffixes of its word sequence that can begin a window (first two words are neighbours in the benchmark) are
-sorted by their first words. Every benchmark suffix is then binary-searched in that array; suffixes with
-a whole window as prefix give the places. Items come in blocks of bounded size, so the broadcast has a
-proven bound whatever the benchmark's size; a shard holds one batch of documents.
-
-Null texts have no words and no hits. Repeated rows give repeated results. Empty tables give empty tables
-(or, without items, no hits). Items of fewer words than a window are one window; items without words none.
+An Arrow batch of documents is a shard: its words are numbered by the benchmark's vocabulary, and the suffixes of its
+word sequence that can begin a match (the first two words are neighbours in the benchmark) are sorted by their first
+words. Every benchmark suffix is binary-searched in that array by the words of a window; suffixes with a whole window
+as prefix are the places. Matches that don't begin earlier are then followed to their ends: these are the longest
+verbatim matches, with their places in the document and in the item. Nothing of a shard outlives its batch, so no
+exchange is needed and a lost executor costs its batches only.
+
+Items come in blocks of BLOCK_BYTES, so what is broadcast is bounded whatever the benchmark's size (about fifty bytes
+for each of its words); a shard is one Arrow batch (64 MB, or one longer text).
+
+Null texts have no words and no hits. Repeated rows give repeated results. Rows with null ids are judged like others.
+Empty tables give empty tables (or, without items, no hits). Items of fewer words than a window are one window; items
+without words none. Words are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,174 +25,254 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwalk.llm.common import Work, columns, large_batches, ship
+from tierwalk.llm import hashing
+from tierwalk.llm.common import Work, columns, ship
+
+#: Bytes of benchmark text that one pass over the documents takes, and pairs of places that are followed at once.
+BLOCK_BYTES, PAIRS = 8 << 20, 1 << 20
 
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Bytes of benchmark text that one pass over the documents takes.
-BLOCK_BYTES = 32 << 20
 
+def _numbers(column: pa.Array, table: hashing.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all rows, each row followed by a 0, and where rows start; unknown words are 0."""
+    parts, starts, total = [], [], 0
+    data, offsets = hashing.as_bytes(column)
+    for a, b in hashing.pieces(offsets):
+        with np.errstate(over="ignore"):
+            h, _, _, bounds = hashing.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashing.LETTERS)
+        at = bounds + np.arange(len(bounds))
+        out = np.zeros(at[-1], np.int32)
+        out[np.arange(len(h)) + np.repeat(np.arange(b - a), np.diff(bounds))] = table.find(h)
+        parts.append(out)
+        starts.append(at[:-1] + total)
+        total += at[-1]
+    return np.concatenate([*parts, np.empty(0, np.int32)]), np.concatenate([*starts, np.array([total])])
 
-def words(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").translate(LOWER))
+
+def _keys(seq: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The k numbers from each place on as one comparable value, whose order is that of the numbers."""
+    return np.ascontiguousarray(seq[at[:, None] + np.arange(k)].astype(">u4")).view(f"S{4 * k}").ravel()
 
 
 class Items:
-    """One block of benchmark items as word numbers, and their windows."""
+    """One block of benchmark items as word numbers, and their windows in order."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.window = window
-        self.number: dict[str, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], list[int]]] = {}
-        pairs = set()
-        for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
-            if not w:
-                continue
-            k = min(window, len(w))
-            for i in range(len(w) - k + 1):
-                self.windows.setdefault(k, {}).setdefault(tuple(w[i : i + k]), []).append(item)
-                pairs.add((w[i] << 32) | (w[i + 1] if k > 1 else 0))
-        self.first = np.zeros(len(self.number) + 1, bool)
-        self.alone = np.zeros(len(self.number) + 1, bool)
-        for p in pairs:
-            self.first[p >> 32] = True
-            if not p & 0xFFFFFFFF:
-                self.alone[p >> 32] = True
-        self.pairs = np.sort(np.array(sorted(pairs), np.int64))
-
-    def search(self, seq: np.ndarray) -> list[tuple[int, int, list[int]]]:
-        """(place, length, items) of all windows in a shard's words; 0 is a word that no item has, or a document's end."""
-        n = self.window
-        padded = np.concatenate((seq, np.zeros(n, np.int64)))
-        at = np.flatnonzero(self.first[seq])
-        key = (seq[at] << 32) | padded[at + 1]
-        near = np.searchsorted(self.pairs, key)
-        near[near == len(self.pairs)] = 0
-        at = at[(self.pairs[near] == key) | self.alone[seq[at]]] if len(self.pairs) else at[:0]
+        self.names = [str(i) for i, _ in items]
+        texts = pa.array([t for _, t in items], pa.string())
+        data, offsets = hashing.as_bytes(texts)
+        with np.errstate(over="ignore"):
+            vocabulary = np.unique(hashing.words(data, offsets, hashing.LETTERS)[0])
+        self.table = hashing.Table(vocabulary)
+        seq, self.starts = _numbers(texts, self.table)
+        self.seq = np.concatenate((seq, np.zeros(window, np.int32)))
+        length = np.diff(self.starts) - 1
+        #: for a length of windows: distinct keys, where each key's places begin, the places in order
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        pairs = []
+        for k in np.unique(np.minimum(length[length > 0], window)).tolist():
+            some = np.flatnonzero(np.minimum(length, window) == k)
+            n = length[some] - k + 1
+            at = np.repeat(self.starts[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            keys = _keys(self.seq, at, k)
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+            new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            self.windows[k] = keys[new], np.concatenate((new, [len(at)])), at
+            if k > 1:
+                pairs.append(self.seq[at].astype(np.int64) << 32 | self.seq[at + 1])
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        self.alone = np.zeros(len(vocabulary) + 1, bool)
+        if 1 in self.windows:
+            self.alone[self.seq[self.windows[1][2]]] = True
+
+    def suffixes(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The array of a shard (numbers and a window of zeros): places in the order of their suffixes, and the keys."""
+        body = seq[: len(seq) - self.window]
+        fits = self.alone[body]
+        if len(self.pairs):
+            pair = body.astype(np.int64) << 32 | seq[1 : len(body) + 1]
+            near = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            fits |= self.pairs[near] == pair
+        at = np.flatnonzero(fits)
+        keys = _keys(seq, at, self.window)
+        order = np.argsort(keys, kind="stable")
+        return at[order], keys[order]
+
+    def search(self, seq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(places in the shard, places in the items, length) of equal windows, in pieces of about PAIRS pairs."""
+        at, keys = self.suffixes(seq)
         if not len(at):
-            return []
-        keys = padded[at[:, None] + np.arange(n)].astype(">u4")
-        data, wide = np.ascontiguousarray(keys).tobytes(), 4 * n
-        raw = np.empty(len(at), object)
-        raw[:] = [data[i : i + wide] for i in range(0, len(data), wide)]
-        order = np.argsort(raw, kind="stable")
-        suffixes, places = raw[order], at[order]
-        found = []
-        for k, table in self.windows.items():
-            for w, items in table.items():
-                low = b"".join(x.to_bytes(4, "big") for x in w)
-                i = np.searchsorted(suffixes, low, "left")
-                if i < len(suffixes) and suffixes[i][: 4 * k] == low:
-                    j = np.searchsorted(suffixes, low + b"\xff" * (4 * (n - k) + 1), "right")
-                    found += [(int(p), k, items) for p in places[i:j]]
-        return found
+            return
+        raw = keys.view(np.uint8).reshape(len(at), 4 * self.window)
+        for k, (want, first, places) in self.windows.items():
+            have = keys if k == self.window else np.ascontiguousarray(raw[:, : 4 * k]).view(f"S{4 * k}").ravel()
+            low, high = np.searchsorted(have, want, "left"), np.searchsorted(have, want, "right")
+            met = np.flatnonzero(high > low)
+            n = (high - low)[met] * np.diff(first)[met]
+            done, total = 0, np.cumsum(n)
+            while done < len(met):
+                end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
+                ds, qs = [], []
+                for u in met[done:end].tolist():
+                    d, q = at[low[u] : high[u]], places[first[u] : first[u + 1]]
+                    ds.append(np.repeat(d, len(q)))
+                    qs.append(np.tile(q, len(d)))
+                yield np.concatenate(ds), np.concatenate(qs), k
+                done = end
+
+    def follow(self, seq: np.ndarray, d: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of places with k equal words those whose words before differ, with the length of the whole match."""
+        before = np.where((d > 0) & (q > 0), self.seq[q - 1], 0)
+        first = (before == 0) | (seq[d - 1] != before)
+        d, q = d[first], q[first]
+        length, on = np.full(len(d), k), np.arange(len(d))
+        while len(on):
+            x, y = seq[np.minimum(d[on] + length[on], len(seq) - 1)], self.seq[np.minimum(q[on] + length[on], len(self.seq) - 1)]
+            on = on[(x == y) & (x > 0)]
+            length[on] += 1
+        return d, q, length
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most BLOCK_BYTES, read through an iterator, so that the driver holds one block's rows at a time."""
+    """Items in blocks of at most BLOCK_BYTES or one item, read through an iterator, so that the driver holds one partition's and one block's rows at a time."""
     block, size = [], 0
     rows = columns(benchmark, [item_col, text_col]).filter(F.col(f"`{text_col}`").isNotNull())
     for r in rows.toLocalIterator():
-        if block and size + len(r[1]) * 4 > BLOCK_BYTES:
+        more = len(r[1].encode("utf-8", "surrogatepass"))
+        if block and size + more > BLOCK_BYTES:
             yield block
             block, size = [], 0
         block.append((r[0], r[1]))
-        size += len(r[1]) * 4
+        size += more
     if block:
         yield block
 
 
+MATCH = "struct<length: long, start: long, item: string, item_start: long>"
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (start, end in words, both merged), items (sorted, distinct) for each row of docs."""
+    """doc_id, n_words, spans (start, end in words), items (sorted, distinct), longest (length, start, item, item_start in words; null without hits) for each row of docs."""
     spark = docs.sparkSession
     ship(spark)
-    large_batches(spark, 1000)
     work = Work(spark, "decon")
     rows = columns(docs, [id_col, text_col]).select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "row long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+    schema = f"row long, doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>, longest {MATCH}"
+    blocks = [spark.sparkContext.broadcast(Items([], window))]
     parts = []
-    first = Items([], window)
     for k, block in enumerate(_blocks(benchmark, item_col, item_text) if benchmark is not None else []):
+        shared = spark.sparkContext.broadcast(Items(block, window))
         if k == 0:
-            first = Items(block, window)
+            blocks = [shared]
             continue
         if k == 1:  # row numbers have to be the same in every pass
             rows = work.write("rows", rows)
-            parts.append(work.write("block0", rows.mapInArrow(_scan(spark.sparkContext.broadcast(first)), schema)))
-        parts.append(work.write(f"block{k}", rows.mapInArrow(_scan(spark.sparkContext.broadcast(Items(block, window))), schema)))
+            parts.append(work.write("block0", rows.mapInArrow(_scan(blocks[0]), schema)))
+        parts.append(work.write(f"block{k}", rows.mapInArrow(_scan(shared), schema)))
+        shared.destroy()
     if not parts:
-        parts.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(first)), schema))
-    if len(parts) == 1:
-        out = parts[0]
+        out = rows.mapInArrow(_scan(blocks[0]), schema)
     else:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out.select("doc_id", "n_words", F.arrays_zip("starts", "ends").alias("spans"), F.array_sort("items").alias("items"))
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+    return out.select("doc_id", "n_words", F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), "longest")
+
+
+def _matches(index: Items, column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, set[int]], dict[int, tuple[int, int, int, int]]]:
+    """Words of each row; and for rows with hits: merged spans, items, and the longest match (length, start, item, start in the item)."""
+    seq, starts = _numbers(column, index.table)
+    counts = np.diff(starts) - 1
+    seq = np.concatenate((seq, np.zeros(index.window, np.int32)))
+    marks, pairs, longest = [], [], {}
+    for d, q, k in index.search(seq):
+        row = np.searchsorted(starts, d, "right") - 1
+        item = np.searchsorted(index.starts, q, "right") - 1
+        marks.append(np.unique(d) * (index.window + 1) + k)
+        pairs.append(np.unique(row * len(index.names) + item))
+        d, q, length = index.follow(seq, d, q, k)
+        row, item = np.searchsorted(starts, d, "right") - 1, np.searchsorted(index.starts, q, "right") - 1
+        for i in np.lexsort((q, d, -length, row)):
+            r = int(row[i])
+            got = (int(length[i]), int(d[i] - starts[r]), int(item[i]), int(q[i] - index.starts[item[i]]))
+            if r not in longest or (got[0], -got[1]) > (longest[r][0], -longest[r][1]):
+                longest[r] = got
+    spans: dict[int, list[list[int]]] = {}
+    if marks:
+        for m in np.unique(np.concatenate(marks)).tolist():
+            d, k = divmod(m, index.window + 1)
+            r = int(np.searchsorted(starts, d, "right")) - 1
+            a = d - int(starts[r])
+            mine = spans.setdefault(r, [])
+            if mine and a <= mine[-1][1]:
+                mine[-1][1] = max(mine[-1][1], a + k)
+            else:
+                mine.append([a, a + k])
+    items: dict[int, set[int]] = {}
+    for x in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
+        items.setdefault(x // len(index.names), set()).add(x % len(index.names))
+    return counts, spans, items, longest
 
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        number = index.number.get
         for b in batches:
-            seqs, starts, total = [], [], 0
-            counts = []
-            for t in b.column(2):
-                w = [number(x, 0) for x in words(t.as_py())]
-                counts.append(len(w))
-                starts.append(total)
-                seqs.append(np.array([*w, 0], np.int64))
-                total += len(w) + 1
-            seq = np.concatenate(seqs) if seqs else np.empty(0, np.int64)
-            spans: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[str]] = {}
-            base = np.array(starts)
-            for place, k, its in index.search(seq):
-                d = int(np.searchsorted(base, place, "right")) - 1
-                spans.setdefault(d, []).append((place - starts[d], place - starts[d] + k))
-                items.setdefault(d, set()).update(map(str, its))
-            out_s, out_e = [], []
-            for d in range(b.num_rows):
-                merged: list[list[int]] = []
-                for s, e in sorted(spans.get(d, ())):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(e, merged[-1][1])
-                    else:
-                        merged.append([s, e])
-                out_s.append([m[0] for m in merged])
-                out_e.append([m[1] for m in merged])
+            counts, spans, items, longest = _matches(index, b.column(2))
+            n = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(out_s, pa.list_(pa.int64())), pa.array(out_e, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(b.num_rows)], pa.list_(pa.string()))],
-                ["row", "doc_id", "n_words", "starts", "ends", "items"],
+                [
+                    b.column(0), b.column(1), pa.array(counts, pa.int64()),
+                    pa.array([[{"start": s, "end": e} for s, e in spans.get(i, ())] for i in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([sorted({index.names[j] for j in items.get(i, ())}) for i in range(n)], pa.list_(pa.string())),
+                    pa.array([{"length": m[0], "start": m[1], "item": index.names[m[2]], "item_start": m[3]} if (m := longest.get(i)) else None for i in range(n)], pa.struct([("length", pa.int64()), ("start", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())])),
+                ],
+                ["row", "doc_id", "n_words", "spans", "items", "longest"],
             )
 
     return run
 
 
 def report(found: DataFrame) -> DataFrame:
-    """The digest columns of the query from hits()."""
+    """The digest columns of the query from hits(), and the longest match's length, start, item and start in the item."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_hit = []
             for spans in b.column(2).to_pylist():
                 covered, last = 0, 0
-                for s in sorted((x["starts"], x["ends"]) for x in spans):
-                    covered += max(0, s[1] - max(s[0], last))
-                    last = max(last, s[1])
+                for s, e in sorted((x["start"], x["end"]) for x in spans):
+                    covered += max(0, e - max(s, last))
+                    last = max(last, e)
                 n_hit.append(covered)
             items = b.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]), pa.array([n > 0 for n in n_hit])],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [b.column(0), b.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]), pa.array([n > 0 for n in n_hit]), b.column(4)],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
             )
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(run, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest {MATCH}").select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.coalesce("longest.length", F.lit(0)).cast("long").alias("longest"), F.col("longest.start").alias("longest_start"), F.col("longest.item").alias("longest_item"), F.col("longest.item_start").alias("longest_item_start")
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows without hits, with their columns; decided row by row in the scan, so ids don't matter. Blocks of items follow each other."""
+    spark = docs.sparkSession
+    ship(spark)
+    place = docs.columns.index(text_col)
+
+    def without(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[list(_matches(shared.value, b.column(place))[2])] = False
+                yield b.filter(pa.array(keep))
 
+        return run
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Documents without hits; columns as they came. A null doc_id can't be matched and stays."""
-    bad = hits(docs, benchmark, window).filter(F.size("items") > 0).select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    for block in _blocks(benchmark, item_col, item_text):
+        docs = docs.mapInArrow(without(spark.sparkContext.broadcast(Items(block, window))), docs.schema)
+    return docs

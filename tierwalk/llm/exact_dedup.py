@@ -1,11 +1,13 @@
-"""Exact deduplication by a tree of merges over sorted runs of digests.
+"""Exact deduplication by a tree of merges over sorted runs of digests. DataFrame functions only.
 
-Every input row gets a digest (SHA-256), a second digest and a length; the three together are the
-verified key. Rows are dealt to runs. The first merge is local: each task keeps one entry for each key and
-run. Rounds then join runs pairwise as in a binomial tree (run r takes in run r + 1, then r + 2, then
-r + 4 ...), each merging the entries of equal keys and keeping the identifier that stays and the number
-of rows. Entries are spread by key, so that a round needs no further exchange and no task holds a run
-whole; a key with a third of all rows is one entry for each task before anything is exchanged.
+Every input row gets a digest (SHA-256), a second digest and a length; the three together are the verified key. Rows
+are dealt to FAN**ROUNDS runs by their ids. A run is sorted by key and holds one entry for each of its keys: the
+identifier that stays and the number of rows. In every round groups of FAN runs are exchanged and merged into one;
+entries of equal keys become one, and the level is written, sorted, to the shared folder, so that a lost executor
+costs one level's tasks. After the last round one run is left, spread over the partitions by key.
+
+A key with a third of all rows is one entry for each task and run before anything is exchanged, and at most FAN
+entries for each run after that; no task holds a run or a group whole.
 """
 
 from __future__ import annotations
@@ -15,61 +17,39 @@ from pyspark.sql import functions as F
 
 from tierwalk.llm.common import Work, columns
 
+FAN, ROUNDS = 4, 3
+KEY = ("sha", "h2", "bytes")
+
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None) -> DataFrame:
-    """The id, and the verified key of the text: sha (lowercase hex), h2 (xxhash64) and bytes. Null counts as empty."""
-    text: Column = F.coalesce(F.col(text_col), F.lit(""))
+    """The id, and the verified key of the text: sha (32 bytes), h2 (xxhash64) and bytes. Null counts as empty."""
+    text: Column = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     if normalise is not None:
         text = normalise(text)
-    return columns(docs, [id_col, text_col]).select(F.col(id_col), F.sha2(text.cast("binary"), 256).alias("sha"), F.xxhash64(text).alias("h2"), F.octet_length(text).alias("bytes"))
+    return columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), F.xxhash64(text).alias("h2"), F.octet_length(text).alias("bytes"))
 
 
-def merged_groups(rows: DataFrame, id_col: str = "doc_id", keep: str = "smallest", rounds: int = 5) -> DataFrame:
-    """One row for each key: sha, h2, bytes, keep_id, group_size; 2**rounds runs are merged in as many rounds.
-
-    keep: whether the smallest or the largest identifier stays. The result doesn't depend on the runs.
-    """
+def merged_groups(rows: DataFrame, work: Work, id_col: str = "doc_id", keep: str = "smallest") -> DataFrame:
+    """One row for each key: sha, h2, bytes, keep_id, group_size. The result doesn't depend on the runs."""
     best = {"smallest": F.min, "largest": F.max}[keep]
-    key = ["sha", "h2", "bytes"]
-    runs = 1 << rounds
-    # a sorted run for each residue of the id: equal keys of a run are one entry, made before any exchange
-    level = rows.withColumn("run", F.pmod(F.xxhash64(id_col), F.lit(runs)).cast("int")).groupBy(*key, "run").agg(best(id_col).alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    # The first exchange is by the key alone; all rounds after it find the entries of a key in place.
-    level = level.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("run", "keep_id", "n"))).alias("entries"))
-    entries = F.col("entries")
-    for r in range(rounds):
-        # partners r and r + 2**r of the round are next to each other once runs are halved
-        entries = _round(entries, best is F.min)
-        level = level.withColumn("entries", entries)
-        entries = F.col("entries")
-    return level.select(*key, F.col("entries")[0]["keep_id"].alias("keep_id"), F.col("entries")[0]["n"].alias("group_size"))
-
-
-def _round(entries: Column, smallest: bool) -> Column:
-    """Merges runs 2k and 2k + 1 of a key's entries into run k."""
-    pick = F.least if smallest else F.greatest
-
-    def take(done: Column, x: Column) -> Column:
-        half = F.shiftright(x["run"], 1)
-        tail = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["run"] == half)
-        joined = F.struct(half.alias("run"), pick(F.get(done, F.size(done) - 1)["keep_id"], x["keep_id"]).alias("keep_id"), (F.get(done, F.size(done) - 1)["n"] + x["n"]).alias("n"))
-        alone = F.struct(half.alias("run"), x["keep_id"].alias("keep_id"), x["n"].alias("n"))
-        del tail
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(alone)))
-
-    return F.aggregate(entries, F.slice(entries, 1, 0), take)
+    run = F.pmod(F.xxhash64(id_col), F.lit(FAN**ROUNDS)).cast("int")
+    level = rows.withColumn("run", run).groupBy("run", *KEY).agg(best(id_col).alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    for r in range(ROUNDS):
+        runs = work.write(f"runs{r}", level.sortWithinPartitions("run", *KEY))
+        merged = runs.withColumn("run", F.floor(F.col("run") / FAN).cast("int"))
+        level = merged.groupBy("run", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    return level.select(*KEY, "keep_id", F.col("n").alias("group_size"))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
-    Null counts as empty text. Of repeated rows with the same id and text all are marked alike. An empty
-    table gives an empty one. A null id stays only where its group has no other.
+    Null counts as empty text. Of repeated rows with the same id and text all are marked alike; ids that are structs
+    with a row number tell them apart. An empty table gives an empty one. A null id stays only where its group has no other.
     """
-    spark = docs.sparkSession
-    work = Work(spark, "exact")
+    work = Work(docs.sparkSession, "exact")
     rows = work.write("rows", signed(docs, id_col, text_col, normalise))
-    groups = work.write("groups", merged_groups(rows, id_col, keep))
-    # both sides are shuffled here, so that a hot text is split as a skewed partition
-    return rows.join(groups, ["sha", "h2", "bytes"]).select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    groups = work.write("groups", merged_groups(rows, work, id_col, keep))
+    work.drop(*(f"runs{r}" for r in range(ROUNDS)))
+    # both sides are exchanged here, so that a hot text is split as a skewed partition
+    return rows.join(groups, list(KEY)).select(F.col(f"`{id_col}`"), "keep_id", "group_size", F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -48,7 +48,8 @@ def op8_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10))
+    found = decontaminate.report(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +67,39 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+def _words(pattern: str) -> str:
+    """SQL for the words of a text, A-Z lower-cased."""
+    return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op9_suffix_decontamination": rf"""
+            WITH d AS (SELECT doc_id, {_words("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS l FROM documents),
+            b AS (SELECT item_id, {_words("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS l FROM benchmark),
+            bw AS (SELECT DISTINCT item_id, k, array_to_string(l[i + 1 : i + k], ' ') AS w
+                   FROM (SELECT item_id, l, least(10, len(l)) AS k, unnest(range(len(l) - least(10, len(l)) + 1)) AS i FROM b WHERE len(l) > 0)),
+            dw AS (SELECT doc_id, k, i, array_to_string(l[i + 1 : i + k], ' ') AS w
+                   FROM (SELECT doc_id, l, k, unnest(range(len(l) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(l) >= k)),
+            h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, w)),
+            p AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM h) GROUP BY 1),
+            t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+            SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+        "op10_ngram_jaccard": rf"""
+            WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_words("[^\x20\x09-\x0D]+")} AS l FROM documents),
+            s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(l[i + 1 : i + 4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(greatest(len(l) - 3, 1))) AS i FROM d WHERE len(l) > 0)),
+            n AS MATERIALIZED (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY 1),
+            c AS MATERIALIZED (SELECT k, min(doc_id) AS rep, any_value(n) AS n FROM n GROUP BY 1),
+            r AS MATERIALIZED (SELECT doc_id, g FROM s WHERE doc_id IN (SELECT rep FROM c)),
+            e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM r x JOIN r y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+                  JOIN c ca ON ca.rep = a JOIN c cb ON cb.rep = b WHERE 100 * o >= 85 * (ca.n + cb.n - o)),
+            w AS (SELECT rep AS node, rep AS root FROM c UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node),
+            m AS (SELECT node, min(root) AS root FROM w GROUP BY 1)
+            SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id)::BIGINT AS component_id
+            FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN m ON m.node = c.rep""",
     }
