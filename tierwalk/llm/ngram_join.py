@@ -4,6 +4,9 @@ A row of the matrix is a distinct set of 64-bit n-gram hashes; documents with eq
 128-bit digest of the set. Columns (n-grams) have one order for all rows, from rare to frequent: by a sketch of fixed
 size that counts all documents, then by hash. Any order gives whole results; a good one makes columns short.
 
+Inside the product a row goes by the first 64 bits of its name; two rows of one such number are both checked, so that
+none is lost.
+
 The product X X^T is taken in blocks. Two rows of similarity t or more share a column within the first
 |x| - ceil(t |x|) + 1 of each, so only those are multiplied to find pairs. At the first column that two rows share, at
 places i and j, their overlap is at most min(|x| - i, |y| - j); a pair has to pass this bound, and the bound of the
@@ -73,7 +76,7 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _incidence(rows: DataFrame, ranks, n: int, num: int, den: int) -> DataFrame:
-    """For every row (id, text_hash, text) one row id, text_hash, n_shingles, sig; and for its set, once in a task, the first columns: sig, size, gram, pos."""
+    """For every row (id, text_hash, text) one row id, text_hash, n_shingles, sig; and for its set, once in a task, the first columns: row, size, gram, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = ranks.value
@@ -83,7 +86,7 @@ def _incidence(rows: DataFrame, ranks, n: int, num: int, den: int) -> DataFrame:
                 sizes = np.diff(at)
                 sigs = [xxhash.xxh3_128_digest(g[i:j].data) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), none, none, none], names)
                 out, whose = [], []
                 for r, s in enumerate(sigs):
                     if s is None or s in seen:
@@ -103,10 +106,11 @@ def _incidence(rows: DataFrame, ranks, n: int, num: int, den: int) -> DataFrame:
                 who = np.repeat(np.array(whose), k)
                 pos = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
                 none = pa.nulls(len(who), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 0).take(none), none, pa.array(sizes[who], pa.int64()), pa.array(sigs, pa.binary()).take(pa.array(who)), pa.array(np.concatenate(out).view(np.int64)), pa.array(pos, pa.int64())], names)
+                row = np.array([int.from_bytes(sigs[r][:8], "big", signed=True) for r in whose], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 0).take(none), none, pa.array(sizes[who], pa.int64()), pa.nulls(len(who), pa.binary()), pa.array(np.repeat(row, k)), pa.array(np.concatenate(out).view(np.int64)), pa.array(pos, pa.int64())], names)
 
-    names = ["id", "text_hash", "n", "sig", "gram", "pos"]
-    whole = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n")), T.StructField("sig", T.BinaryType()), T.StructField("gram", T.LongType()), T.StructField("pos", T.LongType())])
+    names = ["id", "text_hash", "n", "sig", "row", "gram", "pos"]
+    whole = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n")), T.StructField("sig", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("row", "gram", "pos"))])
     for f in whole:
         f.nullable = True
     return rows.select("id", "text_hash", "text").mapInArrow(run, whole)
@@ -119,9 +123,16 @@ def _near(sizes: tuple[Column, Column], places: tuple[Column, Column], num: int,
     return (den * F.least(x, y) >= num * F.greatest(x, y)) & (F.least(x - i, y - j) >= least)
 
 
+def _row(sig: str) -> Column:
+    """The first 64 bits of a row's name."""
+    half = lambda a: F.conv(F.hex(F.substring(sig, a, 4)), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(5))
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose whole rows overlap enough; sets are (sig, grams)."""
-    both = pairs.join(sets.withColumnsRenamed({"sig": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"sig": "b", "grams": "gb"}), "b").select("a", "b", "ga", "gb")
+    """Names (a, b) of pairs (a, b) of rows that overlap enough; sets are (row, sig, grams)."""
+    side = lambda c: sets.select(F.col("row").alias(c), F.struct("sig", "grams").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("sa.sig").alias("a"), F.col("sb.sig").alias("b"), F.col("sa.grams").alias("ga"), F.col("sb.grams").alias("gb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,8 +150,8 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _whole_rows(rows: DataFrame, reps: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """sig and sorted grams of the wanted sets (sig), hashed again from one document of each."""
-    of = wanted.join(reps, "sig").select(F.col("row.id").alias("rid"), F.col("row.text_hash").alias("text_hash"))
+    """row, sig and sorted grams of the wanted rows (row), hashed again from one document of each set."""
+    of = wanted.join(reps, "row").select(F.col("from.id").alias("rid"), F.col("from.text_hash").alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +161,7 @@ def _whole_rows(rows: DataFrame, reps: DataFrame, wanted: DataFrame, n: int) ->
 
     found = rows.join(of, (rows["text_hash"] == of["text_hash"]) & rows["id"].eqNullSafe(of["rid"]), "left_semi")
     # rows that repeat id and text are the same set again
-    return found.select("text").mapInArrow(run, "sig binary, grams binary").dropDuplicates(["sig"])
+    return found.select("text").mapInArrow(run, "sig binary, grams binary").dropDuplicates(["sig"]).withColumn("row", _row("sig"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,26 +175,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     ranks = spark.sparkContext.broadcast(frequencies(rows.select("text"), n))
     incidence = work.write("incidence", _incidence(rows, ranks, n, num, den))
     members = incidence.filter("gram is null")
-    reps = work.write("reps", members.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.min(F.struct("id", "text_hash")).alias("row")))
-    # the first eight bytes of a row's name, and its place before them, are numbers: aggregates of numbers need no sort
-    part = F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long")
-    posts = incidence.filter("gram is not null").select("gram", "sig", F.col("n").alias("size"), "pos", part.alias("part"))
-    low = (F.least("pos", F.lit((1 << 15) - 1)) * (1 << 48) + F.shiftright("part", 8)).alias("low")
-    ends = posts.select("gram", "part", low).groupBy("gram").agg(F.min("low").alias("first"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("gram", "first")
-    shared = work.write("shared", posts.select("gram", "sig", "size", "pos", low).join(ends, "gram").select("gram", "sig", "size", "pos", (F.col("low") == F.col("first")).alias("pivot")).distinct())
-    pivots = shared.filter("pivot").select("gram", F.col("sig").alias("psig"), F.col("size").alias("psize"), F.col("pos").alias("ppos"))
+    reps = members.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.min(F.struct("id", "text_hash")).alias("from"))
+    reps = work.write("reps", reps.withColumn("row", _row("sig")))
+    # numbers only, so that aggregates need no sort: the size and the place of a column in its row are one
+    posts = incidence.filter("gram is not null").select("gram", "row", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("at"))
+    pos, size = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("at", 32)
+    low = F.shiftleft(F.least(pos, F.lit((1 << 15) - 1)), 48).bitwiseOR(F.shiftrightunsigned("row", 16))
+    ends = posts.groupBy("gram").agg(F.min(low).alias("first"), F.min("row").alias("p"), F.max("row").alias("q")).filter("p <> q").select("gram", "first")
+    # an exchange at every size: what is shared grows with the documents
+    shared = posts.join(ends.hint("merge"), "gram").select("gram", "row", size.alias("size"), pos.alias("pos"), (low == F.col("first")).alias("pivot"))
+    shared = work.write("shared", shared.distinct())
+    pivots = shared.filter("pivot").select("gram", F.col("row").alias("prow"), F.col("size").alias("psize"), F.col("pos").alias("ppos"))
     met = shared.filter("not pivot").join(pivots, "gram").filter(_near((F.col("size"), F.col("psize")), (F.col("pos"), F.col("ppos")), num, den))
-    pairs = work.write("pairs0", met.select(F.least("sig", "psig").alias("a"), F.greatest("sig", "psig").alias("b")).distinct())
+    pairs = work.write("pairs0", met.select(F.least("row", "prow").alias("a"), F.greatest("row", "prow").alias("b")).distinct())
     links = work.write("links0", _overlaps(pairs, work.write("sets0", _whole_rows(rows, reps, _nodes(pairs), n)), num, den))
     roots = work.write("roots0", connected(links, work, "c0"))
     # the second round: rows of one column in different components
-    now = shared.select("gram", "sig", "size", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-    now = work.write("now", now)
+    comps = roots.filter("node <> root").select(_row("node").alias("row"), _row("root").alias("comp"))
+    now = work.write("now", shared.drop("pivot").join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row")))
     mixed = now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram")
     left = work.write("left", now.join(mixed, "gram", "left_semi"))
     x, y = left.alias("x"), left.alias("y")
-    found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _near((F.col("x.size"), F.col("y.size")), (F.col("x.pos"), F.col("y.pos")), num, den))
-    found = work.write("pairs1", found.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.comp") != F.col("y.comp")) & _near((F.col("x.size"), F.col("y.size")), (F.col("x.pos"), F.col("y.pos")), num, den))
+    found = work.write("pairs1", found.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     more = work.write("links1", _overlaps(found, work.write("sets1", _whole_rows(rows, reps, _nodes(found), n)), num, den))
     roots = work.write("roots", _joined(roots, more, work))
     named = roots.join(reps.select(F.col("sig").alias("node"), "rep"), "node")
@@ -195,7 +209,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame, work: Work) -> DataFrame:
