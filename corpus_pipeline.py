@@ -1,6 +1,11 @@
 """The corpus pipeline: each stage's result is written as Parquet and read as the next one's documents.
 
-Null texts count as empty in every stage and aren't toxic, near-duplicate or contaminated.
+Null texts count as empty in every stage and aren't toxic, near-duplicate or contaminated; of several empty texts exact
+deduplication keeps one. Decisions are made for rows, not for ids: rows with null ids, and rows that share an id, are
+judged like others and each by itself, and of rows equal in id and text one stays. Ties go to the largest id in exact
+deduplication and to the smallest one among near copies (and, of rows with one id, to the last or first row read).
+Texts are taken whole, however long. Columns other than those of documents are left behind. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -21,18 +26,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accept(docs.select(*COLUMNS), lexicon, 0.3)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Rows with a key (doc_id, row number) of their own; numbers are made and written once."""
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("number"))
+    return Work(docs.sparkSession, name).write("numbered", docs.select(*COLUMNS, key.alias("key")))
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    return rows.withColumn("number", F.col("key.number")).join(kept.select(F.col("key.number").alias("number")), "number", "left_semi").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return _only(docs, exact_dedup.duplicates(docs, keep="largest").filter("kept"))
+    rows = _numbered(docs, "exact-rows")
+    return _only(rows, exact_dedup.duplicates(rows, id_col="key", keep="largest").filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents (five-word shingles, Jaccard 0.8) the one with the smallest doc_id stays."""
-    return _only(docs, ngram_join.jaccard_components(docs, n=5, percent=80).filter("doc_id = component_id"))
+    rows = _numbered(docs, "near-rows")
+    return _only(rows, ngram_join.jaccard_components(rows, n=5, percent=80, id_col="key").filter("key = component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
