@@ -1,10 +1,31 @@
-"""Column functions over names, codes and free text."""
+"""Column functions over names, codes and fields of files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as white space at the ends of ASCII fields.
+BLANKS = " \t\n\r\x0b\x0c"
+# Company suffixes of the linkage, tried once each in this order.
+SUFFIXES = (
+    ", LLC", " LLC", ", LP", " LP", ", INC", " INC", ", INC.", " INC.", ", CORP", " CORP", ", CORP.", " CORP.", ", LTD", " LTD", ", LTD.", " LTD.", ", CO.", " CO.", " CO", ", L.P.", " L.P.", ", L.L.C.", " L.L.C.",
+)
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once for a row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at the ends; null stays null."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def blank_to_null(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
 
 def sanitized(c: Column) -> Column:
     """A field of a pipe-delimited file: null is empty, other than printable ASCII is a space, | is /, double quotes are single."""
@@ -17,7 +38,29 @@ def flag(c: Column) -> Column:
 
 def registrant(c: Column) -> Column:
     """A registrant number without leading zeros; '' where it isn't a number."""
-    return F.coalesce(F.btrim(c).try_cast("bigint").cast("string"), F.lit(""))
+    return F.coalesce(stripped(c).try_cast("bigint").cast("string"), F.lit(""))
+
+
+def filer_of(accession: Column) -> Column:
+    """The registrant number that an accession number begins with; null where it has another form."""
+    form = r"^0*(\d{5,10})-\d{2}-\d{6}$"
+    return F.when(accession.rlike(form), F.regexp_extract(accession, form, 1).try_cast("bigint").cast("string"))
+
+
+def registrants_in(c: Column) -> Column:
+    """Distinct registrant numbers that a text names: after CIK, with : or #, first; then in addresses of documents."""
+    text = F.coalesce(c, F.lit(""))
+    named = F.regexp_extract_all(text, F.lit(r"(?i)\bCIK\s*[:#]?\s*0*([0-9]{3,10})\b"), F.lit(1))
+    linked = F.regexp_extract_all(text, F.lit(r"(?i)/CIK0*([0-9]{5,10})\.json"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(named, linked), lambda x: x.cast("bigint").cast("string")))
+
+
+def related_registrants(content: Column, text: Column, accession: Column, own: Column) -> Column:
+    """Registrants that a filing names, in order: in its header, in its text, then the filer; without its own."""
+    header = F.regexp_extract_all(F.substring(F.coalesce(content, F.lit("")), 1, 10000), F.lit(r"CENTRAL INDEX KEY:\s*0*(\d{5,10})"), F.lit(1))
+    header = F.transform(header, lambda x: x.cast("bigint").cast("string"))
+    every = F.concat(header, registrants_in(F.when(text != "", text).otherwise(content)), F.array_compact(F.array(filer_of(accession))))
+    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.filter(F.array_distinct(every), lambda x: x != F.coalesce(own, F.lit(""))))
 
 
 def number_tokens(c: Column, least: int, most: int) -> Column:
@@ -26,8 +69,29 @@ def number_tokens(c: Column, least: int, most: int) -> Column:
     return F.array_distinct(F.transform(runs, lambda x: x.cast("bigint").cast("string")))
 
 
-def bare_name(c: Column, suffixes: list[str]) -> Column:
-    """A name for exact linkage: upper case, letters and digits, without corporate suffixes."""
-    ends = "|".join(suffixes)
-    clean = F.btrim(F.regexp_replace(F.upper(c), r"[^A-Z0-9]+", " "))
-    return F.btrim(F.regexp_replace(clean, rf"(\s+({ends}))+$", ""))
+def bare_name(c: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """A name for exact linkage: upper case, and each suffix that is at the end when its turn comes is taken off, once."""
+    name = stripped(F.upper(c))
+    ends = F.array(*map(F.lit, suffixes))
+    return stripped(F.aggregate(ends, name, lambda n, s: F.when(F.endswith(n, s), F.left(n, F.length(n) - F.length(s))).otherwise(n)))
+
+
+def one_spaced(c: Column) -> Column:
+    """Runs of white space are one space; none at the ends; null is empty."""
+    return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def county_code(c: Column) -> Column:
+    """The part before a point, with zeros in front up to five digits; longer codes stay."""
+    code = F.split_part(c, F.lit("."), F.lit(1))
+    return F.when(F.length(code) < 5, F.lpad(code, 5, "0")).otherwise(code)
+
+
+def country_key(c: Column) -> Column:
+    """A country's name for comparison: lower case, without points."""
+    return F.replace(F.lower(stripped(F.coalesce(c, F.lit("")))), F.lit("."), F.lit(""))
+
+
+def amount(c: Column) -> Column:
+    """A number with whatever else is in the field left out; 0 where none is left or it is no number."""
+    return F.coalesce(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9.]", "").try_cast("double"), F.lit(0.0))

@@ -1,17 +1,129 @@
-"""Edge analytics: merging equal edges, tier summary, rating."""
+"""Ownership edges: building them from people, institutions, owners, countries and registrants; merging, summary, rating.
+
+An edge is a flat row of COLUMNS; `seq` (any type with an order) keeps the order of edges through every operator.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierwalk.dims import tables
+from tierwalk.functions import lookup
+from tierwalk.functions.text import blank_to_null
+
 TIERS = ("ADVERSARIAL", "CONDUIT", "OPACITY")
-KEY = ["source", "target", "relationship"]
+#: What makes two edges one.
+KEY = ["source", "source_type", "target", "target_type", "relationship", "detail", "filing_accession"]
+JURISDICTIONS = ["source_jurisdiction", "source_risk_tier", "target_jurisdiction", "target_risk_tier"]
+AFFILIATIONS = ["state_affiliation", "state_affiliation_sub", "state_affiliation_detail"]
+FLAGS = ["role_is_executive", "role_is_board", "role_is_ownership", "role_is_obscuring"]
+COLUMNS = [*KEY[:4], *JURISDICTIONS, "relationship", "detail", *AFFILIATIONS, *FLAGS, "chain_depth", "filing_accession", "filing_form", "filing_date", "method", "notes", "source_notes", "target_notes"]
+
+
+def _edges(rows: DataFrame, values: dict[str, Column | str | bool | int | None], sides: tuple[Column | None, Column | None], affiliated: Column | None, lead: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+    """Edges from rows with a filing (accession, form, filing_date, depth).
+
+    sides: jurisdiction structs of source and target (None: unknown); affiliated: the name whose state affiliation counts,
+    under the target's jurisdiction; lead: parts of the notes before the affiliation's (nulls are left out).
+    """
+    none, text = F.lit(None), "string"
+    base = {
+        "chain_depth": F.col("depth").cast("int"), "filing_accession": F.col("accession"), "filing_form": F.col("form"), "filing_date": F.col("filing_date"), "source_notes": none.cast(text), "target_notes": none.cast(text),
+        **{f: F.lit(False) for f in FLAGS},
+    }
+    rows = rows.withColumns({f"_{n}": s if s is not None else none.cast("struct<country: string, tier: string, token: string>") for n, s in zip(("source", "target"), sides, strict=True)})
+    target = F.col("_target.country")
+    aff = lookup.affiliation(affiliated, target) if affiliated is not None else none.cast("struct<category: string, sub: string, detail: string, confidence: double>")
+    rows = rows.withColumn("_aff", F.when(F.col("_has") if "_has" in rows.columns else F.lit(True), aff)).withColumn("_aff", F.when(F.col("_aff.category") != "None", F.col("_aff")))
+    base |= {"source_jurisdiction": F.col("_source.country"), "source_risk_tier": F.col("_source.tier"), "target_jurisdiction": target, "target_risk_tier": F.col("_target.tier")}
+    base |= {"state_affiliation": F.col("_aff.category"), "state_affiliation_sub": F.col("_aff.sub"), "state_affiliation_detail": F.col("_aff.detail")}
+    said = F.when(F.col("_aff").isNotNull(), F.concat(F.lit("state_affiliation: "), F.col("_aff.category")))
+    more = [said, F.concat(F.lit("subcategory: "), F.col("_aff.sub")), F.col("_aff.detail")]
+    base["notes"] = blank_to_null(F.concat_ws("; ", *lead, *(more if values.pop("affiliation_notes", True) else [said])))
+    values = base | {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
+    return rows.select(*[values[c].alias(c) for c in COLUMNS], *keep)
+
+
+def role_edges(people: DataFrame, institutions: bool = False, keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """Edges from people (name, role: a struct of lookup.role, issuer, issuer_country, a filing) to their issuers; of institutions if asked."""
+    kind = "institution" if institutions else "person"
+    target = lookup.jurisdiction(F.col("issuer"), F.col("issuer_country"))
+    flags = {f"role_is_{k}": F.col(f"role.{k}") for k in ("executive", "board", "ownership", "obscuring")}
+    values = {"source": F.col("name"), "source_type": kind, "target": F.col("issuer"), "target_type": "company", "relationship": f"{kind}_role", "detail": F.col("role.role"), "method": "role_extraction", **flags}
+    return _edges(people, values, (lookup.jurisdiction(F.col("name")), target), F.col("name"), [F.lit("method: signature_or_narrative")], keep)
+
+
+def owner_edges(owners: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """Edges from beneficial owners (owner, percent, class_title, owner_notes, issuer, issuer_country, a filing) to issuers."""
+    percent = F.concat(F.col("percent").cast("string"), F.lit("%"))
+    detail = F.coalesce(F.concat(percent, F.coalesce(F.concat(F.lit(" of "), blank_to_null(F.col("class_title"))), F.lit(""))), F.lit(""))
+    values = {"source": F.col("owner"), "source_type": "person_or_institution", "target": F.col("issuer"), "target_type": "company", "relationship": "beneficial_owner", "detail": detail, "method": "sc13", "role_is_ownership": True}
+    target = lookup.jurisdiction(F.col("issuer"), F.col("issuer_country"))
+    return _edges(owners, values, (lookup.jurisdiction(F.col("owner")), target), F.col("owner"), [F.lit("method: sc13"), blank_to_null(F.col("owner_notes"))], keep)
+
+
+def country_edges(mentions: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """Edges from issuers to the countries (country) that a filing names."""
+    values = {"source": F.col("issuer"), "source_type": "company", "target": F.col("country"), "target_type": "country", "relationship": "country_association", "detail": "", "method": "country_extraction"}
+    place = F.struct(F.col("country").alias("country"), lookup.tier_of(F.col("country")).alias("tier"), F.lit(None).cast("string").alias("token"))
+    return _edges(mentions, values, (None, place), None, [], keep)
+
 
+def incorporation_edges(companies: DataFrame, states: dict[str, str], keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """Edges from companies (cik, name, state, sic, sic_description) to where they are incorporated; blank states have none."""
+    names = F.create_map(*[F.lit(x) for pair in states.items() for x in pair])
+    rows = companies.filter("state <> ''").withColumns({
+        "place": F.coalesce(F.try_element_at(names, F.upper("state")), F.col("state")), "accession": F.concat(F.lit("CIK-"), "cik"), "form": F.lit("company_info"), "filing_date": F.lit(""), "depth": F.lit(0),
+    })
+    values = {
+        "source": F.coalesce(F.col("name"), F.concat(F.lit("CIK "), "cik")), "source_type": "company", "target": F.col("place"), "target_type": "country", "relationship": "incorporated_in", "detail": F.coalesce("sic_description", F.lit("")),
+        "method": "company_metadata", "source_notes": F.concat(F.lit("CIK: "), "cik"), "target_notes": F.concat(F.lit("code: "), "state"),
+    }
+    place = F.struct(F.col("place").alias("country"), lookup.tier_of(F.col("place")).alias("tier"), F.lit(None).cast("string").alias("token"))
+    return _edges(rows, values, (None, place), None, [F.concat(F.lit("SIC: "), F.coalesce("sic", F.lit("")), F.lit(" -- "), F.coalesce("sic_description", F.lit("")))], keep)
 
-def merged(edges: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """One edge for each key: rows, smallest depth, or-ed flag, first date."""
-    return edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n_edges"), F.min("depth").alias("depth"), F.bool_or("obscuring").alias("obscuring"), F.min("filed").alias("filed"))
+
+def subsidiary_edges(pairs: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """Edges from parents to the registrants that their filings list.
+
+    pairs: structs parent and child (cik, name, countryba, countryinc, stprinc, sic, former), a filing and its depth. A country code
+    stands for the jurisdiction as it is, so its tier is MONITORED; affiliations that need a country's name don't apply then.
+    """
+    side = lambda s: lookup.jurisdiction(F.col(f"{s}.name"), F.col(f"{s}.countryba"))
+    child = lambda c: blank_to_null(F.col(f"child.{c}"))
+    place = F.concat(F.lit("incorporated: "), child("countryinc"), F.coalesce(F.concat(F.lit("/"), child("stprinc")), F.lit("")))
+    values = {
+        "source": F.col("parent.name"), "source_type": "company", "target": F.col("child.name"), "target_type": "company", "relationship": "consolidated_subsidiary", "detail": "co-registrant in consolidated filing",
+        "method": "xbrl_co_registrant", "role_is_ownership": True, "source_notes": F.concat(F.lit("CIK: "), F.col("parent.cik")), "target_notes": F.concat(F.lit("CIK: "), F.col("child.cik")), "affiliation_notes": False,
+    }
+    return _edges(pairs, values, (side("parent"), side("child")), F.col("child.name"), [place, F.concat(F.lit("SIC: "), child("sic")), F.concat(F.lit("former: "), child("former"))], keep)
+
+
+def merged(edges: DataFrame, key: Sequence[str] = tuple(KEY), seq: str = "seq") -> DataFrame:
+    """One edge for each key, in its first edge's place (seq).
+
+    A later edge only counts if it has notes that those gathered so far don't hold: then its notes follow after "; ", it fills in
+    jurisdictions and affiliations that are missing, its flags are or-ed and its smaller depth counts.
+    """
+    parts = [c for c in edges.columns if c not in key and c != seq]
+    fill = [c for c in parts if c in JURISDICTIONS + AFFILIATIONS]
+    flags = [c for c in parts if c in FLAGS]
+    # an edge whose notes an earlier one of its key had, or that has none and isn't the first, changes nothing: gone before anything is gathered
+    one = F.struct(F.col(seq).alias("_seq"), *parts)
+    firsts = edges.withColumn("_n", F.coalesce("notes", F.lit(""))).groupBy(*key, "_n").agg(F.min_by(one, F.col(seq)).alias("_e"))
+    groups = firsts.groupBy(*key).agg(F.array_sort(F.collect_list("_e")).alias("_all"))
+
+    def take(acc: Column, e: Column) -> Column:
+        more = (F.coalesce(e["notes"], F.lit("")) != "") & ~F.contains(F.coalesce(acc["notes"], F.lit("")), e["notes"])
+        value = {"notes": F.when(F.coalesce(acc["notes"], F.lit("")) != "", F.concat(acc["notes"], F.lit("; "), e["notes"])).otherwise(e["notes"])}
+        value |= {c: F.coalesce(blank_to_null(acc[c]), e[c]) for c in fill} | {c: acc[c] | e[c] for c in flags} | {"chain_depth": F.least(acc["chain_depth"], e["chain_depth"])}
+        return F.when(more, F.struct(acc["_seq"].alias("_seq"), *[value.get(c, acc[c]).alias(c) for c in parts])).otherwise(acc)
+
+    folded = groups.withColumn("_e", F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), take))
+    return folded.select(*[F.col(c) if c in key else F.col(f"_e._seq").alias(seq) if c == seq else F.col(f"_e.{c}").alias(c) for c in edges.columns])
 
 
 def tier_bucket(source: Column, target: Column) -> Column:
@@ -19,16 +131,62 @@ def tier_bucket(source: Column, target: Column) -> Column:
     return F.when(source.isin(*TIERS), source).when(target.isin(*TIERS), target)
 
 
-def summary(edges: DataFrame) -> DataFrame:
-    bucket = tier_bucket(F.col("source_tier"), F.col("target_tier"))
-    return edges.agg(F.count(F.lit(1)).alias("n_edges"), *[F.count_if(bucket == t).alias(f"n_{t.lower()}") for t in TIERS], F.count_if("obscuring").alias("n_obscuring"), F.max("depth").alias("max_depth"))
+def summary(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each group: edges by bucket and kind, the largest depth, jurisdictions and adversarial ones (sorted)."""
+    bucket = tier_bucket(F.col("source_risk_tier"), F.col("target_risk_tier"))
+    place = lambda s, ok: F.collect_set(F.when(ok, blank_to_null(F.col(f"{s}_jurisdiction"))))
+    both = lambda ok: F.array_sort(F.array_union(*[place(s, ok(s)) for s in ("source", "target")]))
+    return edges.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_edges"), *[F.count_if(bucket == t).alias(f"{t.lower()}_edges") for t in TIERS], F.count_if(F.coalesce("state_affiliation", F.lit("")) != "").alias("state_affiliated_edges"),
+        F.count_if("role_is_obscuring").alias("obscuring_role_edges"), F.count_if("role_is_ownership").alias("ownership_edges"), F.greatest(F.lit(0), F.max("chain_depth")).alias("max_chain_depth"),
+        both(lambda s: F.lit(True)).alias("unique_jurisdictions"), both(lambda s: F.col(f"{s}_risk_tier") == "ADVERSARIAL").alias("adversarial_jurisdictions"),
+    )
+
+
+#: Points of a rating and least scores of its bands.
+POINTS = {"adversarial": 40, "three_affiliated": 25, "affiliated": 15, "conduit": 10, "opacity": 10, "obscuring": 10, "deep": 5, "sector": 10}
+BANDS = (("CRITICAL", 60), ("HIGH", 40), ("ELEVATED", 25), ("MODERATE", 10))
+
+
+def ratings(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each group: score, rating, reasons (in order), and what they come from.
+
+    Jurisdictions count for each tier on either side; affiliated entities as distinct pairs of entity and category; the industry
+    is that of the last incorporation edge's notes.
+    """
+    of = lambda t: F.array_sort(F.array_distinct(F.concat(*[F.collect_set(F.when(F.col(f"{s}_risk_tier") == t, blank_to_null(F.col(f"{s}_jurisdiction")))) for s in ("source", "target")])))
+    code = F.regexp_extract("notes", r"SIC:\s*(\S+)", 1)
+    has_code = (F.col("relationship") == "incorporated_in") & (code != "")
+    per = edges.groupBy(*by).agg(
+        of("ADVERSARIAL").alias("adversarial"), of("CONDUIT").alias("conduit"), of("OPACITY").alias("opacity"), F.count_distinct(F.when(blank_to_null(F.col("state_affiliation")).isNotNull(), F.struct("source", "state_affiliation"))).cast("int").alias("n_affiliated"),
+        F.count_distinct(F.when(F.col("role_is_obscuring"), F.col("source"))).cast("int").alias("n_obscuring"), F.greatest(F.lit(0), F.max("chain_depth")).alias("max_depth"),
+        F.max_by(F.when(has_code, code), F.when(has_code, F.col("seq"))).alias("sic"),
+    )
+    per = per.withColumn("sectors", lookup.sectors(F.col("sic")))
+    some = lambda c: F.size(c) > 0
+    listed = lambda c: F.array_join(c, ", ")
+    parts = [
+        (some("adversarial"), POINTS["adversarial"], F.concat(F.lit("Adversarial-nation jurisdictions detected: "), listed("adversarial"))),
+        (F.col("n_affiliated") >= 3, POINTS["three_affiliated"], F.concat("n_affiliated", F.lit(" state-actor affiliated entities"))),
+        (F.col("n_affiliated").between(1, 2), POINTS["affiliated"], F.concat("n_affiliated", F.lit(" state-actor affiliated entity(ies)"))),
+        (some("conduit"), POINTS["conduit"], F.concat(F.lit("Conduit jurisdictions: "), listed("conduit"))),
+        (some("opacity"), POINTS["opacity"], F.concat(F.lit("Opacity jurisdictions: "), listed("opacity"))),
+        (F.col("n_obscuring") > 0, POINTS["obscuring"], F.concat("n_obscuring", F.lit(" obscuring-role entities (nominees, proxies, intermediaries)"))),
+        (F.col("max_depth") >= 5, POINTS["deep"], F.concat(F.lit("Deep ownership chain (depth "), "max_depth", F.lit(")"))),
+        (some("sectors"), POINTS["sector"], F.concat(F.lit("Critical sector(s): "), listed("sectors"))),
+    ]
+    score = sum((F.when(ok, n).otherwise(0) for ok, n, _ in parts), F.lit(0))
+    rating = F.lit("LOW")
+    for band, least in reversed(BANDS):
+        rating = F.when(F.col("score") >= least, band).otherwise(rating)
+    return per.withColumn("score", score).withColumns({"rating": rating, "reasons": F.array_compact(F.array(*[F.when(ok, text) for ok, _, text in parts]))})
 
 
-def ratings(edges: DataFrame) -> DataFrame:
-    """Score and band of each source: tiers on either side, distinct adversarial targets, obscuring roles, depth."""
-    has = lambda t: F.bool_or((F.col("source_tier") == t) | (F.col("target_tier") == t))
-    per = edges.groupBy("source").agg(has("ADVERSARIAL").alias("adv"), has("CONDUIT").alias("con"), has("OPACITY").alias("opa"), F.bool_or("obscuring").alias("obs"), F.max("depth").alias("max_depth"), F.count_distinct(F.when(F.col("target_tier") == "ADVERSARIAL", F.col("target"))).alias("n_adv"))
-    points = lambda c, n: F.when(c, n).otherwise(0)
-    score = points(F.col("adv"), 40) + F.when(F.col("n_adv") >= 3, 25).when(F.col("n_adv") >= 1, 15).otherwise(0) + points(F.col("con"), 10) + points(F.col("opa"), 10) + points(F.col("obs"), 10) + points(F.col("max_depth") >= 5, 5)
-    s = F.col("score")
-    return per.select("source", score.alias("score")).withColumn("rating", F.when(s >= 60, "CRITICAL").when(s >= 40, "HIGH").when(s >= 25, "ELEVATED").when(s >= 10, "MODERATE").otherwise("LOW"))
+def company(edges: DataFrame) -> DataFrame:
+    """edges with company_name and company_cik: of the side whose notes begin with CIK:, the target's first; '' without one."""
+    out = {"company_name": F.lit(""), "company_cik": F.lit("")}
+    for side in ("source", "target"):
+        mine = F.coalesce(F.col(f"{side}_notes").startswith("CIK:"), F.lit(False))
+        out["company_cik"] = F.when(mine, F.btrim(F.replace(F.col(f"{side}_notes"), F.lit("CIK: "), F.lit("")))).otherwise(out["company_cik"])
+        out["company_name"] = F.when(mine, F.col(side)).otherwise(out["company_name"])
+    return edges.withColumns(out)

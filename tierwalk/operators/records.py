@@ -1,10 +1,32 @@
-"""Records of a submission index: one row per key, statistics, co-registrants."""
+"""Records of a submission index: filters, one row per key, statistics, co-registrants."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierwalk.functions.text import stripped
+
+# The forms that describe a registrant best.
+PREFERRED_FORMS = ("10-K", "20-F", "10-K/A")
+
+
+def by_cik(sub: DataFrame, cik: str) -> DataFrame:
+    return sub.filter(F.col("cik") == cik.strip())
+
+
+def by_country(sub: DataFrame, code: str, field: str = "countryba") -> DataFrame:
+    """Rows with this country in a field: countryba (business), countryinc (incorporation) or countryma (mailing)."""
+    return sub.filter(F.col(field) == code.upper())
+
+
+def by_industry(sub: DataFrame, code: str, prefix: bool = False) -> DataFrame:
+    return sub.filter(F.col("sic").startswith(code) if prefix else F.col("sic") == code)
+
+
+def by_form(sub: DataFrame, form: str) -> DataFrame:
+    return sub.filter(F.upper("form") == form.upper())
+
 
 def first_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     """The row that comes first in order `seq`; an aggregate with map-side combine, no window."""
@@ -20,8 +42,31 @@ def best_per_key(df: DataFrame, keys: list[str], preferred: Column, latest: str,
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def co_members(df: DataFrame, group: str, member: str) -> DataFrame:
-    """member, others (sorted, distinct): who shares a group with whom."""
-    pairs = df.select(group, member).distinct()
-    other = pairs.withColumnRenamed(member, "_o")
-    return pairs.join(other, group).filter(F.col(member) != F.col("_o")).groupBy(member).agg(F.array_sort(F.collect_set("_o")).alias("others"))
+def best_record(sub: DataFrame) -> DataFrame:
+    """The one row of every registrant that describes it best."""
+    return best_per_key(sub, ["cik"], F.col("form").isin(*PREFERRED_FORMS), "filed", "seq")
+
+
+def listed(sub: DataFrame, column: str = "aciks") -> DataFrame:
+    """cik, other, adsh, form, filed, seq: a row for each other registrant that a filing lists."""
+    other = F.explode(F.array_distinct(F.split(stripped(F.col(column)), r"\s+")))
+    return sub.select("cik", other.alias("other"), "adsh", "form", "filed", "seq").filter("other <> '' and other <> cik")
+
+
+def co_registrants(sub: DataFrame, column: str = "aciks") -> DataFrame:
+    """cik, others: the registrants listed in a registrant's own filings, without itself, in the order of strings."""
+    pairs = listed(sub, column).select("cik", "other").distinct()
+    return pairs.groupBy("cik").agg(F.array_sort(F.collect_list("other")).alias("others"))
+
+
+def stats(sub: DataFrame) -> DataFrame:
+    """One row: rows, registrants, periods, and distinct countries, industries and forms, blanks left out."""
+    some = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
+    return sub.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_distinct("cik").alias("unique_ciks"), some("source_period").alias("periods_loaded"), some("countryba").alias("countries_ba"), some("countryinc").alias("countries_inc"),
+        some("sic").alias("unique_sics"), some("form").alias("unique_forms"),
+    )
+
+
+def ciks(sub: DataFrame) -> DataFrame:
+    return sub.select("cik").distinct()

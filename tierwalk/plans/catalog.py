@@ -1,183 +1,522 @@
-"""Queries of the ownership operators over the given relational tables, each with its SQL.
-
-Customers stand for owners, suppliers for what they own; a line of an order is an edge between them, filed
-on the order's date. A nation's key gives its tier.
-"""
+"""Queries of the ownership operators over inputs made from the given tables (plans.proxies), each with its SQL where there is one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.functions import text
-from tierwalk.operators import classify, edges, graph, records, rollups
+from tierwalk.dims import tables
+from tierwalk.functions import filing_text, lookup, names, owners, subsidiaries, text
+from tierwalk.operators import edges, gaps, graph, holdings, linkage, records, report, scan, targets
+from tierwalk.plans import proxies as p
 from tierwalk.sources import edge_files
 
-TIER_OF = ("ADVERSARIAL", "CONDUIT", "OPACITY", "MONITORED", "STANDARD")
-COLOURS = [("red", "WARM"), ("small", "SIZE"), ("blue", "COLD"), ("widget", "THING")]
-SIZES = [("low", 1, 20), ("middle", 15, 35), ("high", 30, 50)]
-WEIGHTS = {"red": 0.25, "ring": 0.5, "small": 0.125, "large": 0.25}
+JOIN = F.array_join
+QUERIES, SQL = {}, {}
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def query(sql: str | None = None):
+    """Lists a function as a query, with SQL over the inputs' common table expressions."""
 
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
 
-def _tier(key: Column) -> Column:
-    return F.get(F.array(*map(F.lit, TIER_OF)), F.pmod(key, F.lit(5)))
+    return add
 
 
-def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select(
-        F.col("c_name").alias("source"), F.col("s_name").alias("target"), F.col("o_orderstatus").alias("relationship"), F.col("l_linenumber").alias("depth"), (F.col("l_returnflag") == "R").alias("obscuring"),
-        F.date_format("o_orderdate", "yyyyMMdd").alias("filed"), _tier(F.col("c_nationkey")).alias("source_tier"), _tier(F.col("s_nationkey")).alias("target_tier"), F.col("s_nationkey").alias("code"),
-    )
+def queries() -> dict:
+    return dict(QUERIES)
 
 
-_CASE = "CASE {0} % 5 WHEN 0 THEN 'ADVERSARIAL' WHEN 1 THEN 'CONDUIT' WHEN 2 THEN 'OPACITY' WHEN 3 THEN 'MONITORED' ELSE 'STANDARD' END"
-EDGES_SQL = f"""edges AS (SELECT c_name AS source, s_name AS target, o_orderstatus AS relationship, l_linenumber AS depth, l_returnflag = 'R' AS obscuring,
-    strftime(o_orderdate, '%Y%m%d') AS filed, {_CASE.format("c_nationkey")} AS source_tier, {_CASE.format("s_nationkey")} AS target_tier, s_nationkey AS code
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
 
-def edge_dedup(spark, sf_dir):
-    return edges.merged(edge_table(spark, sf_dir))
+SUB_COLUMNS = "adsh, cik, name, sic, countryba, countryinc, countryma, former, form, filed, aciks, source_period, seq"
+LATEST = "row_number() OVER (PARTITION BY cik ORDER BY filed DESC, seq) = 1"
 
 
-def edge_summary(spark, sf_dir):
-    return edges.summary(edge_table(spark, sf_dir))
+# The submission index.
+@query(f"WITH {p.SUB} SELECT {SUB_COLUMNS} FROM sub WHERE cik = '7'")
+def sub_by_cik(spark, sf_dir):
+    return records.by_cik(p.sub(spark, sf_dir), " 7 ")
 
 
-def edge_rating(spark, sf_dir):
-    return edges.ratings(edge_table(spark, sf_dir))
+@query(f"WITH {p.SUB} SELECT {SUB_COLUMNS} FROM sub WHERE countryba = 'CN'")
+def sub_by_country(spark, sf_dir):
+    return records.by_country(p.sub(spark, sf_dir), "cn")
+
+
+@query(f"WITH {p.SUB} SELECT {SUB_COLUMNS} FROM sub WHERE countryinc = 'KY'")
+def sub_by_country_inc(spark, sf_dir):
+    return records.by_country(p.sub(spark, sf_dir), "KY", "countryinc")
+
+
+@query(f"WITH {p.SUB} SELECT {SUB_COLUMNS} FROM sub WHERE countryma = 'HK'")
+def sub_by_country_mailing(spark, sf_dir):
+    return records.by_country(p.sub(spark, sf_dir), "hk", "countryma")
+
+
+@query(f"WITH {p.SUB} SELECT {SUB_COLUMNS} FROM sub WHERE sic LIKE '12%'")
+def sub_by_sic_prefix(spark, sf_dir):
+    return records.by_industry(p.sub(spark, sf_dir), "12", prefix=True)
+
+
+@query(f"WITH {p.SUB} SELECT {SUB_COLUMNS} FROM sub WHERE upper(form) = '10-K'")
+def sub_by_form(spark, sf_dir):
+    return records.by_form(p.sub(spark, sf_dir), "10-k")
+
+
+@query(f"WITH {p.SUB} SELECT cik, name, former, form, filed, seq FROM sub WHERE contains(lower(name), 'widget 1') OR contains(lower(former), 'widget 1') QUALIFY {LATEST}")
+def sub_search(spark, sf_dir):
+    wanted = spark.createDataFrame([("WIDGET 1",)], "term string")
+    return linkage.latest_with(p.sub(spark, sf_dir), wanted).select("cik", "name", "former", "form", "filed", "seq").orderBy("name", "seq")
 
 
+@query(f"""WITH {p.SUB} SELECT count(*) AS total_rows, count(DISTINCT cik) AS unique_ciks, count(DISTINCT nullif(source_period, '')) AS periods_loaded, count(DISTINCT nullif(countryba, '')) AS countries_ba,
+    count(DISTINCT nullif(countryinc, '')) AS countries_inc, count(DISTINCT nullif(sic, '')) AS unique_sics, count(DISTINCT nullif(form, '')) AS unique_forms FROM sub""")
+def sub_stats(spark, sf_dir):
+    return records.stats(p.sub(spark, sf_dir))
+
+
+@query(f"WITH {p.SUB} SELECT DISTINCT cik FROM sub")
+def unique_ciks(spark, sf_dir):
+    return records.ciks(p.sub(spark, sf_dir))
+
+
+@query(f"WITH {p.SUB} SELECT cik, adsh, form, filed FROM sub QUALIFY row_number() OVER (PARTITION BY cik ORDER BY form IN ('10-K', '20-F', '10-K/A') DESC, filed DESC, seq) = 1")
 def best_record(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
-    return records.best_per_key(rows, ["o_custkey"], F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")
+    return records.best_record(p.sub(spark, sf_dir)).select("cik", "adsh", "form", "filed")
 
 
+@query(f"WITH {p.SUB} SELECT cik, adsh, filed FROM sub QUALIFY row_number() OVER (PARTITION BY cik ORDER BY seq) = 1")
 def first_record(spark, sf_dir):
-    return records.first_per_key(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"])
+    return records.first_per_key(p.sub(spark, sf_dir), ["cik"], ["seq"]).select("cik", "adsh", "filed")
 
 
+@query(f"WITH {p.SUB}, c AS (SELECT DISTINCT cik, unnest(string_split(aciks, ' ')) AS o FROM sub WHERE aciks <> '') SELECT cik, string_agg(o, ' ' ORDER BY o) AS others FROM c WHERE o <> cik GROUP BY 1")
 def co_registrants(spark, sf_dir):
-    rows = records.co_members(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
-    return rows.select("l_suppkey", F.size("others").cast("long").alias("n_others"), F.array_join("others", " ").alias("others"))
+    return records.co_registrants(p.sub(spark, sf_dir)).select("cik", JOIN("others", " ").alias("others"))
 
 
-def descend(spark, sf_dir):
-    steps = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("parent"), F.pmod("l_partkey", F.col("l_suppkey") * 3 + 7).alias("child"))
-    roots = _t(spark, sf_dir, "supplier").filter("s_nationkey = 0").select(F.col("s_suppkey").alias("node"))
-    return graph.walk(steps, roots, 3)
+@query("SELECT c_mktsegment AS exchange, count(*) AS n FROM customer GROUP BY 1")
+def exchange_counts(spark, sf_dir):
+    return p.table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("exchange")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def name_linkage(spark, sf_dir):
-    name = lambda c: text.bare_name(F.regexp_replace(c, "^[A-Za-z]+#", ""), ["INC", "LLC", "LTD"])
-    a = _t(spark, sf_dir, "customer").select("c_custkey", name("c_name").alias("name"))
-    return a.join(_t(spark, sf_dir, "supplier").select("s_suppkey", name("s_name").alias("name")), "name", "left")
+# Country codes.
+_ADV, _CON = ("(" + ", ".join(f"'{c}'" for c in t) + ")" for t in (tables.ADVERSARIAL_CODES, tables.CONDUIT_CODES))
+_WANTED = f"list_contains([{', '.join(repr(c) for c in (*tables.ADVERSARIAL_CODES, *tables.CONDUIT_CODES))}], x)"
+SCAN = f"""{p.SUB}, h AS (SELECT cik, f, c FROM (SELECT cik, unnest(['countryba', 'countryinc', 'countryma']) AS f, unnest([countryba, countryinc, countryma]) AS c FROM sub) WHERE c IN {_ADV} OR c IN {_CON}),
+    m AS (SELECT cik, (SELECT string_agg(x, ' ' ORDER BY x) FROM (SELECT DISTINCT f AS x FROM h h2 WHERE h2.cik = h.cik)) AS matched_fields, string_agg(DISTINCT c, ' ' ORDER BY c) AS matched_codes, bool_or(c IN {_ADV}) AS adv FROM h GROUP BY 1),
+    b AS (SELECT * FROM sub QUALIFY {LATEST}), found AS (SELECT cik, name, sic, countryba, countryinc, countryma, matched_fields, matched_codes, CASE WHEN adv THEN 'ADVERSARIAL' ELSE 'CONDUIT' END AS tier FROM m JOIN b USING (cik))"""
 
 
-def gap_anti_join(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_custkey", "c_name").join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+def _found(spark, sf_dir):
+    return scan.country_scan(p.sub(spark, sf_dir), conduit=True)
 
 
+@query(f"WITH {SCAN}, d AS (SELECT cik, string_agg(DISTINCT form, ' ' ORDER BY form) AS forms, count(DISTINCT filed) AS n_dates FROM sub GROUP BY 1) SELECT found.*, forms, n_dates FROM found JOIN d USING (cik)")
 def country_scan(spark, sf_dir):
-    pairs = edge_table(spark, sf_dir).filter(F.col("target_tier") == "ADVERSARIAL").select("source", "code").distinct()
-    return pairs.groupBy("source").agg(F.count(F.lit(1)).alias("n_codes"), F.array_join(F.array_sort(F.collect_list("code")), " ").alias("codes"))
+    rows = _found(spark, sf_dir).withColumns({c: JOIN(c, " ") for c in ("matched_fields", "matched_codes", "forms")})
+    return rows.select("cik", "name", "sic", "countryba", "countryinc", "countryma", "matched_fields", "matched_codes", "tier", "forms", F.size("filing_dates").cast("long").alias("n_dates")).orderBy("tier", "name")
+
+
+@query(f"WITH {SCAN} SELECT code, count(*) AS n FROM (SELECT unnest(string_split(matched_codes, ' ')) AS code FROM found) GROUP BY 1")
+def codes_by_country(spark, sf_dir):
+    return scan.counts_by(_found(spark, sf_dir), "matched_codes", "code").orderBy(F.desc("n"), "code")
+
+
+@query(f"WITH {SCAN} SELECT field, count(*) AS n FROM (SELECT unnest(string_split(matched_fields, ' ')) AS field FROM found) GROUP BY 1")
+def ciks_by_field(spark, sf_dir):
+    return scan.counts_by(_found(spark, sf_dir), "matched_fields", "field")
+
+
+@query(f"""WITH {SCAN} SELECT code, count(*) AS n, count(*) FILTER (contains(matched_fields, 'countryba')) AS n_countryba, count(*) FILTER (contains(matched_fields, 'countryinc')) AS n_countryinc, count(*) FILTER (contains(matched_fields, 'countryma')) AS n_countryma
+    FROM (SELECT matched_fields, unnest(string_split(matched_codes, ' ')) AS code FROM found) GROUP BY 1""")
+def country_field_xtab(spark, sf_dir):
+    return scan.cross_table(_found(spark, sf_dir))
+
+
+_NAME_OF = "CASE x " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in (tables.ADVERSARIAL_CODES | tables.CONDUIT_CODES).items()) + " END"
+@query(f"""WITH {SCAN}, o AS (SELECT cik, countryba AS ba, countryinc AS inc, countryma AS ma, list_sort(list_distinct(list_filter([countryba, countryinc, countryma], lambda x: x <> ''))) AS own FROM found),
+    q AS (SELECT cik, {_WANTED.replace('x)', 'ba)')} AS b, {_WANTED.replace('x)', 'inc)')} AS i, {_WANTED.replace('x)', 'ma)')} AS m, array_to_string(list_transform(list_filter(own, lambda x: {_WANTED}), lambda x: {_NAME_OF}), ',') AS bad,
+        array_to_string(list_filter(own, lambda x: NOT {_WANTED}), ',') AS good FROM o)
+    SELECT cik, CASE WHEN i AND NOT b THEN 'inc:' || bad || ' but operates in ' || good WHEN b AND NOT i THEN 'based in ' || bad || ' but inc:' || good WHEN m AND NOT b THEN 'mail:' || bad || ' but based in ' || good ELSE 'mixed: ' || bad || ' + ' || good END AS pattern FROM q WHERE bad <> '' AND good <> ''""")
+def intermediary(spark, sf_dir):
+    return scan.go_betweens(_found(spark, sf_dir), conduit=True).select("cik", "pattern")
+
 
+@query(f"WITH {SCAN} SELECT count(*) FILTER (countryba <> countryinc AND countryba <> '' AND countryinc <> '') AS n FROM found")
+def moved_abroad(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    return found.agg(F.count_if(scan.moved_abroad(found)).alias("n"))
 
-def country_counts(spark, sf_dir):
-    return edge_table(spark, sf_dir).filter(F.col("target_tier").isin("ADVERSARIAL", "CONDUIT")).groupBy("code").agg(F.count_distinct("source").alias("n_sources"))
 
+@query(f"""WITH {p.SUB}, h AS (SELECT cik, f, c, list_position({p._sql_list(tables.ADVERSARIAL_CODES)}, c) AS place FROM (SELECT cik, unnest(['countryba', 'countryinc', 'countryma']) AS f, unnest([countryba, countryinc, countryma]) AS c FROM sub) WHERE c IN {_ADV})
+    SELECT cik, min_by(c, place) AS matched_code, string_agg(DISTINCT f, ' ' ORDER BY f) AS matched_fields FROM h GROUP BY 1""")
+def targets_by_code(spark, sf_dir):
+    return targets.by_code(p.sub(spark, sf_dir)).select("cik", "matched_code", JOIN("matched_fields", " ").alias("matched_fields"))
 
-def segment_counts(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
+# Walks.
+_ROOTS = "(SELECT DISTINCT cik FROM sub WHERE cik::BIGINT % 97 = 0)"
+_STEPS = f"{p.SUB}, step AS (SELECT DISTINCT cik AS parent, o AS child FROM (SELECT cik, unnest(string_split(aciks, ' ')) AS o FROM sub WHERE aciks <> '') WHERE o <> cik)"
+_REACHED = f"{_STEPS}, w AS (SELECT cik AS root, cik AS node, 0 AS depth FROM {_ROOTS} UNION SELECT root, child, depth + 1 FROM w JOIN step ON node = parent WHERE depth < 3), v AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2)"
 
-def index_stats(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("n_owners"), F.count_distinct("o_orderstatus").alias("n_forms"), F.count_distinct(F.expr("nullif(o_orderpriority, '')")).alias("n_priorities"))
 
+def _descended(spark, sf_dir, cap=None):
+    sub = p.sub(spark, sf_dir)
+    steps = records.listed(sub).select(F.col("cik").alias("parent"), F.col("other").alias("child")).distinct().withColumn("ord", F.col("child"))
+    return graph.ranked_walk(steps, sub.filter(F.col("cik").cast("long") % 97 == 0).select(F.col("cik").alias("root")).distinct(), 3, cap)
 
-def sanitized_fields(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", text.sanitized(F.col("text")).alias("field"))
 
+@query(f"WITH RECURSIVE {_REACHED} SELECT root, node, depth FROM v")
+def descend_visited(spark, sf_dir):
+    return _descended(spark, sf_dir)[0].select("root", "node", "depth")
 
-def number_tokens(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(text.number_tokens(F.col("text"), 4, 10), " ").alias("tokens"))
 
+@query(f"WITH RECURSIVE {_REACHED} SELECT root, parent, child, depth FROM v JOIN step ON node = parent")
+def descend_edges(spark, sf_dir):
+    return _descended(spark, sf_dir)[1].select("root", "parent", "child", "depth")
 
-def name_class(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", classify.first_match(F.col("p_name"), COLOURS).alias("label"))
 
+@query()
+def descend_capped(spark, sf_dir):
+    return _descended(spark, sf_dir, 9)[0].select("root", "node", "depth", "rank")
 
-def size_bands(spark, sf_dir):
-    return classify.bands(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", SIZES).select("p_partkey", "band")
 
+@query()
+def subsidiary_edges(spark, sf_dir):
+    """Edges of a walk with the registrants' best records and the filing that listed most recently."""
+    sub = p.sub(spark, sf_dir)
+    _, found = _descended(spark, sf_dir, 50)
+    info = records.best_record(sub).select("cik", F.struct("cik", "name", "countryba", "countryinc", F.lit("").alias("stprinc"), "sic", "former").alias("info"))
+    filing = records.listed(sub).groupBy("cik").agg(F.max_by(F.struct(F.col("adsh").alias("accession"), "form", F.col("filed").alias("filing_date")), F.struct(F.col("filed"), -F.col("seq"))).alias("f"))
+    rows = found.join(info.select(F.col("cik").alias("parent"), F.col("info").alias("p")), "parent").join(info.select(F.col("cik").alias("child"), F.col("info").alias("c")), "child", "left").join(filing.withColumnRenamed("cik", "parent"), "parent")
+    unknown = F.struct(F.col("child").alias("cik"), F.concat(F.lit("CIK "), "child").alias("name"), *[F.lit("").alias(c) for c in ("countryba", "countryinc", "stprinc", "sic", "former")])
+    return edges.subsidiary_edges(rows.select(F.col("p").alias("parent"), F.coalesce("c", unknown).alias("child"), "f.*", "depth", F.struct("root", "rank", "ord").alias("seq")), keep=()).drop("source_notes")
 
-def word_scores(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", classify.word_score(F.col("p_name"), WEIGHTS).alias("score"))
 
+_WALK = "near AS (SELECT s_name AS node, 0 AS d FROM (SELECT min(s_name) AS s_name FROM supplier) UNION SELECT CASE WHEN source = node THEN target ELSE source END, d + 1 FROM near JOIN e ON node IN (source, target) WHERE d < 2)"
+@query(f"WITH RECURSIVE {p.EDGES}, e AS (SELECT DISTINCT source, target FROM edges WHERE detail = 'R' AND chain_depth = 1 AND relationship = 'institution_role' AND seq % 3 = 0), {_WALK} SELECT source, target FROM e WHERE source IN (SELECT node FROM near) AND target IN (SELECT node FROM near)")
+def khop(spark, sf_dir):
+    some = p.edges(spark, sf_dir).filter("detail = 'R' and chain_depth = 1 and relationship = 'institution_role' and seq % 3 = 0").select("source", "target").distinct()
+    return graph.neighbourhood(some, p.table(spark, sf_dir, "supplier").agg(F.min("s_name").alias("node")), 2)
 
+
+_LINKS = "links AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'beneficial_owner' ELSE 'consolidated_subsidiary' END AS relationship, 'N' || (o_custkey % 200) AS source, 'N' || (o_orderkey % 180) AS target FROM orders)"
+@query(f"""WITH RECURSIVE {_LINKS}, up AS (SELECT 'N7' AS node, 0 AS level UNION SELECT source, level + 1 FROM up JOIN links ON target = node AND relationship = 'beneficial_owner' WHERE level < 20),
+    down AS (SELECT 'N7' AS node, 0 AS level UNION SELECT target, level + 1 FROM down JOIN links ON source = node AND relationship = 'consolidated_subsidiary' WHERE level < 20)
+    SELECT 'above' AS side, node, min(level) AS level FROM up GROUP BY node HAVING min(level) > 0 UNION ALL SELECT 'below', node, min(level) FROM down GROUP BY node HAVING min(level) > 0""")
+def ancestors_levels(spark, sf_dir):
+    o = p.table(spark, sf_dir, "orders")
+    label = lambda c, n: F.concat(F.lit("N"), F.pmod(c, F.lit(n)).cast("string"))
+    links = o.select(F.when(F.pmod(F.col("o_orderkey"), F.lit(2)) == 0, "beneficial_owner").otherwise("consolidated_subsidiary").alias("relationship"), label(F.col("o_custkey"), 200).alias("source"), label(F.col("o_orderkey"), 180).alias("target"))
+    return graph.levels(links, spark.createDataFrame([("N7",)], "node string"))
+
+
+@query(f"WITH {p.EDGES}, n AS (SELECT source AS name, source_type AS type, seq, 0 AS side FROM edges UNION ALL SELECT target, target_type, seq, 1 FROM edges) SELECT name, type FROM n QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq, side) = 1")
+def node_types(spark, sf_dir):
+    return graph.nodes(p.edges(spark, sf_dir))
+
+
+# Edges.
+_KEY = ", ".join(edges.KEY)
+@query(f"""WITH {p.EDGES}, g AS (SELECT {_KEY}, list({{'seq': seq, 'notes': notes, 'sj': source_jurisdiction, 'tj': target_jurisdiction, 'aff': state_affiliation, 'x': role_is_executive, 'o': role_is_obscuring, 'd': chain_depth}} ORDER BY seq) AS l FROM edges GROUP BY {_KEY}),
+    f AS (SELECT {_KEY}, list_reduce(l, lambda a, e: CASE WHEN coalesce(e.notes, '') <> '' AND NOT contains(coalesce(a.notes, ''), e.notes) THEN {{'seq': a.seq, 'notes': CASE WHEN coalesce(a.notes, '') <> '' THEN a.notes || '; ' || e.notes ELSE e.notes END,
+        'sj': coalesce(nullif(a.sj, ''), e.sj), 'tj': coalesce(nullif(a.tj, ''), e.tj), 'aff': coalesce(nullif(a.aff, ''), e.aff), 'x': a.x OR e.x, 'o': a.o OR e.o, 'd': least(a.d, e.d)}} ELSE a END) AS r FROM g)
+    SELECT {_KEY}, r.seq AS seq, r.notes AS notes, r.sj AS source_jurisdiction, r.tj AS target_jurisdiction, r.aff AS state_affiliation, r.x AS role_is_executive, r.o AS role_is_obscuring, r.d AS chain_depth FROM f""")
+def edge_dedup(spark, sf_dir):
+    return edges.merged(p.edges(spark, sf_dir)).select(*edges.KEY, "seq", "notes", "source_jurisdiction", "target_jurisdiction", "state_affiliation", "role_is_executive", "role_is_obscuring", "chain_depth")
+
+
+_IN = "('ADVERSARIAL', 'CONDUIT', 'OPACITY')"
+_SIDES = "(SELECT source, seq, notes, relationship, source_jurisdiction AS j, source_risk_tier AS t FROM edges UNION ALL SELECT source, seq, notes, relationship, target_jurisdiction, target_risk_tier FROM edges)"
+@query(f"""WITH {p.EDGES}, b AS (SELECT *, CASE WHEN source_risk_tier IN {_IN} THEN source_risk_tier WHEN target_risk_tier IN {_IN} THEN target_risk_tier END AS bucket FROM edges)
+    SELECT count(*) AS total_edges, count(*) FILTER (bucket = 'ADVERSARIAL') AS adversarial_edges, count(*) FILTER (bucket = 'CONDUIT') AS conduit_edges, count(*) FILTER (bucket = 'OPACITY') AS opacity_edges, count(state_affiliation) AS state_affiliated_edges,
+    count(*) FILTER (role_is_obscuring) AS obscuring_role_edges, count(*) FILTER (role_is_ownership) AS ownership_edges, max(chain_depth) AS max_chain_depth, (SELECT string_agg(DISTINCT j, '; ' ORDER BY j) FROM {_SIDES}) AS unique_jurisdictions,
+    (SELECT string_agg(DISTINCT j, '; ' ORDER BY j) FROM {_SIDES} WHERE t = 'ADVERSARIAL') AS adversarial_jurisdictions FROM b""")
+def chain_summary(spark, sf_dir):
+    return edges.summary(p.edges(spark, sf_dir)).withColumns({c: JOIN(c, "; ") for c in ("unique_jurisdictions", "adversarial_jurisdictions")})
+
+
+_SECTOR_SQL = ", ".join(f"CASE WHEN {' OR '.join(f'sic BETWEEN {lo} AND {hi}' for lo, hi in r)} THEN '{s}' END" for s, r in tables.SECTORS.items())
+_TIER_LIST = lambda t: f"(SELECT source, string_agg(DISTINCT j, ', ' ORDER BY j) AS js FROM {_SIDES} WHERE t = '{t}' GROUP BY 1)"
+@query(f"""WITH {p.EDGES}, i AS (SELECT source, arg_max(TRY_CAST(regexp_extract(notes, 'SIC:\\s*(\\S+)', 1) AS INT), seq) AS sic FROM edges WHERE relationship = 'incorporated_in' AND regexp_matches(notes, 'SIC:\\s*\\S') GROUP BY 1),
+    e AS (SELECT source, count(DISTINCT state_affiliation) AS na, bool_or(role_is_obscuring) AS ob, max(chain_depth) AS d FROM edges GROUP BY 1),
+    a AS (SELECT e.*, x.js AS adv, y.js AS con, z.js AS opa, array_to_string(list_filter([{_SECTOR_SQL}], lambda v: v IS NOT NULL), ', ') AS sec FROM e LEFT JOIN i USING (source) LEFT JOIN {_TIER_LIST('ADVERSARIAL')} x USING (source) LEFT JOIN {_TIER_LIST('CONDUIT')} y USING (source) LEFT JOIN {_TIER_LIST('OPACITY')} z USING (source)),
+    s AS (SELECT *, (CASE WHEN adv IS NOT NULL THEN 40 ELSE 0 END + CASE WHEN na >= 3 THEN 25 WHEN na > 0 THEN 15 ELSE 0 END + CASE WHEN con IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN opa IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN ob THEN 10 ELSE 0 END
+        + CASE WHEN d >= 5 THEN 5 ELSE 0 END + CASE WHEN coalesce(sec, '') <> '' THEN 10 ELSE 0 END)::INT AS score FROM a)
+    SELECT source, score, CASE WHEN score >= 60 THEN 'CRITICAL' WHEN score >= 40 THEN 'HIGH' WHEN score >= 25 THEN 'ELEVATED' WHEN score >= 10 THEN 'MODERATE' ELSE 'LOW' END AS rating,
+    concat_ws('; ', 'Adversarial-nation jurisdictions detected: ' || adv, CASE WHEN na >= 3 THEN na || ' state-actor affiliated entities' WHEN na > 0 THEN na || ' state-actor affiliated entity(ies)' END, 'Conduit jurisdictions: ' || con, 'Opacity jurisdictions: ' || opa,
+        CASE WHEN ob THEN '1 obscuring-role entities (nominees, proxies, intermediaries)' END, CASE WHEN d >= 5 THEN 'Deep ownership chain (depth ' || d || ')' END, 'Critical sector(s): ' || nullif(sec, '')) AS reasons FROM s""")
+def edge_rating(spark, sf_dir):
+    return edges.ratings(p.edges(spark, sf_dir), ["source"]).select("source", "score", "rating", JOIN("reasons", "; ").alias("reasons"))
+
+
+@query(f"WITH {p.EDGES} SELECT relationship, count(*) AS n FROM edges GROUP BY 1")
+def relationship_counts(spark, sf_dir):
+    return report.counts(p.edges(spark, sf_dir), "relationship")
+
+
+@query(f"WITH {p.EDGES} SELECT t AS tier, count(*) AS n FROM {_SIDES} GROUP BY 1")
+def tier_counts(spark, sf_dir):
+    return report.tier_counts(p.edges(spark, sf_dir))
+
+
+@query(f"WITH {p.EDGES} SELECT source, detail, seq FROM edges WHERE relationship = 'beneficial_owner' QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) = 1")
+def first_owners(spark, sf_dir):
+    return report.first_per_name(p.edges(spark, sf_dir), "beneficial_owner").select("source", "detail", "seq")
+
+
+@query(f"""WITH {p.EDGES} SELECT source, target, concat_ws('|', source, source_type, coalesce(source_jurisdiction, ''), source_risk_tier, target, target_type, coalesce(target_jurisdiction, ''), target_risk_tier, relationship, detail, source, replace(source_notes, 'CIK: ', ''),
+    coalesce(state_affiliation, ''), '', '', CASE WHEN role_is_executive THEN 'Y' ELSE '' END, CASE WHEN role_is_board THEN 'Y' ELSE '' END, CASE WHEN role_is_ownership THEN 'Y' ELSE '' END, CASE WHEN role_is_obscuring THEN 'Y' ELSE '' END,
+    chain_depth, filing_accession, '10-K', filing_date, 'm', coalesce(notes, '')) AS line FROM edges""")
 def edge_lines(spark, sf_dir):
-    rows = edge_table(spark, sf_dir)
-    return rows.select("source", "target", edge_files.line(rows, ("source", "target", "relationship", "obscuring", "depth", "filed")).alias("line"))
+    rows = edges.company(p.edges(spark, sf_dir))
+    return rows.select("source", "target", edge_files.line(rows).alias("line"))
+
+
+# Names.
+_jurisdiction_sql = "CASE " + " ".join(f"WHEN regexp_matches(name, '(?i){lookup.any_of(j.tokens).replace(chr(92) + ' ', ' ').replace(chr(39), chr(39) * 2)}') THEN '{j.country.replace(chr(39), chr(39) * 2)}:{j.tier}'" for j in tables.jurisdictions()) + " END"
+@query(f"WITH {p.NAMES}, j AS (SELECT key, {_jurisdiction_sql} AS j FROM names) SELECT key, string_split(j, ':')[1] AS country, string_split(j, ':')[2] AS tier FROM j")
+def jurisdiction_first_match(spark, sf_dir):
+    rows = p.names(spark, sf_dir).withColumn("j", lookup.jurisdiction(F.col("name")))
+    return rows.select("key", "j.country", "j.tier")
+
+
+def _affiliation_case(value) -> str:
+    gate = lambda a: f" AND (country IS NULL OR country IN ({', '.join(repr(c) for c in a.gate)}))" if a.gate else ""
+    hit = lambda a: "(" + " OR ".join("contains(lower(name), '" + k.replace("'", "''") + "')" for k in a.keywords) + ")"
+    return "CASE " + " ".join(f"WHEN {hit(a)}{gate(a)} THEN {value(a)}" for a in tables.AFFILIATIONS)
+
+
+@query(f"WITH {p.NAMES} SELECT key, {_affiliation_case(lambda a: repr(a.category))} ELSE 'None' END AS category, {_affiliation_case(lambda a: repr(a.sub) if a.sub else 'NULL')} END AS sub, {_affiliation_case(lambda a: str(a.confidence))} ELSE 0.0 END::DOUBLE AS confidence FROM names")
+def affiliation(spark, sf_dir):
+    return p.names(spark, sf_dir).withColumn("a", lookup.affiliation(F.col("name"), F.col("country"))).select("key", "a.category", "a.sub", "a.confidence")
+
+
+_CONTEXT = "repeat('x', (key % 400)::INT) || ' The ' || ['chief financial officer', 'director', 'nominee', 'supervisors', 'back officer', 'founder'][key % 6 + 1] || ' is Person ' || key || ' since ' || repeat('y', 300) || ' president'"
+_SHORT_ROLES = (("CFO", ("chief financial officer", "cfo")), ("Director", ("director",)), ("Supervisory Board", ("supervisor",)), ("President", ("president",)), ("Nominee", ("nominee",)), ("Founder", ("founder",)))
+_role_case = "CASE " + " ".join("WHEN regexp_matches(w, '(?i)" + "|".join(rf"\b{x}\b" for x in words) + f"') THEN '{r}'" for r, words in _SHORT_ROLES) + " WHEN contains(lower(w), 'officer') THEN 'Officer' WHEN contains(lower(w), 'director') THEN 'Director' ELSE 'Unknown' END"
+@query(f"WITH c AS (SELECT p_partkey AS key FROM part), w AS (SELECT key, {_CONTEXT} AS t, 'person ' || key AS n FROM c), v AS (SELECT key, substring(t, greatest(1, instr(lower(t), n) - 200)::INT, (instr(lower(t), n) + 200 - greatest(1, instr(lower(t), n) - 200))::INT) AS w FROM w) SELECT key, {_role_case} AS role FROM v")
+def role_window(spark, sf_dir):
+    k = F.col("p_partkey")
+    context = F.concat(F.repeat(F.lit("x"), F.pmod(k, F.lit(400)).cast("int")), F.lit(" The "), p._pick(("chief financial officer", "director", "nominee", "supervisors", "back officer", "founder"), F.pmod(k, F.lit(6))), F.lit(" is Person "), k.cast("string"), F.lit(" since " + "y" * 300 + " president"))
+    return p.table(spark, sf_dir, "part").select(k.alias("key"), lookup.role(F.concat(F.lit("person "), k.cast("string")), context, _SHORT_ROLES)["role"].alias("role"))
+
+
+_TIER_SQL = "CASE country " + " ".join(f"WHEN '{j.country.replace(chr(39), chr(39) * 2)}' THEN '{j.tier}'" for j in tables.jurisdictions()) + " ELSE 'MONITORED' END"
+@query(f"WITH {p.NAMES} SELECT key, {_TIER_SQL} AS tier FROM names")
+def risk_tier(spark, sf_dir):
+    return p.names(spark, sf_dir).select("key", lookup.tier_of(F.col("country")).alias("tier"))
+
+
+@query(f"SELECT p_partkey AS key, unnest(list_filter([{_SECTOR_SQL.replace('sic ', 'p_partkey ')}], lambda v: v IS NOT NULL)) AS sector FROM part")
+def sector_range_join(spark, sf_dir):
+    return p.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.explode(lookup.sectors(F.col("p_partkey"))).alias("sector"))
+
+
+_KIND = "|".join(names.INSTITUTION_WORDS)
+@query(rf"WITH {p.NAMES}, n AS (SELECT key, regexp_replace(trim(name), '\s+', ' ', 'g') AS n FROM names) SELECT key, CASE WHEN n = '' THEN 'unknown' WHEN regexp_matches(upper(n), '{_KIND}') THEN 'institution' WHEN regexp_matches(n, '^[A-Z][a-z]+(?: [A-Z]\.)?(?: [A-Z][a-z]+)+$') THEN 'person' ELSE 'unknown' END AS kind FROM n")
+def entity_kind(spark, sf_dir):
+    return p.names(spark, sf_dir).select("key", names.kind_of(F.col("name")).alias("kind"))
 
 
-def name_search(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name", "o_orderpriority", "o_orderdate", "o_orderkey")
-    return rollups.search(rows, "URGENT", ["c_name", "o_orderpriority"], "c_custkey", "o_orderdate", "o_orderkey")
+def _stripped_sql(e: str) -> str:
+    for s in text.SUFFIXES:
+        e = f"regexp_replace({e}, '{s.replace('.', chr(92) + '.')}$', '')"
+    return f"trim({e})"
 
 
-def code_cross_tab(spark, sf_dir):
-    return rollups.cross_tab(_t(spark, sf_dir, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"], ["N", "F"])
+@query(f"WITH {p.NAMES} SELECT key, {_stripped_sql('trim(upper(name))')} AS bare FROM names")
+def suffix_norm(spark, sf_dir):
+    return p.names(spark, sf_dir).select("key", text.bare_name(F.col("name")).alias("bare"))
 
 
-def intermediaries(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return rollups.mixed(rows, ["l_returnflag", "l_linestatus"], ["N", "F"]).select("l_orderkey", "l_linenumber", "inside", "outside")
+@query(r"""SELECT doc_id, trim(translate(regexp_replace(coalesce(text, ''), '[^\x20-\x7E]', ' ', 'g'), '|"', '/'''), ' ') AS field FROM documents""")
+def sanitize(spark, sf_dir):
+    return p.table(spark, sf_dir, "documents").select("doc_id", text.sanitized(F.col("text")).alias("field"))
 
 
+@query()
+def person_names(spark, sf_dir):
+    return p.names(spark, sf_dir).select("key", names.is_person_name(F.col("name")).alias("valid"))
+
+
+@query()
+def fuzzy_match(spark, sf_dir):
+    left = p.table(spark, sf_dir, "supplier").select(F.concat(F.lit("Acme "), F.col("s_name"), F.lit(" Widgets, LLC")).alias("entity_name"))
+    right = p.table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(text.bare_name(F.concat(F.lit("Acme "), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit(" Widget Inc"))).alias("key"), F.col("c_custkey").alias("place"), F.col("c_custkey").cast("string").alias("cik"), F.col("c_name").alias("title"), F.lit("T").alias("ticker"))
+    return linkage.fuzzy(left, right, "entity_name")
+
+
+# Texts of filings.
+@query(rf"WITH {p.FILINGS} SELECT key, {p.PLAIN} AS full_text FROM filings")
+def normalize_text(spark, sf_dir):
+    return p.filings(spark, sf_dir).select("key", filing_text.plain(filing_text.unescaped(filing_text.without_tags(F.col("content")))).alias("full_text"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<\s*br\s*/?\s*>', chr(10), 'g'), '(?i)<\s*/?\s*p[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS text FROM pages")
+def strip_tags(spark, sf_dir):
+    return p.table(spark, sf_dir, "pages").select("page_id", filing_text.without_tags(F.col("html")).alias("text"))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+@query(rf"""WITH {p.FILINGS}, t AS (SELECT key, {p.PLAIN} AS t FROM filings), s AS (SELECT key, t, regexp_extract(t, '(?ims)^\s*SIGNATURES?\s*$(.*)', 1) AS tail, least(nullif(instr(upper(t), 'DIRECTORS AND EXECUTIVE OFFICERS'), 0), nullif(instr(upper(t), 'BOARD OF DIRECTORS'), 0), nullif(instr(upper(t), 'MANAGEMENT'), 0), nullif(instr(upper(t), 'EXECUTIVE OFFICERS'), 0), nullif(instr(upper(t), 'CORPORATE GOVERNANCE'), 0)) AS place FROM t)
+    SELECT key, trim(CASE WHEN instr(upper(tail), 'EXHIBIT') > 0 THEN left(tail, instr(upper(tail), 'EXHIBIT') - 1) ELSE tail END, {_BLANKS}) AS signatures, coalesce(trim(substring(t, place, 20000), {_BLANKS}), '') AS narrative,
+    array_to_string(list_filter([{', '.join(f"CASE WHEN contains(upper(t), '{c.upper().replace(chr(39), chr(39) * 2)}') THEN '{c.replace(chr(39), chr(39) * 2)}' END" for c in filing_text.COUNTRIES)}], lambda v: v IS NOT NULL), chr(10)) AS countries FROM s""")
+def filing_sections(spark, sf_dir):
+    return filing_text.sections(p.filings(spark, sf_dir)).select("key", "signatures", "narrative", JOIN("countries", "\n").alias("countries"))
+
+
+@query(rf"""WITH {p.FILINGS}, l AS (SELECT key, list_transform(list_concat(regexp_extract_all(content, '(?i)\bCIK\s*[:#]?\s*0*([0-9]{{3,10}})\b', 1), regexp_extract_all(content, '(?i)/CIK0*([0-9]{{5,10}})\.json', 1)), lambda x: x::BIGINT::VARCHAR) AS l FROM filings)
+    SELECT key, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: list_position(l, x[1]) = x[2]), lambda x: x[1]), ' ') AS ciks FROM l""")
+def cik_tokens(spark, sf_dir):
+    return p.filings(spark, sf_dir).select("key", JOIN(text.registrants_in(F.col("content")), " ").alias("ciks"))
+
+
+@query(rf"""WITH {p.FILINGS} SELECT key, array_to_string(list_filter([regexp_extract(content, 'CENTRAL INDEX KEY:\s*0*(\d{{5,10}})', 1), regexp_extract(content, '/CIK0*([0-9]{{5,10}})\.json', 1), (key + 1000)::VARCHAR, regexp_extract(accession, '^0*(\d+)', 1)], lambda x: x <> cik), ' ') AS related FROM filings""")
+def related_ciks(spark, sf_dir):
+    rows = filing_text.sections(p.filings(spark, sf_dir).withColumn("raw", F.col("content")))
+    return rows.select("key", JOIN(text.related_registrants(F.col("raw"), F.col("full_text"), F.col("accession"), F.col("cik")), " ").alias("related"))
+
+
+@query(f"WITH {p.FILINGS} SELECT key, 0 AS ord, 'Alpha Fund ' || cik || ' LP' AS owner, (cik::BIGINT % 60 + 0.5)::DOUBLE AS percent, 'Common Stock' AS class_title FROM filings")
+def sc13_owners(spark, sf_dir):
+    return owners.owners(filing_text.sections(p.filings(spark, sf_dir))).select("key", "ord", "owner", "percent", "class_title")
+
+
+@query(f"WITH {p.FILINGS} SELECT key, 'Jane Doe, Richard Miles' AS signers, 'John Q. Public, and Mary Roe' AS people FROM filings")
+def signature_people(spark, sf_dir):
+    rows = filing_text.sections(p.filings(spark, sf_dir))
+    return rows.select("key", JOIN(names.signers(F.col("signatures")), ", ").alias("signers"), JOIN(names.people_in(F.col("narrative")), ", ").alias("people"))
+
+
+@query()
+def institutions(spark, sf_dir):
+    return filing_text.sections(p.filings(spark, sf_dir)).select("key", F.explode(names.institutions_in(F.col("narrative"))).alias("institution"))
+
+
+@query()
+def exhibit21_rows(spark, sf_dir):
+    """Subsidiaries of composed lists, half of them tables and half of them lines."""
+    rows = p.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    table = F.concat(F.lit("<table><tr><td>Name of Subsidiary</td><td>State</td></tr><tr><td>* "), "s_name", F.lit(" Sub, LLC (1)</td><td>DE</td><td>Wholly-owned</td></tr><tr><td>Page</td><td>2</td></tr></table>"))
+    lines = F.concat(F.lit("Name of Subsidiary      Jurisdiction\n"), "s_name", F.lit(" Unit Inc.      Nevada.      51.5%\n-----\n"))
+    return subsidiaries.subsidiaries(rows.withColumn("content", F.when(F.pmod(F.col("s_suppkey"), F.lit(2)) == 0, table).otherwise(lines)).drop("s_name"))
+
+
+@query(f"WITH {p.FILINGS} SELECT key, c AS target FROM (SELECT key, unnest(list_filter(['China', 'Hong Kong', 'U.S.'], lambda x: contains(upper(content), upper(x)))) AS c FROM filings)")
+def country_edges(spark, sf_dir):
+    rows = filing_text.sections(p.filings(spark, sf_dir)).select("key", "cik", "accession", F.col("cik").alias("issuer"), F.lit("10-K").alias("form"), F.lit("").alias("filing_date"), F.lit(0).alias("depth"), F.posexplode("countries").alias("ord", "country"))
+    return edges.country_edges(rows, keep=["key"]).select("key", "target")
+
+
+@query()
+def role_edges(spark, sf_dir):
+    """People and institutions of filings as edges to their issuers, with roles from the text."""
+    rows = filing_text.sections(p.filings(spark, sf_dir))
+    return report.filing_edges(rows.select("key", F.col("cik"), F.concat(F.lit("Issuer "), "cik").alias("issuer"), F.lit(None).cast("string").alias("issuer_country"), "accession", F.lit("10-K").alias("form"), F.lit("2024-01-01").alias("filing_date"), F.lit(0).alias("depth"), "full_text", "signatures", "narrative", "countries")).drop("seq")
+
+
+@query(f"""WITH k AS (SELECT c_custkey, c_nationkey % 5 AS k FROM customer) SELECT 'CIK-' || c_custkey AS filing_accession, ['Delaware', 'Cayman Islands', 'ZZ', 'China'][k + 1] AS target, ['MONITORED', 'OPACITY', 'MONITORED', 'ADVERSARIAL'][k + 1] AS target_risk_tier,
+    'SIC: ' || (1000 + c_custkey) || ' -- Widgets' AS notes FROM k WHERE k < 4""")
+def incorporation_edges(spark, sf_dir):
+    rows = p.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cik"), F.col("c_name").alias("name"), p._pick(("de", "KY", "ZZ", "CN", ""), F.pmod(F.col("c_nationkey"), F.lit(5))).alias("state"), (1000 + F.col("c_custkey")).cast("string").alias("sic"), F.lit("Widgets").alias("sic_description"))
+    return edges.incorporation_edges(rows, subsidiaries.STATES | {"KY": "Cayman Islands", "CN": "China"}, keep=()).select("filing_accession", "target", "target_risk_tier", "notes")
+
+
+# Searches, holdings, gaps.
+@query("""WITH t(term, ord) AS (VALUES ('China', 0), ('customer#00000001', 1), ('building', 2)), f AS (SELECT c_custkey, term, ord FROM customer JOIN t ON contains(lower(c_name), lower(term)) OR contains(lower(c_mktsegment), lower(term)))
+    SELECT c_custkey::VARCHAR AS cik, min_by(term, ord) AS term, count(*) AS n FROM f GROUP BY 1""")
+def expansion_search(spark, sf_dir):
+    companies = p.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cik"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("ticker"), F.col("c_custkey").alias("seq"))
+    wanted = spark.createDataFrame([("China", "country_names", "china", 0), ("customer#00000001", "soe_names", "china", 1), ("building", "soe_names", "china", 2)], targets.TERMS)
+    return targets.found_by(companies, wanted).select("cik", F.col("matches")[0]["term"].alias("term"), F.size("matches").cast("long").alias("n"))
+
+
+_ENTITY = """entity AS (SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 3 = 0 THEN 'Pacific Ventures ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'xx ' || s_name || ' zz' ELSE s_name END AS name, ['DE', 'TX', 'NV', 'NY'][s_suppkey % 4 + 1] AS state, ['LLC', 'Corporation', 'LP'][s_suppkey % 3 + 1] AS entity_type,
+    ['DE', '', 'KY'][s_suppkey % 3 + 1] AS formation, ['CT Corporation System', 'Jane Roe', NULL][s_suppkey % 3 + 1] AS agent FROM supplier), federal AS (SELECT upper(s_name) AS name FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT 'ABC')"""
+_SHELLS = " + ".join(f"contains(lower(name), '{w}')::INT" for w in gaps.SHELL_WORDS)
+
+
+def _gaps(spark, sf_dir):
+    s, k = p.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    name = F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("Pacific Ventures "), k.cast("string"))).when(F.pmod(k, F.lit(3)) == 1, F.concat(F.lit("xx "), "s_name", F.lit(" zz"))).otherwise(F.col("s_name"))
+    entities = s.select(
+        k.alias("seq"), name.alias("name"), p._pick(("DE", "TX", "NV", "NY"), F.pmod(k, F.lit(4))).alias("state"), p._pick(("LLC", "Corporation", "LP"), F.pmod(k, F.lit(3))).alias("entity_type"), p._pick(("DE", "", "KY"), F.pmod(k, F.lit(3))).alias("jurisdiction_of_formation"),
+        F.get(F.array(F.lit("CT Corporation System"), F.lit("Jane Roe"), F.lit(None)), F.pmod(k, F.lit(3)).cast("int")).alias("registered_agent"), F.array().cast("array<string>").alias("officers"), F.lit("").alias("formation_date"),
+    )
+    federal = s.filter("s_suppkey % 2 = 0").select(F.upper("s_name").alias("name")).union(spark.createDataFrame([("ABC",)], "name string"))
+    return gaps.gaps(entities, federal)
+
+
+_MISSING = "NOT EXISTS (SELECT 1 FROM federal f WHERE f.name = upper(e.name) OR (length(f.name) > 5 AND (contains(f.name, upper(e.name)) OR contains(upper(e.name), f.name))))"
+@query(f"WITH {_ENTITY} SELECT seq, name AS entity_name FROM entity e WHERE {_MISSING}")
+def gap_anti_join(spark, sf_dir):
+    return _gaps(spark, sf_dir).select("seq", "entity_name")
+
+
+@query(f"""WITH {_ENTITY} SELECT seq, round(least(1.0, 0.2 * ({_SHELLS}) + CASE WHEN state IN ('DE', 'NV', 'WY', 'SD') THEN 0.3 ELSE 0 END + CASE WHEN entity_type IN ('LP', 'LLC', 'LLP', 'Trust') THEN 0.2 ELSE 0 END + CASE WHEN formation <> '' AND formation <> state THEN 0.3 ELSE 0 END
+    + CASE WHEN agent = 'CT Corporation System' THEN 0.1 ELSE 0 END), 6)::DOUBLE AS risk_score, CASE WHEN entity_type IN ('LP', 'LLC', 'LLP', 'Trust') THEN 'private_only' ELSE 'no_sec_filing' END AS gap_type FROM entity e WHERE {_MISSING}""")
+def gap_score(spark, sf_dir):
+    return _gaps(spark, sf_dir).select("seq", F.round("risk_score", 6).alias("risk_score"), "gap_type")
+
+
+@query(f"WITH {p.EDGES} SELECT name, any_value(type) AS type FROM (SELECT upper(source) AS name, 'company' AS type FROM edges UNION SELECT upper(target), NULL FROM edges) GROUP BY 1")
+def federal_names(spark, sf_dir):
+    return gaps.federal_names(p.edges(spark, sf_dir)).select("name", "type")
+
+
+@query("SELECT tier, n FROM (VALUES ('api', 9::BIGINT), ('bulk', 21), ('web', 20), ('paywall', 1), ('restricted', 0)) t(tier, n)")
+def register_coverage(spark, sf_dir):
+    return gaps.coverage(gaps.registers(spark))
+
+
+_CHINA = "(replace(lower(trim(country)), '.', '') IN ('china', 'prc', 'people''s republic of china', 'peoples republic of china', 'p.r.c.', 'chinese') OR secondary_china)"
+_ROLLED = f"""{p.HOLDINGS}, r AS (SELECT trim(entity_name) AS entity_name, min_by(country, seq) AS country, min_by(state, seq) AS state, string_agg(DISTINCT county, '; ' ORDER BY county) AS counties, string_agg(DISTINCT fips, '; ' ORDER BY fips) AS fips_codes, round(sum(acres), 2) AS total_acres,
+    count(*) AS holding_count, bool_or(secondary_china) AS secondary_china FROM holdings WHERE {_CHINA} GROUP BY 1)"""
+
+
+def _held(spark, sf_dir):
+    return holdings.of_countries(holdings.named(p.holdings(spark, sf_dir)), holdings.wanted_countries())
+
+
+@query(f"WITH {p.HOLDINGS} SELECT seq FROM holdings WHERE {_CHINA}")
+def holdings_filter(spark, sf_dir):
+    return _held(spark, sf_dir).select("seq")
+
+
+@query(f"WITH {_ROLLED} SELECT * FROM r")
 def holdings_rollup(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").withColumn("returned", F.col("l_returnflag") == "R")
-    return rollups.holdings(rows, "l_partkey", ["l_orderkey", "l_linenumber"], "l_suppkey", "l_quantity", "returned", ["l_orderkey", "l_linenumber"])
+    return holdings.rollup(_held(spark, sf_dir)).select("entity_name", "country", "state", "counties", "fips_codes", "total_acres", "holding_count", "secondary_china")
 
 
-def queries() -> dict:
-    return {f.__name__: f for f in (edge_lines, name_search, code_cross_tab, intermediaries, holdings_rollup, edge_dedup, edge_summary, edge_rating, best_record, first_record, co_registrants, descend, name_linkage, gap_anti_join, country_scan, country_counts, segment_counts, index_stats, sanitized_fields, number_tokens, name_class, size_bands, word_scores)}
+_MATCHED = f"{_ROLLED}, m AS (SELECT entity_name, total_acres, c_custkey::VARCHAR AS cik FROM r LEFT JOIN customer ON {_stripped_sql('trim(upper(entity_name))')} = replace(upper(c_name), 'CUSTOMER', 'SUPPLIER') AND c_custkey % 2 = 0)"
 
 
-def oracle_sql() -> dict[str, str]:
-    bucket = "CASE WHEN source_tier IN ('ADVERSARIAL','CONDUIT','OPACITY') THEN source_tier WHEN target_tier IN ('ADVERSARIAL','CONDUIT','OPACITY') THEN target_tier END"
-    return {
-        "edge_lines": f"WITH {EDGES_SQL} SELECT source, target, concat_ws('|', source, target, relationship, CASE WHEN obscuring THEN 'Y' ELSE '' END, depth, filed) AS line FROM edges",
-        "name_search": "SELECT c_custkey, c_name, o_orderpriority, o_orderdate, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), 'urgent') OR contains(lower(o_orderpriority), 'urgent') QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1",
-        "code_cross_tab": """WITH k AS (SELECT l_orderkey, bool_or(l_returnflag IN ('N', 'F')) AS a, bool_or(l_linestatus IN ('N', 'F')) AS b FROM lineitem GROUP BY 1),
-            c AS (SELECT l_orderkey, l_returnflag AS code FROM lineitem WHERE l_returnflag IN ('N', 'F') UNION SELECT l_orderkey, l_linestatus FROM lineitem WHERE l_linestatus IN ('N', 'F'))
-            SELECT code, count(*) FILTER (a) AS n_l_returnflag, count(*) FILTER (b) AS n_l_linestatus FROM c JOIN k USING (l_orderkey) GROUP BY 1""",
-        "intermediaries": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('N', 'F') THEN l_returnflag ELSE l_linestatus END AS inside, CASE WHEN l_returnflag IN ('N', 'F') THEN l_linestatus ELSE l_returnflag END AS outside FROM lineitem WHERE (l_returnflag IN ('N', 'F')) <> (l_linestatus IN ('N', 'F'))",
-        "holdings_rollup": "SELECT l_partkey, min((l_orderkey, l_linenumber))[1] AS l_orderkey, min((l_orderkey, l_linenumber))[2] AS l_linenumber, count(DISTINCT l_suppkey) AS n_l_suppkey, sum(l_quantity) AS sum_l_quantity, count(*) AS n_rows, bool_or(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1",
-        "edge_dedup": f"WITH {EDGES_SQL} SELECT source, target, relationship, count(*) AS n_edges, min(depth) AS depth, bool_or(obscuring) AS obscuring, min(filed) AS filed FROM edges GROUP BY ALL",
-        "edge_summary": f"WITH {EDGES_SQL}, b AS (SELECT *, {bucket} AS bucket FROM edges) SELECT count(*) AS n_edges, count(*) FILTER (bucket = 'ADVERSARIAL') AS n_adversarial, count(*) FILTER (bucket = 'CONDUIT') AS n_conduit, count(*) FILTER (bucket = 'OPACITY') AS n_opacity, count(*) FILTER (obscuring) AS n_obscuring, max(depth) AS max_depth FROM b",
-        "edge_rating": f"""WITH {EDGES_SQL}, p AS (SELECT source, bool_or('ADVERSARIAL' IN (source_tier, target_tier)) AS adv, bool_or('CONDUIT' IN (source_tier, target_tier)) AS con, bool_or('OPACITY' IN (source_tier, target_tier)) AS opa,
-            bool_or(obscuring) AS obs, max(depth) AS d, count(DISTINCT target) FILTER (target_tier = 'ADVERSARIAL') AS n FROM edges GROUP BY 1),
-            s AS (SELECT source, (adv::INT * 40 + CASE WHEN n >= 3 THEN 25 WHEN n >= 1 THEN 15 ELSE 0 END + con::INT * 10 + opa::INT * 10 + obs::INT * 10 + (d >= 5)::INT * 5)::INT AS score FROM p)
-            SELECT source, score, CASE WHEN score >= 60 THEN 'CRITICAL' WHEN score >= 40 THEN 'HIGH' WHEN score >= 25 THEN 'ELEVATED' WHEN score >= 10 THEN 'MODERATE' ELSE 'LOW' END AS rating FROM s""",
-        "best_record": "SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey) = 1",
-        "first_record": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
-        "co_registrants": "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), o AS (SELECT DISTINCT a.l_suppkey, b.l_suppkey AS o FROM p a JOIN p b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey) SELECT l_suppkey, count(*) AS n_others, string_agg(o::VARCHAR, ' ' ORDER BY o) AS others FROM o GROUP BY 1",
-        "descend": "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS parent, l_partkey % (l_suppkey * 3 + 7) AS child FROM lineitem), w AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_nationkey = 0 UNION SELECT child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY 1",
-        "name_linkage": "SELECT regexp_replace(c_name, '^[A-Za-z]+#', '') AS name, c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON regexp_replace(c_name, '^[A-Za-z]+#', '') = regexp_replace(s_name, '^[A-Za-z]+#', '')",
-        "gap_anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-        "country_scan": f"WITH {EDGES_SQL}, p AS (SELECT DISTINCT source, code FROM edges WHERE target_tier = 'ADVERSARIAL') SELECT source, count(*) AS n_codes, string_agg(code::VARCHAR, ' ' ORDER BY code) AS codes FROM p GROUP BY 1",
-        "country_counts": f"WITH {EDGES_SQL} SELECT code, count(DISTINCT source) AS n_sources FROM edges WHERE target_tier IN ('ADVERSARIAL','CONDUIT') GROUP BY 1",
-        "segment_counts": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1",
-        "index_stats": "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_owners, count(DISTINCT o_orderstatus) AS n_forms, count(DISTINCT nullif(o_orderpriority, '')) AS n_priorities FROM orders",
-        "sanitized_fields": r"""SELECT doc_id, trim(translate(regexp_replace(coalesce(text, ''), '[^\x20-\x7E]', ' ', 'g'), '|"', '/'''), ' ') AS field FROM documents""",
-        "number_tokens": r"SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: list_position(l, x[1]) = x[2]), lambda x: x[1]), ' '), '') AS tokens FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\b(\d{4,10})\b', 1), lambda x: x::BIGINT::VARCHAR) AS l FROM documents)",
-        "name_class": r"SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), '\bred\b') THEN 'WARM' WHEN regexp_matches(lower(p_name), '\bsmall\b') THEN 'SIZE' WHEN regexp_matches(lower(p_name), '\bblue\b') THEN 'COLD' WHEN regexp_matches(lower(p_name), '\bwidget\b') THEN 'THING' END AS label FROM part",
-        "size_bands": "SELECT p_partkey, band FROM part JOIN (VALUES ('low', 1, 20), ('middle', 15, 35), ('high', 30, 50)) r(band, lo, hi) ON p_size BETWEEN lo AND hi",
-        "word_scores": "SELECT p_partkey, least(1.0::DOUBLE, contains(lower(p_name), 'red')::INT * 0.25::DOUBLE + contains(lower(p_name), 'ring')::INT * 0.5::DOUBLE + contains(lower(p_name), 'small')::INT * 0.125::DOUBLE + contains(lower(p_name), 'large')::INT * 0.25::DOUBLE) AS score FROM part",
-    }
+def _matched(spark, sf_dir):
+    known = p.table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("cik"), F.replace(F.upper("c_name"), F.lit("CUSTOMER"), F.lit("SUPPLIER")).alias("title"))
+    return linkage.exact(holdings.rollup(_held(spark, sf_dir)), known, "entity_name", "title")
+
+
+@query(f"WITH {_MATCHED} SELECT entity_name, cik FROM m")
+def holdings_match_exact(spark, sf_dir):
+    return _matched(spark, sf_dir).select("entity_name", "cik")
+
+
+@query(f"WITH {_MATCHED} SELECT count(*) AS entities, count(cik) AS matched, count(*) - count(cik) AS unmatched, round(sum(total_acres), 2) AS acres, round(100.0 * count(cik) / count(*), 4)::DOUBLE AS coverage_pct FROM m")
+def holdings_coverage(spark, sf_dir):
+    rows = _matched(spark, sf_dir).withColumn("match_type", F.when(F.col("cik").isNull(), "none").otherwise("exact"))
+    return holdings.coverage(rows).select("entities", "matched", "unmatched", F.round("acres", 2).alias("acres"), F.round("coverage_pct", 4).alias("coverage_pct"))
+
+
+@query(f"WITH {_MATCHED} SELECT entity_name, total_acres FROM m WHERE cik IS NULL ORDER BY total_acres DESC, entity_name LIMIT 30")
+def top_unmatched(spark, sf_dir):
+    rows = _matched(spark, sf_dir).withColumn("match_type", F.when(F.col("cik").isNull(), "none").otherwise("exact"))
+    return holdings.top_unmatched(rows).select("entity_name", "total_acres")
