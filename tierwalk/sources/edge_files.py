@@ -1,4 +1,4 @@
-"""Pipe-delimited edge files: comment lines with facts, a header, then a row for each edge."""
+"""Pipe-delimited edge files: comment lines with facts, a header, then a row for each edge. Several files are read side by side."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ COLUMNS = (
     "source", "source_type", "source_jurisdiction", "source_risk_tier", "target", "target_type", "target_jurisdiction", "target_risk_tier", "relationship", "detail", "company_name", "company_cik",
     "state_affiliation", "state_affiliation_sub", "state_affiliation_detail", "role_is_executive", "role_is_board", "role_is_ownership", "role_is_obscuring", "chain_depth", "filing_accession", "filing_form", "filing_date", "method", "notes",
 )
-ORDER = ("file", "block", "seq")
+RATINGS = ("CRITICAL", "HIGH", "ELEVATED", "MODERATE", "LOW", "UNKNOWN")
 
 
 def line(df: DataFrame, columns: tuple[str, ...] = COLUMNS) -> Column:
@@ -21,43 +21,68 @@ def line(df: DataFrame, columns: tuple[str, ...] = COLUMNS) -> Column:
     return F.concat_ws("|", *[flag(F.col(c)) if kinds[c] == "boolean" else sanitized(F.col(c).cast("string")) for c in columns])
 
 
+def header(root_cik: str, made: str, columns: tuple[str, ...] = COLUMNS) -> dict[str, str]:
+    """Facts of an edge file about one registrant."""
+    return {"Generated": made, "Root CIK": root_cik, "Delimiter": "|", "Fields": " | ".join(columns)}
+
+
 def write(edges: DataFrame, path: str, facts: dict[str, str], order: list[str], columns: tuple[str, ...] = COLUMNS) -> None:
     """Writes parts that, in the order of their names, are one edge file. Ranges of `order` are sorted side by side."""
     spark = edges.sparkSession
     top = [f"# {k}: {v}" for k, v in facts.items()] + ["|".join(columns)]
-    rows = edges.select(line(edges, columns).alias("value"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).repartitionByRange(*[f"_o{i}" for i in range(len(order))]).sortWithinPartitions(*[f"_o{i}" for i in range(len(order))])
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = edges.select(line(edges, columns).alias("value"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(*keys).sortWithinPartitions(*keys)
     spark.createDataFrame([("\n".join(top),)], "value string").coalesce(1).union(rows.select("value")).write.mode("overwrite").text(path)
 
 
+def write_by_root(edges: DataFrame, path: str, order: list[str], root: str = "root_cik", rating: str = "rating", columns: tuple[str, ...] = COLUMNS) -> None:
+    """Lines of all roots in one job, in folders by rating and root; each part begins with the header."""
+    rows = edges.select(root, rating, *order, line(edges, columns).alias("value"))
+    rows.repartitionByRange(root, *order).sortWithinPartitions(root, *order).select(rating, root, "value").write.mode("overwrite").partitionBy(rating, root).option("header", False).text(path)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("at"))
 
 
-def _place(row) -> Column:
-    return F.struct(F.lit(row["file"]).alias("file"), F.lit(row["block"]).cast("long").alias("block"), F.lit(row["seq"]).cast("long").alias("seq"))
+def _with_head(lines: DataFrame) -> DataFrame:
+    """Lines with their own file's header's place: the first line that is no comment. A row for each file is joined."""
+    heads = lines.filter(~F.col("value").startswith("#")).groupBy(F.col("file").alias("_f")).agg(F.min("at").alias("head"))
+    return lines.join(heads, F.col("file") == F.col("_f"), "left").drop("_f")
 
 
-def read(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """Rows with a source. Lines up to the header (the first that is no comment) are left out; later ones may start with #."""
+def read(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS, one: bool = True) -> DataFrame:
+    """Rows with a source. Lines up to a file's header are left out; later ones may start with #.
+
+    A path that `write` made is one file in several parts, of which only the first has a header (one); a pattern over
+    separate files has a header in each (one=False).
+    """
     lines = _lines(spark, path)
-    head = lines.filter(~F.col("value").startswith("#")).agg(F.min(F.struct(*ORDER)).alias("h")).first()["h"]
-    if head is None:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
-    rows = lines.filter(F.struct(*ORDER) > _place(head)).withColumn("f", F.split("value", r"\|", -1))
-    return rows.select(*[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)]).filter("source <> ''")
+    if one and "*" not in path and "," not in path:
+        lines = lines.withColumns({"at": F.struct("file", "at.block", "at.seq"), "file": F.lit("")})
+    rows = _with_head(lines).filter(F.col("at") > F.col("head")).withColumn("f", F.split("value", r"\|", -1))
+    return rows.select(*[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)], *([] if one else ["file"])).filter("source <> ''")
 
 
 def facts(spark: SparkSession, path: str) -> DataFrame:
-    """key, value of the comment lines before the header."""
-    lines = _lines(spark, path)
-    head = lines.filter(~F.col("value").startswith("#")).agg(F.min(F.struct(*ORDER)).alias("h")).first()["h"]
-    if head is not None:
-        lines = lines.filter(F.struct(*ORDER) < _place(head))
+    """file, key, value of the comment lines before each file's header."""
+    lines = _with_head(_lines(spark, path))
     pair = r"^#\s*([^:]+):\s*(.*)$"
-    return lines.filter(F.col("value").rlike(pair)).select(F.regexp_extract("value", pair, 1).alias("key"), F.btrim(F.regexp_extract("value", pair, 2)).alias("value"))
+    top = lines.filter((F.col("head").isNull() | (F.col("at") < F.col("head"))) & F.col("value").rlike(pair))
+    return top.select("file", F.btrim(F.regexp_extract("value", pair, 1)).alias("key"), F.btrim(F.regexp_extract("value", pair, 2)).alias("value"))
 
 
 def completed(spark: SparkSession, path: str) -> DataFrame:
-    """file: those with a header and at least a row, so that a run can go on with the others."""
+    """file, cik: files with a header and at least a row, and the registrant of their name without a rating before it, so that a run can go on with the others."""
     rows = _lines(spark, path).filter(F.col("value").contains("|") & ~F.col("value").startswith("#"))
-    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("file")
+    full = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    return full.select("file", F.regexp_extract(F.regexp_replace(name, rf"^({'|'.join(RATINGS)})_", ""), r"(\d+)", 1).alias("cik"))
+
+
+def combined(parts: list[DataFrame]) -> DataFrame:
+    """All rows of several results, one after the other."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -37,11 +37,6 @@ def address(base: str, cik: Column, accession: Column, document: Column) -> Colu
     return F.concat(folder, F.when(document != "", document).otherwise(F.concat(accession, F.lit(".txt"))))
 
 
-def cache_name(path: Column, url: Column) -> Column:
-    """File name of a cached address: its path, 120 characters at most, and the start of a digest."""
-    return F.concat(F.substring(path, 1, 120), F.lit("."), F.substring(F.sha2(url, 256), 1, 16))
-
-
 def with_content(filings: DataFrame, contents: DataFrame) -> DataFrame:
     """Filings with their content (accession, content); those without are dropped, after any limit."""
     return filings.join(contents.filter("content <> ''").select("accession", "content"), "accession")

@@ -1 +1 @@
-"""Ownership-network streaming."""
+"""Structured Streaming forms of the sources that grow."""
