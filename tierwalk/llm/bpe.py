@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tierwalk.llm.common import columns, large_batches, ship
+from tierwalk.llm.common import columns, ship, sliced
 
 #: Entries that a worker keeps: pieces and their ids, and answers to "may these two tokens be neighbours".
 PIECE_CACHE = 250_000
@@ -213,12 +213,11 @@ def coder(path: str, pattern: str) -> ByteBPE:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: the id column and token_ids array<int>. A null text counts as empty and has no ids."""
     ship(docs.sparkSession)
-    large_batches(docs.sparkSession)
     rows = columns(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
-        for b in batches:
+        for b in sliced(batches, 500):
             ids = [np.frombuffer(c.encode_packed(t or ""), "<i4") for t in b.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -228,12 +227,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 
 def roundtrip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every whole text; digests of both directions. One pass, no shuffle, a batch in memory.
+    """Encodes and decodes every whole text; digests of both directions. One pass, no shuffle; an Arrow batch (64 MB, or one longer text) in memory.
 
-    Null texts count as empty: no ids, the digests of no bytes. Repeated rows give repeated results.
+    Null texts count as empty: no ids, the digests of no bytes. Repeated rows give repeated results, null ids stay null. An
+    empty table gives an empty one; other columns are left behind.
     """
     ship(docs.sparkSession)
-    large_batches(docs.sparkSession)
     rows = columns(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,8 +97,3 @@ def sliced(batches, rows: int):
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
-
-
-def large_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds an Arrow batch by rows; very long texts make batches large, so keep them short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
