@@ -88,6 +88,13 @@ def test_like_a_plain_version(spark):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
+def test_stages_of_tables_without_files(spark):
+    rows = [(1, "same text here", None, None, None), (1, "same text here", None, None, None), (None, "same text here", None, None, None), (2, "other", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert sorted(r["doc_id"] for r in stage(spark, docs.filter("doc_id is not null"), "").collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_of_empty_tables(spark, k):
     root = tables(spark, [], SCHEMA, [], [])

@@ -38,7 +38,7 @@ _looks = str.maketrans(LOOKS)
 _signs = str.maketrans(SIGNS)
 _signed = re.compile(rf"(?<!\S)[^\s{re.escape(''.join(SIGNS))}]*[{re.escape(''.join(SIGNS))}]\S*")
 _letter = re.compile(r"[^\W\d_]")
-_tail = re.compile(r"[\W_]+$")
+_tail = re.compile(r"(?:[^\w$@]|_)+$")
 _word = re.compile(r"\w+")
 _foreign = re.compile(f"[{''.join(LOOKS)}]")
 
