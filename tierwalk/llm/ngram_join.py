@@ -205,7 +205,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     named = work.write("named", reps.select("sig", "rep").join(roots.join(names, "root").select(F.col("node").alias("sig"), "name"), "sig", "left").select("sig", F.coalesce("name", "rep").alias("name")))
     work.drop("reps", "shared", "now", "left", "pairs0", "pairs1", "links0", "links1", "sets0", "sets1", "roots0", "roots")
     # both sides are exchanged, so that a set with very many copies is split as skewed
-    return members.select("id", "n", "sig").join(named, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+    out = members.select("id", "n", "sig").join(named, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+    out = work.write("out", out)
+    work.drop("incidence", "named")
+    return out
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
