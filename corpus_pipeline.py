@@ -11,6 +11,7 @@ empty one.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,25 +27,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accept(docs.select(*COLUMNS), lexicon, 0.3)
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """Rows with a key (doc_id, row number) of their own; numbers are made and written once."""
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("number"))
-    return Work(docs.sparkSession, name).write("numbered", docs.select(*COLUMNS, key.alias("key")))
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """Rows with a key of their own: doc_id and the row's place in its Parquet file; of other inputs, numbered once and written."""
+    rows = docs.select(*COLUMNS)
+    try:
+        place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number"))
+        return docs.select(*COLUMNS, F.struct(F.col("doc_id").cast("long").alias("doc_id"), *place).alias("key"))
+    except AnalysisException:
+        key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("number"))
+        return Work(docs.sparkSession, name).write("numbered", rows.withColumn("key", key))
 
 
 def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    return rows.withColumn("number", F.col("key.number")).join(kept.select(F.col("key.number").alias("number")), "number", "left_semi").select(*COLUMNS)
+    """The rows whose keys are kept. Keys grow with the documents, so they are exchanged at every size."""
+    keys = kept.select(F.col("key.file").alias("file"), F.col("key.number").alias("number")).hint("merge")
+    return rows.withColumns({"file": F.col("key.file"), "number": F.col("key.number")}).join(keys, ["file", "number"], "left_semi").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    rows = _numbered(docs, "exact-rows")
+    rows = _keyed(docs, "exact-rows")
     return _only(rows, exact_dedup.duplicates(rows, id_col="key", keep="largest").filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents (five-word shingles, Jaccard 0.8) the one with the smallest doc_id stays."""
-    rows = _numbered(docs, "near-rows")
+    rows = _keyed(docs, "near-rows")
     return _only(rows, ngram_join.jaccard_components(rows, n=5, percent=80, id_col="key").filter("key = component_id"))
 
 
