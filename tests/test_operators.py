@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierwalk import cli, config
 from tierwalk.operators import edges, gaps, graph, holdings, linkage, records, report, scan, targets
-from tierwalk.plans import chain
+from tierwalk.plans import chain, research
 from tierwalk.sources import edge_files
 from tierwalk.streaming import index
 
@@ -255,3 +255,24 @@ def test_settings(tmp_path):
     assert len(log.handlers) == 2
     log.info("once")
     assert (tmp_path / "l.txt").read_text().count("once") == 1
+
+
+def test_research(spark, sub, tmp_path):
+    companies = spark.createDataFrame([("111111", "China Acme", "CA", "NYSE", 0), ("222222", "Two Co", "TC", "OTC", 1), ("3", "Gazprom Unit", None, "OTC", 2)], "cik string, name string, ticker string, exchange string, seq int")
+    pick = lambda **c: [r.cik for r in research.select(spark, research.Choice(**c), companies, sub)[0].orderBy("at").collect()]
+    assert pick(exchange=" otc ") == ["222222", "3"] and pick(search=("china",)) == ["111111"] and pick(ciks=("5", " 7 ")) == ["5", "7"] and pick(ciks=("5", "7"), limit=1) == ["5"]
+    assert pick(ciks=("5", "7"), prefilter=True) == ["5"] and pick(all_codes=True) == ["3"] and pick(codes=("ky",)) == ["3"] and set(pick(all_adversarial=True)) == {"111111", "3"}
+    (tmp_path / "l.txt").write_text("9\n\n8\n")
+    assert pick(cik_file=str(tmp_path / "l.txt")) == ["9", "8"]
+    with pytest.raises(ValueError):
+        pick()
+    filings = spark.createDataFrame([(c, f"0000{c}-24-000001", "SC 13D", "2024-02-01", FILING, None, 0, "") for c in ("111111", "222222")], "cik string, accession string, form string, filing_date string, content string, bundle string, place int, company string")
+    about = companies.select("cik", "name", F.lit("CN").alias("state"), F.lit("3674").alias("sic"), F.lit("").alias("sic_description"))
+    chosen, found = research.select(spark, research.Choice(search=("china", "russia")), companies)
+    out = str(tmp_path / "out")
+    rated = research.run(spark, chosen, filings, about, out, found=found, max_depth=1)
+    assert {r.root_cik: r.rating for r in rated.collect()} == {"111111": "HIGH", "3": "HIGH"}
+    assert {r.cik for r in research.finished(spark, out).collect()} == {"111111", "3"}
+    assert research.select(spark, research.Choice(search=("china", "russia")), companies, done=research.finished(spark, out))[0].count() == 0
+    assert "HIGH" in "".join(r[0] for r in spark.read.text(f"{out}/triage").collect())
+    assert research.code_report(sub) == {"codes": {"CN": 1, "KY": 1}, "fields": {"countryba": 1, "countryinc": 1, "countryma": 1}, "moved_abroad": 0, "intermediaries": 1}
