@@ -91,6 +91,8 @@ def test_containment_and_fuzzy_like_all_pairs(spark):
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abc") for _ in range(n))
     wholes, parts = [word(rng.randrange(0, 14)) for _ in range(60)], [word(rng.randrange(0, 9)) for _ in range(40)]
+    wholes += [word(30) for _ in range(10)]
+    parts += [w[3:17] for w in wholes[-5:]] + [w[2:9] for w in wholes[-5:]]
     a, b = spark.createDataFrame([(i, w) for i, w in enumerate(wholes)], "i int, w string"), spark.createDataFrame([(j, p) for j, p in enumerate(parts)], "j int, p string")
     got = {(r.i, r.j) for r in linkage.holds(a, b, "w", "p").collect()}
     assert got == {(i, j) for i, w in enumerate(wholes) for j, p in enumerate(parts) if p and p in w}
@@ -275,4 +277,4 @@ def test_research(spark, sub, tmp_path):
     assert {r.cik for r in research.finished(spark, out).collect()} == {"111111", "3"}
     assert research.select(spark, research.Choice(search=("china", "russia")), companies, done=research.finished(spark, out))[0].count() == 0
     assert "HIGH" in "".join(r[0] for r in spark.read.text(f"{out}/triage").collect())
-    assert research.code_report(sub) == {"codes": {"CN": 1, "KY": 1}, "fields": {"countryba": 1, "countryinc": 1, "countryma": 1}, "moved_abroad": 0, "intermediaries": 1}
+    assert research.code_report(sub) == {"codes": {"CN": 1, "KY": 1}, "fields": {"countryba": 1, "countryinc": 1, "countryma": 1}, "moved_abroad": 1, "intermediaries": 1}

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tierwalk.functions.text import bare_name
 
-#: Characters of a gram: a name that holds another of this length or more holds its first GRAM characters.
-GRAM = 6
+#: Characters of a gram: a text that holds a term holds its first 12 characters, of shorter terms the first 6, else the whole.
+SHORT_GRAM, LONG_GRAM = 6, 12
 
 
 def _grams(text, k: int):
@@ -23,8 +23,10 @@ def holds(whole: DataFrame, part: DataFrame, text: str, term: str) -> DataFrame:
 
     Terms are compared as they are; empty terms are held by nothing.
     """
-    lengths = [r["k"] for r in part.filter(F.length(term) > 0).select(F.least(F.length(term), F.lit(GRAM)).alias("k")).distinct().collect()]  # six numbers at most
-    rows = part.filter(F.length(term) > 0).withColumn("_g", F.left(F.col(term), F.lit(GRAM)))
+    n = F.length(term)
+    size = F.when(n >= LONG_GRAM, LONG_GRAM).when(n >= SHORT_GRAM, SHORT_GRAM).otherwise(n)
+    lengths = [r["k"] for r in part.filter(n > 0).select(size.alias("k")).distinct().collect()]  # seven numbers at most
+    rows = part.filter(n > 0).withColumn("_g", F.left(F.col(term), size))
     grams = F.concat(F.array().cast("array<string>"), *[_grams(F.col(text), k) for k in sorted(lengths)])
     return whole.withColumn("_g", F.explode(F.array_distinct(grams))).join(rows, "_g").filter(F.contains(F.col(text), F.col(term))).drop("_g")
 
