@@ -233,6 +233,8 @@ def test_chain_from_end_to_end(spark, sub, tmp_path, capsys):
     assert cli.main(["run", "--cik", "1", "--data", data, "--depth", "99", "--out", out], spark) == 1
     assert cli.main(["run", "--cik", "1", "--data", data + "x", "--out", out], spark) == 2
     assert cli.main(["nothing"], spark) == 1
+    assert cli.main(["draw", out, "--html"], spark) == 0 and "<title>Acme - country_association (1) - China</title>" in capsys.readouterr().out
+    assert cli.main(["research", "--data", data, "--out", str(tmp_path / "r")], spark) == 1
 
 
 def test_ratings_and_bands(spark):

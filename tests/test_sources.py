@@ -84,6 +84,9 @@ def test_universe(spark, tmp_path):
     assert universe.funds(spark, str(tmp_path / "c.json")).columns == ["cik", "series_id", "class_id", "symbol"]
     assert [(r.cik, r.term) for r in universe.named(got, ["CHINA", "zz"]).collect()] == [("7", "CHINA")]
     assert got.filter(universe.listed_on(F.col("exchange"), " nyse")).count() == 1
+    twice = got.withColumn("seq", F.monotonically_increasing_id()).unionByName(got.filter("cik = '7'").withColumns({"ticker": F.lit("LAST"), "seq": F.lit(1 << 60)}))
+    assert {r.cik: r.ticker for r in universe.by_cik(twice).collect()} == {"7": "LAST", "8": ""}
+    assert universe.ciks(twice).count() == 2 and {r.exchange: r.n for r in universe.exchanges(got).collect()} == {"NYSE": 1, "OTC": 1}
     (tmp_path / "t.json").write_text(json.dumps({"0": {"cik_str": 1, "ticker": "A", "title": "Acme"}, "1": {"cik_str": 2, "ticker": "B", "title": "Bee"}, "2": {"cik_str": 3, "ticker": "C", "title": "ACME"}}))
     look = universe.ticker_lookup(spark, str(tmp_path / "t.json"), F.upper).orderBy("place")
     assert [tuple(r) for r in look.collect()] == [("ACME", 0, "3", "C", "ACME"), ("BEE", 1, "2", "B", "Bee")]

@@ -1,4 +1,4 @@
-"""Command line: `run` a chain of one registrant, `report` on an edge file, `holdings` against a ticker list, `scan` an index, `draw` a graph.
+"""Command line: `run` a chain of one registrant, `research` chains of many, `warm` a document cache, `report` on an edge file, `holdings` against a ticker list, `scan` an index, `draw` a graph.
 
 Exit codes: 0 done, 1 wrong arguments, 2 the chain could not be built, 3 its result could not be written.
 """
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tierwalk import config
 from tierwalk.operators import edges, graph, holdings, linkage, report, scan
-from tierwalk.plans import chain
-from tierwalk.sources import edge_files, holdings_files, submissions, universe
+from tierwalk.plans import chain, research
+from tierwalk.sources import documents, edge_files, holdings_files, submissions, universe
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +29,19 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--depth", type=int)
     r.add_argument("--limit", type=int)
     r.add_argument("--out", required=True)
+    m = sub.add_parser("research")
+    m.add_argument("--data", required=True, help="folder of Parquet tables filings, companies and, for searches, universe")
+    m.add_argument("--out", required=True)
+    for name in ("--exchange", "--search", "--cik-file", "--cik-list", "--xbrl-search", "--index-dir"):
+        m.add_argument(name, default="")
+    for name in ("--all-adversarial", "--all-adversarial-xbrl", "--prefilter"):
+        m.add_argument(name, action="store_true")
+    for name, value in (("--limit", 0), ("--depth", 2), ("--most-ciks", 100)):
+        m.add_argument(name, type=int, default=value)
+    w = sub.add_parser("warm")
+    w.add_argument("urls", help="text file of addresses")
+    w.add_argument("cache")
+    w.add_argument("--at-once", type=int, default=8)
     for name, inputs in (("report", ("edges",)), ("draw", ("edges",)), ("scan", ("index",)), ("holdings", ("table", "tickers"))):
         q = sub.add_parser(name)
         for i in inputs:
@@ -38,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--all-adversarial", action="store_true")
     q.add_argument("--include-hk", action="store_true")
     sub.choices["draw"].add_argument("--root")
+    sub.choices["draw"].add_argument("--html", action="store_true")
     sub.choices["draw"].add_argument("--hops", type=int, default=2)
     sub.choices["scan"].add_argument("--conduit", action="store_true")
     return p
@@ -74,6 +88,22 @@ def _chain(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _research(spark: SparkSession, a: argparse.Namespace) -> int:
+    words = lambda x: tuple(w.strip() for w in x.split(",") if w.strip())
+    choice = research.Choice(a.exchange, words(a.search), a.cik_file, words(a.cik_list), a.all_adversarial, words(a.xbrl_search), a.all_adversarial_xbrl, a.limit, a.prefilter)
+    sub = submissions.read(spark, a.index_dir) if a.index_dir else None
+    named = a.exchange or a.search or a.all_adversarial
+    try:
+        chosen, found = research.select(spark, choice, spark.read.parquet(f"{a.data}/universe") if named else None, sub, research.finished(spark, a.out))
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    read = lambda name: spark.read.parquet(f"{a.data}/{name}")
+    rated = research.run(spark, chosen, read("filings"), read("companies"), a.out, sub, found, max_depth=a.depth, cap=a.most_ciks)
+    print(report.triage(rated))
+    return 0
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         a = parser().parse_args(arguments)
@@ -82,6 +112,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = spark or SparkSession.builder.appName("tierwalk").getOrCreate()
     if a.command == "run":
         return _chain(spark, a)
+    if a.command == "research":
+        return _research(spark, a)
+    if a.command == "warm":
+        got = documents.complete(spark.read.text(a.urls).select(F.btrim("value").alias("url")).filter("url <> ''"), a.cache, at_once=a.at_once)
+        print("{} of {} documents".format(*got.agg(F.count("content"), F.count(F.lit(1))).first()))
+        return 0
     if a.command == "holdings":
         rows = holdings.named(holdings_files.read(spark, a.table))
         held = holdings.rollup(holdings.of_countries(rows, holdings.wanted_countries(not a.all_adversarial, a.include_hk)))
@@ -96,7 +132,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         if a.command == "draw":
             if a.root:
                 rows = graph.neighbourhood(rows, spark.createDataFrame([(a.root,)], "node string"), a.hops)
-            lines = report.drawn(rows)
+            lines = spark.createDataFrame([(report.page(rows),)], "value string") if a.html else report.drawn(rows)
             if a.out:
                 lines.coalesce(1).write.mode("overwrite").text(a.out)
                 return 0

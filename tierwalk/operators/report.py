@@ -174,3 +174,20 @@ def drawn(rows: DataFrame) -> DataFrame:
     links = rows.select(F.lit(2).alias("o"), F.concat(F.lit("  "), key(F.col("source")), F.lit(" -> "), key(F.col("target")), F.lit(' [label="'), label(F.concat_ws(" ", "relationship", blank_to_null(F.col("detail")))), F.lit('"];')).alias("value"))
     ends = rows.sparkSession.createDataFrame([(0, "digraph ownership {"), (3, "}")], "o int, value string")
     return ends.unionByName(nodes).unionByName(links).orderBy("o", "value").select("value")
+
+
+def page(rows: DataFrame, most: int = 400) -> str:
+    """An HTML page that draws the nodes with most edges (`most` of them) on a circle, with names and relationships to point at."""
+    from html import escape
+    from math import cos, pi, sin
+
+    degree = rows.select(F.explode(F.array("source", "target")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    top = degree.filter("name <> ''").orderBy(F.desc("n"), "name").limit(most)
+    names = [r["name"] for r in top.collect()]
+    both = rows.join(top.select(F.col("name").alias("source")), "source", "left_semi").join(top.select(F.col("name").alias("target")), "target", "left_semi")
+    links = both.groupBy("source", "target", "relationship").agg(F.count(F.lit(1)).alias("n")).orderBy("source", "target", "relationship").limit(20 * most).collect()
+    at = {n: (500 + 420 * cos(2 * pi * i / max(1, len(names))), 500 + 420 * sin(2 * pi * i / max(1, len(names)))) for i, n in enumerate(names)}
+    line = lambda r: f'<line x1="{at[r["source"]][0]:.1f}" y1="{at[r["source"]][1]:.1f}" x2="{at[r["target"]][0]:.1f}" y2="{at[r["target"]][1]:.1f}"><title>{escape(r["source"])} - {escape(r["relationship"])} ({r["n"]}) - {escape(r["target"])}</title></line>'
+    dot = lambda n: f'<circle cx="{at[n][0]:.1f}" cy="{at[n][1]:.1f}" r="5"><title>{escape(n)}</title></circle>'
+    style = "<style>line{stroke:#999;stroke-width:1.5}circle{fill:#247}line:hover{stroke:#c30}</style>"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Ownership graph</title>{style}</head><body><svg viewBox="0 0 1000 1000">{"".join(map(line, links))}{"".join(map(dot, names))}</svg></body></html>'

@@ -37,3 +37,19 @@ def named(universe: DataFrame, terms: list[str], name: str = "name") -> DataFram
 
 def listed_on(exchange: Column, wanted: str) -> Column:
     return F.lower(F.btrim(exchange)) == wanted.strip().lower()
+
+
+def by_cik(universe: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row for each registrant: its last one."""
+    rest = [c for c in universe.columns if c != "cik"]
+    return universe.groupBy("cik").agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r")).select("cik", "_r.*")
+
+
+def ciks(universe: DataFrame) -> DataFrame:
+    """Distinct registrants, of companies or funds."""
+    return universe.select("cik").filter("cik <> ''").distinct()
+
+
+def exchanges(universe: DataFrame) -> DataFrame:
+    """Companies of each exchange."""
+    return universe.groupBy("exchange").agg(F.count(F.lit(1)).alias("n"))
