@@ -27,7 +27,7 @@ from tierwalk.llm.common import Work, columns, ship, sliced
 
 #: Labelled ids that a fit uses at most (those with the smallest hashes), and patterns that a task counts before it gives them away.
 FIT_ROWS = 200_000
-HELD = 300_000
+HELD = 100_000
 # Seeds and exceptions.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "clown")
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pond scum", "class clown")
@@ -117,7 +117,7 @@ class Lexicon:
         self.curve = b
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def _of_word(w: str) -> tuple[str, ...]:
     return (f" {w} ", *(f" {w[:n]}" for n in range(4, min(len(w), 8) + 1)))
 
@@ -138,19 +138,18 @@ def learn(labelled: DataFrame) -> Lexicon:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # counts of a task's rows, given away when there are many, so that few rows are exchanged
-        got: dict[str, list[int]] = {}
+        got: dict[str, int] = {}  # rows, and toxic ones from the 32nd bit on
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v[0] for v in got.values()], pa.int64()), pa.array([v[1] for v in got.values()], pa.int64())], ["p", "a", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v >> 32 for v in got.values()], pa.int64()), pa.array([v & 0xFFFFFFFF for v in got.values()], pa.int64())], ["p", "a", "n"])
             got.clear()
             return out
 
         for b in batches:
             for t, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                one = 1 + (toxic << 32)
                 for p in _patterns(t.as_py()):
-                    v = got.setdefault(p, [0, 0])
-                    v[0] += toxic
-                    v[1] += 1
+                    got[p] = got.get(p, 0) + one
                 if len(got) > HELD:
                     yield flush()
         if got:
