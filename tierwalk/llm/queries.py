@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import bpe, chunks, decontaminate, exact_dedup, gru, linkgraph, ngram_join, sharding, tokenstore, toxicity
+from tierwalk.llm import bpe, chunks, decontaminate, divergence, exact_dedup, gru, kmeans, linkgraph, ngram_join, sharding, tokenstore, toxicity
 from tierwalk.llm.common import Work, table
 
 
@@ -56,6 +56,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, seed=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_range_coded_ids, op2_toxicity, op3_byte_bpe, op4_label_propagation_shards, op5_gru_lm, op6_exact_dedup, op7_link_graph, op8_content_chunks, op9_suffix_decontamination, op10_ngram_jaccard, pipeline)
+    own = (op1_range_coded_ids, op2_toxicity, op3_byte_bpe, op4_label_propagation_shards, op5_gru_lm, op6_exact_dedup, op7_link_graph, op8_content_chunks, op9_suffix_decontamination, op10_ngram_jaccard, op11_source_divergence, op12_kd_tree_clusters, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -72,6 +80,27 @@ def _words(pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
 
 
+def _kmeans_sql(k: int, rounds: int, width: int, seed: int) -> str:
+    """Lloyd's rounds written out one after the other; the state of each is a row for each centroid's component."""
+    nearest = """SELECT vec_id, row, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (
+                 SELECT row, any_value(vec_id) AS vec_id, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM v JOIN m{r} m USING (i) GROUP BY row, c) GROUP BY vec_id, row"""
+    steps = [
+        f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+                   WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}),
+            v AS MATERIALIZED (SELECT row, vec_id, unnest(range({width})) AS i, unnest(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS x FROM e),
+            s AS MATERIALIZED (SELECT row, (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1)::BIGINT AS c FROM e QUALIFY c < {k}),
+            m0 AS MATERIALIZED (SELECT c, i, x FROM v JOIN s USING (row))"""
+    ]
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({nearest.format(k=k, r=r)}),
+            n{r} AS MATERIALIZED (SELECT c, i, sum(x)::BIGINT AS t, count(*) AS n FROM v JOIN (SELECT row, c FROM a{r}) USING (row) GROUP BY c, i),
+            m{r + 1} AS MATERIALIZED (SELECT m.c, m.i, CASE WHEN n IS NULL THEN m.x ELSE (t - ((t % n) + n) % n) // n END AS x FROM m{r} m LEFT JOIN n{r} USING (c, i))""")
+    steps.append(f"""z AS MATERIALIZED ({nearest.format(k=k, r=rounds)})""")
+    return ",\n            ".join(steps) + f"""
+            SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+            FROM z JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c) USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": """
@@ -102,4 +131,19 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT node, min(root) AS root FROM w GROUP BY 1)
             SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id)::BIGINT AS component_id
             FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN m ON m.node = c.rep""",
+        "op11_source_divergence": rf"""
+            WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_words("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")} AS l FROM documents),
+            w AS MATERIALIZED (SELECT row, lang, source, unnest(l) AS term FROM d),
+            k AS MATERIALIZED (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+            n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+            c AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n.n, 0)::HUGEINT AS n, lang_n FROM (SELECT DISTINCT lang, source FROM d) g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+            p AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS p, 1 + (1000000000 * (lang_n + 1)) // (sum(n) OVER l + count(*) OVER g) AS q
+                  FROM c WINDOW g AS (PARTITION BY lang, source), l AS (PARTITION BY lang)),
+            s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            o AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+            t AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+            SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM o
+            UNION ALL (SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM t QUALIFY rank <= 200)""",
+        "op12_kd_tree_clusters": _kmeans_sql(8, 10, 64, 3),
     }
