@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import bpe, chunks, decontaminate, divergence, exact_dedup, gru, kmeans, linkgraph, ngram_join, sharding, tokenstore, toxicity
+from tierwalk.llm import bpe, chunks, decontaminate, divergence, exact_dedup, gru, kmeans, linkgraph, media, ngram_join, sharding, tokenstore, toxicity
 from tierwalk.llm.common import Work, table
 
 
@@ -64,6 +64,10 @@ def op12_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, seed=3)
 
 
+def op13_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_payloads(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_range_coded_ids, op2_toxicity, op3_byte_bpe, op4_label_propagation_shards, op5_gru_lm, op6_exact_dedup, op7_link_graph, op8_content_chunks, op9_suffix_decontamination, op10_ngram_jaccard, op11_source_divergence, op12_kd_tree_clusters, pipeline)
+    own = (op1_range_coded_ids, op2_toxicity, op3_byte_bpe, op4_label_propagation_shards, op5_gru_lm, op6_exact_dedup, op7_link_graph, op8_content_chunks, op9_suffix_decontamination, op10_ngram_jaccard, op11_source_divergence, op12_kd_tree_clusters, op13_lossless_webp, pipeline)
     return {f.__name__: f for f in own}
 
 
