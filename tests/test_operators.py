@@ -3,12 +3,13 @@
 import random
 from collections import deque
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tierwalk import cli, config
-from tierwalk.operators import edges, gaps, graph, holdings, linkage, records, report, scan, targets
+from tierwalk.operators import edges, gaps, graph, holdings, linkage, order, records, report, scan, targets
 from tierwalk.plans import chain, research
 from tierwalk.sources import edge_files
 from tierwalk.streaming import index
@@ -280,3 +281,97 @@ def test_research(spark, sub, tmp_path):
     assert research.select(spark, research.Choice(search=("china", "russia")), companies, done=research.finished(spark, out))[0].count() == 0
     assert "HIGH" in "".join(r[0] for r in spark.read.text(f"{out}/triage").collect())
     assert research.code_report(sub) == {"codes": {"CN": 1, "KY": 1}, "fields": {"countryba": 1, "countryinc": 1, "countryma": 1}, "moved_abroad": 1, "intermediaries": 1}
+
+
+def _research_inputs(spark, monkeypatch):
+    """Five roots, of which the last has no edges; a chain gives a root of number n as many edges as its last digit, at their places."""
+    ciks = ("111111", "222222", "333333", "444444", "7")
+    row = F.explode(F.sequence(F.lit(1), F.pmod(F.col("cik").cast("int"), F.lit(10))))
+
+    def edges_of(filings, companies, roots, sub=None, **how):
+        rows = roots.filter("cik <> '7'").select(F.col("cik").alias("root_cik"), row.alias("seq"))
+        flags = {c: F.lit(False) for c in edges.FLAGS}
+        values = {c: F.concat(F.lit(f"{c[:3]} "), F.col("root_cik"), F.lit(" "), F.col("seq").cast("string")) for c in edge_files.COLUMNS if c not in flags and c != "chain_depth"}
+        return chain.Chain(rows.withColumns(values | flags | {"chain_depth": F.lit(1), "source_risk_tier": F.lit("ADVERSARIAL"), "target_risk_tier": F.lit("CONDUIT")}), None, None)
+
+    monkeypatch.setattr(chain, "run", edges_of)
+    return research.select(spark, research.Choice(ciks=ciks))[0], None, None
+
+
+def _all_of(spark, out):
+    """Everything that a finished folder tells, without the numbers of batches."""
+    result = research.Output(spark, out)
+    files = {(r.root_cik, r.rating, line) for r in result.edges().collect() for line in ["|".join(str(r[c]) for c in edge_files.COLUMNS)]}
+    texts = {n: [r.value for r in spark.read.text(f"{out}/{n}").collect()] for n in ("triage", "research", "summary")}
+    path = result.compact("now")
+    parts = sorted(Path(path).glob("part-*"))
+    return files, texts, "".join(p.read_text() for p in parts), {r.cik for r in research.finished(spark, out).collect()}
+
+
+def test_research_broken_off_and_taken_up_again(spark, tmp_path, monkeypatch):
+    """A run that breaks off, after one batch and in the midst of the next, and is taken up again ends like one that doesn't."""
+    chosen, filings, about = _research_inputs(spark, monkeypatch)
+    whole, broken = str(tmp_path / "whole"), str(tmp_path / "broken")
+    research.run(spark, chosen, filings, about, whole, max_depth=1, batches=3, made="now")
+
+    own, calls = research.Output._commit, []
+
+    def breaks(self, batch, facts):
+        calls.append(batch)
+        if len(calls) == 2:  # the edges are there, the commit isn't
+            raise RuntimeError("lost")
+        own(self, batch, facts)
+
+    monkeypatch.setattr(research.Output, "_commit", breaks)
+    with pytest.raises(RuntimeError):
+        research.run(spark, chosen, filings, about, broken, max_depth=1, batches=3, made="now")
+    n = research.finished(spark, broken).count()
+    assert 0 < n < 5
+    monkeypatch.setattr(research.Output, "_commit", own)
+    research.run(spark, chosen, filings, about, broken, max_depth=1, batches=2, made="now")
+    assert _all_of(spark, whole) == _all_of(spark, broken)
+    files, _, combined, done = _all_of(spark, broken)
+    assert done == {"111111", "222222", "333333", "444444", "7"} and {r for r, _, _ in files} == done - {"7"}
+    lines = combined.splitlines()
+    assert lines.count("|".join(edge_files.COLUMNS)) == 1 and sum(not x.startswith("#") for x in lines) == 1 + len(files)
+    assert "# Roots: 5" in lines
+
+
+def test_a_root_run_again_replaces_its_edges(spark, tmp_path):
+    out = research.Output(spark, str(tmp_path / "o"))
+    row = lambda root, source: (root, 1, *[source if c == "source" else "x" for c in edge_files.COLUMNS])
+    schema = "root_cik string, seq int, " + ", ".join(f"{c} string" for c in edge_files.COLUMNS)
+    rated = lambda *r: spark.createDataFrame([(x, "HIGH", 1) for x in r], "root_cik string, rating string, at int")
+    assert out.results() is None and out.edges().count() == 0 and research.finished(spark, out.base).count() == 0
+    out.add(spark.createDataFrame([row("0011", "first"), row("22", "kept")], schema), rated("0011", "22"), "now", {"edges": 2})
+    out.add(spark.createDataFrame([row("0011", "second")], schema), rated("0011"), "now", {"edges": 1})
+    assert {(r.root_cik, r.source) for r in out.edges().collect()} == {("0011", "second"), ("22", "kept")}
+    assert [b["edges"] for b in out.log()] == [2, 1]
+
+
+def test_edge_files_of_large_roots_are_whole(spark, tmp_path):
+    """A root with most edges lies in several parts; the first has the header, and no edge is taken for one."""
+    n = 3000
+    rows = spark.range(n).select(F.when(F.col("id") % 10 < 9, "big").otherwise(F.concat(F.lit("r"), F.col("id") % 5)).alias("root_cik"), F.lit("LOW").alias("rating"), F.col("id").alias("seq"), *[F.concat(F.lit(f"{c} "), "id").alias(c) for c in edge_files.COLUMNS])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows lie in one part
+    edge_files.write_by_root(rows, str(tmp_path / "e"), ["seq"], "now")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = edge_files.read_by_root(spark, [str(tmp_path / "e")])
+    assert got.count() == n and got.select("source").distinct().count() == n
+    parts = sorted((tmp_path / "e" / "rating=LOW" / "root_cik=big").glob("part-*"))
+    texts = [p.read_text() for p in parts]
+    assert len(parts) > 1 and texts[0].startswith("# Generated: now\n# Root CIK: big\n") and sum(t.count("|".join(edge_files.COLUMNS)) for t in texts) == 1
+    assert [x.split("|")[0] for t in texts for x in t.splitlines() if x.startswith("source ")] == [f"source {i}" for i in range(n) if i % 10 < 9]
+
+
+def test_numbers_across_tasks(spark):
+    """Ordinals of a group that lies in many tasks, and of many small groups."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 7 < 6, None).otherwise(F.col("id") % 50).alias("g"), F.xxhash64("id").alias("o")).repartition(8)
+    got = order.numbered(df, ["o"], "n", ["g"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r.n, r.o))
+    for rows in by.values():
+        rows.sort()
+        assert [n for n, _ in rows] == list(range(1, len(rows) + 1)) and [o for _, o in rows] == sorted(o for _, o in rows)
+    assert len(got) == 20_000 and order.numbered(df.limit(0), ["o"], "n").count() == 0

@@ -108,8 +108,9 @@ def test_edge_files(spark, tmp_path):
     (tmp_path / "none.csv").write_text("# a: b\n")
     assert edge_files.read(spark, str(tmp_path / "none.csv"), cols).count() == 0
     rated = edges.withColumns({"root_cik": F.lit("7"), "rating": F.lit("HIGH")})
-    edge_files.write_by_root(rated, str(tmp_path / "roots"), ["seq"], columns=cols)
-    assert spark.read.text(str(tmp_path / "roots" / "rating=HIGH" / "root_cik=7")).count() == 3
+    edge_files.write_by_root(rated, str(tmp_path / "roots"), ["seq"], "now", columns=cols)
+    assert [tuple(r) for r in edge_files.read(spark, str(tmp_path / "roots" / "rating=HIGH" / "root_cik=7"), cols).collect()] == [("First/One", "say 'hi'", "Y", ""), ("#Third", "T", "", "x")]
+    assert edge_files.read_by_root(spark, [str(tmp_path / "roots")], cols).filter("source <> ''").count() == 2
     assert edge_files.combined([edges, edges]).count() == 6
 
 

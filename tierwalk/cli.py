@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
         m.add_argument(name, default="")
     for name in ("--all-adversarial", "--all-adversarial-xbrl", "--prefilter"):
         m.add_argument(name, action="store_true")
-    for name, value in (("--limit", 0), ("--depth", 2), ("--most-ciks", 100)):
+    for name, value in (("--limit", 0), ("--depth", 2), ("--most-ciks", 100), ("--batches", 1)):
         m.add_argument(name, type=int, default=value)
     w = sub.add_parser("warm")
     w.add_argument("urls", help="text file of addresses")
@@ -99,7 +99,7 @@ def _research(spark: SparkSession, a: argparse.Namespace) -> int:
         print(e, file=sys.stderr)
         return 1
     read = lambda name: spark.read.parquet(f"{a.data}/{name}")
-    rated = research.run(spark, chosen, read("filings"), read("companies"), a.out, sub, found, max_depth=a.depth, cap=a.most_ciks)
+    rated = research.run(spark, chosen, read("filings"), read("companies"), a.out, sub, found, a.batches, max_depth=a.depth, cap=a.most_ciks)
     print(report.triage(rated))
     return 0
 

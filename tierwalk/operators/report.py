@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tierwalk.functions import lookup, names, owners
 from tierwalk.functions.text import blank_to_null
 from tierwalk.operators import edges, graph
+from tierwalk.operators.order import numbered
 
 SIGNS = {"CRITICAL": "\U0001f534", "HIGH": "\U0001f7e0", "ELEVATED": "\U0001f7e1", "MODERATE": "\U0001f535", "LOW": "\U0001f7e2", "UNKNOWN": "⚪"}
 
@@ -141,13 +142,23 @@ def rated_roots(rows: DataFrame, root: str = "root_cik") -> DataFrame:
     return edges.summary(rows, keys).drop("adversarial_jurisdictions").join(edges.ratings(rows, keys).select(root, "score", "rating", "sectors", "reasons", "adversarial"), root).join(firsts, root)
 
 
-def triage(rated: DataFrame, root: str = "root_cik") -> str:
-    """The roots by falling score as Markdown, then how many there are of each rating."""
-    ordered = rated.orderBy(F.desc("score"), root).collect()  # a row for each root that was asked for
-    out = ["# Triage Manifest", "", f"CIKs processed: {len(ordered)}", "", "| Priority | Rating | Score | CIK | Company | Sectors | Adversarial Jurisdictions |", "|---|---|---|---|---|---|---|"]
-    out += [f"| {i} | {SIGNS[r['rating']]} **{r['rating']}** | {r['score']} | {r[root]} | {r['company_name'] or 'CIK ' + str(r[root])} | {', '.join(r['sectors'] or [])} | {', '.join(r['adversarial'])} |" for i, r in enumerate(ordered, 1)]
+def triage_lines(rated: DataFrame, root: str = "root_cik") -> DataFrame:
+    """value: the roots by falling score as Markdown, then how many there are of each rating. Lines are made and sorted as rows; only counts reach the driver."""
+    spark = rated.sparkSession
+    sign = F.create_map(*[F.lit(x) for k, v in SIGNS.items() for x in (k, v)])
+    cells = [F.concat(sign[F.col("rating")], F.lit(" **"), "rating", F.lit("**")), F.col("score").cast("string"), F.col(root), F.coalesce("company_name", F.concat(F.lit("CIK "), root)), F.array_join(F.coalesce("sectors", F.array().cast("array<string>")), ", "), F.array_join(F.coalesce("adversarial", F.array().cast("array<string>")), ", ")]
+    ordered = numbered(rated.select(F.col(root).alias("_r"), (-F.col("score")).alias("_s"), F.concat(F.lit(" | "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("_c")), ["_s", "_r"], "_i")
     n = {r["rating"]: r["n"] for r in counts(rated, "rating").collect()}
-    return "\n".join([*out, "", "| Rating | Count |", "|---|---|", *[f"| {SIGNS[k]} **{k}** | {n[k]} |" for k in SIGNS if k in n], ""])
+    head = ["# Triage Manifest", "", f"CIKs processed: {sum(n.values())}", "", "| Priority | Rating | Score | CIK | Company | Sectors | Adversarial Jurisdictions |", "|---|---|---|---|---|---|---|"]
+    tail = ["", "| Rating | Count |", "|---|---|", *[f"| {SIGNS[k]} **{k}** | {n[k]} |" for k in SIGNS if k in n], ""]
+    ends = spark.createDataFrame([(p, i, x) for p, part in ((0, head), (2, tail)) for i, x in enumerate(part)], "p int, i long, value string")
+    lines = ordered.select(F.lit(1).alias("p"), F.col("_i").alias("i"), F.concat(F.lit("| "), F.col("_i").cast("string"), "_c").alias("value"))
+    return ends.unionByName(lines).orderBy("p", "i").select("value")
+
+
+def triage(rated: DataFrame, root: str = "root_cik") -> str:
+    """The lines of triage_lines as one text, for a report of few roots."""
+    return "\n".join(r["value"] for r in triage_lines(rated, root).collect())
 
 
 def run_summary(rated: DataFrame) -> str:

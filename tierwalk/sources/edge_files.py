@@ -35,10 +35,33 @@ def write(edges: DataFrame, path: str, facts: dict[str, str], order: list[str],
     spark.createDataFrame([("\n".join(top),)], "value string").coalesce(1).union(rows.select("value")).write.mode("overwrite").text(path)
 
 
-def write_by_root(edges: DataFrame, path: str, order: list[str], root: str = "root_cik", rating: str = "rating", columns: tuple[str, ...] = COLUMNS) -> None:
-    """Lines of all roots in one job, in folders by rating and root; each part begins with the header."""
-    rows = edges.select(root, rating, *order, line(edges, columns).alias("value"))
-    rows.repartitionByRange(root, *order).sortWithinPartitions(root, *order).select(rating, root, "value").write.mode("overwrite").partitionBy(rating, root).option("header", False).text(path)
+def write_by_root(edges: DataFrame, path: str, order: list[str], made: str, root: str = "root_cik", rating: str = "rating", columns: tuple[str, ...] = COLUMNS) -> None:
+    """Edge files of all roots in one job, in folders by rating and root. A root's folder is one edge file, in parts: the first begins with
+    the facts and the header, and a root with many edges goes to several tasks. Only the folders of `path` are replaced.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = edges.select(F.col(rating).alias("rating"), F.col(root).cast("string").alias("root_cik"), F.lit(1).alias("_p"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], line(edges, columns).alias("value"))
+    facts = [F.lit(f"# {k}: {v}\n") if k != "Root CIK" else F.concat(F.lit("# Root CIK: "), "root_cik", F.lit("\n")) for k, v in header("", made, columns).items()]
+    kinds = dict(rows.dtypes)
+    tops = rows.select("rating", "root_cik").distinct().select("rating", "root_cik", F.lit(0).alias("_p"), *[F.lit(None).cast(kinds[k]).alias(k) for k in keys], F.concat(*facts, F.lit("|".join(columns))).alias("value"))
+    by = ("rating", "root_cik", "_p", *keys)
+    rows.unionByName(tops).repartitionByRange(*by).sortWithinPartitions(*by).select("rating", "root_cik", "value").write.mode("overwrite").partitionBy("rating", "root_cik").text(path)
+
+
+def read_by_root(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """folder, rating, root_cik, at (the place in a root's file) and the columns of all edges under folders that `write_by_root` made."""
+    if not paths:
+        return spark.createDataFrame([], "folder string, rating string, root_cik string, at struct<file: string, block: long, seq: long>, " + ", ".join(f"{c} string" for c in columns))
+    every = None
+    for p in paths:
+        one = spark.read.schema("value string, rating string, root_cik string").text(p)
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+        one = one.select("value", F.lit(p).alias("folder"), "rating", "root_cik", at.alias("at"))
+        every = one if every is None else every.unionByName(one)
+    of = ["folder", "rating", "root_cik"]
+    heads = every.filter(~F.col("value").startswith("#")).groupBy(*of).agg(F.min("at").alias("head"))
+    rows = every.join(heads, of).filter(F.col("at") > F.col("head")).withColumn("f", F.split("value", r"\|", -1))
+    return rows.select(*of, "at", *[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)])
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
