@@ -112,6 +112,31 @@ def test_containment_and_fuzzy_like_all_pairs(spark):
         assert got[n] == (best, "fuzzy" if best else "none", pytest.approx(score, abs=6e-4))
 
 
+def test_candidates_are_few_and_complete(spark):
+    """Of random names, all pairs of ratio 0.8 are candidates, and candidates are under a hundredth of all pairs."""
+    rng = random.Random(4)
+    letters = "EEEEEEEEEEEETTTTTTTTTAAAAAAAAOOOOOOOOIIIIIIINNNNNNNSSSSSSHHHHHHRRRRRRDDDDLLLLCCCUUUMMWWFFGGYYPPBVKJXQZ"
+    name = lambda: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 10))) for _ in range(rng.randrange(2, 5)))
+    right = sorted({name() for _ in range(400)})
+    left = sorted({name() for _ in range(60)} | {r[:4] + rng.choice(letters) + r[5:-1] for r in right[:60]} | {r + " GROUP" for r in right[60:90]} | {"A", "\U0001f600 Ñ"})
+    df = lambda x: spark.createDataFrame([(n,) for n in x], "_k string")
+    for t, most in ((0.8, 0.01), (0.5, 1.0)):
+        got = {(r._k, r._o) for r in linkage.near(df(left), df(right), t).collect()}
+        fits = lambda a, b: min(len(a), len(b)) >= 0.6 * max(len(a), len(b)) and SequenceMatcher(None, a, b).ratio() >= t  # noqa: B023, E731
+        want = {(a, b) for a in left for b in right if fits(a, b)}
+        assert want and want <= got and len(got) <= most * len(left) * len(right)
+
+
+def test_common_beginnings_dont_meet(spark):
+    """100,000 names with one beginning: each term meets a few texts, those of its rarest gram."""
+    start = "CHINA NATIONAL PETROLEUM AND NATURAL GAS "
+    whole = spark.range(100_000).select(F.concat(F.lit(start), F.lpad(F.conv(F.col("id") * 7919 % 100_003, 10, 36), 6, "0")).alias("w"))
+    terms = whole.filter("xxhash64(w) % 50 = 0").select(F.col("w").alias("p"))
+    _, rarest = linkage.rarest_grams(whole, terms, "w", "p")
+    assert rarest.count() == terms.count() > 1000 and rarest.agg(F.max("_gram_n")).first()[0] <= 5
+    assert linkage.holds(whole, terms, "w", "p").filter("w = p").count() == terms.count()
+
+
 SUB = "adsh string, cik string, name string, sic string, countryba string, countryinc string, stprinc string, countryma string, former string, form string, filed string, aciks string, source_period string, seq int"
 
 

@@ -1,4 +1,4 @@
-"""Linking names: containment by grams, exact after normalization, fuzzy by length bands. No join compares all pairs."""
+"""Linking names: containment by a term's rarest gram, exact after normalization, fuzzy by rare characters and signatures."""
 
 from __future__ import annotations
 
@@ -8,27 +8,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierwalk.functions.text import bare_name
+from tierwalk.operators.order import numbered
+from tierwalk.session import stored
 
-#: Characters of a gram: a text that holds a term holds its first 12 characters, of shorter terms the first 6, else the whole.
+#: Characters of a gram: terms of 12 characters and more are met by one of their grams of 12, shorter ones by one of 6, those under 6 by themselves.
 SHORT_GRAM, LONG_GRAM = 6, 12
 
 
-def _grams(text, k: int):
-    """Distinct substrings of k characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), lambda i: F.substr(text, i, F.lit(k))))
+def _grams(text, k):
+    """Distinct substrings of k characters (a number or a column)."""
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), lambda i: F.substr(text, i, k)))
 
 
-def holds(whole: DataFrame, part: DataFrame, text: str, term: str) -> DataFrame:
-    """Rows of whole beside each row of part whose term their text holds; terms are met by their first characters.
+def rarest_grams(whole: DataFrame, part: DataFrame, text: str, term: str) -> tuple[DataFrame, DataFrame]:
+    """Texts by gram (text, _gram), and for each term (distinct, not empty) the gram of it that the fewest texts hold, the first of several: term, _gram, _gram_n texts.
 
-    Terms are compared as they are; empty terms are held by nothing.
+    Only grams of terms are counted, so counts are as many as the terms' grams. A term with a gram that no text holds is in no text and is left out.
     """
     n = F.length(term)
     size = F.when(n >= LONG_GRAM, LONG_GRAM).when(n >= SHORT_GRAM, SHORT_GRAM).otherwise(n)
-    lengths = [r["k"] for r in part.filter(n > 0).select(size.alias("k")).distinct().collect()]  # seven numbers at most
-    rows = part.filter(n > 0).withColumn("_g", F.left(F.col(term), size))
-    grams = F.concat(F.array().cast("array<string>"), *[_grams(F.col(text), k) for k in sorted(lengths)])
-    return whole.withColumn("_g", F.explode(F.array_distinct(grams))).join(rows, "_g").filter(F.contains(F.col(text), F.col(term))).drop("_g")
+    terms = part.select(term).filter(n > 0).distinct()
+    lengths = [r["k"] for r in terms.select(size.alias("k")).distinct().collect()]  # seven numbers at most
+    of_terms = stored(terms.select(term, F.explode(_grams(F.col(term), size)).alias("_gram")), "term-grams")
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(F.col(text), k) for k in sorted(lengths)]))
+    of_texts = whole.select(text).distinct().select(text, F.explode(every).alias("_gram")).join(of_terms.select("_gram").distinct(), "_gram", "left_semi")
+    of_texts = stored(of_texts, "text-grams")
+    counts = of_texts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_gram_n"))
+    known = of_terms.join(counts, "_gram", "left").withColumn("_gram_n", F.coalesce("_gram_n", F.lit(0)))
+    rarest = known.groupBy(term).agg(F.min(F.struct("_gram_n", "_gram")).alias("_r")).filter("_r._gram_n > 0")
+    return of_texts, rarest.select(term, "_r._gram", "_r._gram_n")
+
+
+def holds(whole: DataFrame, part: DataFrame, text: str, term: str) -> DataFrame:
+    """Rows of whole beside each row of part whose term their text holds; a term meets the texts that hold its rarest gram, so a common beginning doesn't bring all names of it together.
+
+    Terms are compared as they are; empty terms are held by nothing.
+    """
+    of_texts, rarest = rarest_grams(whole, part, text, term)
+    pairs = of_texts.join(rarest.select(term, "_gram"), "_gram").filter(F.contains(F.col(text), F.col(term))).select(F.col(text).alias("_w"), F.col(term).alias("_p"))
+    met = whole.join(pairs, F.col(text) == F.col("_w")).drop("_w")
+    return met.join(part, F.col("_p") == F.col(term)).drop("_p")
 
 
 def searched(companies: DataFrame, terms: DataFrame, names: Sequence[str] = ("name", "ticker"), seq: str = "seq") -> DataFrame:
@@ -82,21 +102,52 @@ def exact(left: DataFrame, right: DataFrame, left_name: str, right_name: str) ->
     return a.join(b, "_k", "left").drop("_k")
 
 
+#: Of lengths that are compared the lesser is this share of the greater at least.
+LEAST_LENGTH = 0.6
+_SURE = 1e-9
+
+
+def near(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs _k, _o of names (both columns _k, distinct and not empty) that may have a ratio of matching blocks of `threshold` (over 0) or more, and have all that do.
+
+    Matching blocks match each character once, so names of n and m characters with a ratio of t have t (n + m) / 2 characters in
+    common, as bags. A bag's tokens are (character, which of its kind); in the order of rising frequency two such bags share
+    one of the first n - t (n + m) / 2 + 1 tokens, for the least m that can count: names meet in an index of these. Of
+    those that meet, only pairs go on whose signatures (128 bits, each token flips one) differ in (1 - t) (n + m) bits at most.
+    """
+    t = threshold
+    n = F.length("_k")
+    names = left.select("_k", F.lit(0).alias("_side")).unionByName(right.select("_k", F.lit(1).alias("_side"))).distinct()
+    chars = names.select("_k", "_side", F.explode(F.regexp_extract_all("_k", F.lit("(?s)."), F.lit(0))).alias("_c"))
+    tokens = chars.groupBy("_k", "_side", "_c").agg(F.count(F.lit(1)).alias("_m")).select("_k", "_side", "_c", F.explode(F.sequence(F.lit(1).cast("long"), "_m")).alias("_i"))
+    tokens = stored(tokens, "tokens")
+    counts = tokens.groupBy("_c", "_i").agg(F.sum("_side").alias("_df"))
+    ranks = numbered(counts, ["_df", "_c", "_i"], "_rank")
+    flip = lambda half: F.bit_xor(F.when(F.pmod(F.col("_rank"), F.lit(128)) >= 64 if half else F.pmod(F.col("_rank"), F.lit(128)) < 64, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("_rank"), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long")))
+    bags = tokens.join(ranks, ["_c", "_i"]).groupBy("_k", "_side").agg(F.sort_array(F.collect_list("_rank")).alias("_t"), flip(0).alias("_s0"), flip(1).alias("_s1"))
+    least = F.ceil(F.greatest(n * (t / (2 - t)), n * LEAST_LENGTH) - _SURE)
+    shared = F.greatest(F.lit(1), F.ceil((n + least) * (t / 2) - _SURE))
+    bags = stored(bags.select("_side", "_k", n.alias("_n"), "_s0", "_s1", F.explode(F.slice("_t", F.lit(1), F.greatest(F.lit(0), n - shared + 1).cast("int"))).alias("_token")), "prefixes")
+    a = bags.filter("_side = 0").drop("_side")
+    b = bags.filter("_side = 1").select("_token", F.col("_k").alias("_o"), F.col("_n").alias("_m"), F.col("_s0").alias("_z0"), F.col("_s1").alias("_z1"))
+    apart = F.bit_count(F.col("_s0").bitwiseXOR(F.col("_z0"))) + F.bit_count(F.col("_s1").bitwiseXOR(F.col("_z1")))
+    lengths = F.least("_n", "_m") >= F.greatest("_n", "_m") * LEAST_LENGTH - _SURE
+    return a.join(b, (a["_token"] == b["_token"]) & lengths & (apart <= (F.col("_n") + F.col("_m")) * (1 - t) + _SURE)).select("_k", "_o").distinct()
+
+
 def fuzzy(left: DataFrame, lookup: DataFrame, name: str, threshold: float = 0.8) -> DataFrame:
     """left with cik, sec_name, ticker, match_type (exact, fuzzy or none) and match_score from lookup (key, place, cik, ticker, title).
 
     Names are compared without company suffixes. Without an equal one the most similar counts, if the ratio of its matching
-    blocks is `threshold` or more, the first place of several; names whose lengths differ by more than two fifths are left out.
-    Lengths are dealt to bands whose neighbours hold all lengths that come near enough, so names meet by band.
+    blocks is `threshold` (over 0) or more, the first place of several; names whose lengths differ by more than two fifths are left out.
     """
     names = left.select(F.col(name)).distinct().withColumn("_k", bare_name(F.col(name)))
     known = lookup.select(F.col("key").alias("_k"), "place", "cik", F.col("title").alias("sec_name"), "ticker")
     same = names.join(known.drop("place"), "_k").select(name, "cik", "sec_name", "ticker", F.lit("exact").alias("match_type"), F.lit(1.0).alias("match_score"))
-    rest = names.join(same.select(name), name, "left_anti").filter("_k <> ''")
-    # |a - b| <= 0.4 max(a, b) means the lesser is 0.6 of the greater or more: their logarithms to 1 / 0.6 differ by one at most
-    band = F.floor(F.log(F.length("_k").cast("double")) / F.lit(0.5108256237659907)).cast("int")
-    near = rest.withColumn("_b", F.explode(F.array(band - 1, band, band + 1)))
-    pairs = near.join(known.filter("_k <> ''").withColumn("_b", band).withColumnRenamed("_k", "_o"), "_b")
+    rest = stored(names.join(same.select(name), name, "left_anti").filter("_k <> ''"), "unmatched")
+    # of registrants with one name the first
+    firsts = known.filter("_k <> ''").groupBy(F.col("_k").alias("_o")).agg(F.min_by(F.struct("place", "cik", "sec_name", "ticker"), "place").alias("_f"))
+    pairs = near(rest.select("_k").distinct(), firsts.select(F.col("_o").alias("_k")), threshold)
     pairs = pairs.filter(F.abs(F.length("_o") - F.length("_k")) <= F.greatest(F.length("_o"), F.length("_k")) * 0.4)
 
     @F.pandas_udf("double")
@@ -105,13 +156,13 @@ def fuzzy(left: DataFrame, lookup: DataFrame, name: str, threshold: float = 0.8)
 
         def one(x, y):
             m = SequenceMatcher(None, x, y)
-            # two upper bounds first
-            return m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0
+            # an upper bound first
+            return m.ratio() if m.quick_ratio() >= threshold else 0.0
 
         return a.combine(b, one)
 
-    scored = pairs.withColumn("_s", ratio("_k", "_o")).filter(F.col("_s") >= threshold)
-    best = scored.groupBy(name).agg(F.max_by(F.struct("cik", "sec_name", "ticker", "_s"), F.struct(F.col("_s"), -F.col("place"))).alias("_r"))
-    best = best.select(name, "_r.cik", "_r.sec_name", "_r.ticker", F.lit("fuzzy").alias("match_type"), F.round("_r._s", 3).alias("match_score"))
+    scored = pairs.withColumn("_s", ratio("_k", "_o")).filter(F.col("_s") >= threshold).join(firsts, "_o")
+    best = scored.groupBy("_k").agg(F.max_by(F.struct("_f", "_s"), F.struct(F.col("_s"), -F.col("_f.place"))).alias("_r"))
+    best = rest.join(best, "_k").select(name, "_r._f.cik", "_r._f.sec_name", "_r._f.ticker", F.lit("fuzzy").alias("match_type"), F.round("_r._s", 3).alias("match_score"))
     out = left.join(same.unionByName(best), name, "left")
     return out.withColumns({"match_type": F.coalesce("match_type", F.lit("none")), "match_score": F.coalesce("match_score", F.lit(0.0)), **{c: F.coalesce(c, F.lit("")) for c in ("cik", "sec_name", "ticker")}})

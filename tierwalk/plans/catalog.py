@@ -348,10 +348,20 @@ def person_names(spark, sf_dir):
     return p.names(spark, sf_dir).select("key", names.is_person_name(F.col("name")).alias("valid"))
 
 
+def _lettered(name):
+    """Two words of letters, told by a name's digest: every name has its own."""
+    letters = F.translate(F.sha2(name, 256), "0123456789abcdef", "AEIOURSTLNMCDPBG")
+    return F.concat(F.substring(letters, 1, 7), F.lit(" "), F.substring(letters, 8, 9))
+
+
 @query()
 def fuzzy_match(spark, sf_dir):
-    left = p.table(spark, sf_dir, "supplier").select(F.concat(F.lit("Acme "), F.col("s_name"), F.lit(" Widgets, LLC")).alias("entity_name"))
-    right = p.table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(text.bare_name(F.concat(F.lit("Acme "), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit(" Widget Inc"))).alias("key"), F.col("c_custkey").alias("place"), F.col("c_custkey").cast("string").alias("cik"), F.col("c_name").alias("title"), F.lit("T").alias("ticker"))
+    """Suppliers under the names of customers: with a suffix, with a letter changed, cut short, and under names of their own; against all customers."""
+    k, base = F.col("s_suppkey"), _lettered(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")))
+    changed = p._pick((F.concat(base, F.lit(", LLC")), F.concat(F.substring(base, 1, 4), F.lit("X"), F.substring(base, 6, 20)), F.substring(base, 1, 15), _lettered(F.col("s_name"))), F.pmod(k, F.lit(4)))
+    left = p.table(spark, sf_dir, "supplier").select(changed.alias("entity_name"))
+    title = _lettered(F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
+    right = p.table(spark, sf_dir, "customer").select(text.bare_name(title).alias("key"), F.col("c_custkey").alias("place"), F.col("c_custkey").cast("string").alias("cik"), title.alias("title"), F.lit("T").alias("ticker"))
     return linkage.fuzzy(left, right, "entity_name")
 
 
