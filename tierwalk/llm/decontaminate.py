@@ -3,15 +3,17 @@
 An Arrow batch of documents is a shard: its words are numbered by the benchmark's vocabulary, and the suffixes of its
 word sequence that can begin a match (the first two words are neighbours in the benchmark) are sorted by their first
 words. Every benchmark suffix is binary-searched in that array by the words of a window; suffixes with a whole window
-as prefix are the places. Matches that don't begin earlier are then followed to their ends: these are the longest
-verbatim matches, with their places in the document and in the item. Nothing of a shard outlives its batch, so no
-exchange is needed and a lost executor costs its batches only.
+as prefix are the places: a range, however many they are. The runs of words that met windows cover, in the documents and
+in the items, are then sorted by all their words (ranks of 1, 2, 4, ... words); the nearest item suffix above or below gives each
+suffix its longest verbatim match, with its places in the document and in the item. Nothing is quadratic in a repetitive
+text. Nothing of a shard outlives its batch, so no exchange is needed and a lost executor costs its batches only.
 
 Items come in blocks of BLOCK_BYTES, so what is broadcast is bounded whatever the benchmark's size (about fifty bytes
 for each of its words); a shard is one Arrow batch (64 MB, or one longer text).
 
 Null texts have no words and no hits. Repeated rows give repeated results. Rows with null ids are judged like others.
-Empty tables give empty tables (or, without items, no hits). Items of fewer words than a window are one window; items
+Empty tables give empty tables (or, without items, no hits). Columns of other names are left behind. Of longest matches of one
+length the first in the document counts, then the first in the items. Items of fewer words than a window are one window; items
 without words none. Words are 64-bit hashes.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tierwalk.llm import hashing
 from tierwalk.llm.common import Work, columns, ship
 
-#: Bytes of benchmark text that one pass over the documents takes, and pairs of places that are followed at once.
+#: Bytes of benchmark text that one pass over the documents takes, and pairs of rows and items that are listed at once.
 BLOCK_BYTES, PAIRS = 8 << 20, 1 << 20
 
 
@@ -99,39 +101,74 @@ class Items:
         order = np.argsort(keys, kind="stable")
         return at[order], keys[order]
 
-    def search(self, seq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(places in the shard, places in the items, length) of equal windows, in pieces of about PAIRS pairs."""
+    def search(self, seq: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length k of windows: k, places in the shard in suffix order, and for every window that is met its range of them and its range of places in `windows[k]`.
+
+        A window that is met often on both sides is two ranges; pairs of places are never listed.
+        """
         at, keys = self.suffixes(seq)
         if not len(at):
             return
         raw = keys.view(np.uint8).reshape(len(at), 4 * self.window)
-        for k, (want, first, places) in self.windows.items():
+        for k, (want, first, _) in self.windows.items():
             have = keys if k == self.window else np.ascontiguousarray(raw[:, : 4 * k]).view(f"S{4 * k}").ravel()
             low, high = np.searchsorted(have, want, "left"), np.searchsorted(have, want, "right")
             met = np.flatnonzero(high > low)
-            n = (high - low)[met] * np.diff(first)[met]
-            done, total = 0, np.cumsum(n)
-            while done < len(met):
-                end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
-                ds, qs = [], []
-                for u in met[done:end].tolist():
-                    d, q = at[low[u] : high[u]], places[first[u] : first[u + 1]]
-                    ds.append(np.repeat(d, len(q)))
-                    qs.append(np.tile(q, len(d)))
-                yield np.concatenate(ds), np.concatenate(qs), k
-                done = end
-
-    def follow(self, seq: np.ndarray, d: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of places with k equal words those whose words before differ, with the length of the whole match."""
-        before = np.where((d > 0) & (q > 0), self.seq[q - 1], 0)
-        first = (before == 0) | (seq[d - 1] != before)
-        d, q = d[first], q[first]
-        length, on = np.full(len(d), k), np.arange(len(d))
-        while len(on):
-            x, y = seq[np.minimum(d[on] + length[on], len(seq) - 1)], self.seq[np.minimum(q[on] + length[on], len(self.seq) - 1)]
-            on = on[(x == y) & (x > 0)]
-            length[on] += 1
-        return d, q, length
+            if len(met):
+                yield k, at, low[met], high[met], first[met], first[met + 1]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of several ranges, one after the other."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _regions(at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that windows of k words at these places cover; windows that only touch are apart, as no match goes through."""
+    at = np.unique(at)
+    end = at + k
+    new = np.concatenate(([True], at[1:] >= end[:-1]))
+    first = np.flatnonzero(new)
+    return at[first], end[np.append(first[1:], len(at)) - 1]
+
+
+class Suffixes:
+    """All suffixes of some runs of words in full order, by ranks of their first 1, 2, 4, ... words; a run's end differs from anything else."""
+
+    def __init__(self, runs: list[np.ndarray]):
+        parts, n = [], 0
+        for r in runs:
+            parts += [r.astype(np.int64), np.array([-1 - n])]
+            n += 1
+        text = np.concatenate(parts)
+        most = max(map(len, runs))
+        self.ranks = [np.unique(text, return_inverse=True)[1]]
+        while 1 << len(self.ranks) <= most and int(self.ranks[-1].max()) < len(text) - 1:
+            step, last = 1 << (len(self.ranks) - 1), self.ranks[-1]
+            ahead = np.zeros(len(text), np.int64)
+            ahead[:-step] = last[step:] + 1
+            self.ranks.append(np.unique(last * (len(text) + 1) + ahead, return_inverse=True)[1])
+        if 1 << len(self.ranks) <= most:  # all differ already
+            self.order = np.argsort(self.ranks[-1], kind="stable")
+        else:
+            step, last = 1 << (len(self.ranks) - 1), self.ranks[-1]
+            ahead = np.zeros(len(text), np.int64)
+            ahead[:-step] = last[step:] + 1
+            self.order = np.argsort(last * (len(text) + 1) + ahead, kind="stable")
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at x and y have in common."""
+        x, y, length = x.copy(), y.copy(), np.zeros(len(x), np.int64)
+        last = len(self.order) - 1
+        for j in range(len(self.ranks) - 1, -1, -1):
+            for _ in range(2 if j == len(self.ranks) - 1 else 1):
+                same = self.ranks[j][np.minimum(x, last)] == self.ranks[j][np.minimum(y, last)]
+                same &= (x <= last) & (y <= last)
+                x[same] += 1 << j
+                y[same] += 1 << j
+                length[same] += 1 << j
+        return length
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -177,43 +214,112 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max_by("longest", F.struct("longest.length", -F.col("longest.start"))).alias("longest"))
     return out.select("doc_id", "n_words", F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), "longest")
 
 
-def _matches(index: Items, column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, set[int]], dict[int, tuple[int, int, int, int]]]:
+def _matches(index: Items, column: pa.Array, matches: bool = True) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, set[int]], dict[int, tuple[int, int, int, int]]]:
     """Words of each row; and for rows with hits: merged spans, items, and the longest match (length, start, item, start in the item)."""
     seq, starts = _numbers(column, index.table)
     counts = np.diff(starts) - 1
     seq = np.concatenate((seq, np.zeros(index.window, np.int32)))
-    marks, pairs, longest = [], [], {}
-    for d, q, k in index.search(seq):
-        row = np.searchsorted(starts, d, "right") - 1
-        item = np.searchsorted(index.starts, q, "right") - 1
-        marks.append(np.unique(d) * (index.window + 1) + k)
-        pairs.append(np.unique(row * len(index.names) + item))
-        d, q, length = index.follow(seq, d, q, k)
-        row, item = np.searchsorted(starts, d, "right") - 1, np.searchsorted(index.starts, q, "right") - 1
-        for i in np.lexsort((q, d, -length, row)):
-            r = int(row[i])
-            got = (int(length[i]), int(d[i] - starts[r]), int(item[i]), int(q[i] - index.starts[item[i]]))
-            if r not in longest or (got[0], -got[1]) > (longest[r][0], -longest[r][1]):
-                longest[r] = got
+    empty = np.empty(0, np.int64)
+    marks, pairs, places, short, held = [], [empty], empty, [], 0
+    for k, at, low, high, first, last in index.search(seq):
+        of = index.windows[k][2]
+        marks.append(np.unique(at[_ranges(low, high)]) * (index.window + 1) + k)
+        mine = of[_ranges(first, last)]
+        if k == index.window:
+            places = mine
+        else:  # whole items, which can't match further
+            short.append((at[_ranges(low, high)], np.repeat(of[first], high - low), k))
+        # each window's rows and items, each once, and then all of its rows with all of its items
+        number = np.arange(len(low))
+        rows = np.unique(np.repeat(number, high - low) * len(starts) + np.searchsorted(starts, at[_ranges(low, high)], "right") - 1)
+        items = np.unique(np.repeat(number, last - first) * len(index.names) + np.searchsorted(index.starts, mine, "right") - 1)
+        n = np.bincount(items // len(index.names), minlength=len(low))
+        begin = np.cumsum(n) - n
+        window = rows // len(starts)
+        made = np.cumsum(n[window])
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(made, (made[a - 1] if a else 0) + PAIRS, "right")))
+            w = window[a:b]
+            pairs.append(np.repeat(rows[a:b] % len(starts), n[w]) * len(index.names) + items[_ranges(begin[w], begin[w] + n[w])] % len(index.names))
+            held += len(pairs[-1])
+            if held > 4 * PAIRS:
+                pairs = [np.unique(np.concatenate(pairs))]
+                held = 0
+            a = b
     spans: dict[int, list[list[int]]] = {}
-    if marks:
-        for m in np.unique(np.concatenate(marks)).tolist():
-            d, k = divmod(m, index.window + 1)
-            r = int(np.searchsorted(starts, d, "right")) - 1
-            a = d - int(starts[r])
-            mine = spans.setdefault(r, [])
-            if mine and a <= mine[-1][1]:
-                mine[-1][1] = max(mine[-1][1], a + k)
-            else:
-                mine.append([a, a + k])
-    items: dict[int, set[int]] = {}
-    for x in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
-        items.setdefault(x // len(index.names), set()).add(x % len(index.names))
-    return counts, spans, items, longest
+    items_of: dict[int, set[int]] = {}
+    if not marks:
+        return counts, spans, items_of, {}
+    marks = np.unique(np.concatenate(marks))
+    at, size = marks // (index.window + 1), marks % (index.window + 1)
+    # spans of a row merge where they touch
+    order = np.lexsort((size, at))
+    at, size = at[order], size[order]
+    row = np.searchsorted(starts, at, "right") - 1
+    end = np.maximum.accumulate(at + size)
+    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] > end[:-1]))))
+    for r, a, e in zip(row[new].tolist(), at[new].tolist(), end[np.append(new[1:], len(at)) - 1].tolist(), strict=True):
+        spans.setdefault(r, []).append([a - int(starts[r]), e - int(starts[r])])
+    for x in np.unique(np.concatenate(pairs)).tolist():
+        items_of.setdefault(x // len(index.names), set()).add(x % len(index.names))
+    longest: dict[int, tuple[int, int, int, int]] = {}
+    for d, q, k in sorted(short, key=lambda x: x[2]) if matches else ():
+        row = np.searchsorted(starts, d, "right") - 1
+        first = np.lexsort((q, d, row))
+        for f in first[np.concatenate(([True], row[first][1:] != row[first][:-1]))].tolist():
+            i = int(np.searchsorted(index.starts, q[f], "right")) - 1
+            longest[int(row[f])] = (k, int(d[f] - starts[row[f]]), i, int(q[f] - index.starts[i]))
+    if matches and len(places):
+        longest |= _longest(index, seq, starts, at[size == index.window], places)
+    return counts, spans, items_of, longest
+
+
+def _longest(index: Items, seq: np.ndarray, starts: np.ndarray, at: np.ndarray, places: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+    """The longest verbatim match of each row with whole windows at these places; of several the first in the row, then in the items.
+
+    A match lies in the words that met windows cover, in the shard as in the items. The suffixes of these runs are sorted
+    together, and a suffix's longest match is with the nearest suffix of an item above or below it.
+    """
+    da, de = _regions(at, index.window)
+    qa, qe = _regions(places, index.window)
+    suffixes = Suffixes([seq[a:e] for a, e in zip(da, de, strict=True)] + [index.seq[a:e] for a, e in zip(qa, qe, strict=True)])
+    lengths = np.concatenate((de - da, qe - qa))
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    run = np.repeat(np.arange(len(lengths)), lengths + 1)
+    inside = np.arange(len(run)) - begin[run]
+    own = np.concatenate((da, qa))[run] + inside  # each suffix's place in the shard or in the items
+    word, is_item = inside < lengths[run], run >= len(da)
+    order = suffixes.order[word[suffixes.order]]
+    n, item = len(order), is_item[order]
+    number = np.arange(n)
+    above = np.maximum.accumulate(np.where(item, number, -1))
+    below = np.minimum.accumulate(np.where(item, number, n)[::-1])[::-1]
+    best = np.zeros(n, np.int64)
+    doc = np.flatnonzero(~item)
+    for near in (above[doc], below[doc]):
+        ok = (near >= 0) & (near < n)
+        best[doc[ok]] = np.maximum(best[doc[ok]], suffixes.common(order[doc[ok]], order[near[ok]]))
+    place = own[order[doc]]
+    row = np.searchsorted(starts, place, "right") - 1
+    first = np.lexsort((place, -best[doc], row))
+    first = first[np.concatenate(([True], row[first][1:] != row[first][:-1]))]
+    # of the item suffixes that share a winner's words, which stand together, the first place
+    shared = np.concatenate((suffixes.common(order[:-1], order[1:]), [0]))
+    where = np.where(item, own[order], np.iinfo(np.int64).max)
+    out = {}
+    for size_ in np.unique(best[doc[first]]).tolist():
+        group = np.concatenate(([0], np.cumsum(shared[:-1] < size_)))
+        least = np.minimum.reduceat(where, np.flatnonzero(np.concatenate(([True], shared[:-1] < size_))))
+        for f in first[best[doc[first]] == size_].tolist():
+            r, q = int(row[f]), int(least[group[doc[f]]])
+            i = int(np.searchsorted(index.starts, q, "right")) - 1
+            out[r] = (size_, int(place[f] - starts[r]), i, q - int(index.starts[i]))
+    return out
 
 
 def _scan(shared):
@@ -268,7 +374,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[list(_matches(shared.value, b.column(place))[2])] = False
+                keep[list(_matches(shared.value, b.column(place), False)[2])] = False
                 yield b.filter(pa.array(keep))
 
         return run

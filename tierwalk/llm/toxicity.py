@@ -7,7 +7,9 @@ features are the weighted matches over its length, the strongest weight and the
 logistic curve fitted on the training rows turns them into a score.
 
 Null and empty texts have no matches and get the score of a text without matches. Labels other than 0 and 1,
-null ids and unmatched labels teach nothing. Without labelled rows the seed lexicon is used with weight 3.
+null ids and unmatched labels teach nothing. Without labelled rows the seed lexicon is used with weight 3. Long texts are
+folded and matched whole, in time linear in their length and their matches. Repeated rows are scored each by itself; empty
+tables give empty tables; other columns are ignored (scored) or kept (accept).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tierwalk.llm.common import Work, columns, ship, sliced
 
-#: Labelled ids that a fit uses at most (those with the smallest hashes), and patterns that a task counts before it gives them away.
+#: Labelled rows that a fit uses at most (those with the smallest hashes), and patterns that a task counts before it gives them away.
 FIT_ROWS = 200_000
 HELD = 100_000
 # Seeds and exceptions.
@@ -94,7 +96,15 @@ class Lexicon:
                 safe.append((start, end))
             elif start not in best or best[start][0] < n:
                 best[start] = (n, w)
-        return [(s, s + n, w) for s, (n, w) in sorted(best.items()) if not any(a <= s and s + n - 1 <= b for a, b in safe)]
+        # one sweep over both by their starts: of the exceptions that begin before a match the one that ends last
+        out, safe, k, far = [], sorted(safe), 0, -1
+        for s, (n, w) in sorted(best.items()):
+            while k < len(safe) and safe[k][0] <= s:
+                far = max(far, safe[k][1])
+                k += 1
+            if far < s + n - 1:
+                out.append((s, s + n, w))
+        return out
 
     def features(self, text: str | None) -> list[float]:
         t = fold(text)
@@ -130,7 +140,7 @@ def _patterns(text: str | None) -> set[str]:
     return out
 
 
-def learn(labelled: DataFrame) -> Lexicon:
+def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon from rows (text, toxic), toxic 0 or 1; they are read three times and should be a written table."""
     spark = labelled.sparkSession
     ship(spark)
@@ -159,14 +169,14 @@ def learn(labelled: DataFrame) -> Lexicon:
     total = {r["toxic"]: r["count"] for r in sums}
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
-        return Lexicon({f" {s}": 3.0 for s in SEEDS})
+        return Lexicon({f" {s}": 3.0 for s in SEEDS}, exceptions)
     counts = rows.mapInArrow(run, "p string, a long, n long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     # log odds, less some standard errors of theirs
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (neg + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
     # as many as the sample has; its size is bounded, so theirs is
     top = counts.filter("a >= 5").select("p", (odds - 1.5 * error).alias("w")).filter("w > 1").collect()
-    lexicon = Lexicon({r["p"]: float(r["w"]) for r in top} | {f" {s} ": 3.0 for s in SEEDS if not any(r["p"] == f" {s} " for r in top)})
+    lexicon = Lexicon({r["p"]: float(r["w"]) for r in top} | {f" {s} ": 3.0 for s in SEEDS if not any(r["p"] == f" {s} " for r in top)}, exceptions)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +194,23 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learns from labels of rows that aren't held out, of at most FIT_ROWS ids.
+def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Learns from labels of rows that aren't held out, of at most FIT_ROWS different rows.
 
     Ids are chosen among the labels, before any text is read; the chosen ones are few enough to broadcast (16 bytes
-    each), so documents are scanned once, without an exchange, and only the sample's texts are written.
+    each), so documents are scanned once, without an exchange, and only the sample's texts are written. Where ids are
+    repeated and their rows are more than FIT_ROWS, those with the smallest hashes are used, equal ones once.
     """
     y = columns(labels, ["doc_id", "toxic"]).filter(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     work = Work(docs.sparkSession, "toxicity")
-    sample = work.write("sample", columns(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
-    lexicon = learn(sample)
+    found = columns(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id")
+    sample = work.write("sample", found.select("text", "toxic", F.xxhash64("doc_id", "text").alias("hash")))
+    if sample.count() > FIT_ROWS:
+        least = sample.select("hash").distinct().orderBy("hash").limit(FIT_ROWS).agg(F.max("hash").alias("most"))
+        sample = work.write("fewer", sample.join(least, F.col("hash") <= F.col("most")).dropDuplicates(["hash"]))
+    lexicon = learn(sample.select("text", "toxic"), exceptions)
     work.close()
     return lexicon
 
