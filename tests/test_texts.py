@@ -1,5 +1,7 @@
 """Extraction from texts and first matches in tables."""
 
+import pickle
+import random
 import re
 import string
 
@@ -9,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tierwalk.dims import tables
-from tierwalk.functions import filing_text, lookup, names, owners, subsidiaries, text
+from tierwalk.functions import dictionary, filing_text, lookup, names, owners, subsidiaries, text
+from tierwalk.operators import edges, targets
 
 
 def one(spark, column, *values, schema=None):
@@ -136,6 +139,48 @@ def test_roles(spark):
     assert got[4]["obscuring"] and got[1]["executive"] and got[0]["board"] and got[3]["executive"]
 
 
+def test_matcher_like_a_plain_search():
+    rng = random.Random(2)
+    for _ in range(300):
+        tokens = ["".join(rng.choice("ab _é") for _ in range(rng.randrange(4))) for _ in range(6)]
+        t = "".join(rng.choice("ab _é") for _ in range(rng.randrange(12)))
+        m = pickle.loads(pickle.dumps(dictionary.Matcher(tokens)))
+        assert m.first(t) == {i: t.find(x) for i, x in enumerate(tokens) if x and x in t}
+        words = {i: h.start() for i, x in enumerate(tokens) if x and (h := re.search(rf"\b{re.escape(x)}\b", t))}
+        assert m.first(t, words=True) == words
+    assert dictionary.first_entry([2, 1, 1], {0: 0, 1: 7, 2: 3}) == (1, 2, 3) and dictionary.first_entry([], {}) is None
+
+
+@pytest.mark.parametrize("limit", [100, 3])
+def test_find_by_automaton_and_by_join(spark, limit):
+    """A table beyond the bound stays a DataFrame and gives the same rows."""
+    texts = spark.createDataFrame([(1, "The Red fox and the BLUE fox"), (2, "nothing"), (3, None), (4, ""), (5, "blue red"), (6, "foxglove")], "id int, text string")
+    table = spark.createDataFrame([("red", 2), ("Blue", 1), ("fox", 2), ("blue", 5), ("", 0), (None, 0), ("gl", 9)], "token string, entry int")
+    got = sorted(tuple(r) for r in dictionary.find(texts, table, "id", limit=limit).collect())
+    assert got == [(1, 1, "blue", 21, 3), (5, 1, "blue", 1, 2), (6, 2, "fox", 1, 2)]
+
+
+def test_tables_from_a_folder(spark, tmp_path):
+    (tmp_path / "jurisdictions.csv").write_text("tier,country,token\nCONDUIT,Freedonia,Freedonia\nOPACITY,Sylvania,Sylvan\nCONDUIT,Freedonia,Fredville\n")
+    (tmp_path / "affiliations.csv").write_text('category,sub,detail,confidence,gate,keyword\nSOE,F,Matched: {},0.9,Freedonia;Sylvania,Duck Works\nPEP,,Said,0.5,,general\n')
+    (tmp_path / "roles.csv").write_text("role,phrase\nFirefly,fire fly\nDirector,director\n")
+    (tmp_path / "terms.csv").write_text("country,kind,term\nFreedonia,country_names,Freedonia\nFreedonia,city_names,Fredville\n")
+    known = tables.Tables.load(spark, str(tmp_path))
+    assert known.jurisdictions[0] == tables.Jurisdiction("Freedonia", "CONDUIT", ("Freedonia", "Fredville")) and known.expansions == {"freedonia": {"country_names": ("Freedonia",), "city_names": ("Fredville",)}}
+    row = ("Bo of DUCK WORKS", None, "Fredville Sylvan Ltd", None, "a", "10-K", "", 0, 1)
+    people = spark.createDataFrame([row], "name string, x string, issuer string, issuer_country string, accession string, form string, filing_date string, depth int, seq int")
+    got = edges.role_edges(people.withColumn("role", lookup.role(F.col("name"), F.lit("the Fire Fly"), known.roles)), known=known).first()
+    assert (got.target_jurisdiction, got.target_risk_tier, got.state_affiliation, got.state_affiliation_detail, got.detail) == ("Freedonia", "CONDUIT", "SOE", "Matched: duck works", "Firefly")
+    assert [r.term for r in targets.terms(spark, ["freedonia"], expansions=known.expansions).orderBy("ord").collect()] == ["Freedonia", "Fredville"]
+    assert tables.Tables.load(spark, str(tmp_path / "none")) == tables.DEFAULT
+    (tmp_path / "terms.csv").write_text("country,kind,term\nX,colours,red\n")
+    with pytest.raises(ValueError, match="colours"):
+        tables.Tables.load(spark, str(tmp_path))
+    (tmp_path / "terms.csv").write_text("country,term\nX,red\n")
+    with pytest.raises(ValueError, match="kind"):
+        tables.Tables.load(spark, str(tmp_path))
+
+
 def test_search_terms():
     assert lookup.canonical(" PRC ") == "china" and lookup.canonical("acme") is None and lookup.search_terms("acme") == ["acme"]
     assert "China" in lookup.search_terms("chinese") and "PRC" not in lookup.search_terms("china") and "PRC" in lookup.search_terms_by_kind("china")["country_names"]

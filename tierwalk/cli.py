@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwalk import config
+from tierwalk.dims import tables
 from tierwalk.operators import edges, graph, holdings, linkage, report, scan
 from tierwalk.plans import chain, research
 from tierwalk.sources import documents, edge_files, holdings_files, submissions, universe
@@ -24,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("run")
     r.add_argument("--cik", required=True)
     r.add_argument("--data", required=True, help="folder of Parquet tables filings and companies")
-    for name in ("--forms", "--index-dir", "--issuer-name", "--issuer-country", "--log-level", "--log-file"):
+    for name in ("--forms", "--index-dir", "--issuer-name", "--issuer-country", "--log-level", "--log-file", "--tables"):
         r.add_argument(name)
     r.add_argument("--depth", type=int)
     r.add_argument("--limit", type=int)
@@ -32,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     m = sub.add_parser("research")
     m.add_argument("--data", required=True, help="folder of Parquet tables filings, companies and, for searches, universe")
     m.add_argument("--out", required=True)
-    for name in ("--exchange", "--search", "--cik-file", "--cik-list", "--xbrl-search", "--index-dir"):
+    for name in ("--exchange", "--search", "--cik-file", "--cik-list", "--xbrl-search", "--index-dir", "--tables"):
         m.add_argument(name, default="")
     for name in ("--all-adversarial", "--all-adversarial-xbrl", "--prefilter"):
         m.add_argument(name, action="store_true")
@@ -75,7 +76,7 @@ def _chain(spark: SparkSession, a: argparse.Namespace) -> int:
         roots = spark.createDataFrame([(a.cik,)], "cik string")
         sub = submissions.read(spark, s.index_dir) if s.descend else None
         names = {str(int(a.cik)): a.issuer_name} if a.issuer_name else None
-        done = chain.run(filings, spark.read.parquet(f"{a.data}/companies"), roots, s.depth, s.most_ciks, sub, s.descension_depth, names, a.issuer_country)
+        done = chain.run(filings, spark.read.parquet(f"{a.data}/companies"), roots, s.depth, s.most_ciks, sub, s.descension_depth, names, a.issuer_country, known=tables.Tables.load(spark, a.tables) if a.tables else tables.DEFAULT)
     except Exception:
         log.exception("the chain of %s could not be built", a.cik)
         return 2
@@ -93,13 +94,14 @@ def _research(spark: SparkSession, a: argparse.Namespace) -> int:
     choice = research.Choice(a.exchange, words(a.search), a.cik_file, words(a.cik_list), a.all_adversarial, words(a.xbrl_search), a.all_adversarial_xbrl, a.limit, a.prefilter)
     sub = submissions.read(spark, a.index_dir) if a.index_dir else None
     named = a.exchange or a.search or a.all_adversarial
+    known = tables.Tables.load(spark, a.tables) if a.tables else tables.DEFAULT
     try:
-        chosen, found = research.select(spark, choice, spark.read.parquet(f"{a.data}/universe") if named else None, sub, research.finished(spark, a.out))
+        chosen, found = research.select(spark, choice, spark.read.parquet(f"{a.data}/universe") if named else None, sub, research.finished(spark, a.out), known)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
     read = lambda name: spark.read.parquet(f"{a.data}/{name}")
-    rated = research.run(spark, chosen, read("filings"), read("companies"), a.out, sub, found, a.batches, max_depth=a.depth, cap=a.most_ciks)
+    rated = research.run(spark, chosen, read("filings"), read("companies"), a.out, sub, found, a.batches, known=known, max_depth=a.depth, cap=a.most_ciks)
     print(report.triage(rated))
     return 0
 

@@ -1,8 +1,8 @@
-"""Lookup tables with small defaults. Every operator takes its table as an argument; `read` loads larger ones from a file."""
+"""Lookup tables with small defaults. `Tables.load` reads larger ones from a folder; every operator and chain takes them as an argument."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
@@ -148,7 +148,7 @@ TERM_KINDS = ("country_names", "soe_names", "strategic_names", "city_names", "le
 
 
 def expansions() -> dict[str, dict[str, tuple[str, ...]]]:
-    """Search terms of each adversarial country by kind, from the tables above: its tokens are names, its keywords state-owned names."""
+    """Search terms of each adversarial country, from the tables above: its tokens are names, its keywords state-owned names. Terms of the other three kinds come from a file (Tables.load)."""
     by_country: dict[str, dict[str, tuple[str, ...]]] = {}
     for c in TIERS["ADVERSARIAL"]:
         owned = tuple(k for a in AFFILIATIONS if c in a.gate or a.sub == {"North Korea": "DPRK"}.get(c, c) for k in a.keywords)
@@ -158,10 +158,68 @@ def expansions() -> dict[str, dict[str, tuple[str, ...]]]:
 
 def read(spark: SparkSession, path: str, key: str, value: str, order: str | None = None) -> dict[str, tuple[str, ...]]:
     """A lookup table from a CSV file with a header: the values of each key, both in the order of the file or of a column."""
-    rows = spark.read.option("header", True).csv(path).collect()  # a lookup table, not data
-    if order:
-        rows.sort(key=lambda r: int(r[order]))
-    out: dict[str, tuple[str, ...]] = {}
-    for r in rows:
-        out[r[key]] = (*out.get(r[key], ()), r[value])
-    return out
+    out: dict[str, list[str]] = {}
+    for r in _rows(spark, path, order):
+        out.setdefault(r[key], []).append(r[value])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+#: Rows of a table file; a lookup table is read whole, so it has a bound.
+MOST_ROWS = 200_000
+
+
+def _rows(spark: SparkSession, path: str, order: str | None = None) -> list:
+    rows = spark.read.option("header", True).csv(path).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"{path} has over {MOST_ROWS} rows")
+    return sorted(rows, key=lambda r: int(r[order])) if order else rows
+
+
+@dataclass(frozen=True)
+class Tables:
+    """The lookup tables that edges are built with: all defaults, or those of a folder."""
+
+    jurisdictions: tuple[Jurisdiction, ...] = field(default_factory=lambda: tuple(jurisdictions()))
+    affiliations: tuple[Affiliation, ...] = AFFILIATIONS
+    roles: tuple[tuple[str, tuple[str, ...]], ...] = field(default_factory=lambda: tuple(roles()))
+    expansions: dict[str, dict[str, tuple[str, ...]]] = field(default_factory=expansions)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Tables:
+        """Tables from CSV files of a folder, in the files' order; a file that isn't there leaves the default.
+
+        jurisdictions.csv: tier, country, token. affiliations.csv: category, sub, detail, confidence, gate (countries with ; between),
+        keyword. roles.csv: role, phrase. terms.csv: country, kind, term. Rows of one entry need not stand together; an entry
+        stands where its first row does. Any number of tokens costs one automaton.
+        """
+        own: dict[str, object] = {}
+
+        def grouped(name: str, keys: tuple[str, ...], value: str) -> dict[tuple, tuple[str, ...]] | None:
+            path = f"{folder.rstrip('/')}/{name}.csv"
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+                return None
+            out: dict[tuple, list[str]] = {}
+            for r in _rows(spark, path):
+                if missing := [c for c in (*keys, value) if c not in r]:
+                    raise ValueError(f"{path} has no column {', '.join(missing)}")
+                out.setdefault(tuple(r[k] for k in keys), []).append(r[value] or "")
+            return {k: tuple(v) for k, v in out.items()}
+
+        if (t := grouped("jurisdictions", ("tier", "country"), "token")) is not None:
+            own["jurisdictions"] = tuple(Jurisdiction(c, tier, tokens) for (tier, c), tokens in t.items())
+        if (t := grouped("affiliations", ("category", "sub", "detail", "confidence", "gate"), "keyword")) is not None:
+            own["affiliations"] = tuple(Affiliation(c, sub or None, detail or "", float(conf), tuple(g for g in (gate or "").split(";") if g), tuple(k.lower() for k in words)) for (c, sub, detail, conf, gate), words in t.items())
+        if (t := grouped("roles", ("role",), "phrase")) is not None:
+            own["roles"] = tuple((r, words) for (r,), words in t.items())
+        if (t := grouped("terms", ("country", "kind"), "term")) is not None:
+            terms: dict[str, dict[str, tuple[str, ...]]] = {}
+            for (country, kind), found in t.items():
+                if kind not in TERM_KINDS:
+                    raise ValueError(f"{kind} is no kind of search term")
+                terms.setdefault(country.lower(), {})[kind] = found
+            own["expansions"] = terms
+        return cls(**own)
+
+
+DEFAULT = Tables()

@@ -1,4 +1,4 @@
-"""First matches of names in ordered tables: jurisdictions with tiers, state affiliations, roles, sectors. Column functions only."""
+"""First matches of names in ordered tables: jurisdictions with tiers, state affiliations, roles (one automaton for each table), sectors."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tierwalk.dims import tables
+from tierwalk.functions import dictionary
 from tierwalk.functions.text import blank_to_null
 
 
@@ -19,28 +20,31 @@ def any_of(tokens: Sequence[str]) -> str:
 def jurisdiction(name: Column, override: Column | None = None, context: Column | None = None, table: Sequence[tables.Jurisdiction] | None = None) -> Column:
     """country, tier and matched token: the override with its own tier, else the first country in the table with a token anywhere in the name, else in the context.
 
-    Tokens count in any case and inside words. Null where nothing matches or the name is missing.
+    Tokens count in any case and inside words; of a country's tokens the one counts that comes first in the text. Null where
+    nothing matches or the name is missing.
     """
     table = tables.jurisdictions() if table is None else table
-    result = "struct<country: string, tier: string, token: string>"
-    # one literal, so that the generated code doesn't grow with the table
-    every = [(j.country, j.tier, t.lower()) for j in table for t in j.tokens]
-    tokens = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("country"), F.lit(r).alias("tier"), F.lit(t).alias("token")) for i, (c, r, t) in enumerate(every)])
-
-    def first(text: Column) -> list[Column]:
-        low = F.lower(text)
-        hits = F.filter(tokens, lambda t: F.contains(low, t["token"]))
-        head = F.get(hits, F.lit(0))
-        # of the country's tokens the one that comes first in the text
-        place = F.array_min(F.transform(F.filter(hits, lambda h: h["country"] == head["country"]), lambda h: F.struct(F.instr(low, h["token"]).alias("at"), h["i"], F.length(h["token"]).alias("n"))))
-        return [F.when(F.size(hits) > 0, F.struct(head["country"].alias("country"), head["tier"].alias("tier"), F.substr(text, place["at"], place["n"]).alias("token")).cast(result))]
-
-    choices = first(name) + (first(context) if context is not None else [])
-    found = F.when(F.coalesce(name, F.lit("")) != "", F.coalesce(*choices))
+    kind = "struct<country: string, tier: string, token: string>"
+    every = [(n, t) for n, j in enumerate(table) for t in j.tokens]
+    matcher, entries = dictionary.Matcher([t.lower() for _, t in every]), [n for n, _ in every]
+    known = [(j.country, j.tier) for j in table]
+
+    def one(name, *context):
+        for t in (name, *context) if name else ():
+            low = (t or "").lower()
+            hit = dictionary.first_entry(entries, matcher.first(low))
+            if hit:
+                entry, token, at = hit
+                n = len(every[token][1])
+                return (*known[entry], t[at : at + n] if len(low) == len(t) else every[token][1])
+        return None
+
+    found = dictionary.struct_udf(one, kind)(name, *([context] if context is not None else []))
+    found = F.when(found["country"].isNotNull(), found)
     if override is None:
         return found
     given = blank_to_null(override)
-    return F.when(given.isNotNull(), F.struct(given.alias("country"), tier_of(given, table).alias("tier"), F.lit(None).cast("string").alias("token")).cast(result)).otherwise(found)
+    return F.when(given.isNotNull(), F.struct(given.alias("country"), tier_of(given, table).alias("tier"), F.lit(None).cast("string").alias("token")).cast(kind)).otherwise(found)
 
 
 def tier_of(country: Column, table: Sequence[tables.Jurisdiction] | None = None) -> Column:
@@ -50,23 +54,28 @@ def tier_of(country: Column, table: Sequence[tables.Jurisdiction] | None = None)
     return F.coalesce(F.try_element_at(known, country), F.lit("MONITORED"))
 
 
-def first_keyword(text: Column, keywords: Sequence[str]) -> Column:
-    """The first keyword, in the list's order, that a text holds; null without one."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in keywords])
+def affiliation(name: Column, country: Column | None = None, table: Sequence[tables.Affiliation] = tables.AFFILIATIONS) -> Column:
+    """category, sub, detail, confidence of the first entry whose keywords a name holds, among those open for the issuer's country; category "None" without one.
 
+    An entry's detail may name its first keyword, in the list's order, that the name holds.
+    """
+    every = [(n, k) for n, a in enumerate(table) for k in a.keywords]
+    matcher = dictionary.Matcher([k for _, k in every])
+    entries = tuple(table)
+
+    def one(name, country):
+        found: dict[int, int] = {}
+        for i in matcher.first((name or "").lower()):
+            n = every[i][0]
+            if not entries[n].gate or country is None or country in entries[n].gate:
+                found[n] = min(i, found.get(n, i))
+        if not found:
+            return "None", None, None, 0.0
+        a, keyword = entries[min(found)], every[found[min(found)]][1]
+        return a.category, a.sub, a.detail.replace("{}", keyword, 1), a.confidence
 
-def affiliation(name: Column, country: Column | None = None, table: Sequence[tables.Affiliation] = tables.AFFILIATIONS) -> Column:
-    """category, sub, detail, confidence of the first entry whose keywords a name holds, among those open for the issuer's country; category "None" without one."""
-    low = F.lower(F.coalesce(name, F.lit("")))
     country = F.lit(None).cast("string") if country is None else country
-    out = F.struct(F.lit("None").alias("category"), F.lit(None).cast("string").alias("sub"), F.lit(None).cast("string").alias("detail"), F.lit(0.0).alias("confidence"))
-    for a in reversed(table):
-        hit = low.rlike(any_of(a.keywords))
-        if a.gate:
-            hit = hit & (country.isNull() | country.isin(*a.gate))
-        detail = F.lit(a.detail) if "{}" not in a.detail else F.concat(F.lit(a.detail.split("{}")[0]), first_keyword(low, a.keywords))
-        out = F.when(hit, F.struct(F.lit(a.category).alias("category"), F.lit(a.sub).cast("string").alias("sub"), detail.alias("detail"), F.lit(a.confidence).alias("confidence"))).otherwise(out)
-    return out
+    return dictionary.struct_udf(one, "struct<category: string, sub: string, detail: string, confidence: double>")(name, country)
 
 
 #: Characters before and after the start of a name that its role is looked for in.
@@ -83,8 +92,14 @@ def role(name: Column, context: Column, table: Sequence[tuple[str, tuple[str, ..
     at = F.instr(F.lower(ctx), F.lower(name))
     start = F.greatest(F.lit(1), at - AROUND)
     window = F.when(at > 0, F.substr(ctx, start, at + AROUND - start)).otherwise(ctx)
-    phrase = lambda words: "(?iu)" + "|".join(rf"\b{re.escape(w)}\b" for w in sorted(words, key=len, reverse=True))
-    label = F.coalesce(*[F.when(window.rlike(phrase(w)), F.lit(r)) for r, w in table])
+    every = [(n, w.lower()) for n, (_, words) in enumerate(table) for w in words]
+    matcher, entries, names = dictionary.Matcher([w for _, w in every]), [n for n, _ in every], [r for r, _ in table]
+
+    def one(window):
+        hit = dictionary.first_entry(entries, matcher.first((window or "").lower(), words=True))
+        return None if hit is None else (names[hit[0]],)
+
+    label = dictionary.struct_udf(one, "struct<role: string>")(window)["role"]
     low = F.lower(window)
     weak = F.when(F.contains(low, F.lit("officer")), F.lit("Officer")).when(F.contains(low, F.lit("director")), F.lit("Director"))
     usable = (F.coalesce(name, F.lit("")) != "") & (ctx != "")

@@ -23,7 +23,7 @@ FLAGS = ["role_is_executive", "role_is_board", "role_is_ownership", "role_is_obs
 COLUMNS = [*KEY[:4], *JURISDICTIONS, "relationship", "detail", *AFFILIATIONS, *FLAGS, "chain_depth", "filing_accession", "filing_form", "filing_date", "method", "notes", "source_notes", "target_notes"]
 
 
-def _edges(rows: DataFrame, values: dict[str, Column | str | bool | int | None], sides: tuple[Column | None, Column | None], affiliated: Column | None, lead: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+def _edges(rows: DataFrame, values: dict[str, Column | str | bool | int | None], sides: tuple[Column | None, Column | None], affiliated: Column | None, lead: Sequence[Column], keep: Sequence[str], known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from rows with a filing (accession, form, filing_date, depth).
 
     sides: jurisdiction structs of source and target (None: unknown); affiliated: the name whose state affiliation counts,
@@ -36,7 +36,7 @@ def _edges(rows: DataFrame, values: dict[str, Column | str | bool | int | None],
     }
     rows = rows.withColumns({f"_{n}": s if s is not None else none.cast("struct<country: string, tier: string, token: string>") for n, s in zip(("source", "target"), sides, strict=True)})
     target = F.col("_target.country")
-    aff = lookup.affiliation(affiliated, target) if affiliated is not None else none.cast("struct<category: string, sub: string, detail: string, confidence: double>")
+    aff = lookup.affiliation(affiliated, target, known.affiliations) if affiliated is not None else none.cast("struct<category: string, sub: string, detail: string, confidence: double>")
     rows = rows.withColumn("_aff", F.when(F.col("_has") if "_has" in rows.columns else F.lit(True), aff)).withColumn("_aff", F.when(F.col("_aff.category") != "None", F.col("_aff")))
     base |= {"source_jurisdiction": F.col("_source.country"), "source_risk_tier": F.col("_source.tier"), "target_jurisdiction": target, "target_risk_tier": F.col("_target.tier")}
     base |= {"state_affiliation": F.col("_aff.category"), "state_affiliation_sub": F.col("_aff.sub"), "state_affiliation_detail": F.col("_aff.detail")}
@@ -47,32 +47,32 @@ def _edges(rows: DataFrame, values: dict[str, Column | str | bool | int | None],
     return rows.select(*[values[c].alias(c) for c in COLUMNS], *keep)
 
 
-def role_edges(people: DataFrame, institutions: bool = False, keep: Sequence[str] = ("seq",)) -> DataFrame:
+def role_edges(people: DataFrame, institutions: bool = False, keep: Sequence[str] = ("seq",), known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from people (name, role: a struct of lookup.role, issuer, issuer_country, a filing) to their issuers; of institutions if asked."""
     kind = "institution" if institutions else "person"
-    target = lookup.jurisdiction(F.col("issuer"), F.col("issuer_country"))
+    target = lookup.jurisdiction(F.col("issuer"), F.col("issuer_country"), table=known.jurisdictions)
     flags = {f"role_is_{k}": F.col(f"role.{k}") for k in ("executive", "board", "ownership", "obscuring")}
     values = {"source": F.col("name"), "source_type": kind, "target": F.col("issuer"), "target_type": "company", "relationship": f"{kind}_role", "detail": F.col("role.role"), "method": "role_extraction", **flags}
-    return _edges(people, values, (lookup.jurisdiction(F.col("name")), target), F.col("name"), [F.lit("method: signature_or_narrative")], keep)
+    return _edges(people, values, (lookup.jurisdiction(F.col("name"), table=known.jurisdictions), target), F.col("name"), [F.lit("method: signature_or_narrative")], keep, known)
 
 
-def owner_edges(owners: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
+def owner_edges(owners: DataFrame, keep: Sequence[str] = ("seq",), known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from beneficial owners (owner, percent, class_title, owner_notes, issuer, issuer_country, a filing) to issuers."""
     percent = F.concat(F.col("percent").cast("string"), F.lit("%"))
     detail = F.coalesce(F.concat(percent, F.coalesce(F.concat(F.lit(" of "), blank_to_null(F.col("class_title"))), F.lit(""))), F.lit(""))
     values = {"source": F.col("owner"), "source_type": "person_or_institution", "target": F.col("issuer"), "target_type": "company", "relationship": "beneficial_owner", "detail": detail, "method": "sc13", "role_is_ownership": True}
-    target = lookup.jurisdiction(F.col("issuer"), F.col("issuer_country"))
-    return _edges(owners, values, (lookup.jurisdiction(F.col("owner")), target), F.col("owner"), [F.lit("method: sc13"), blank_to_null(F.col("owner_notes"))], keep)
+    target = lookup.jurisdiction(F.col("issuer"), F.col("issuer_country"), table=known.jurisdictions)
+    return _edges(owners, values, (lookup.jurisdiction(F.col("owner"), table=known.jurisdictions), target), F.col("owner"), [F.lit("method: sc13"), blank_to_null(F.col("owner_notes"))], keep, known)
 
 
-def country_edges(mentions: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
+def country_edges(mentions: DataFrame, keep: Sequence[str] = ("seq",), known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from issuers to the countries (country) that a filing names."""
     values = {"source": F.col("issuer"), "source_type": "company", "target": F.col("country"), "target_type": "country", "relationship": "country_association", "detail": "", "method": "country_extraction"}
-    place = F.struct(F.col("country").alias("country"), lookup.tier_of(F.col("country")).alias("tier"), F.lit(None).cast("string").alias("token"))
-    return _edges(mentions, values, (None, place), None, [], keep)
+    place = F.struct(F.col("country").alias("country"), lookup.tier_of(F.col("country"), known.jurisdictions).alias("tier"), F.lit(None).cast("string").alias("token"))
+    return _edges(mentions, values, (None, place), None, [], keep, known)
 
 
-def incorporation_edges(companies: DataFrame, states: dict[str, str], keep: Sequence[str] = ("seq",)) -> DataFrame:
+def incorporation_edges(companies: DataFrame, states: dict[str, str], keep: Sequence[str] = ("seq",), known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from companies (cik, name, state, sic, sic_description) to where they are incorporated; blank states have none."""
     names = F.create_map(*[F.lit(x) for pair in states.items() for x in pair])
     rows = companies.filter("state <> ''").withColumns({
@@ -82,24 +82,24 @@ def incorporation_edges(companies: DataFrame, states: dict[str, str], keep: Sequ
         "source": F.coalesce(F.col("name"), F.concat(F.lit("CIK "), "cik")), "source_type": "company", "target": F.col("place"), "target_type": "country", "relationship": "incorporated_in", "detail": F.coalesce("sic_description", F.lit("")),
         "method": "company_metadata", "source_notes": F.concat(F.lit("CIK: "), "cik"), "target_notes": F.concat(F.lit("code: "), "state"),
     }
-    place = F.struct(F.col("place").alias("country"), lookup.tier_of(F.col("place")).alias("tier"), F.lit(None).cast("string").alias("token"))
-    return _edges(rows, values, (None, place), None, [F.concat(F.lit("SIC: "), F.coalesce("sic", F.lit("")), F.lit(" -- "), F.coalesce("sic_description", F.lit("")))], keep)
+    place = F.struct(F.col("place").alias("country"), lookup.tier_of(F.col("place"), known.jurisdictions).alias("tier"), F.lit(None).cast("string").alias("token"))
+    return _edges(rows, values, (None, place), None, [F.concat(F.lit("SIC: "), F.coalesce("sic", F.lit("")), F.lit(" -- "), F.coalesce("sic_description", F.lit("")))], keep, known)
 
 
-def subsidiary_edges(pairs: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
+def subsidiary_edges(pairs: DataFrame, keep: Sequence[str] = ("seq",), known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from parents to the registrants that their filings list.
 
     pairs: structs parent and child (cik, name, countryba, countryinc, stprinc, sic, former), a filing and its depth. A country code
     stands for the jurisdiction as it is, so its tier is MONITORED; affiliations that need a country's name don't apply then.
     """
-    side = lambda s: lookup.jurisdiction(F.col(f"{s}.name"), F.col(f"{s}.countryba"))
+    side = lambda s: lookup.jurisdiction(F.col(f"{s}.name"), F.col(f"{s}.countryba"), table=known.jurisdictions)
     child = lambda c: blank_to_null(F.col(f"child.{c}"))
     place = F.concat(F.lit("incorporated: "), child("countryinc"), F.coalesce(F.concat(F.lit("/"), child("stprinc")), F.lit("")))
     values = {
         "source": F.col("parent.name"), "source_type": "company", "target": F.col("child.name"), "target_type": "company", "relationship": "consolidated_subsidiary", "detail": "co-registrant in consolidated filing",
         "method": "xbrl_co_registrant", "role_is_ownership": True, "source_notes": F.concat(F.lit("CIK: "), F.col("parent.cik")), "target_notes": F.concat(F.lit("CIK: "), F.col("child.cik")), "affiliation_notes": False,
     }
-    return _edges(pairs, values, (side("parent"), side("child")), F.col("child.name"), [place, F.concat(F.lit("SIC: "), child("sic")), F.concat(F.lit("former: "), child("former"))], keep)
+    return _edges(pairs, values, (side("parent"), side("child")), F.col("child.name"), [place, F.concat(F.lit("SIC: "), child("sic")), F.concat(F.lit("former: "), child("former"))], keep, known)
 
 
 def merged(edges: DataFrame, key: Sequence[str] = tuple(KEY), seq: str = "seq") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierwalk.dims import tables
 from tierwalk.functions import lookup, names, owners
 from tierwalk.functions.text import blank_to_null
 from tierwalk.operators import edges, graph
@@ -15,7 +16,7 @@ from tierwalk.operators.order import numbered
 SIGNS = {"CRITICAL": "\U0001f534", "HIGH": "\U0001f7e0", "ELEVATED": "\U0001f7e1", "MODERATE": "\U0001f535", "LOW": "\U0001f7e2", "UNKNOWN": "⚪"}
 
 
-def filing_edges(filings: DataFrame) -> DataFrame:
+def filing_edges(filings: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """All edges of filings (key, cik, issuer, issuer_country, accession, form, filing_date, depth and the columns of sections), in order by seq.
 
     Of each filing: people who sign, then people of the narrative (not compared with those), institutions without a role, owners
@@ -29,11 +30,11 @@ def filing_edges(filings: DataFrame) -> DataFrame:
 
     signed = rows(names.signers(F.concat_ws("\n", "signatures", "full_text")), 0)
     told = rows(names.people_in(F.col("narrative")), 1)
-    people = signed.unionByName(told).withColumn("role", lookup.role(F.col("name"), F.col("full_text")))
+    people = signed.unionByName(told).withColumn("role", lookup.role(F.col("name"), F.col("full_text"), known.roles))
     bodies = rows(names.institutions_in(F.col("narrative")), 2).withColumn("role", unknown)
     held = owners.owners(filings.filter(F.upper("form").isin(*owners.FORMS)).select(*base, "full_text")).withColumn("seq", F.struct(F.col("key"), F.lit(3).alias("kind"), F.col("ord")))
     places = filings.select(*base, F.posexplode("countries").alias("_i", "country")).withColumn("seq", F.struct(F.col("key"), F.lit(4).alias("kind"), F.col("_i").alias("ord")))
-    return edges.role_edges(people).unionByName(edges.role_edges(bodies, institutions=True)).unionByName(edges.owner_edges(held)).unionByName(edges.country_edges(places))
+    return edges.role_edges(people, known=known).unionByName(edges.role_edges(bodies, institutions=True, known=known)).unionByName(edges.owner_edges(held, known=known)).unionByName(edges.country_edges(places, known=known))
 
 
 def counts(rows: DataFrame, column: str) -> DataFrame:

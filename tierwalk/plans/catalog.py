@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwalk.dims import tables
-from tierwalk.functions import filing_text, lookup, names, owners, subsidiaries, text
+from tierwalk.functions import dictionary, filing_text, lookup, names, owners, subsidiaries, text
 from tierwalk.operators import edges, gaps, graph, holdings, linkage, records, report, scan, targets
 from tierwalk.plans import proxies as p
 from tierwalk.sources import edge_files
@@ -310,6 +310,25 @@ def role_window(spark, sf_dir):
     return p.table(spark, sf_dir, "part").select(k.alias("key"), lookup.role(F.concat(F.lit("person "), k.cast("string")), context, _SHORT_ROLES)["role"].alias("role"))
 
 
+#: A lookup table made from the words of the benchmark: the words, by their first two letters as entries.
+_WORD_TABLE = """word AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS token FROM benchmark), entry AS (SELECT token, (ascii(token[1]) - 97) * 26 + ascii(token[2]) - 97 AS entry FROM word)"""
+
+
+def _word_table(spark, sf_dir):
+    words = p.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("token")).distinct()
+    letter = lambda i: F.ascii(F.substring("token", i, 1)) - 97
+    return words.select("token", (letter(1) * 26 + letter(2)).alias("entry"))
+
+
+@query(f"""WITH {_WORD_TABLE}, hit AS (SELECT doc_id, entry, token, instr(lower(text), token) AS place FROM documents JOIN entry ON contains(lower(text), token)),
+    least AS (SELECT doc_id, min(entry) AS entry, count(*) AS n FROM hit GROUP BY 1)
+    SELECT doc_id, entry, token, place::INT AS place, n::INT AS n FROM hit JOIN least USING (doc_id, entry) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place, token) = 1""")
+def dictionary_matches(spark, sf_dir):
+    """The first entry of a table of some thousand words that a text holds, by one automaton."""
+    found = dictionary.find(p.table(spark, sf_dir, "documents"), _word_table(spark, sf_dir), "doc_id")
+    return found.select("doc_id", F.col("entry").cast("int").alias("entry"), "token", F.col("at").alias("place"), "n")
+
+
 _TIER_SQL = "CASE country " + " ".join(f"WHEN '{j.country.replace(chr(39), chr(39) * 2)}' THEN '{j.tier}'" for j in tables.jurisdictions()) + " ELSE 'MONITORED' END"
 @query(f"WITH {p.NAMES} SELECT key, {_TIER_SQL} AS tier FROM names")
 def risk_tier(spark, sf_dir):

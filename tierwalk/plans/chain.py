@@ -50,7 +50,7 @@ def ascend(filings: DataFrame, roots: DataFrame, max_depth: int = 2, cap: int |
     return graph.ranked_walk(related(filings), start, max_depth, cap, deeper="is_filer")[0]
 
 
-def descend(sub: DataFrame, roots: DataFrame, max_depth: int = 3, cap: int | None = 500) -> tuple[DataFrame, DataFrame]:
+def descend(sub: DataFrame, roots: DataFrame, max_depth: int = 3, cap: int | None = 500, known: tables.Tables = tables.DEFAULT) -> tuple[DataFrame, DataFrame]:
     """visited, and subsidiary edges (root_cik and edges.COLUMNS, seq) from every root (cik) down the submission index.
 
     A parent's filing is its latest that lists another registrant, else its best record; a child without records is named by its number.
@@ -64,10 +64,10 @@ def descend(sub: DataFrame, roots: DataFrame, max_depth: int = 3, cap: int | Non
     rows = found.join(known.select(F.col("cik").alias("parent"), F.col("info").alias("p")), "parent").join(known.select(F.col("cik").alias("child"), F.col("info").alias("c")), "child", "left").join(listing.withColumnRenamed("cik", "parent"), "parent")
     unknown = F.struct(F.col("child").alias("cik"), F.concat(F.lit("CIK "), "child").alias("name"), *[F.lit("").alias(c) for c in info[1:]])
     pairs = rows.select(F.col("p").alias("parent"), F.coalesce("c", unknown).alias("child"), "f.*", "depth", F.col("root").alias("root_cik"), F.struct(F.lit(3).alias("part"), "rank", F.col("ord").cast("string").alias("a"), F.lit("").alias("b")).alias("seq"))
-    return visited, edges.subsidiary_edges(pairs, keep=("root_cik", "seq"))
+    return visited, edges.subsidiary_edges(pairs, keep=("root_cik", "seq"), known=known)
 
 
-def run(filings: DataFrame, companies: DataFrame, roots: DataFrame, max_depth: int = 2, cap: int = 100, sub: DataFrame | None = None, descension_depth: int = 3, issuer_names: dict[str, str] | None = None, issuer_country: str | None = None) -> Chain:
+def run(filings: DataFrame, companies: DataFrame, roots: DataFrame, max_depth: int = 2, cap: int = 100, sub: DataFrame | None = None, descension_depth: int = 3, issuer_names: dict[str, str] | None = None, issuer_country: str | None = None, known: tables.Tables = tables.DEFAULT) -> Chain:
     """The chains of all roots (cik).
 
     filings: cik, accession, form, filing_date, content, bundle, place (in a registrant's list), company; companies: cik, name, state,
@@ -83,17 +83,17 @@ def run(filings: DataFrame, companies: DataFrame, roots: DataFrame, max_depth: i
     named = mine.join(companies.select("cik", F.col("name").alias("_name")), "cik", "left").withColumns({"issuer": issuer, "issuer_country": F.lit(issuer_country).cast("string")})
     # one parse for each filing and root, written once and read by all extractors
     parts = stored(filing_text.sections(named).withColumn("key", F.struct("root_cik", "rank", "place", "cik")).select("key", "cik", "issuer", "issuer_country", "accession", "form", "filing_date", "depth", "full_text", "signatures", "narrative", "countries"), "sections")
-    told = report.filing_edges(parts)
+    told = report.filing_edges(parts, known)
     order = lambda part, rank, a, b: F.struct(F.lit(part).alias("part"), rank.cast("long").alias("rank"), a.cast("string").alias("a"), b.cast("string").alias("b"))
     wide = lambda c: F.lpad(c.cast("string"), 10, "0")
     told = told.withColumns({"root_cik": F.col("seq.key.root_cik"), "seq": order(2, F.col("seq.key.rank"), wide(F.col("seq.key.place")), F.concat(wide(F.col("seq.kind")), wide(F.col("seq.ord"))))})
     homes = companies.join(met.select(F.col("root").alias("root_cik"), F.col("node").alias("cik"), "rank"), "cik").withColumn("seq", order(1, F.col("rank"), F.col("cik"), F.lit("")))
-    every = edges.incorporation_edges(homes, CODES, keep=("root_cik", "seq")).unionByName(told)
+    every = edges.incorporation_edges(homes, CODES, keep=("root_cik", "seq"), known=known).unionByName(told)
     if sub is not None:
         starts = met.select(F.col("root").alias("root_cik"), F.col("node").alias("cik"))
         bodies = told.filter("relationship = 'institution_role'").select("root_cik", F.col("source").alias("name")).distinct()
         starts = starts.unionByName(linkage.unique_in_index(bodies, sub).filter("matched_cik is not null").select("root_cik", F.col("matched_cik").alias("cik")))
-        _, below = descend(sub, starts.select("cik").distinct(), descension_depth)
+        _, below = descend(sub, starts.select("cik").distinct(), descension_depth, known=known)
         every = every.unionByName(below.withColumnRenamed("root_cik", "cik").join(starts, "cik").drop("cik"))
     merged = edges.merged(every, ("root_cik", *edges.KEY))
     return Chain(stored(edges.company(merged), "edges"), met, parts)

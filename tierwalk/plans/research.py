@@ -33,7 +33,7 @@ class Choice:
     notes: dict = field(default_factory=dict)
 
 
-def select(spark: SparkSession, choice: Choice, companies: DataFrame | None = None, sub: DataFrame | None = None, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def select(spark: SparkSession, choice: Choice, companies: DataFrame | None = None, sub: DataFrame | None = None, done: DataFrame | None = None, known: tables.Tables = tables.DEFAULT) -> tuple[DataFrame, DataFrame | None]:
     """Targets (cik, name, at) in order, after limit, exclusion of those done and the index's filter; and what found them (or None).
 
     companies: cik, name, ticker, exchange, seq. All adversarial countries take in the registrants whose codes in the index are theirs.
@@ -51,7 +51,7 @@ def select(spark: SparkSession, choice: Choice, companies: DataFrame | None = No
         out = companies.filter(F.lower("exchange") == choice.exchange.strip().lower()).select("cik", "name", place(0, F.col("seq")).alias("at"))
     elif choice.search or choice.all_adversarial:
         words = choice.search or tuple(c.lower() for c in tables.TIERS["ADVERSARIAL"])
-        found = targets.found_by(companies, targets.terms(spark, words))
+        found = targets.found_by(companies, targets.terms(spark, words, expansions=known.expansions))
         out = targets.union(targets.targets(found))
         if choice.all_adversarial and sub is not None:
             more = coded(tuple(tables.ADVERSARIAL_CODES)).join(out.select("cik"), "cik", "left_anti")
