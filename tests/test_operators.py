@@ -389,6 +389,22 @@ def test_edge_files_of_large_roots_are_whole(spark, tmp_path):
     assert [x.split("|")[0] for t in texts for x in t.splitlines() if x.startswith("source ")] == [f"source {i}" for i in range(n) if i % 10 < 9]
 
 
+def test_a_walk_from_a_hub(spark):
+    """A root with 60,000 neighbours: they are ranked in several tasks, as a queue would, and the cap falls in their midst."""
+    n = 60_000
+    hub = spark.range(n).select(F.lit("hub").alias("parent"), F.concat(F.lit("n"), "id").alias("child"), F.xxhash64("id").alias("ord"))
+    steps = hub.unionByName(spark.createDataFrame([("n7", "deep", 1), ("other", "n7", 1)], "parent string, child string, ord long"))
+    roots = spark.createDataFrame([("hub",), ("other",)], "root string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    visited, met = graph.ranked_walk(steps, roots, 2, n - 5)
+    rows = visited.filter("root = 'hub' and depth = 1").orderBy("rank").select("node", "rank").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [r.child for r in hub.orderBy("ord").limit(n - 6).collect()]
+    assert [r.node for r in rows] == want and [r.rank for r in rows] == list(range(2, n - 4))
+    assert {(r.node, r.depth, r.rank) for r in visited.filter("root = 'other'").collect()} == {("other", 0, 1), ("n7", 1, 2), ("deep", 2, 3)}
+    assert met.filter("root = 'hub' and depth = 0").count() == n
+
+
 def test_numbers_across_tasks(spark):
     """Ordinals of a group that lies in many tasks, and of many small groups."""
     df = spark.range(20_000).select(F.when(F.col("id") % 7 < 6, None).otherwise(F.col("id") % 50).alias("g"), F.xxhash64("id").alias("o")).repartition(8)

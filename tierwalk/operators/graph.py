@@ -1,12 +1,13 @@
-"""Breadth-first walks over edge tables; every level is a written table."""
+"""Breadth-first walks over edge tables; every level is a written table, and ranks are given by ranges, not by a window over a root's level."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierwalk.operators.order import numbered
 from tierwalk.session import stored
 
 
@@ -43,9 +44,9 @@ def ranked_walk(steps: DataFrame, roots: DataFrame, max_depth: int, cap: int | N
         seen = reduce(DataFrame.unionByName, levels)
         fresh = found[-1].groupBy("root", F.col("child").alias("node")).agg(F.min(F.struct("rank", "ord")).alias("_at")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
         before = seen.groupBy("root").agg(F.max("rank").alias("_n"))
-        # a window for each root; with a cap, what it has to order is what one level meets
-        place = F.row_number().over(Window.partitionBy("root").orderBy("_at", "node"))
-        fresh = fresh.join(before, "root").select("root", "node", F.lit(d + 1).alias("depth"), (F.col("_n") + place).alias("rank"))
+        # a root's level lies in as many tasks as its nodes need
+        placed = numbered(fresh.select("root", "_at", "node"), ["_at", "node"], "_place", ["root"])
+        fresh = placed.join(before, "root").select("root", "node", F.lit(d + 1).alias("depth"), (F.col("_n") + F.col("_place")).alias("rank"))
         levels.append(stored(fresh if cap is None else fresh.filter(F.col("rank") <= cap), "walk"))
         if levels[-1].isEmpty():
             break
