@@ -77,12 +77,13 @@ def plain_merge(rows, key):
     return sorted(out.values(), key=lambda r: r["seq"])
 
 
-def test_merging_edges_like_a_fold(spark):
+@pytest.mark.parametrize("segment", [1000, 4])
+def test_merging_edges_like_a_fold(spark, segment):
     rng = random.Random(5)
     key = ["source", "target"]
-    rows = [{"seq": i, "source": rng.choice("ab"), "target": rng.choice("xyz"), "notes": rng.choice([None, "", "n1", "n2", "n", "n1; n2", "m"]), "source_jurisdiction": rng.choice([None, "", "J", "K"]), "role_is_board": rng.random() < 0.3, "chain_depth": rng.randrange(6)} for i in range(80)]
+    rows = [{"seq": i, "source": rng.choice("ab"), "target": rng.choice("xyz"), "notes": rng.choice([None, "", "n1", "n2", "n", "n1; n2", "m", "2; m", " m", "k;", "abc", "b", "x; y", "y"]), "source_jurisdiction": rng.choice([None, "", "J", "K"]), "role_is_board": rng.random() < 0.3, "chain_depth": rng.randrange(6)} for i in range(160)]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], "seq long, source string, target string, notes string, source_jurisdiction string, role_is_board boolean, chain_depth int").repartition(5)
-    once = edges.merged(df, key)
+    once = edges.merged(df, key, segment=segment)
     got = [r.asDict() for r in once.orderBy("seq").collect()]
     assert got == plain_merge(rows, key)
     assert [r.asDict() for r in edges.merged(once, key).orderBy("seq").collect()] == got

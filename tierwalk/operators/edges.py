@@ -6,13 +6,17 @@ An edge is a flat row of COLUMNS; `seq` (any type with an order) keeps the order
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierwalk.dims import tables
 from tierwalk.functions import lookup
 from tierwalk.functions.text import blank_to_null
+from tierwalk.operators.order import numbered
+from tierwalk.session import stored
 
 TIERS = ("ADVERSARIAL", "CONDUIT", "OPACITY")
 #: What makes two edges one.
@@ -102,18 +106,36 @@ def subsidiary_edges(pairs: DataFrame, keep: Sequence[str] = ("seq",), known: ta
     return _edges(pairs, values, (side("parent"), side("child")), F.col("child.name"), [place, F.concat(F.lit("SIC: "), child("sic")), F.concat(F.lit("former: "), child("former"))], keep, known)
 
 
-def merged(edges: DataFrame, key: Sequence[str] = tuple(KEY), seq: str = "seq") -> DataFrame:
+#: Different notes of one key that are folded in one row; the edges of a key with more of them are folded in segments of so many.
+SEGMENT = 1000
+
+
+def merged(edges: DataFrame, key: Sequence[str] = tuple(KEY), seq: str = "seq", segment: int = SEGMENT) -> DataFrame:
     """One edge for each key, in its first edge's place (seq).
 
     A later edge only counts if it has notes that those gathered so far don't hold: then its notes follow after "; ", it fills in
     jurisdictions and affiliations that are missing, its flags are or-ed and its smaller depth counts.
+
+    Keys with up to `segment` different notes are folded in a row. A key with more is cut into segments of its order, which
+    tasks go through side by side and leave out what an earlier note of the segment holds; what remains is streamed in order
+    past the notes gathered so far, so no row or task holds more of a key than its result and one segment.
     """
     parts = [c for c in edges.columns if c not in key and c != seq]
-    fill = [c for c in parts if c in JURISDICTIONS + AFFILIATIONS]
-    flags = [c for c in parts if c in FLAGS]
     # an edge whose notes an earlier one of its key had, or that has none and isn't the first, changes nothing: gone before anything is gathered
     one = F.struct(F.col(seq).alias("_seq"), *parts)
-    firsts = edges.withColumn("_n", F.coalesce("notes", F.lit(""))).groupBy(*key, "_n").agg(F.min_by(one, F.col(seq)).alias("_e"))
+    firsts = stored(edges.withColumn("_n", F.coalesce("notes", F.lit(""))).groupBy(*key, "_n").agg(F.min_by(one, F.col(seq)).alias("_e")), "firsts")
+    many = stored(firsts.groupBy(*key).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > segment).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)]), "many-notes")
+    named = lambda df: df.select(*[F.col(c) if c in key else F.col("_e._seq").alias(seq) if c == seq else F.col(f"_e.{c}").alias(c) for c in edges.columns])
+    if many.isEmpty():
+        return named(_folded(firsts, key, parts))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)])
+    few = named(_folded(firsts.join(many, same, "left_anti"), key, parts))
+    return few.unionByName(_streamed(named(firsts.join(many, same, "left_semi")), key, seq, segment))
+
+
+def _folded(firsts: DataFrame, key: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """Edges of a key (_e) gathered and folded in a row."""
+    fill, flags = [c for c in parts if c in JURISDICTIONS + AFFILIATIONS], [c for c in parts if c in FLAGS]
     groups = firsts.groupBy(*key).agg(F.array_sort(F.collect_list("_e")).alias("_all"))
 
     def take(acc: Column, e: Column) -> Column:
@@ -122,8 +144,51 @@ def merged(edges: DataFrame, key: Sequence[str] = tuple(KEY), seq: str = "seq")
         value |= {c: F.coalesce(blank_to_null(acc[c]), e[c]) for c in fill} | {c: acc[c] | e[c] for c in flags} | {"chain_depth": F.least(acc["chain_depth"], e["chain_depth"])}
         return F.when(more, F.struct(acc["_seq"].alias("_seq"), *[value.get(c, acc[c]).alias(c) for c in parts])).otherwise(acc)
 
-    folded = groups.withColumn("_e", F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), take))
-    return folded.select(*[F.col(c) if c in key else F.col(f"_e._seq").alias(seq) if c == seq else F.col(f"_e.{c}").alias(c) for c in edges.columns])
+    return groups.withColumn("_e", F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), take))
+
+
+def _streamed(edges: DataFrame, key: Sequence[str], seq: str, segment: int) -> DataFrame:
+    """The same fold for keys with many notes: by segments side by side, then in order."""
+    columns = edges.columns
+    fill, flags = [c for c in columns if c in JURISDICTIONS + AFFILIATIONS], [c for c in columns if c in FLAGS]
+    placed = numbered(edges.withColumn("_g", F.to_json(F.struct(*key), {"ignoreNullFields": "false"})), [seq], "_i", ["_g"])
+    placed = placed.withColumn("_s", F.floor((F.col("_i") - 1) / segment))
+
+    def thinned(batches):
+        now, notes = None, []
+        for b in batches:
+            keep = []
+            for group, s, i, note in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_g", "_s", "_i", "notes")], strict=True):
+                if (group, s) != now:
+                    now, notes = (group, s), []
+                # what a single earlier note holds, the gathered ones hold too
+                keep.append(i == 1 or bool(note) and not any(note in n for n in notes))
+                if note and keep[-1]:
+                    notes.append(note)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    def carried(batches):
+        now, acc, notes = None, None, ""
+        for b in batches:
+            out = []
+            for e in b.to_pylist():
+                if e["_g"] != now:
+                    if acc is not None:
+                        out.append(acc | {"notes": notes or acc["notes"]})
+                    now, acc, notes = e["_g"], e, e["notes"] or ""
+                elif e["notes"] and e["notes"] not in notes:
+                    notes += ("; " if notes else "") + e["notes"]
+                    for c in fill:
+                        acc[c] = acc[c] or e[c]
+                    for c in flags:
+                        acc[c] = True if acc[c] or e[c] else None if acc[c] is None or e[c] is None else False
+                    acc["chain_depth"] = min((x for x in (acc["chain_depth"], e["chain_depth"]) if x is not None), default=None)
+            yield pa.RecordBatch.from_pylist(out, b.schema)
+        if acc is not None:
+            yield pa.RecordBatch.from_pylist([acc | {"notes": notes or acc["notes"]}], b.schema)
+
+    thin = placed.repartition("_g", "_s").sortWithinPartitions("_g", "_s", "_i").mapInArrow(thinned, placed.schema)
+    return thin.repartition("_g").sortWithinPartitions("_g", "_i").mapInArrow(carried, placed.schema).select(*columns)
 
 
 def tier_bucket(source: Column, target: Column) -> Column:
