@@ -4,6 +4,7 @@ import pickle
 import random
 import re
 import string
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tierwalk.dims import tables
-from tierwalk.functions import dictionary, filing_text, lookup, names, owners, subsidiaries, text
+from tierwalk.functions import dictionary, filing_text, lookup, names, owners, scanning, subsidiaries, text
 from tierwalk.operators import edges, targets
 
 
@@ -64,6 +65,51 @@ def test_institutions_like_the_whole_pattern(spark):
     assert one(spark, names.institutions_in, "Word " * 40000)[0] == []
 
 
+WORD, ANY, SPACE_SIGNS = "[A-Z][a-z]+", "[A-Za-z]{2,}", r"\s*[,\-—–]+\s*"
+NAME = rf"{WORD}(?: [A-Z]\.?)? (?:{WORD} ?)+".replace(" ", r"\s")
+WORDS = rf"{ANY}(?: [A-Za-z]\.?)? (?:{ANY} ?){{1,3}}".replace(" ", r"\s")
+
+
+def plain_scans():
+    """Whole patterns, which need a stack or time that grows with a text: for short texts only."""
+    titles = "|".join(map(re.escape, names.TITLES))
+    stops = "|".join([*map(re.escape, names.AFTER_NAMES), r"\n", r"\r", r"\(", "$"])
+    found = lambda pattern, t: [m[1] for m in re.finditer(pattern, t)]
+    return {
+        "names": lambda t: found(rf"({NAME})", t), "aged": lambda t: found(rf"({NAME})\s*,\s*(?:(?:age|Age|AGE)\s+)?[0-9]{{2}}\s*[,.]", t),
+        "before": lambda t: found(rf"({WORDS}){SPACE_SIGNS}(?i:{titles})", t), "after": lambda t: found(rf"(?i:{titles})\s*[:\-—–]+\s*({WORDS})", t),
+        "signed": lambda t: found(rf"/s/\s*([A-Z][A-Za-z.\-' ]{{2,50}}?)(?={stops})", t), "by": lambda t: found(rf"By:\s*/?s?/?\s*([A-Z][A-Za-z.\-' ]{{2,50}}?)(?={stops})", t),
+    }
+
+
+def own_scans():
+    return {
+        "names": scanning.names_in, "aged": scanning.aged, "before": lambda t: scanning.before_titles(t, names._then_title), "after": lambda t: scanning.after_titles(t, names._title_then),
+        "signed": lambda t: scanning.signed(t, names._mark, names._stop), "by": lambda t: scanning.signed(t, names._by, names._stop),
+    }
+
+
+@pytest.mark.parametrize("what", sorted(plain_scans()))
+def test_scans_like_whole_patterns(what):
+    own, plain = own_scans()[what], plain_scans()[what]
+    parts = ["Ann", "Bo", "B.", "C", "d", "Poe", "McRay", "x", " ", " ", " ", "  ", ",", ", ", "age ", "45", "7", ".", "-", "—", "\n", "Director", "vice president", "Chairman", ":", ": ", "/s/", "/s/ ", "By:", "By: ", "s/", "(", "O'Neil", "March", "éa"]
+    rng = random.Random(what)
+    for n in range(6000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(3 + n % 22)))
+        assert [x.strip() for x in own(t)] == [x.strip() for x in plain(t)], t
+
+
+def test_long_runs_are_linear():
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        for t in ("Word " * (n // 5), "Aa" * (n // 2), "A. " * (n // 3), "/s/ " * (n // 4), "Ann, " * (n // 5), "By:" + " " * n, "director: " * (n // 10), "NAME OF REPORTING PERSON" + "\n" * n):
+            for f in (*own_scans().values(), owners.page):
+                f(t)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0] + 1
+
+
 def test_kinds_and_names(spark):
     assert one(spark, names.kind_of, " Acme  Bank ", "Ann B. Poe", "Ann  Poe", "ann poe", "", None) == ["institution", "person", "person", "unknown", "unknown", "unknown"]
     assert one(spark, names.is_person_name, "Ann Poe", "Ann", "A Poe", "Ann Poe Inc", "Ann 2 Poe", "Al X Iii", "Ann O'Neil-Day.") == [True, False, False, False, False, False, True]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.functions.names import NAME_WORDS
+from tierwalk.functions.names import names_in
 from tierwalk.functions.text import let, stripped
 
 _FIELD = r"(?id)(?:{})[:\s]*(.+?)(?:\n|$)"
@@ -16,13 +16,12 @@ LABELS = {
 }
 OFFICERS = r"(?id)(?:Officers?|Directors?|Managers?|Partners?|Members?)\s*(?:and\s*\w+\s*)?[:\n]"
 OFFICERS_LENGTH = 2000
-PERSON = r"([A-Z][a-z]+(?:\s[A-Z]\.?)?\s(?:[A-Z][a-z]+\s?){1,%d})" % NAME_WORDS
 
 
 def officers(text: Column) -> Column:
     """Names after the first heading of officers."""
     section = F.left(F.coalesce(F.get(F.split(text, OFFICERS, 2), F.lit(1)), F.lit("")), F.lit(OFFICERS_LENGTH))
-    found = F.transform(F.regexp_extract_all(section, F.lit(PERSON), F.lit(1)), stripped)
+    found = F.transform(names_in(section), stripped)
     return F.filter(found, lambda n: (F.length(n) > 4) & (F.length(n) < 60))
 
 
