@@ -113,6 +113,9 @@ def test_long_runs_are_linear():
 def test_kinds_and_names(spark):
     assert one(spark, names.kind_of, " Acme  Bank ", "Ann B. Poe", "Ann  Poe", "ann poe", "", None) == ["institution", "person", "person", "unknown", "unknown", "unknown"]
     assert one(spark, names.is_person_name, "Ann Poe", "Ann", "A Poe", "Ann Poe Inc", "Ann 2 Poe", "Al X Iii", "Ann O'Neil-Day.") == [True, False, False, False, False, False, True]
+    rng = random.Random(9)
+    some = ["".join(rng.choice(["Ann", "B.", "Poe", " ", "  ", "Inc", "co", ".", ",", "X", "iii", "-", "é", "'", "9"]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    assert one(spark, names.is_person_name, *some) == [names.person_name(n) for n in some]
     assert one(spark, lambda c: names.clean_person(c, ("mr",), ("officer",)), "Name: Ann  Poe,", "Ann Poe Name", "Mr Poe", "Chief Officer", "Ann", None) == ["Ann Poe", "Ann Poe", "", "", "", ""]
     assert one(spark, lambda c: names.wide_kind_of(c, ("holdings", "institute")), "Ministry of X", "Y Institute", "Z Holdings", "Ann Poe", "q", None) == ["government", "institution", "organization", "person", "unknown", "unknown"]
 

@@ -9,6 +9,7 @@ from tierwalk.dims import tables
 from tierwalk.functions import dictionary, filing_text, lookup, names, owners, subsidiaries, text
 from tierwalk.operators import edges, gaps, graph, holdings, linkage, records, report, scan, targets
 from tierwalk.plans import proxies as p
+from tierwalk.session import stored
 from tierwalk.sources import edge_files
 
 JOIN = F.array_join
@@ -385,6 +386,11 @@ def fuzzy_match(spark, sf_dir):
 
 
 # Texts of filings.
+def _sections(spark, sf_dir):
+    """Filings in sections, written once and read by all extractors, as chains do."""
+    return stored(filing_text.sections(p.filings(spark, sf_dir)), "sections")
+
+
 @query(rf"WITH {p.FILINGS} SELECT key, {p.PLAIN} AS full_text FROM filings")
 def normalize_text(spark, sf_dir):
     return p.filings(spark, sf_dir).select("key", filing_text.plain(filing_text.unescaped(filing_text.without_tags(F.col("content")))).alias("full_text"))
@@ -417,18 +423,18 @@ def related_ciks(spark, sf_dir):
 
 @query(f"WITH {p.FILINGS} SELECT key, 0 AS ord, 'Alpha Fund ' || cik || ' LP' AS owner, (cik::BIGINT % 60 + 0.5)::DOUBLE AS percent, 'Common Stock' AS class_title FROM filings")
 def sc13_owners(spark, sf_dir):
-    return owners.owners(filing_text.sections(p.filings(spark, sf_dir))).select("key", "ord", "owner", "percent", "class_title")
+    return owners.owners(_sections(spark, sf_dir)).select("key", "ord", "owner", "percent", "class_title")
 
 
 @query(f"WITH {p.FILINGS} SELECT key, 'Jane Doe, Richard Miles' AS signers, 'John Q. Public, and Mary Roe' AS people FROM filings")
 def signature_people(spark, sf_dir):
-    rows = filing_text.sections(p.filings(spark, sf_dir))
+    rows = _sections(spark, sf_dir)
     return rows.select("key", JOIN(names.signers(F.col("signatures")), ", ").alias("signers"), JOIN(names.people_in(F.col("narrative")), ", ").alias("people"))
 
 
 @query()
 def institutions(spark, sf_dir):
-    return filing_text.sections(p.filings(spark, sf_dir)).select("key", F.explode(names.institutions_in(F.col("narrative"))).alias("institution"))
+    return _sections(spark, sf_dir).select("key", F.explode(names.institutions_in(F.col("narrative"))).alias("institution"))
 
 
 @query()
@@ -449,7 +455,7 @@ def country_edges(spark, sf_dir):
 @query()
 def role_edges(spark, sf_dir):
     """People and institutions of filings as edges to their issuers, with roles from the text."""
-    rows = filing_text.sections(p.filings(spark, sf_dir))
+    rows = _sections(spark, sf_dir)
     return report.filing_edges(rows.select("key", F.col("cik"), F.concat(F.lit("Issuer "), "cik").alias("issuer"), F.lit(None).cast("string").alias("issuer_country"), "accession", F.lit("10-K").alias("form"), F.lit("2024-01-01").alias("filing_date"), F.lit(0).alias("depth"), "full_text", "signatures", "narrative", "countries")).drop("seq")
 
 

@@ -21,8 +21,7 @@ OFFICERS_LENGTH = 2000
 def officers(text: Column) -> Column:
     """Names after the first heading of officers."""
     section = F.left(F.coalesce(F.get(F.split(text, OFFICERS, 2), F.lit(1)), F.lit("")), F.lit(OFFICERS_LENGTH))
-    found = F.transform(names_in(section), stripped)
-    return F.filter(found, lambda n: (F.length(n) > 4) & (F.length(n) < 60))
+    return F.filter(names_in(section), lambda n: (F.length(n) > 4) & (F.length(n) < 60))
 
 
 def entities(texts: DataFrame, state: str = "TX", text: str = "text") -> DataFrame:
