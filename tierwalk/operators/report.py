@@ -16,25 +16,43 @@ from tierwalk.operators.order import numbered
 SIGNS = {"CRITICAL": "\U0001f534", "HIGH": "\U0001f7e0", "ELEVATED": "\U0001f7e1", "MODERATE": "\U0001f535", "LOW": "\U0001f7e2", "UNKNOWN": "⚪"}
 
 
-def filing_edges(filings: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataFrame:
-    """All edges of filings (key, cik, issuer, issuer_country, accession, form, filing_date, depth and the columns of sections), in order by seq.
+#: Columns of a filing that are read for extracts and not kept with them.
+TEXTS = ("full_text", "signatures", "narrative", "countries")
+
 
-    Of each filing: people who sign, then people of the narrative (not compared with those), institutions without a role, owners
-    of ownership reports, countries.
+def extracts(filings: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataFrame:
+    """Everything that filings (form, the columns of sections, and any others, which are kept) tell of people, institutions, owners and countries.
+
+    kind and ord keep their order in a filing: 0 people who sign, 1 people of the narrative (not compared with those), both with a
+    role; 2 institutions; 3 owners of ownership reports, with percent, class_title, owner_notes; 4 countries. Nothing of it depends on
+    who asks, so a filing that many roots meet is read once.
     """
-    base = [c for c in ("key", "cik", "issuer", "issuer_country", "accession", "form", "filing_date", "depth")]
+    base = [c for c in filings.columns if c not in TEXTS]
+
+    def rows(found, kind: int, *more: str) -> DataFrame:
+        return filings.select(*base, *more, F.lit(kind).alias("kind"), F.posexplode(found).alias("ord", "name"))
+
+    people = rows(names.signers(F.concat_ws("\n", "signatures", "full_text")), 0, "full_text").unionByName(rows(names.people_in(F.col("narrative")), 1, "full_text"))
+    people = people.withColumn("role", lookup.role(F.col("name"), F.col("full_text"), known.roles)).drop("full_text")
+    held = owners.owners(filings.filter(F.upper("form").isin(*owners.FORMS)).select(*base, "full_text")).drop("full_text").withColumnRenamed("owner", "name").withColumn("kind", F.lit(3))
+    out = people
+    for part in (rows(names.institutions_in(F.col("narrative")), 2), held, rows(F.col("countries"), 4)):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def edges_from(found: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataFrame:
+    """Edges from extracts with key, issuer, issuer_country and depth, in order by seq (key, kind, ord)."""
+    rows = found.withColumn("seq", F.struct("key", "kind", "ord"))
     unknown = F.struct(F.lit("Unknown").alias("role"), F.lit(0.0).alias("confidence"), *[F.lit(False).alias(f) for f in ("executive", "board", "supervisory", "ownership", "obscuring")])
+    people, bodies = edges.role_edges(rows.filter("kind < 2"), known=known), edges.role_edges(rows.filter("kind = 2").withColumn("role", unknown), institutions=True, known=known)
+    held, places = edges.owner_edges(rows.filter("kind = 3").withColumnRenamed("name", "owner"), known=known), edges.country_edges(rows.filter("kind = 4").withColumnRenamed("name", "country"), known=known)
+    return people.unionByName(bodies).unionByName(held).unionByName(places)
 
-    def rows(found, kind: int):
-        return filings.select(*base, "full_text", F.posexplode(found).alias("_i", "name")).withColumn("seq", F.struct(F.col("key"), F.lit(kind).alias("kind"), F.col("_i").alias("ord")))
 
-    signed = rows(names.signers(F.concat_ws("\n", "signatures", "full_text")), 0)
-    told = rows(names.people_in(F.col("narrative")), 1)
-    people = signed.unionByName(told).withColumn("role", lookup.role(F.col("name"), F.col("full_text"), known.roles))
-    bodies = rows(names.institutions_in(F.col("narrative")), 2).withColumn("role", unknown)
-    held = owners.owners(filings.filter(F.upper("form").isin(*owners.FORMS)).select(*base, "full_text")).withColumn("seq", F.struct(F.col("key"), F.lit(3).alias("kind"), F.col("ord")))
-    places = filings.select(*base, F.posexplode("countries").alias("_i", "country")).withColumn("seq", F.struct(F.col("key"), F.lit(4).alias("kind"), F.col("_i").alias("ord")))
-    return edges.role_edges(people, known=known).unionByName(edges.role_edges(bodies, institutions=True, known=known)).unionByName(edges.owner_edges(held, known=known)).unionByName(edges.country_edges(places, known=known))
+def filing_edges(filings: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataFrame:
+    """All edges of filings (key, cik, issuer, issuer_country, accession, form, filing_date, depth and the columns of sections), in order by seq."""
+    return edges_from(extracts(filings, known), known)
 
 
 def counts(rows: DataFrame, column: str) -> DataFrame:

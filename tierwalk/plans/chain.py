@@ -53,15 +53,15 @@ def ascend(filings: DataFrame, roots: DataFrame, max_depth: int = 2, cap: int |
 def descend(sub: DataFrame, roots: DataFrame, max_depth: int = 3, cap: int | None = 500, known: tables.Tables = tables.DEFAULT) -> tuple[DataFrame, DataFrame]:
     """visited, and subsidiary edges (root_cik and edges.COLUMNS, seq) from every root (cik) down the submission index.
 
-    A parent's filing is its latest that lists another registrant, else its best record; a child without records is named by its number.
+    A parent's filing is its latest that lists another registrant, the index's first of several, else its best record; a child without records is named by its number.
     """
     steps = records.listed(sub).select(F.col("cik").alias("parent"), F.col("other").alias("child")).distinct().withColumn("ord", F.col("child"))
     visited, found = graph.ranked_walk(steps, roots.select(F.btrim("cik").alias("root")), max_depth, cap)
     info = ("name", "countryba", "countryinc", "stprinc", "sic", "former")
     best = records.best_record(sub)
-    known = best.select("cik", F.struct("cik", *info).alias("info"))
-    listing = records.listed(sub).groupBy("cik").agg(F.max_by(F.struct(F.col("adsh").alias("accession"), "form", F.col("filed").alias("filing_date")), F.struct(F.col("filed"), F.col("adsh"))).alias("f"))
-    rows = found.join(known.select(F.col("cik").alias("parent"), F.col("info").alias("p")), "parent").join(known.select(F.col("cik").alias("child"), F.col("info").alias("c")), "child", "left").join(listing.withColumnRenamed("cik", "parent"), "parent")
+    about = best.select("cik", F.struct("cik", *info).alias("info"))
+    listing = records.listed(sub).groupBy("cik").agg(F.max_by(F.struct(F.col("adsh").alias("accession"), "form", F.col("filed").alias("filing_date")), F.struct(F.col("filed"), -F.col("seq"))).alias("f"))
+    rows = found.join(about.select(F.col("cik").alias("parent"), F.col("info").alias("p")), "parent").join(about.select(F.col("cik").alias("child"), F.col("info").alias("c")), "child", "left").join(listing.withColumnRenamed("cik", "parent"), "parent")
     unknown = F.struct(F.col("child").alias("cik"), F.concat(F.lit("CIK "), "child").alias("name"), *[F.lit("").alias(c) for c in info[1:]])
     pairs = rows.select(F.col("p").alias("parent"), F.coalesce("c", unknown).alias("child"), "f.*", "depth", F.col("root").alias("root_cik"), F.struct(F.lit(3).alias("part"), "rank", F.col("ord").cast("string").alias("a"), F.lit("").alias("b")).alias("seq"))
     return visited, edges.subsidiary_edges(pairs, keep=("root_cik", "seq"), known=known)
@@ -75,15 +75,17 @@ def run(filings: DataFrame, companies: DataFrame, roots: DataFrame, max_depth: i
     knows by exactly their name are too. Edges are merged for each root by itself, in the order: incorporation, filings, subsidiaries.
     """
     met = stored(ascend(filings, roots, max_depth, cap), "visited")
-    mine = filings.join(met.select(F.col("root").alias("root_cik"), F.col("node").alias("cik"), "depth", "rank"), "cik")
+    # texts of the registrants met are parsed and searched once, however many roots meet them; only what is found meets the roots
+    nodes = met.select(F.col("node").alias("cik")).distinct()
+    parts = stored(filing_text.sections(filings.join(nodes, "cik")).select("cik", "place", "company", "accession", "form", "filing_date", *report.TEXTS), "sections")
+    found = stored(report.extracts(parts, known), "extracts")
+    mine = found.join(met.select(F.col("root").alias("root_cik"), F.col("node").alias("cik"), "depth", "rank"), "cik")
     own = F.lit(None).cast("string")
     for cik, name in (issuer_names or {}).items():
         own = F.when(F.col("root_cik") == cik, name).otherwise(own)
     issuer = F.coalesce(*[text.blank_to_null(c) for c in (own, F.col("company"), F.col("_name"))], F.col("cik"))
-    named = mine.join(companies.select("cik", F.col("name").alias("_name")), "cik", "left").withColumns({"issuer": issuer, "issuer_country": F.lit(issuer_country).cast("string")})
-    # one parse for each filing and root, written once and read by all extractors
-    parts = stored(filing_text.sections(named).withColumn("key", F.struct("root_cik", "rank", "place", "cik")).select("key", "cik", "issuer", "issuer_country", "accession", "form", "filing_date", "depth", "full_text", "signatures", "narrative", "countries"), "sections")
-    told = report.filing_edges(parts, known)
+    named = mine.join(companies.select("cik", F.col("name").alias("_name")), "cik", "left").withColumns({"issuer": issuer, "issuer_country": F.lit(issuer_country).cast("string"), "key": F.struct("root_cik", "rank", "place", "cik")})
+    told = report.edges_from(named, known)
     order = lambda part, rank, a, b: F.struct(F.lit(part).alias("part"), rank.cast("long").alias("rank"), a.cast("string").alias("a"), b.cast("string").alias("b"))
     wide = lambda c: F.lpad(c.cast("string"), 10, "0")
     told = told.withColumns({"root_cik": F.col("seq.key.root_cik"), "seq": order(2, F.col("seq.key.rank"), wide(F.col("seq.key.place")), F.concat(wide(F.col("seq.kind")), wide(F.col("seq.ord"))))})
