@@ -1,10 +1,13 @@
 """Readers and writers over small files."""
 
 import json
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from tierwalk.operators import gaps, records
 from tierwalk.operators import holdings as land
 from tierwalk.sources import documents, edge_files, filings, holdings_files, state_filings, submissions, universe
 from tierwalk.streaming import index
@@ -30,15 +33,65 @@ def test_index_of_folders_and_archives(spark, tmp_path):
     got = submissions.read(spark, str(tmp_path)).collect()
     assert {(r.adsh, r.cik, r.name, r.nciks, r.source_period) for r in got} == {("1-1", "11", '"Quoted', 0, "2024q1"), ("", "14", "N", 1, "2024q1"), ("adsh-late", "16", "N", 1, "2024q1"), ("2-1", "22", "N", 3, "2024q2"), ("4-1", "41", "Zipped", 1, "2024q4")}
     assert [r.aciks for r in got if r.adsh == "1-1"] == ["12 13"]
+    assert [r.adsh for r in sorted(got, key=lambda r: r.seq)] == ["1-1", "", "adsh-late", "2-1", "4-1"] and sorted(r.seq for r in got) == [1, 2, 3, 4, 5]
+    assert records.best_record(submissions.read(spark, str(tmp_path))).count() == 5
     assert submissions.read(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_index_as_a_stream(spark, tmp_path):
-    (tmp_path / "in" / "2024q1_notes").mkdir(parents=True)
-    (tmp_path / "in" / "2024q1_notes" / "sub.tsv").write_text("\n".join(["\t".join(submissions.FIELDS), row("1-1", "11"), row("1-1", "12"), row("1-2", "13")]))
-    q = index.submissions(spark, str(tmp_path / "in" / "*")).writeStream.format("memory").queryName("subs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.adsh, r.source_period) for r in spark.table("subs").collect()} == {("1-1", "2024q1"), ("1-2", "2024q1")}
+@pytest.mark.parametrize("arrival", [(0, 1, 2, 3), (2, 0, 3, 1)])
+def test_index_as_a_stream(spark, tmp_path, arrival):
+    """Files in any order of arrival give the rows of the batch reader once a later period has come; nothing is held of what is done."""
+    head = "\t".join(submissions.FIELDS)
+    files = {
+        "2023q4": [head, row("1-1", "10", "first"), row("1-9", "19")], "2024_01": ["", head, row("1-1", "11", "later"), row("1-1", "12"), row("1-2", "13"), row("adsh-x", "14")],
+        "2024q1": [row("1-2", "23"), row("", "24"), row("1-3", "25")], "2024q2": [head, row("1-3", "33"), "short\tline", row("2-1", "", "no registrant"), row("2-2", "34")],
+    }
+    names, source = list(files), tmp_path / "in"
+
+    def arrive(name, lines):
+        (source / f"{name}_notes").mkdir(parents=True)
+        (source / f"{name}_notes" / "sub.tsv").write_text("\n".join(lines) + "\n")
+        q = index.submissions(spark, str(source / "*")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    for i in arrival:
+        arrive(names[i], files[names[i]])
+    want = {(r.adsh, r.cik, r.name, r.source_period) for r in submissions.read(spark, str(source)).collect()}
+    arrive("2030q1", [head, row("9-9", "99")])
+    q = arrive("2030q2", [head])
+    got = [(r.adsh, r.cik, r.name, r.source_period) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want == {("1-1", "10", "first", "2023q4"), ("1-9", "19", "N", "2023q4"), ("1-2", "13", "N", "2024_01"), ("adsh-x", "14", "N", "2024_01"), ("", "24", "N", "2024q1"), ("1-3", "25", "N", "2024q1"), ("2-2", "34", "N", "2024q2")}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+def test_times_of_periods(spark):
+    rows = spark.createDataFrame([("2024q3",), ("2024_02",), ("2024-11",), ("other",)], "p string").select(index.period_date(F.col("p"), F.lit("2000-01-01").cast("timestamp")).cast("string").alias("t"))
+    assert [r.t[:10] for r in rows.collect()] == ["2024-09-01", "2024-02-01", "2024-11-01", "2000-01-01"]
+
+
+def test_gaps_under_inserts(spark, tmp_path):
+    """After every batch the gaps are those of a whole analysis; a batch that is done again changes nothing; streams bring the same."""
+    schema = "name string, state string, entity_type string, jurisdiction_of_formation string, registered_agent string, officers array<string>, formation_date string, seq int"
+    rng = random.Random(3)
+    words = ["ALPHA", "BETA", "GAMMA", "DELTA", "OMEGA"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    entity = lambda i: (name().title(), "DE", "LLC", "", None, [], "", i)
+    follow, every, known = index.Gaps(spark, str(tmp_path / "g"), schema), [], []
+    for batch in range(3):
+        new, names = [entity(10 * batch + i) for i in range(6)] + [("", "DE", "LLC", "", None, [], "", 10 * batch + 9)], [name() for _ in range(2)] + ["AB"]
+        every += new
+        known += names
+        for _ in range(1 + batch % 2):
+            follow.add(batch, spark.createDataFrame(new, schema), spark.createDataFrame([(n,) for n in names], "name string"))
+        want = gaps.gaps(spark.createDataFrame(every, schema), spark.createDataFrame([(n.upper(),) for n in known], "name string"))
+        key = lambda df: sorted((r.seq, r.entity_name, r.risk_score) for r in df.collect())
+        assert key(follow.now()) == key(want)
+    spark.createDataFrame(every, schema).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([(n,) for n in known], "name string").write.parquet(str(tmp_path / "f"))
+    streamed = index.Gaps(spark, str(tmp_path / "s"), schema)
+    streamed.follow(spark.readStream.schema(schema).parquet(str(tmp_path / "e")), spark.readStream.schema("name string").parquet(str(tmp_path / "f")), str(tmp_path / "c")).awaitTermination()
+    assert key(streamed.now()) == key(want)
 
 
 def test_recent_filings(spark, tmp_path):

@@ -23,18 +23,26 @@ def federal_names(edges: DataFrame) -> DataFrame:
     return tgt.join(src, "name", "full").select("name", "_r.type", "_r.relationship")
 
 
+def known_names(names: DataFrame, federal: DataFrame) -> DataFrame:
+    """_n: those of names (_n, upper case) that federal names (_f) show: equal ones, and those inside a name of more than SHORT characters or around one."""
+    long = federal.filter(F.length("_f") > SHORT)
+    inside = holds(names, long, "_n", "_f").select("_n").union(holds(long, names, "_f", "_n").select("_n"))
+    return inside.union(names.join(federal, F.col("_n") == F.col("_f"), "left_semi").select("_n")).distinct()
+
+
 def gaps(entities: DataFrame, federal: DataFrame) -> DataFrame:
     """State entities (name, state, entity_type, jurisdiction_of_formation, registered_agent, officers, formation_date, seq) without a federal name: none equal in any case, none of more than SHORT characters inside the other.
 
     With gap_type, risk_score (1 at most), risk_indicators in order, and notes.
     """
-    mine = entities.withColumn("_n", F.upper("name"))
     known = federal.select(F.col("name").alias("_f")).distinct()
-    long = known.filter(F.length("_f") > SHORT)
-    names = mine.select("_n").distinct()
-    inside = holds(names, long, "_n", "_f").select("_n").union(holds(long, names, "_f", "_n").select("_n"))
-    left = mine.join(known, F.col("_n") == F.col("_f"), "left_anti").join(inside.distinct(), "_n", "left_anti")
-    # an empty name is inside any other
+    shown = known_names(entities.select(F.upper("name").alias("_n")).distinct(), known)
+    return scored(entities, shown, known.filter(F.length("_f") > SHORT))
+
+
+def scored(entities: DataFrame, shown: DataFrame, long: DataFrame) -> DataFrame:
+    """Entities whose upper-case name is not among those shown (_n), with scores. An empty name is inside any long federal name."""
+    left = entities.withColumn("_n", F.upper("name")).join(shown, "_n", "left_anti")
     if not long.isEmpty():
         left = left.filter("_n <> ''")
     low = F.lower("name")

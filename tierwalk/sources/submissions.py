@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwalk.functions.text import BLANKS
+from tierwalk.operators.order import numbered
 
 # The fields of a row, in order.
 FIELDS = (
@@ -89,7 +90,7 @@ def decoded(lines: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, base: str) -> DataFrame:
-    """All periods under a folder, in the order of their names: folders with _notes in their name or ending in q1 to q4, and archives; a period counts once."""
+    """All periods under a folder, in the order of their names: folders with _notes in their name or ending in q1 to q4, and archives; a period counts once. seq numbers the rows in their order from 1."""
     parts, seen = [], set()
     for rank, (name, is_folder) in enumerate(_listed(spark, base)):
         path, period = f"{base.rstrip('/')}/{name}", name.removesuffix(".zip").replace("_notes", "")
@@ -105,8 +106,9 @@ def read(spark: SparkSession, base: str) -> DataFrame:
             seen.add(period)
             parts.append(part)
     if not parts:
-        return decoded(spark.createDataFrame([], "value string, at struct<entry: int, block: long, line: long>, source_period string"))
+        parts.append(spark.createDataFrame([], "value string, at struct<entry: int, block: long, line: long>, source_period string"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return decoded(out)
+    rows = decoded(out).withColumnRenamed("seq", "_at")
+    return numbered(rows, ["_at"], "seq").drop("_at")
