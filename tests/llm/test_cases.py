@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tierwalk.llm import bpe, chunks, decontaminate, exact_dedup, gru, linkgraph, ngram_join, sharding, tokenstore, toxicity
 from tierwalk.llm.common import Work
@@ -50,6 +51,20 @@ def test_token_files(spark, docs):
     assert [r[2] for r in rows] == sorted(r[2] for r in rows)
 
 
+def test_tokens_of_many_rows_without_ids(spark):
+    """Rows without ids, alike or not, are dealt to several tasks; starts stay gapless and ids ascend."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 40 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same text").otherwise(F.concat(F.lit("text "), "id")).alias("text")).repartition(8)
+    out = Work(spark, "t").path("f")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tokenstore.write(docs, out, public_tokenizers.path("word_bpe_49k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r["n"] for r in spark.read.parquet(out).groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert len(parts) > 2 and max(parts) < 3000
+    rows = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in tokenstore.read(spark, out).collect())
+    assert len(rows) == 4000 and [r[0] for r in rows] == [0, *itertools.accumulate(r[1] for r in rows)][:-1]
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+
+
 def test_byte_bpe(docs):
     got = bpe.roundtrip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert counted(got, "doc_id", "decoded_sha256") == of_rows(lambda t: (hashlib.sha256(t.encode()).hexdigest(),))
