@@ -338,7 +338,7 @@ def test_research_broken_off_and_taken_up_again(spark, tmp_path, monkeypatch):
     """A run that breaks off, after one batch and in the midst of the next, and is taken up again ends like one that doesn't."""
     chosen, filings, about = _research_inputs(spark, monkeypatch)
     whole, broken = str(tmp_path / "whole"), str(tmp_path / "broken")
-    research.run(spark, chosen, filings, about, whole, max_depth=1, batches=3, made="now")
+    research.run(spark, chosen, filings, about, whole, max_depth=1, made="now")
 
     own, calls = research.Output._commit, []
 
@@ -350,11 +350,11 @@ def test_research_broken_off_and_taken_up_again(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(research.Output, "_commit", breaks)
     with pytest.raises(RuntimeError):
-        research.run(spark, chosen, filings, about, broken, max_depth=1, batches=3, made="now")
+        research.run(spark, chosen, filings, about, broken, max_depth=1, batches=2, made="now")
     n = research.finished(spark, broken).count()
     assert 0 < n < 5
     monkeypatch.setattr(research.Output, "_commit", own)
-    research.run(spark, chosen, filings, about, broken, max_depth=1, batches=2, made="now")
+    research.run(spark, chosen, filings, about, broken, max_depth=1, made="now")
     assert _all_of(spark, whole) == _all_of(spark, broken)
     files, _, combined, done = _all_of(spark, broken)
     assert done == {"111111", "222222", "333333", "444444", "7"} and {r for r, _, _ in files} == done - {"7"}

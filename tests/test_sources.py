@@ -78,7 +78,7 @@ def test_gaps_under_inserts(spark, tmp_path):
     name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
     entity = lambda i: (name().title(), "DE", "LLC", "", None, [], "", i)
     follow, every, known = index.Gaps(spark, str(tmp_path / "g"), schema), [], []
-    for batch in range(3):
+    for batch in range(2):
         new, names = [entity(10 * batch + i) for i in range(6)] + [("", "DE", "LLC", "", None, [], "", 10 * batch + 9)], [name() for _ in range(2)] + ["AB"]
         every += new
         known += names
