@@ -6,7 +6,8 @@ The first place of a digest (smallest doc_id, then offset) is the original. Copi
 run; a run counts from LEAST_RUN bytes on, since short chunks, as of a common phrase, also recur by chance. Inside
 the runs that count, neighbouring chunks that aren't the original are one span to remove.
 
-Null and empty texts have no chunks. Repeated rows are copies of each other: one of them is the original.
+Null and empty texts have no chunks. Long texts are chunked whole. An empty table has an empty result; columns other than
+id and text are left behind. Repeated rows are copies of each other: one of them is the original.
 Whitespace runs and case are left as they are. Offsets are in UTF-8 bytes.
 """
 

@@ -8,6 +8,10 @@ costs one level's tasks. After the last round one run is left, spread over the p
 
 A key with a third of all rows is one entry for each task and run before anything is exchanged, and at most FAN
 entries for each run after that; no task holds a run or a group whole.
+
+Null texts count as empty ones. Texts are digested whole, however long. Of equal texts the row with the largest (or smallest)
+identifier stays; rows with null or equal identifiers are rows of their own, and of rows alike in both one stays. An empty
+table has an empty result. Other columns are left behind.
 """
 
 from __future__ import annotations

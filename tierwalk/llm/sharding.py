@@ -8,7 +8,8 @@ At the end whole numbers are put right: shards over their quota give up rows, al
 groups larger than a shard, then the largest groups. Law `rows`: counts differ by one at most.
 
 A null text counts as empty and has 1 byte of size. Rows with equal or null ids are rows of their own.
-Tables of fewer rows than shards leave shards empty; an empty table gives an empty one.
+Tables of fewer rows than shards leave shards empty; an empty table gives an empty one. Long texts count as others: law
+`rows` has no regard for size. Columns other than id and text are left behind.
 """
 
 from __future__ import annotations
