@@ -7,13 +7,15 @@ same over reversed edges from blocked seeds: hosts with a bad name and hosts who
 rule for some paths says nothing of the host's other pages). A host is blocked where distrust passes the threshold and trust.
 
 Null urls and urls without :// have an empty host and path, fit no rule and are allowed. Null html has no
-links. Repeated rows are judged alike; repeated links count once for a pair of hosts.
+links. Repeated rows are judged alike; repeated links count once for a pair of hosts. Long pages are searched whole. Ties between
+trust and distrust allow. An empty table has an empty result. Columns other than the id, url and html are left behind.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,27 +69,37 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", s
     return links.union(both).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
+#: Rounds of propagation in one plan.
+STEPS = 4
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, work: Work, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """kind, host, rank: each kind's rank flows along its edges (kind, src, dst) and returns to its seeds (kind, host).
 
-    Rounds, each a written table, go on until a round changes a kind's ranks by less than tolerance of a whole of 1
+    STEPS rounds are one plan and a written table. They go on until a round changes a kind's ranks by less than tolerance of a whole of 1
     and reaches no new host.
     """
     degree = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("out"))
     flow = work.write("flow", edges.join(degree, ["kind", "src"]))
     base = work.write("seeds", seeds.join(seeds.groupBy("kind").agg((1.0 / F.count(F.lit(1))).alias("rank")), "kind"))
+    home = base.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
+
+    def step(rank: DataFrame) -> DataFrame:
+        moved = flow.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") / F.col("out")).alias("rank"))
+        return moved.union(home).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+
     rank, k = base, 0
     while True:
-        moved = flow.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") / F.col("out")).alias("rank"))
-        new = work.write(f"rank{k}", moved.union(base.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-        if k % 4 == 3:
-            both = new.join(rank.withColumnRenamed("rank", "old"), ["kind", "host"], "full")
-            change = both.groupBy("kind").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count_if(F.col("old").isNull()).alias("fresh"))
-            if change.filter((F.col("by") >= tolerance) | (F.col("fresh") > 0)).isEmpty():
-                return new
+        old = reduce(lambda r, _: step(r), range(STEPS - 1), rank)
+        both = step(old).join(old.withColumnRenamed("rank", "old"), ["kind", "host"], "full")
+        new = work.write(f"rank{k}", both)
+        change = new.groupBy("kind").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count_if(F.col("old").isNull()).alias("fresh"))
+        done = change.filter((F.col("by") >= tolerance) | (F.col("fresh") > 0)).isEmpty()
         if k:
             work.drop(f"rank{k - 1}")
-        rank, k = new, k + 1
+        rank, k = new.filter("rank is not null").select("kind", "host", "rank"), k + 1
+        if done:
+            return rank
 
 
 def judge(pages: DataFrame, rules=RULES, bad_names=BAD_NAMES, threshold: float = 0.0, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", seeds: Sequence[tuple[str, str]] = SEEDS, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
