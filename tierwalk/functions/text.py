@@ -47,20 +47,29 @@ def filer_of(accession: Column) -> Column:
     return F.when(accession.rlike(form), F.regexp_extract(accession, form, 1).try_cast("bigint").cast("string"))
 
 
+def _named(c: Column) -> Column:
+    """Registrant numbers after CIK, with : or #, as often as they stand there."""
+    named = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)\bCIK\s*[:#]?\s*0*([0-9]{3,10})\b"), F.lit(1))
+    return F.transform(named, lambda x: x.cast("bigint").cast("string"))
+
+
 def registrants_in(c: Column) -> Column:
     """Distinct registrant numbers that a text names: after CIK, with : or #, first; then in addresses of documents."""
-    text = F.coalesce(c, F.lit(""))
-    named = F.regexp_extract_all(text, F.lit(r"(?i)\bCIK\s*[:#]?\s*0*([0-9]{3,10})\b"), F.lit(1))
-    linked = F.regexp_extract_all(text, F.lit(r"(?i)/CIK0*([0-9]{5,10})\.json"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(named, linked), lambda x: x.cast("bigint").cast("string")))
+    linked = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)/CIK0*([0-9]{5,10})\.json"), F.lit(1))
+    return F.array_distinct(F.concat(_named(c), F.transform(linked, lambda x: x.cast("bigint").cast("string"))))
+
 
+def related_registrants(content: Column, text: Column, accession: Column, own: Column, distinct: bool = True) -> Column:
+    """Registrants that a filing names, in order: in its header, in its text, then the filer; without its own.
 
-def related_registrants(content: Column, text: Column, accession: Column, own: Column) -> Column:
-    """Registrants that a filing names, in order: in its header, in its text, then the filer; without its own."""
+    Without distinct a number stands there as often as it is named. Numbers in addresses also follow the word CIK, so those
+    after it are all of a text.
+    """
     header = F.regexp_extract_all(F.substring(F.coalesce(content, F.lit("")), 1, 10000), F.lit(r"CENTRAL INDEX KEY:\s*0*(\d{5,10})"), F.lit(1))
     header = F.transform(header, lambda x: x.cast("bigint").cast("string"))
-    every = F.concat(header, registrants_in(F.when(text != "", text).otherwise(content)), F.array_compact(F.array(filer_of(accession))))
-    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.filter(F.array_distinct(every), lambda x: x != F.coalesce(own, F.lit(""))))
+    body = F.when(text != "", text).otherwise(content)
+    every = F.concat(header, registrants_in(body) if distinct else _named(body), F.array_compact(F.array(filer_of(accession))))
+    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.filter(F.array_distinct(every) if distinct else every, lambda x: x != F.coalesce(own, F.lit(""))))
 
 
 def number_tokens(c: Column, least: int, most: int) -> Column:
