@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.functions.text import flag, sanitized
+from tierwalk.functions.text import flag, let, sanitized
 
 # The columns of an edge file.
 COLUMNS = (
@@ -15,10 +15,21 @@ COLUMNS = (
 RATINGS = ("CRITICAL", "HIGH", "ELEVATED", "MODERATE", "LOW", "UNKNOWN")
 
 
+#: A line whose fields (divided by \x01) are as `sanitized` leaves them: printable ASCII without | and ", no spaces at either end.
+_FIELD = r'(?:[!#-{}~]++(?: ++[!#-{}~]++)*+)?+'
+
+
 def line(df: DataFrame, columns: tuple[str, ...] = COLUMNS) -> Column:
-    """An edge as a line; booleans are Y or empty, nulls are empty."""
+    """An edge as a line; booleans are Y or empty, nulls are empty.
+
+    Most lines need no change, which one pattern over the whole line tells; the others are put in order field by field, in an
+    array, so that a line's code stays small however many columns it has.
+    """
     kinds = dict(df.dtypes)
-    return F.concat_ws("|", *[flag(F.col(c)) if kinds[c] == "boolean" else sanitized(F.col(c).cast("string")) for c in columns])
+    fields = [flag(F.col(c)) if kinds[c] == "boolean" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    clean = rf"^{_FIELD}(?:\x01{_FIELD}){{{len(columns) - 1}}}\z"
+    whole = lambda t: F.when(t.rlike(clean), F.replace(t, F.lit("\x01"), F.lit("|"))).otherwise(F.array_join(F.transform(F.array(*fields), sanitized), "|"))
+    return let(F.concat_ws("\x01", *fields), whole)
 
 
 def header(root_cik: str, made: str, columns: tuple[str, ...] = COLUMNS) -> dict[str, str]:
