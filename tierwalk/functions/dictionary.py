@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,15 +69,32 @@ def first_entry(entries: Sequence[int], found: dict[int, int]) -> tuple[int, int
     return entry, token, place
 
 
+_KINDS = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+#: Rows that are worked out before they are put into Arrow's form.
+ROWS = 1000
+
+
 def struct_udf(make, kind: str):
-    """A function of strings to a tuple (or None) as an Arrow-batched function of columns."""
-    names = [p.split(":")[0].strip() for p in kind.removeprefix("struct<").removesuffix(">").split(",")]
-
-    @F.pandas_udf(kind)
-    def run(*parts: pd.Series) -> pd.DataFrame:
-        rows = [make(*[None if x is None or x is pd.NA or x != x else x for x in row]) for row in zip(*parts, strict=True)]
-        blank = (None,) * len(names)
-        return pd.DataFrame([blank if r is None else r for r in rows], columns=names).astype(object)
+    """A function of strings to a tuple (or None) as an Arrow-batched function of columns. Of rows alike in a batch one is worked out."""
+    fields = [[x.strip() for x in p.split(":")] for p in kind.removeprefix("struct<").removesuffix(">").split(",")]
+    blank = (None,) * len(fields)
+    form = pa.struct([(name, _KINDS[k]) for name, k in fields])
+
+    @F.arrow_udf(kind)
+    def run(*parts: pa.Array) -> pa.Array:
+        distinct = [p.dictionary_encode("encode") for p in parts]
+        codes = np.zeros(len(parts[0]), np.int64)
+        for d in distinct:
+            # codes stay below the number of rows, so they don't overflow
+            codes = np.unique(codes * len(d.dictionary) + d.indices.to_numpy(), return_inverse=True)[1]
+        first = np.unique(codes, return_index=True)[1]
+        done = []
+        for at in range(0, len(first), ROWS):
+            some = pa.array(first[at : at + ROWS])
+            rows = [make(*row) or blank for row in zip(*[p.take(some).to_pylist() for p in parts], strict=True)]
+            done.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), form, strict=True)], fields=list(form)))
+        out = pa.concat_arrays(done) if done else pa.array([], form)
+        return out if len(out) == len(codes) else out.take(pa.array(codes))
 
     return run
 

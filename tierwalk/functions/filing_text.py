@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +23,9 @@ COUNTRIES = (
 def unescaped(c: Column) -> Column:
     """Entities as characters; the only step here that needs Python. What comes before it is worked out once."""
 
-    @F.pandas_udf("string")
-    def run(s):
-        import html
-
-        return s.map(lambda x: None if x is None else html.unescape(x))
+    @F.arrow_udf("string")
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array((None if x is None else html.unescape(x) for x in (v.as_py() for v in s)), pa.string())
 
     return run(c)
 

@@ -96,14 +96,14 @@ def role(name: Column, context: Column, table: Sequence[tuple[str, tuple[str, ..
     matcher, entries, names = dictionary.Matcher([w for _, w in every]), [n for n, _ in every], [r for r, _ in table]
 
     def one(window):
-        hit = dictionary.first_entry(entries, matcher.first((window or "").lower(), words=True))
-        return None if hit is None else (names[hit[0]],)
+        low = (window or "").lower()
+        hit = dictionary.first_entry(entries, matcher.first(low, words=True))
+        return None if hit is None else names[hit[0]], "Officer" if "officer" in low else "Director" if "director" in low else None
 
-    label = dictionary.struct_udf(one, "struct<role: string>")(window)["role"]
-    low = F.lower(window)
-    weak = F.when(F.contains(low, F.lit("officer")), F.lit("Officer")).when(F.contains(low, F.lit("director")), F.lit("Director"))
     usable = (F.coalesce(name, F.lit("")) != "") & (ctx != "")
-    strong, weak = F.when(usable, label), F.when(usable, weak)
+    # both come out of one walk, so that the context goes no further than the walk
+    label = dictionary.struct_udf(one, "struct<strong: string, weak: string>")(F.when(usable, window))
+    strong, weak = label["strong"], label["weak"]
     is_in = lambda roles: F.coalesce(strong.isin(*roles), F.lit(False))
     lone = strong.isNull() & weak.isNotNull()
     return F.struct(

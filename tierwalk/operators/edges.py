@@ -76,6 +76,22 @@ def country_edges(mentions: DataFrame, keep: Sequence[str] = ("seq",), known: ta
     return _edges(mentions, values, (None, place), None, [], keep, known)
 
 
+def named_edges(rows: DataFrame, keep: Sequence[str] = ("seq",), known: tables.Tables = tables.DEFAULT) -> DataFrame:
+    """role_edges of people (kind under 2, with role) and of institutions (kind 2, with the role Unknown) and country_edges (kind 4) in one pass over rows with name, issuer, issuer_country, a filing."""
+    person, place = F.col("kind") < 2, F.col("kind") == 4
+    by_kind = lambda a, b, c: F.when(person, a).when(place, c).otherwise(b)
+    name = F.when(~place, F.col("name"))
+    values = {
+        "source": F.when(place, F.col("issuer")).otherwise(F.col("name")), "source_type": by_kind("person", "institution", "company"), "target": F.when(place, F.col("name")).otherwise(F.col("issuer")), "target_type": F.when(place, "country").otherwise("company"),
+        "relationship": by_kind("person_role", "institution_role", "country_association"), "detail": by_kind(F.col("role.role"), "Unknown", ""), "method": F.when(place, "country_extraction").otherwise("role_extraction"),
+        **{f"role_is_{k}": F.when(person, F.col(f"role.{k}")).otherwise(False) for k in ("executive", "board", "ownership", "obscuring")},
+    }
+    issuer = lookup.jurisdiction(F.when(~place, F.col("issuer")), F.col("issuer_country"), table=known.jurisdictions)
+    country = F.struct(F.col("name").alias("country"), lookup.tier_of(F.col("name"), known.jurisdictions).alias("tier"), F.lit(None).cast("string").alias("token"))
+    sides = lookup.jurisdiction(name, table=known.jurisdictions), F.when(place, country).otherwise(issuer)
+    return _edges(rows, values, sides, name, [F.when(~place, F.lit("method: signature_or_narrative"))], keep, known)
+
+
 def incorporation_edges(companies: DataFrame, states: dict[str, str], keep: Sequence[str] = ("seq",), known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from companies (cik, name, state, sic, sic_description) to where they are incorporated; blank states have none."""
     names = F.create_map(*[F.lit(x) for pair in states.items() for x in pair])

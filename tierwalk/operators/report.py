@@ -27,32 +27,43 @@ def extracts(filings: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataF
     role; 2 institutions; 3 owners of ownership reports, with percent, class_title, owner_notes; 4 countries. Nothing of it depends on
     who asks, so a filing that many roots meet is read once.
     """
-    base = [c for c in filings.columns if c not in TEXTS]
+    return _named(filings, known).unionByName(_held(filings), allowMissingColumns=True)
 
-    def rows(found, kind: int, *more: str) -> DataFrame:
-        return filings.select(*base, *more, F.lit(kind).alias("kind"), F.posexplode(found).alias("ord", "name"))
 
-    people = rows(names.signers(F.concat_ws("\n", "signatures", "full_text")), 0, "full_text").unionByName(rows(names.people_in(F.col("narrative")), 1, "full_text"))
-    people = people.withColumn("role", lookup.role(F.col("name"), F.col("full_text"), known.roles)).drop("full_text")
-    held = owners.owners(filings.filter(F.upper("form").isin(*owners.FORMS)).select(*base, "full_text")).drop("full_text").withColumnRenamed("owner", "name").withColumn("kind", F.lit(3))
-    out = people
-    for part in (rows(names.institutions_in(F.col("narrative")), 2), held, rows(F.col("countries"), 4)):
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+def _base(filings: DataFrame) -> list[str]:
+    return [c for c in filings.columns if c not in TEXTS]
+
+
+def _named(filings: DataFrame, known: tables.Tables) -> DataFrame:
+    """Extracts of every kind but owners; all texts go to the extractors once, side by side."""
+    base = _base(filings)
+    read = filings.select(*base, "full_text", names.signers(F.concat_ws("\n", "signatures", "full_text")).alias("_0"), names.people_in(F.col("narrative")).alias("_1"), names.institutions_in(F.col("narrative")).alias("_2"), F.col("countries").alias("_4"))
+    none = F.array().cast("array<struct<kind: int, ord: int, name: string>>")
+    of_kind = lambda k: F.coalesce(F.transform(f"_{k}", lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("ord"), x.alias("name"))), none)
+    out = read.select(*base, "full_text", F.explode(F.concat(*map(of_kind, (0, 1, 2, 4)))).alias("_f")).select(*base, "full_text", "_f.*")
+    person = F.col("kind") < 2
+    return out.withColumn("role", F.when(person, lookup.role(F.when(person, F.col("name")), F.when(person, F.col("full_text")), known.roles))).drop("full_text")
+
+
+def _held(filings: DataFrame) -> DataFrame:
+    """Extracts of owners."""
+    return owners.owners(filings.filter(F.upper("form").isin(*owners.FORMS)).select(*_base(filings), "full_text")).drop("full_text").withColumnRenamed("owner", "name").withColumn("kind", F.lit(3))
 
 
 def edges_from(found: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """Edges from extracts with key, issuer, issuer_country and depth, in order by seq (key, kind, ord)."""
-    rows = found.withColumn("seq", F.struct("key", "kind", "ord"))
-    unknown = F.struct(F.lit("Unknown").alias("role"), F.lit(0.0).alias("confidence"), *[F.lit(False).alias(f) for f in ("executive", "board", "supervisory", "ownership", "obscuring")])
-    people, bodies = edges.role_edges(rows.filter("kind < 2"), known=known), edges.role_edges(rows.filter("kind = 2").withColumn("role", unknown), institutions=True, known=known)
-    held, places = edges.owner_edges(rows.filter("kind = 3").withColumnRenamed("name", "owner"), known=known), edges.country_edges(rows.filter("kind = 4").withColumnRenamed("name", "country"), known=known)
-    return people.unionByName(bodies).unionByName(held).unionByName(places)
+    return _edges(found.filter("kind <> 3"), found.filter("kind = 3"), known)
+
+
+def _edges(named: DataFrame, held: DataFrame, known: tables.Tables) -> DataFrame:
+    seq = F.struct("key", "kind", "ord")
+    return edges.named_edges(named.withColumn("seq", seq), known=known).unionByName(edges.owner_edges(held.withColumn("seq", seq).withColumnRenamed("name", "owner"), known=known))
 
 
 def filing_edges(filings: DataFrame, known: tables.Tables = tables.DEFAULT) -> DataFrame:
     """All edges of filings (key, cik, issuer, issuer_country, accession, form, filing_date, depth and the columns of sections), in order by seq."""
-    return edges_from(extracts(filings, known), known)
+    # each kind's extracts are worked out in one branch, not once for the filter of each
+    return _edges(_named(filings, known), _held(filings), known)
 
 
 def counts(rows: DataFrame, column: str) -> DataFrame:
