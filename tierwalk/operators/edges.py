@@ -6,7 +6,6 @@ An edge is a flat row of COLUMNS; `seq` (any type with an order) keeps the order
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -122,7 +121,7 @@ def subsidiary_edges(pairs: DataFrame, keep: Sequence[str] = ("seq",), known: ta
     return _edges(pairs, values, (side("parent"), side("child")), F.col("child.name"), [place, F.concat(F.lit("SIC: "), child("sic")), F.concat(F.lit("former: "), child("former"))], keep, known)
 
 
-#: Different notes of one key that are folded in one row; the edges of a key with more of them are folded in segments of so many.
+#: Edges of one key that are folded in one row; those of a key with more are folded in segments of so many different notes.
 SEGMENT = 1000
 
 
@@ -132,27 +131,28 @@ def merged(edges: DataFrame, key: Sequence[str] = tuple(KEY), seq: str = "seq",
     A later edge only counts if it has notes that those gathered so far don't hold: then its notes follow after "; ", it fills in
     jurisdictions and affiliations that are missing, its flags are or-ed and its smaller depth counts.
 
-    Keys with up to `segment` different notes are folded in a row. A key with more is cut into segments of its order, which
-    tasks go through side by side and leave out what an earlier note of the segment holds; what remains is streamed in order
-    past the notes gathered so far, so no row or task holds more of a key than its result and one segment.
+    Keys with up to `segment` edges are dealt once and folded in a row. Of a key with more, edges whose notes an earlier one had are left
+    out first; the rest is cut into segments of its order, which tasks go through side by side and leave out what an earlier note of the
+    segment holds; what remains is streamed in order past the notes gathered so far, so no row or task holds more of a key
+    than its result and one segment. Which keys have more is told by counts of the keys' hashes; keys with one hash go one way together.
     """
     parts = [c for c in edges.columns if c not in key and c != seq]
-    # an edge whose notes an earlier one of its key had, or that has none and isn't the first, changes nothing: gone before anything is gathered
     one = F.struct(F.col(seq).alias("_seq"), *parts)
-    firsts = stored(edges.withColumn("_n", F.coalesce("notes", F.lit(""))).groupBy(*key, "_n").agg(F.min_by(one, F.col(seq)).alias("_e")), "firsts")
-    many = stored(firsts.groupBy(*key).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > segment).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)]), "many-notes")
     named = lambda df: df.select(*[F.col(c) if c in key else F.col("_e._seq").alias(seq) if c == seq else F.col(f"_e.{c}").alias(c) for c in edges.columns])
+    hashed = F.xxhash64(*key)
+    many = stored(edges.groupBy(hashed.alias("_h")).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > segment).select("_h"), "many-edges")
     if many.isEmpty():
-        return named(_folded(firsts, key, parts))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)])
-    few = named(_folded(firsts.join(many, same, "left_anti"), key, parts))
-    return few.unionByName(_streamed(named(firsts.join(many, same, "left_semi")), key, seq, segment))
+        return named(_folded(edges.select(*key, one.alias("_e")), key, parts))
+    few = named(_folded(edges.join(many, hashed == F.col("_h"), "left_anti").select(*key, one.alias("_e")), key, parts))
+    # an edge whose notes an earlier one of its key had, or that has none and isn't the first, changes nothing: gone before anything is gathered
+    firsts = edges.join(many, hashed == F.col("_h"), "left_semi").withColumn("_n", F.coalesce("notes", F.lit(""))).groupBy(*key, "_n").agg(F.min_by(one, F.col(seq)).alias("_e"))
+    return few.unionByName(_streamed(named(firsts), key, seq, segment))
 
 
-def _folded(firsts: DataFrame, key: Sequence[str], parts: Sequence[str]) -> DataFrame:
+def _folded(rows: DataFrame, key: Sequence[str], parts: Sequence[str]) -> DataFrame:
     """Edges of a key (_e) gathered and folded in a row."""
     fill, flags = [c for c in parts if c in JURISDICTIONS + AFFILIATIONS], [c for c in parts if c in FLAGS]
-    groups = firsts.groupBy(*key).agg(F.array_sort(F.collect_list("_e")).alias("_all"))
+    groups = rows.groupBy(*key).agg(F.array_sort(F.collect_list("_e")).alias("_all"))
 
     def take(acc: Column, e: Column) -> Column:
         more = (F.coalesce(e["notes"], F.lit("")) != "") & ~F.contains(F.coalesce(acc["notes"], F.lit("")), e["notes"])
