@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
+from itertools import combinations
+from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +112,107 @@ LEAST_LENGTH = 0.6
 _SURE = 1e-9
 
 
+#: Keys of a name's halves at most; longer names than have so many meet by rare characters.
+MOST_KEYS = 1000
+
+
+@cache
+def _budget(n: int, m: int, t: float) -> tuple[int, int] | None:
+    """Characters of names of n and m characters that are in no matching block at most, if their ratio is t or more; None if it can't be."""
+    least = max(0, ceil(t * (n + m) / 2 - _SURE))
+    return (n - least, m - least) if least <= min(n, m) else None
+
+
+@cache
+def _longest(t: float) -> int:
+    """The greatest length up to which names as long as each other have MOST_KEYS keys at most."""
+    k = 1
+    while k < 64 and 2 * sum(comb(-(-(k + 1) // 2), d) for d in range((sum(_budget(k + 1, k + 1, t)) // 2) + 1)) <= MOST_KEYS:
+        k += 1
+    return k
+
+
+def _cuts(length: int, others: Sequence[int], t: float, whole: bool) -> list[tuple[int, int, int]]:
+    """Parts of a name of `length` characters and how many of their characters are left out: (half, characters, left out).
+
+    Names of the right side (whole) are cut in the middle. Of a name of the left side those beginnings and ends count that such a half can match.
+    """
+    out = set()
+    for o in others:
+        n, m = (o, length) if whole else (length, o)
+        free = _budget(n, m, t)
+        if free is None:
+            continue
+        for half, size in ((0, m // 2), (1, m - m // 2)):
+            for u in range(min(free[0], sum(free) // 2) + 1):
+                for v in range(min(free[1], sum(free) // 2 - u) + 1):
+                    if v <= size and size - v + u <= n:
+                        out.add((half, size, v) if whole else (half, size - v + u, u))
+    return sorted(out)
+
+
+def _keys(names: pa.Array, others: Sequence[int], t: float, whole: bool) -> pa.Array:
+    """For each name the hashes of its parts with characters left out, every choice of them."""
+    values = names.to_pylist()
+    lengths = np.array([len(x) for x in values], np.int64)
+    made, sizes = [], np.zeros(len(values), np.int64)
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        letters = np.frombuffer("".join(values[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), n).astype(np.uint64) + np.uint64(1)
+        found = []
+        for half, size, out in _cuts(n, others, t, whole):
+            kept = np.array(list(combinations(range(size), size - out)), np.int64).reshape(comb(size, out), size - out) + (n - size if half else 0)
+            h = np.full((len(rows), len(kept)), 7 + 2 * half, np.uint64)
+            for at in kept.T:
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += letters[:, at]
+                h ^= h >> np.uint64(29)
+            found.append(h)
+        if found:
+            made.append((rows, np.concatenate(found, axis=1)))
+            sizes[rows] = made[-1][1].shape[1]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.empty(int(offsets[-1]), np.uint64)
+    for rows, h in made:
+        flat[offsets[rows][:, None] + np.arange(h.shape[1])] = h
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
 def near(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs _k, _o of names (both columns _k, distinct and not empty) that may have a ratio of matching blocks of `threshold` (over 0) or more, and have all that do.
 
+    Matching blocks keep their order. So when the right name is cut in the middle, one half is a beginning or an end of the left name but for
+    half of the characters that may match nothing: names meet by such parts with characters left out on both sides (by their hashes,
+    which may only add pairs). Parts of long names have too many such choices; pairs with a name over that length meet by rare characters.
+    """
+    spark, top = left.sparkSession, _longest(threshold)
+    sizes = [sorted(r["n"] for r in df.select(F.length("_k").alias("n")).distinct().collect()) for df in (left, right)]  # numbers up to the longest name
+    short = [[n for n in s if n <= top] for s in sizes]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(df: DataFrame, others: list[int], whole: bool) -> DataFrame:
+        @F.arrow_udf("array<long>")
+        def keys(names: pa.Array) -> pa.Array:
+            made = [_keys(names.slice(at, 256), others, threshold, whole) for at in range(0, len(names), 256)]
+            return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int64()))
+
+        # names are short and their keys many, so they are dealt to all tasks
+        rows = df.select("_k").filter(F.length("_k") <= top).repartition(parts, "_k")
+        return rows.select(F.xxhash64("_k").alias("_a" if not whole else "_b"), F.explode(keys("_k")).alias("_key"))
+
+    met = keyed(left, short[1], False).join(keyed(right, short[0], True), "_key").select("_a", "_b").distinct()
+    out = met.join(left.select("_k", F.xxhash64("_k").alias("_a")), "_a").join(right.select(F.col("_k").alias("_o"), F.xxhash64("_k").alias("_b")), "_b").select("_k", "_o")
+    is_long = F.length("_k") > top
+    if len(short[0]) < len(sizes[0]):
+        out = out.unionByName(_by_rare_characters(left.filter(is_long), right, threshold))
+    if len(short[1]) < len(sizes[1]):
+        out = out.unionByName(_by_rare_characters(left.filter(~is_long), right.filter(is_long), threshold))
+    return out.distinct()
+
+
+def _by_rare_characters(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs as in `near`, for names of any length.
+
     Matching blocks match each character once, so names of n and m characters with a ratio of t have t (n + m) / 2 characters in
     common, as bags. A bag's tokens are (character, which of its kind); in the order of rising frequency two such bags share
     one of the first n - t (n + m) / 2 + 1 tokens, for the least m that can count: names meet in an index of these. Of
