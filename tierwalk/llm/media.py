@@ -34,22 +34,24 @@ def payload(text: bytes) -> bytes:
     return text + b"\xff" * (ROW if not text else -len(text) % ROW)
 
 
-def _entropy(samples: np.ndarray) -> float:
-    n = np.bincount(samples.reshape(-1), minlength=256)
+def _entropy(n: np.ndarray) -> float:
+    """Bits that samples with these counts of values need."""
     n = n[n > 0]
-    return float(-(n * np.log2(n / samples.size)).sum())
+    return float(-(n * np.log2(n / n.sum())).sum())
 
 
 def image(samples: np.ndarray) -> bytes:
     """A WebP file of grey samples (rows x columns of bytes), by the transforms that promise most."""
     grey = np.uint32(webp.BLACK) | samples.astype(np.uint32) * np.uint32(0x010101)
-    if np.count_nonzero(np.bincount(samples.reshape(-1), minlength=256)) <= 16:
+    counts = lambda x: np.bincount(x.reshape(-1), minlength=256)
+    found = counts(samples)
+    if np.count_nonzero(found) <= 16:
         return webp.encode(grey, palette=True)
     top = samples.copy()
     top[1:] -= samples[:-1]
     left = samples.copy()
     left[:, 1:] -= samples[:, :-1]
-    plain, by_mode = _entropy(samples), {1: _entropy(left), 2: _entropy(top)}
+    plain, by_mode = _entropy(found), {1: _entropy(counts(left)), 2: _entropy(counts(top))}
     mode = min(by_mode, key=by_mode.get)
     if by_mode[mode] < 0.98 * plain:
         tiles = np.full((-(-samples.shape[0] >> 9), -(-samples.shape[1] >> 9)), mode)

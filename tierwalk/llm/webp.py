@@ -2,8 +2,9 @@
 
 Decoding an image that has one group of prefix codes takes no step for each pixel: for every bit position at once it is
 known where the symbol that would start there ends, so one walk along these ends finds the symbols. Their values, the
-distances and the colours are then taken for all of them together; a back-reference and a colour-cache code are pointers
-to an earlier pixel (a cache code to the last one with its hash) that are followed by doubling. Images with several groups
+distances and the colours are then taken for all of them together. Back-references are copied in turn; in an image with
+colour-cache codes they and the codes are pointers to an earlier pixel (a code to the last one with its hash) that are followed
+by doubling. Images with several groups
 are read symbol by symbol. The transforms are undone whole, except predictors that need their left neighbour.
 
 Pixels are 32-bit numbers, alpha, red, green, blue from the highest byte on. Damaged data raise ValueError.
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import struct
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 
@@ -41,6 +41,12 @@ def _mirror(bits: int) -> np.ndarray:
 
 def prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix code, number of extra bits and extra bits of numbers from 1 on."""
+    if not len(value) or value.max() < len(_few_prefixes[0]):
+        return tuple(x[value] for x in _few_prefixes)
+    return _prefixes(value)
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = value - 1
     high = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
     few = v < 4
@@ -49,6 +55,8 @@ def prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, extra, np.where(few, 0, v & ((1 << extra) - 1))
 
 
+#: Those of numbers up to the longest copy, looked up.
+_few_prefixes = _prefixes(np.maximum(np.arange(MOST_LENGTH + 1), 1))
 _code = np.arange(DISTANCES)
 EXTRA = np.where(_code < 4, 0, (_code - 2) >> 1)
 OFFSET = np.where(_code < 4, _code, (2 + (_code & 1)) << EXTRA) + 1
@@ -70,8 +78,8 @@ class Code:
         room = 1 << (self.bits - size[order])
         if room.sum() != 1 << self.bits:
             raise ValueError("a prefix code isn't complete")
-        at = np.repeat(order, room)[_mirror(self.bits)]
-        self.symbol, self.size = used[at].astype(np.int32), size[at].astype(np.int32)
+        at = np.repeat(order, room).take(_mirror(self.bits), mode="clip")
+        self.symbol, self.size = used.astype(np.int32).take(at, mode="clip"), size.astype(np.int32).take(at, mode="clip")
         self.mask = (1 << self.bits) - 1
 
 
@@ -102,24 +110,35 @@ class _Bits:
         return int(code.symbol[i])
 
 
+def _small_table(lengths: list[int]) -> tuple[list[tuple[int, int]], int]:
+    """What `Code` holds, as a list of (bits taken, symbol) by the next bits, and their mask."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return [(0, used[0][1] if used else 0)], 0
+    bits = used[-1][0]
+    table = [u for u in used for _ in range(1 << (bits - u[0]))]
+    if len(table) != 1 << bits:
+        raise ValueError("a prefix code isn't complete")
+    return [table[i] for i in _mirror(bits).tolist()], (1 << bits) - 1
+
+
 def _read_code(bits: _Bits, alphabet: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = (bits.read(8 if wide else 1),)
         return _simple((*symbols, bits.read(8)) if two else symbols)
-    own = np.zeros(len(LENGTH_ORDER), np.int64)
+    own = [0] * len(LENGTH_ORDER)
     for i in LENGTH_ORDER[: 4 + bits.read(4)]:
         own[i] = bits.read(3)
-    code = Code(own)
+    table, mask = _small_table(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     lengths, last, at = [], 8, bits.at & 7
     base = bits.at - at
     # at most `alphabet` lengths of 14 bits each
     w = int.from_bytes(bits.data[base >> 3 : (base >> 3) + 2 * alphabet + 8], "little") >> at
-    size, symbol, mask = code.size.tolist(), code.symbol.tolist(), code.mask
     while len(lengths) < alphabet and left:
         left -= 1
-        n, s = size[w & mask], symbol[w & mask]
+        n, s = table[w & mask]
         w >>= n
         at += n
         if s < 16:
@@ -146,40 +165,26 @@ def _numbers(n: int) -> np.ndarray:
     return _count[:n]
 
 
+@lru_cache(maxsize=64)
+def _near(width: int) -> np.ndarray:
+    return np.array([max(1, x + y * width) for x, y in NEAR])
+
+
 def _distance(code: np.ndarray, width: int) -> np.ndarray:
     far = code - len(NEAR)
     if len(far) and far.min() < 1:
-        near = np.array([max(1, x + y * width) for x, y in NEAR])
-        return np.where(far > 0, far, near[np.minimum(code, len(NEAR)) - 1])
+        return np.where(far > 0, far, _near(width)[np.minimum(code, len(NEAR)) - 1])
     return far
 
 
-def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code]) -> np.ndarray:
-    """All pixels of an image with one group of codes."""
-    n = width * height
+def _walk(ahead: np.ndarray, first: int, end: int, n: int, step: np.ndarray, codes: list[Code]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the symbols start, at most n, and where they end: the end of what starts at every bit position, and a walk along these ends."""
     green, red, blue, alpha, far = codes
-    base = bits.at >> 3
-    # no symbol takes more than 75 bits
-    data = np.frombuffer(bits.data, np.uint8)[base : base + 10 * n + 16]
-    d = np.zeros(len(data) + 32, np.uint32)
-    d[: len(data)] = data
-    word = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)
-    ahead = (word[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1).view(np.int32)  # the next 25 bits from every bit on
-    end = 8 * len(data)
-    first = bits.at & 7
-    if all(c.bits == 0 for c in (green, red, blue, alpha)) and green.symbol[0] < 256:
-        return np.full(n, int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0]), np.uint32)
-
-    is_length = (green.symbol >= 256) & (green.symbol < 256 + LENGTHS)
     others = [c for c in (red, blue, alpha) if c.bits]
-    if not green.bits and not others:
-        raise ValueError("symbols without bits")
-    step = green.size.copy()
-    step[is_length] += EXTRA[green.symbol[is_length] - 256] + 4096  # told apart by what is added
     after = np.empty(end + 128, np.int32)  # beyond the end every position leads to itself
     after[end:] = np.arange(end, end + 128)
     own = after[:end]
-    np.take(step, ahead[:end] & green.mask, out=own)
+    np.take(step, ahead[:end] & green.mask, out=own, mode="clip")
     at = np.flatnonzero(own >= 4096)
     own += _numbers(end)
     if len(at):
@@ -192,20 +197,53 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
             q = q + c.size[ahead[q] & c.mask]
         own[at] = q
     # eight symbols at a time, and then those between
-    two = after[after]
-    four = two[two]
-    walk, found, p = memoryview(four[four]), [], first
+    two = after.take(after, mode="clip")
+    four = two.take(two, mode="clip")
+    walk, found, p = memoryview(four.take(four, mode="clip")), [], first
     while p < end:
         found.append(p)
         p = walk[p]
-    pos = np.array(found, np.int64)[:, None]
-    for ends in (four, two, after):
-        pos = np.stack((pos, ends[pos]), axis=2).reshape(len(pos), -1)
+    pos = np.empty((len(found), 8), np.int64)
+    pos[:, 0] = found
+    pos[:, 4] = four[pos[:, 0]]
+    pos[:, 2::4] = two[pos[:, ::4]]
+    pos[:, 1::2] = after[pos[:, ::2]]
     pos = pos.reshape(-1)
     pos = pos[: np.searchsorted(pos, end)][:n]
+    return pos, after[pos]
+
+
+def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code]) -> np.ndarray:
+    """All pixels of an image with one group of codes."""
+    n = width * height
+    green, red, blue, alpha, far = codes
+    base = bits.at >> 3
+    # no symbol takes more than 75 bits
+    data = bits.data[base : base + 10 * n + 16]
+    padded = data + bytes(36 - len(data) % 4)
+    word = np.empty((len(padded) // 4 - 1, 4), np.uint32)
+    for k in range(4):
+        word[:, k] = np.frombuffer(padded, "<u4", len(word), k)
+    ahead = np.empty((word.size, 8), np.uint32)
+    for k in range(8):
+        np.right_shift(word.reshape(-1), np.uint32(k), out=ahead[:, k])
+    ahead = ahead.reshape(-1).view(np.int32)  # the next 25 bits from every bit on
+    end = 8 * len(data)
+    first = bits.at & 7
+    if all(c.bits == 0 for c in (green, red, blue, alpha)) and green.symbol[0] < 256:
+        return np.full(n, int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0]), np.uint32)
+
+    is_length = (green.symbol >= 256) & (green.symbol < 256 + LENGTHS)
+    others = [c for c in (red, blue, alpha) if c.bits]
+    if not green.bits and not others:
+        raise ValueError("symbols without bits")
+    step = green.size.copy()
+    step[is_length] += EXTRA[green.symbol[is_length] - 256] + 4096  # told apart by what is added
+    pos, ends = _walk(ahead, first, end, n, step, codes)
     w = ahead[pos]
-    symbol, size = green.symbol[w & green.mask], green.size[w & green.mask]
-    copy, literal = is_length[w & green.mask], symbol < 256
+    i = (w & green.mask).astype(np.int64)
+    symbol, size = green.symbol[i], green.size[i]
+    copy, literal = is_length[i], symbol < 256
     count = np.ones(len(pos), np.int64)
     c = symbol[copy] - 256
     count[copy] = OFFSET[c] + ((w[copy] >> size[copy]) & ((1 << EXTRA[c]) - 1))
@@ -217,7 +255,6 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
     count[-1] = min(count[-1], n - start[-1])
 
     out = np.zeros(n, np.uint32)
-    source = np.arange(n)
     q = pos[literal] + size[literal]
     value = symbol[literal].astype(np.uint32) << np.uint32(8)
     for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
@@ -228,7 +265,10 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
         value |= code.symbol[i].astype(np.uint32) << np.uint32(shift)
         q = q + code.size[i]
     out[start[literal]] = value
-    pointed = [np.empty(0, np.int64)]
+    cached = ~literal & ~copy
+    to, source = np.empty(0, np.int64), None
+    if cached.any():
+        source = np.arange(n)
     if copy.any():
         c = symbol[copy] - 256
         q = pos[copy] + size[copy] + EXTRA[c]
@@ -238,31 +278,40 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
         if (dist > start[copy]).any():
             raise ValueError("a copy from before the image")
         m = count[copy]
-        to = np.repeat(start[copy] - np.cumsum(m) + m, m) + np.arange(m.sum())
-        source[to] = to - np.repeat(dist, m)
-        pointed.append(to)
-    cached = ~literal & ~copy
-    if cached.any():
-        _point_cached(source, out, start[cached], symbol[cached] - 256 - LENGTHS, cache, pointed[-1])
-        pointed.append(start[cached])
-    _follow(source, np.concatenate(pointed))
-    if cached.any():  # a cache code before any pixel with its hash: transparent black
+        if source is None:
+            _copy(out, start[copy], m, dist)
+        else:
+            to = np.repeat(start[copy] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            source[to] = to - np.repeat(dist, m)
+    if source is not None:  # a cache code before any pixel with its hash: transparent black
+        _point_cached(source, out, start[cached], symbol[cached] - 256 - LENGTHS, cache, to)
+        _follow(source, np.concatenate((to, start[cached])))
         out = np.where(source < 0, np.uint32(0), out[source])
-    elif copy.any():
-        out = out[source]
-    bits.at = 8 * base + int(after[pos[-1]])
+    bits.at = 8 * base + int(ends[have - 1])
     return out
 
 
+def _copy(out: np.ndarray, start: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
+    """Copies earlier pixels, one copy after the other; one that runs into itself repeats what it has."""
+    pixels = memoryview(out)
+    for a, m, d in zip(start.tolist(), length.tolist(), back.tolist(), strict=True):
+        while m > d:
+            pixels[a : a + d] = pixels[a - d : a]
+            a, m, d = a + d, m - d, 2 * d
+        pixels[a : a + m] = pixels[a - d : a - d + m]
+
+
 def _follow(source: np.ndarray, at: np.ndarray) -> None:
     """Follows pointers to earlier pixels to their ends."""
     now = source[at]
     while True:
         new = np.where(now < 0, now, source[now])
-        if (new == now).all():
+        moved = np.flatnonzero(new != now)
+        if not len(moved):
             return
-        source[at] = new
-        now = new
+        # those at their ends stay there
+        at, now = at[moved], new[moved]
+        source[at] = now
 
 
 def _point_cached(source: np.ndarray, out: np.ndarray, at: np.ndarray, slot: np.ndarray, cache: int, copied: np.ndarray) -> None:
@@ -544,20 +593,31 @@ def lengths_of(counts: np.ndarray, most: int) -> np.ndarray:
         order = np.argsort(weight, kind="stable")
         w = weight[order].tolist()
         n = len(w)
-        parent, merged = [0] * (2 * n - 1), []
-        a, b = 0, 0  # the least leaf and the least merged node that are free
+        # leaves, then merged nodes in the order of their making; none that isn't there is ever least
+        none = 1 << 62
+        w += [none] * n
+        parent = [0] * (2 * n - 1)
+        w.insert(n, none)
+        a, b = 0, n + 1  # the least leaf and the least merged node that are free
         for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if a < n and (b >= len(merged) or w[a] <= merged[b]):
-                    total += w[a]
-                    parent[a] = new
-                    a += 1
-                else:
-                    total += merged[b]
-                    parent[n + b] = new
-                    b += 1
-            merged.append(total)
+            x, y = w[a], w[b]
+            if x <= y:
+                parent[a] = new
+                a += 1
+                total, x = x, w[a]
+            else:
+                parent[b - 1] = new
+                b += 1
+                total, y = y, w[b]
+            if x <= y:
+                parent[a] = new
+                a += 1
+                total += x
+            else:
+                parent[b - 1] = new
+                b += 1
+                total += y
+            w[new + 1] = total
         depth = [0] * (2 * n - 1)
         for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
@@ -580,6 +640,18 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _few_codes(lengths: list[int]) -> list[int]:
+    """`codes_of` for a short list."""
+    out, used = [0] * len(lengths), sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) > 1:
+        most, at = used[-1][0], 0
+        mirror = _mirror(most)
+        for n, s in used:
+            out[s] = int(mirror[at]) & ((1 << n) - 1)
+            at += 1 << (most - n)
+    return out
+
+
 def _write_code(out: _Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a code for symbols with these counts; gives the code and its length for every symbol."""
     used = np.flatnonzero(counts).tolist()
@@ -592,8 +664,12 @@ def _write_code(out: _Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return nothing, nothing
     lengths = lengths_of(counts, 15)
     items: list[tuple[int, int, int]] = []  # symbol of the code-length code, extra bits and their number
-    for value, run in groupby(lengths.tolist()):
-        n = len(list(run))
+    edges = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    for value, at, end in zip(lengths[edges[:-1]].tolist(), edges, edges[1:], strict=False):
+        n = end - at
+        if n == 1:
+            items.append((value, 0, 0))
+            continue
         if value:
             items.append((value, 0, 0))
             n -= 1
@@ -610,21 +686,22 @@ def _write_code(out: _Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while items and items[-1][0] in (0, 17, 18):  # zeros at the end need not be told
         items.pop()
     own = lengths_of(np.bincount([i[0] for i in items], minlength=len(LENGTH_ORDER)), 7)
-    code = codes_of(own).tolist()
+    own = own.tolist()
+    code = _few_codes(own)
     out.put(0, 1)
     told = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if own[s]))
     out.put(told - 4, 4)
     for s in LENGTH_ORDER[:told]:
-        out.put(int(own[s]), 3)
+        out.put(own[s], 3)
     out.put(1, 1)
     room = max(2, (len(items) - 2).bit_length() + (len(items) - 2).bit_length() % 2)
     out.put((room - 2) // 2, 3)
     out.put(len(items) - 2, room)
-    single = np.count_nonzero(own) == 1
-    value, size, cheap = 0, 0, own.tolist()
+    value, size = 0, 0
+    cheap = [0] * len(own) if own.count(0) == len(own) - 1 else own  # a single symbol takes no bits
     for s, extra, n in items:
-        value |= (code[s] | extra << (0 if single else cheap[s])) << size
-        size += (0 if single else cheap[s]) + n
+        value |= (code[s] | extra << cheap[s]) << size
+        size += cheap[s] + n
     out.put(value, size)
     if len(used) == 1:
         return nothing, nothing
@@ -645,9 +722,8 @@ def copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return nothing, nothing, nothing
     value = pixels.astype(np.uint64)
     if pixels.max() < 256:
-        key = np.zeros(n, np.uint64)
-        for j in range(GRAM):
-            key = key << np.uint64(8) | value[j : j + n]
+        two = value[:-1] << np.uint64(8) | value[1:]
+        key = (two[:-2] << np.uint64(16) | two[2:])[:n] << np.uint64(8) | value[GRAM - 1 :]
         exact = True
     else:
         key = np.zeros(n, np.uint64)
@@ -665,7 +741,7 @@ def copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for j in range(GRAM):
             ok &= pixels[here + j] == pixels[here - back[here] + j]
         back[here[~ok]] = 0
-    edge = np.flatnonzero(np.diff(back, prepend=0))
+    edge = np.flatnonzero(back[1:] != back[:-1]) + 1  # the first run has none before it
     first = edge[back[edge] > 0]
     last = np.append(edge, n)[np.searchsorted(edge, first) + 1] if len(first) else first
     end = last + GRAM - 1
