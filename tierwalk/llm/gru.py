@@ -3,8 +3,7 @@
 Word counts are a table over all training documents and grow with them. The network, fitted by truncated
 backpropagation in numpy, predicts the KNOWN most frequent words, the end and one sign for any other word;
 classes hold about as many words as there are classes. It starts from a bounded sample (START_TOKENS), so that
-partitions share a start; then each partition learns from its part of one training document in SHARE, the same share
-at every size, and the partitions' networks are averaged, weighted by tokens, once for each of EPOCHS passes. A word
+partitions share a start; then each partition learns from its part of all training documents, and the partitions' networks are averaged, weighted by tokens, once for each of EPOCHS passes. A word
 outside KNOWN costs the sign and then its share, (c + 1) / (sum over such words of (c + 1), one unseen included).
 The state is carried through a document from its start to its end, window by window.
 
@@ -30,7 +29,7 @@ from tierwalk.llm import hashing
 from tierwalk.llm.common import Work, columns, ship, sliced
 
 KNOWN, HIDDEN, WINDOW, BATCH = 2000, 32, 32, 32
-START_TOKENS, SHARE, EPOCHS = 200_000, 8, 1
+START_TOKENS, EPOCHS = 200_000, 1
 #: Words whose counts the scan holds at most, and words that a task counts before it gives them away.
 HOT, HELD = 1 << 19, 1 << 22
 #: States of one window of the scorer at most.
@@ -301,9 +300,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # shares of words outside the network's own: whatever the base measure leaves
     rest = max(1, n + v + 1 - int((hot_counts[:KNOWN] + 1).sum()) - (n_docs + 1 if n_docs else 0))
     _start(model, train, START_TOKENS)
-    part = train.filter(F.pmod(F.xxhash64(F.lit("share"), "doc_id", "text"), F.lit(SHARE)) == 0).select("text")
     for k in range(EPOCHS):
-        _pass_over(model, part, work, f"pass{k}")
+        _pass_over(model, train.select("text"), work, f"pass{k}")
     base_of = np.log10((np.concatenate(([0], hot_counts)) + 1) / float(n + v + 1))
     share_of = np.log10((np.concatenate(([0], hot_counts)) + 1) / float(rest))
     share_of[1 : 1 + len(top)] = 0
