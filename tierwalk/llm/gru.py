@@ -29,6 +29,8 @@ from tierwalk.llm import hashing
 from tierwalk.llm.common import Work, columns, ship, sliced
 
 KNOWN, HIDDEN, WINDOW, BATCH = 2000, 32, 32, 32
+#: Of so many training documents one is learnt from: all.
+SHARE = 1
 START_TOKENS, EPOCHS = 200_000, 1
 #: Words whose counts the scan holds at most, and words that a task counts before it gives them away.
 HOT, HELD = 1 << 19, 1 << 22
@@ -300,8 +302,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # shares of words outside the network's own: whatever the base measure leaves
     rest = max(1, n + v + 1 - int((hot_counts[:KNOWN] + 1).sum()) - (n_docs + 1 if n_docs else 0))
     _start(model, train, START_TOKENS)
+    part = train.filter(F.pmod(F.xxhash64(F.lit("share"), "doc_id", "text"), F.lit(SHARE)) == 0).select("text")
     for k in range(EPOCHS):
-        _pass_over(model, train.select("text"), work, f"pass{k}")
+        _pass_over(model, part, work, f"pass{k}")
     base_of = np.log10((np.concatenate(([0], hot_counts)) + 1) / float(n + v + 1))
     share_of = np.log10((np.concatenate(([0], hot_counts)) + 1) / float(rest))
     share_of[1 : 1 + len(top)] = 0
