@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierwalk.llm import hashing
-from tierwalk.llm.common import Work, columns, ship
+from tierwalk.llm.common import Work, columns, ship, tidy
 from tierwalk.llm.components import connected
 
 #: Slots of the sketch, its bits, and the slots of one of its parts; the size is fixed, whatever the input's.
@@ -52,7 +52,7 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(1 << SLOTS_LOG, np.int64)
         for b in batches:
             for _, _, _, g in hashing.sets(b.column(0), n):
-                total += np.bincount(_slots(g), minlength=1 << SLOTS_LOG)
+                np.add.at(total, _slots(g), 1)  # no array of all slots for each piece
         parts = total.reshape(-1, 1 << PART_LOG)
         some = np.flatnonzero(parts.any(axis=1))
         packed = [pa.compress(parts[i].astype(np.uint64).tobytes(), codec="zstd", asbytes=True) for i in some]
@@ -69,7 +69,7 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
 
     out = np.zeros(1 << SLOTS_LOG, np.uint8)
     parts = 1 << (SLOTS_LOG - PART_LOG)
-    summed = texts.mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, level binary")
+    summed = texts.mapInArrow(tidy(count), "part int, counts binary").repartition(parts, "part").mapInArrow(tidy(add), "part int, level binary")
     for r in summed.collect():  # SLOTS bytes in all
         out[r["part"] << PART_LOG : (r["part"] + 1) << PART_LOG] = np.frombuffer(r["level"], np.uint8)
     return out
@@ -113,7 +113,7 @@ def _incidence(rows: DataFrame, ranks, n: int, num: int, den: int) -> DataFrame:
     whole = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n")), T.StructField("sig", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("row", "gram", "pos"))])
     for f in whole:
         f.nullable = True
-    return rows.select("id", "text_hash", "text").mapInArrow(run, whole)
+    return rows.select("id", "text_hash", "text").mapInArrow(tidy(run), whole)
 
 
 def _near(sizes: tuple[Column, Column], places: tuple[Column, Column], num: int, den: int) -> Column:
@@ -146,7 +146,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _whole_rows(rows: DataFrame, reps: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _whole_rows(rows: DataFrame, reps: DataFrame, wanted: DataFrame, n: int) ->
 
     found = rows.join(of, (rows["text_hash"] == of["text_hash"]) & rows["id"].eqNullSafe(of["rid"]), "left_semi")
     # rows that repeat id and text are the same set again
-    return found.select("text").mapInArrow(run, "sig binary, grams binary").dropDuplicates(["sig"]).withColumn("row", _row("sig"))
+    return found.select("text").mapInArrow(tidy(run), "sig binary, grams binary").dropDuplicates(["sig"]).withColumn("row", _row("sig"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

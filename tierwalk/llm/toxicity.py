@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwalk.llm.common import Work, columns, ship, sliced
+from tierwalk.llm.common import Work, columns, ship, sliced, tidy
 
 #: Labelled rows that a fit uses at most (those with the smallest hashes), and patterns that a task counts before it gives them away.
 FIT_ROWS = 200_000
@@ -170,7 +170,7 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexi
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
         return Lexicon({f" {s}": 3.0 for s in SEEDS}, exceptions)
-    counts = rows.mapInArrow(run, "p string, a long, n long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(run), "p string, a long, n long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     # log odds, less some standard errors of theirs
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (neg + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
@@ -185,7 +185,7 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexi
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], ["f", "y"])
 
     # four numbers for each row of the bounded sample
-    got = rows.mapInArrow(feats, "f array<double>, y long").toPandas()
+    got = rows.mapInArrow(tidy(feats), "f array<double>, y long").toPandas()
     lexicon.fit_curve(np.array(got["f"].tolist()), got["y"].to_numpy(float))
     return lexicon
 
@@ -225,7 +225,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in sliced(batches, 1000):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def accept(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
@@ -239,4 +239,4 @@ def accept(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFra
         for b in sliced(batches, 1000):
             yield b.filter(pa.array([shared.value.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
