@@ -32,10 +32,14 @@ KNOWN, HIDDEN, WINDOW, BATCH = 2000, 32, 32, 32
 #: Of so many training documents one is learnt from: all.
 SHARE = 1
 START_TOKENS, EPOCHS = 200_000, 1
+#: In a pass over all documents: streams side by side, words of a block (unless one document has more), rate of the first steps.
+STREAMS, BLOCK, RATE = 256, 1 << 18, 0.02
 #: Words whose counts the scan holds at most, and words that a task counts before it gives them away.
 HOT, HELD = 1 << 19, 1 << 22
 #: States of one window of the scorer at most.
 STATES = 1 << 17
+#: States whose words are predicted at once.
+CHUNK = 1 << 13
 END, OTHER = 0, 1
 
 
@@ -91,40 +95,58 @@ class GRU:
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log probability of each y after states h; with grads, also d loss / d h."""
+        if grads is None and len(y) > CHUNK:
+            return np.concatenate([self.log_probs(h[a : a + CHUNK], y[a : a + CHUNK]) for a in range(0, len(y), CHUNK)])
         p = self.p
-        k, j = y // self.per, y % self.per
-        s = h @ p["C"] + p["cb"]
-        s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-        out = s[np.arange(len(y)), k].astype(np.float64)
-        dh = np.zeros_like(h)
-        if grads is not None:
-            d = np.exp(s)
-            d[np.arange(len(y)), k] -= 1
-            grads["C"] += h.T @ d
-            grads["cb"] += d.sum(axis=0)
-            dh += d @ p["C"].T
-        order = np.argsort(k, kind="stable")
-        edges = np.searchsorted(k[order], np.arange(len(self.sizes) + 1))
-        for c in np.unique(k):
-            at = order[edges[c] : edges[c + 1]]
-            v = h[at] @ p["V"][c] + p["vb"][c]
-            v -= v.max(axis=1, keepdims=True)
-            v -= np.log(np.exp(v).sum(axis=1, keepdims=True))
-            out[at] += v[np.arange(len(at)), j[at]]
+        k = y // self.per
+        order = np.argsort(k.astype(np.int16) if len(self.sizes) < 1 << 15 else k, kind="stable")
+        h, k, j = h[order], k[order], y[order] % self.per
+        edges = np.searchsorted(k, np.arange(len(self.sizes) + 1)).tolist()
+        parts = [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        every = np.arange(len(y))
+
+        def softmax(v: np.ndarray, row: np.ndarray) -> np.ndarray:
+            """Log probabilities of row in each column; v becomes its gradient."""
+            v -= v.max(axis=0)
+            out = v[row, every].astype(np.float64)
+            np.exp(v, out=v)
+            total = v.sum(axis=0)
             if grads is not None:
-                d = np.exp(v)
-                d[np.arange(len(at)), j[at]] -= 1
-                grads["V"][c] += h[at].T @ d
-                grads["vb"][c] += d.sum(axis=0)
-                dh[at] += d @ p["V"][c].T
-        return (out, dh) if grads is not None else out
+                v *= 1 / total
+                v[row, every] -= 1
+            return out - np.log(total)
+
+        # a column for each state
+        v = p["C"].T @ h.T
+        v += p["cb"][:, None]
+        sorted_out = softmax(v, k)
+        if grads is not None:
+            grads["C"] += h.T @ v.T
+            grads["cb"] += v.sum(axis=1)
+            dh = v.T @ p["C"].T
+        v = np.empty((self.per, len(y)), h.dtype)
+        for c, a, b in parts:
+            v[:, a:b] = p["V"][c].T @ h[a:b].T
+            v[:, a:b] += p["vb"][c][:, None]
+        sorted_out += softmax(v, j)
+        out = np.empty(len(y))
+        out[order] = sorted_out
+        if grads is None:
+            return out
+        for c, a, b in parts:
+            d = v[:, a:b]
+            grads["V"][c] += h[a:b].T @ d.T
+            grads["vb"][c] += d.sum(axis=1)
+            dh[a:b] += d.T @ p["V"][c].T
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def fit(self, docs: list[np.ndarray], epochs: int = EPOCHS) -> None:
         self.learn(docs for _ in range(epochs))
 
-    def learn(self, blocks: Iterable[list[np.ndarray]], rate: float = 0.01) -> int:
-        """Truncated backpropagation over parallel streams of each block's documents; Adam. Returns the words predicted."""
+    def learn(self, blocks: Iterable[list[np.ndarray]], rate: float = 0.01, batch: int = BATCH) -> int:
+        """Truncated backpropagation over up to `batch` parallel streams of each block's documents; Adam. Returns the words predicted."""
         p, n, made, seen = self.p, self.p["U"].shape[0], 0, 0
         mom = {k: np.zeros_like(v) for k, v in p.items()}
         var = {k: np.zeros_like(v) for k, v in p.items()}
@@ -133,52 +155,85 @@ class GRU:
                 continue
             flow = np.concatenate([np.concatenate(([self.start], d)) for d in docs])
             last = len(flow) - 1
-            streams = min(BATCH, max(1, last // WINDOW))
+            streams = min(batch, max(1, last // WINDOW))
             steps = -(-last // streams)
             flow = np.concatenate((flow, np.full(streams * steps - last, self.start)))
             # streams overlap by one word, so that every word is predicted once
             x = flow[np.arange(streams)[:, None] * steps + np.arange(steps + 1)].T
-            h = np.zeros((streams, n), np.float32)
+            # a column for each stream
+            h = np.zeros((n, streams), np.float32)
             for a in range(0, steps, WINDOW):
                 xs, y = x[a : min(a + WINDOW, steps)], x[a + 1 : min(a + WINDOW, steps) + 1].ravel()
-                alive = (xs != self.start)[:, :, None].astype(np.float32)
-                e = p["E"][xs]
-                gates = e @ p["W"] + p["b"]
-                h0, hs = np.empty_like(e), np.empty_like(e)
-                tape = []
+                first = xs == self.start
+                fresh = first.any(axis=1).tolist()
+                # the input side is looked up in a product over the whole vocabulary where that is less work
+                if xs.size > len(p["E"]):
+                    side = (p["E"] @ p["W"] + p["b"]).T.copy()
+                    gates = np.stack([side.take(w, axis=1) for w in xs])
+                else:
+                    gates = (p["E"][xs] @ p["W"] + p["b"]).transpose(0, 2, 1).copy()
+                h0, hs, ugs = (np.empty((len(xs), n, streams), np.float32) for _ in range(3))
+                u_of = p["U"].T.copy()
                 for i in range(len(xs)):
-                    h0[i] = h = h * alive[i]
-                    u = h @ p["U"]
-                    zr = _sig(gates[i, :, : 2 * n] + u[:, : 2 * n])
-                    z, r, ug = zr[:, :n], zr[:, n:], u[:, 2 * n :]
-                    g = np.tanh(gates[i, :, 2 * n :] + r * ug)
-                    tape.append((z, r, g, ug))
-                    hs[i] = h = h + z * (g - h)
+                    if fresh[i]:
+                        h = h * ~first[i]
+                    h0[i] = h
+                    u = u_of @ h
+                    # the gates take the place of their inputs
+                    zr, g = gates[i, : 2 * n], gates[i, 2 * n :]
+                    zr += u[: 2 * n]
+                    np.negative(zr, out=zr)
+                    np.minimum(zr, 30, out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    ugs[i] = u[2 * n :]
+                    g += zr[n:] * ugs[i]
+                    np.tanh(g, out=g)
+                    np.subtract(g, h, out=hs[i])
+                    hs[i] *= zr[:n]
+                    hs[i] += h
+                    h = hs[i]
                 use = y != self.start
                 if not use.any():
                     continue
                 grads = {k: np.zeros_like(v) for k, v in p.items()}
                 dall = np.zeros((len(y), n), np.float32)
-                _, dall[use] = self.log_probs(hs.reshape(-1, n)[use], y[use], grads)
-                dall = dall.reshape(hs.shape)
+                states = hs.transpose(0, 2, 1).reshape(-1, n)
+                if use.all():
+                    _, dall = self.log_probs(states, y, grads)
+                else:
+                    _, dall[use] = self.log_probs(states[use], y[use], grads)
+                dall = dall.reshape(len(xs), streams, n).transpose(0, 2, 1).copy()
+                z, r, g = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+                # what a step's gradient is multiplied by, for all steps at once
                 da, du = np.empty_like(gates), np.empty_like(gates)
+                np.multiply(z, 1 - g * g, out=da[:, 2 * n :])
+                np.multiply(da[:, 2 * n :], ugs * r * (1 - r), out=da[:, n : 2 * n])
+                keep = 1 - z
+                np.multiply(g - h0, z * keep, out=da[:, :n])
                 back = np.zeros_like(h)
                 for i in range(len(xs) - 1, -1, -1):
-                    z, r, g, ug = tape[i]
-                    d = dall[i] + back
-                    dg = d * z * (1 - g * g)
-                    da[i, :, :n] = du[i, :, :n] = d * (g - h0[i]) * z * (1 - z)
-                    da[i, :, n : 2 * n] = du[i, :, n : 2 * n] = dg * ug * r * (1 - r)
-                    da[i, :, 2 * n :] = dg
-                    du[i, :, 2 * n :] = dg * r
-                    back = (d * (1 - z) + du[i] @ p["U"].T) * alive[i]
-                flat = da.reshape(-1, 3 * n)
-                grads["W"] += e.reshape(-1, n).T @ flat
-                grads["U"] += h0.reshape(-1, n).T @ du.reshape(-1, 3 * n)
-                grads["b"] += flat.sum(axis=0)
-                order = np.argsort(xs, axis=None, kind="stable")
-                word, first = np.unique(xs.ravel()[order], return_index=True)
-                grads["E"][word] = np.add.reduceat((flat @ p["W"].T)[order], first, axis=0)
+                    d = dall[i]
+                    d += back
+                    by = da[i].reshape(3, n, streams)
+                    by *= d
+                    du[i] = da[i]
+                    du[i, 2 * n :] *= r[i]
+                    back = p["U"] @ du[i]
+                    d *= keep[i]
+                    back += d
+                    if fresh[i]:
+                        back *= ~first[i]
+                flat = da.transpose(0, 2, 1).reshape(-1, 3 * n)
+                grads["U"] += (h0 @ du.transpose(0, 2, 1)).sum(axis=0)
+                grads["b"] += da.sum(axis=2).sum(axis=0)
+                order = np.argsort(xs.ravel().astype(np.int16 if self.start < 1 << 15 else np.int64), kind="stable")
+                sorted_words = xs.ravel()[order]
+                at = np.flatnonzero(np.diff(sorted_words, prepend=-1))
+                word, sums = sorted_words[at], np.add.reduceat(flat[order], at, axis=0)
+                grads["W"] += p["E"][word].T @ sums
+                grads["E"][word] = sums @ p["W"].T
                 self.t, made, seen = self.t + 1, made + 1, seen + int(use.sum())
                 lr = rate * np.sqrt(1 - 0.999**made) / (1 - 0.9**made) / (1 + self.t / 400)
                 for k, g in grads.items():
@@ -191,12 +246,12 @@ class GRU:
     def score(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log probability of each whole document (word numbers, where each starts); all go forward together."""
         p, n = self.p, self.p["U"].shape[0]
-        gates, u_of = p["E"] @ p["W"] + p["b"], p["U"]
+        gates, u_of = (p["E"] @ p["W"] + p["b"]).T.copy(), p["U"].T.copy()
         lengths = np.diff(bounds)
         order = np.argsort(-lengths, kind="stable")
         lengths, first = lengths[order], bounds[:-1][order]
         total = np.zeros(len(order))
-        h = np.zeros((len(order), n), np.float32)
+        h = np.zeros((n, len(order)), np.float32)  # a column for each document
         last = np.full(len(order), self.start)
         t, most = 0, int(lengths.max(initial=0))
         while t < most:
@@ -207,22 +262,22 @@ class GRU:
             hs, ys = np.empty((int(alive.sum()), n), np.float32), np.empty(int(alive.sum()), np.int64)
             at = 0
             for k in alive.tolist():
-                a, x = gates[last[:k]], h[:k]
-                u = x @ u_of
-                zr = a[:, : 2 * n]
-                zr += u[:, : 2 * n]
+                a, x = gates.take(last[:k], axis=1), h[:, :k]
+                u = u_of @ x
+                zr = a[: 2 * n]
+                zr += u[: 2 * n]
                 np.negative(zr, out=zr)
                 np.minimum(zr, 30, out=zr)
                 np.exp(zr, out=zr)
                 zr += 1
                 np.reciprocal(zr, out=zr)
-                g = a[:, 2 * n :]
-                g += zr[:, n:] * u[:, 2 * n :]
+                g = a[2 * n :]
+                g += zr[n:] * u[2 * n :]
                 np.tanh(g, out=g)
                 g -= x
-                g *= zr[:, :n]
+                g *= zr[:n]
                 x += g
-                hs[at : at + k] = x
+                hs[at : at + k] = x.T
                 ys[at : at + k] = last[:k] = flat[first[:k] + t]
                 at, t = at + k, t + 1
             rows = np.concatenate([np.arange(k) for k in alive])
@@ -387,14 +442,21 @@ def _pass_over(model: GRU, rows: DataFrame, work: Work, name: str) -> int:
         return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([t], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["n", "t", "net"])
 
     def texts(m: GRU, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
             for _, _, h, bounds in texts_of(b.column(0)):
                 flat, at = m.ids(h, bounds)
-                yield np.split(flat, at[1:-1])
+                held += np.split(flat, at[1:-1])
+                size += len(flat)
+                if size >= BLOCK:
+                    yield held
+                    held, size = [], 0
+        yield held
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = copy.deepcopy(shared.value)
-        n = m.learn(texts(m, batches))
+        n = m.learn(texts(m, batches), RATE, STREAMS)
         if n:
             yield row(n, m.t, np.concatenate([m.p[k].ravel() for k in keys]))
 
