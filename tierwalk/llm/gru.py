@@ -11,8 +11,8 @@ Words are 64-bit hashes everywhere. Counts of the HOT most frequent go to the sc
 words are joined with the whole table of counts.
 
 Null and empty texts are the end alone. Rows with null ids are training rows. Rows with equal ids are rows of their
-own. Without training words, every word has the unseen word's share. Empty tables give empty tables. Documents go
-forward together, an Arrow batch at once (10,000 rows, or 64 MB and one row); a long one only lengthens the batch.
+own. Without training words, every word has the unseen word's share. Empty tables give empty tables. Documents of an
+Arrow batch (10,000 rows, or 64 MB and one row) go forward together, GROUP of about one length at once.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ STREAMS, BLOCK, RATE = 256, 1 << 18, 0.02
 HOT, HELD = 1 << 19, 1 << 22
 #: States of one window of the scorer at most.
 STATES = 1 << 17
-#: States whose words are predicted at once.
-CHUNK = 1 << 13
+#: States whose words are predicted at once, and documents that go forward together: what they need stays in a processor's own cache.
+CHUNK, GROUP = 1 << 11, 1 << 10
 END, OTHER = 0, 1
 
 
@@ -58,10 +58,24 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield a, b, h, bounds
 
 
+_numbers = np.arange(CHUNK)
+
+
 def _sig(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _gate(a: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """From the parts of word (a) and state (u), by gate, the new value; a becomes the gates. `sides` halves the first two, as a sigmoid is (1 + tanh(x / 2)) / 2."""
+    zr, g = a[:2], a[2]
+    zr += u[:2]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    g += zr[1] * u[2]
+    return np.tanh(g, out=g)
+
+
 class GRU:
     """Gated recurrent network over word numbers; numbers are in order of frequency, so classes are ranges."""
 
@@ -85,6 +99,14 @@ class GRU:
         out[np.arange(len(h)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = self.table.find(h) + 1
         return out, at
 
+    def sides(self, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For `_gate`, by gate: what words (all, if None) add, and the weights of the state."""
+        p, n = self.p, self.p["U"].shape[0]
+        half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+        by_gate = lambda w: w.reshape(-1, 3, n).transpose(1, 0, 2) * half
+        e = p["E"] if words is None else p["E"][words.ravel()]
+        return e @ by_gate(p["W"]) + by_gate(p["b"]), by_gate(p["U"])
+
     def step(self, x: np.ndarray, h: np.ndarray):
         p, n = self.p, h.shape[1]
         e = p["E"][x]
@@ -95,51 +117,56 @@ class GRU:
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log probability of each y after states h; with grads, also d loss / d h."""
-        if grads is None and len(y) > CHUNK:
-            return np.concatenate([self.log_probs(h[a : a + CHUNK], y[a : a + CHUNK]) for a in range(0, len(y), CHUNK)])
-        p = self.p
+        p, n = self.p, h.shape[1]
         k = y // self.per
         order = np.argsort(k.astype(np.int16) if len(self.sizes) < 1 << 15 else k, kind="stable")
-        h, k, j = h[order], k[order], y[order] % self.per
+        k, j = k[order], y[order] % self.per
         edges = np.searchsorted(k, np.arange(len(self.sizes) + 1)).tolist()
-        parts = [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-        every = np.arange(len(y))
-
-        def softmax(v: np.ndarray, row: np.ndarray) -> np.ndarray:
-            """Log probabilities of row in each column; v becomes its gradient."""
-            v -= v.max(axis=0)
-            out = v[row, every].astype(np.float64)
+        # biases are weights of a further part of the state that is always 1
+        inner, outer = np.concatenate((p["V"], p["vb"][:, None]), axis=1), np.concatenate((p["C"], p["cb"][None]))
+        dv, dc = (None, None) if grads is None else (np.zeros_like(inner), np.zeros_like(outer))
+        # no state is beyond -1 and 1, so short sums of weights tell that no power overflows
+        real = np.arange(self.per) < self.sizes[:, None]
+        small = max(np.abs(outer).sum(axis=0).max(), (np.abs(inner).sum(axis=1) * real).max()) < 60
+        out, back = np.empty(len(y)), None if grads is None else np.empty_like(h)
+
+        def softmax(v: np.ndarray, one: np.ndarray) -> np.ndarray:
+            """Log probability of one number in each row of v; v becomes its gradient."""
+            every = _numbers[: len(one)]
+            if not small:
+                v -= v.max(axis=1, keepdims=True)
+            own = v[every, one].astype(np.float64)
             np.exp(v, out=v)
-            total = v.sum(axis=0)
+            total = v @ np.ones(v.shape[1], v.dtype)
             if grads is not None:
-                v *= 1 / total
-                v[row, every] -= 1
-            return out - np.log(total)
-
-        # a column for each state
-        v = p["C"].T @ h.T
-        v += p["cb"][:, None]
-        sorted_out = softmax(v, k)
-        if grads is not None:
-            grads["C"] += h.T @ v.T
-            grads["cb"] += v.sum(axis=1)
-            dh = v.T @ p["C"].T
-        v = np.empty((self.per, len(y)), h.dtype)
-        for c, a, b in parts:
-            v[:, a:b] = p["V"][c].T @ h[a:b].T
-            v[:, a:b] += p["vb"][c][:, None]
-        sorted_out += softmax(v, j)
-        out = np.empty(len(y))
-        out[order] = sorted_out
+                v *= (1 / total)[:, None]
+                v[every, one] -= 1
+            return own - np.log(total)
+
+        for a in range(0, len(y), CHUNK):
+            b = min(a + CHUNK, len(y))
+            at = order[a:b]
+            x = np.empty((b - a, n + 1), h.dtype)
+            x[:, :n], x[:, n] = h[at], 1
+            v = x @ outer
+            found = softmax(v, k[a:b])
+            if grads is not None:
+                dc += x.T @ v
+                dh = v @ p["C"].T
+            v = np.empty((b - a, self.per), h.dtype)
+            parts = [(c, max(edges[c], a) - a, min(edges[c + 1], b) - a) for c in range(int(k[a]), int(k[b - 1]) + 1) if edges[c] < edges[c + 1]]
+            for c, lo, hi in parts:
+                np.matmul(x[lo:hi], inner[c], out=v[lo:hi])
+            out[at] = found + softmax(v, j[a:b])
+            if grads is not None:
+                for c, lo, hi in parts:
+                    dv[c] += x[lo:hi].T @ v[lo:hi]
+                    dh[lo:hi] += v[lo:hi] @ p["V"][c].T
+                back[at] = dh
         if grads is None:
             return out
-        for c, a, b in parts:
-            d = v[:, a:b]
-            grads["V"][c] += h[a:b].T @ d.T
-            grads["vb"][c] += d.sum(axis=1)
-            dh[a:b] += d.T @ p["V"][c].T
-        back = np.empty_like(dh)
-        back[order] = dh
+        for name, d in (("C", dc[:-1]), ("cb", dc[-1]), ("V", dv[:, :-1]), ("vb", dv[:, -1])):
+            grads[name] += d
         return out, back
 
     def fit(self, docs: list[np.ndarray], epochs: int = EPOCHS) -> None:
@@ -160,80 +187,71 @@ class GRU:
             flow = np.concatenate((flow, np.full(streams * steps - last, self.start)))
             # streams overlap by one word, so that every word is predicted once
             x = flow[np.arange(streams)[:, None] * steps + np.arange(steps + 1)].T
-            # a column for each stream
-            h = np.zeros((n, streams), np.float32)
+            h = np.zeros((streams, n), np.float32)
             for a in range(0, steps, WINDOW):
                 xs, y = x[a : min(a + WINDOW, steps)], x[a + 1 : min(a + WINDOW, steps) + 1].ravel()
                 first = xs == self.start
                 fresh = first.any(axis=1).tolist()
-                # the input side is looked up in a product over the whole vocabulary where that is less work
-                if xs.size > len(p["E"]):
-                    side = (p["E"] @ p["W"] + p["b"]).T.copy()
-                    gates = np.stack([side.take(w, axis=1) for w in xs])
-                else:
-                    gates = (p["E"][xs] @ p["W"] + p["b"]).transpose(0, 2, 1).copy()
-                h0, hs, ugs = (np.empty((len(xs), n, streams), np.float32) for _ in range(3))
-                u_of = p["U"].T.copy()
+                side, u_of = self.sides(xs if xs.size < len(p["E"]) else None)
+                gates = side.reshape(3, *xs.shape, n) if xs.size < len(p["E"]) else side.take(xs, axis=1)
+                h0, hs, us = np.empty_like(gates[0]), np.empty_like(gates[0]), np.empty_like(gates)
                 for i in range(len(xs)):
                     if fresh[i]:
-                        h = h * ~first[i]
+                        h = h * ~first[i][:, None]
                     h0[i] = h
-                    u = u_of @ h
-                    # the gates take the place of their inputs
-                    zr, g = gates[i, : 2 * n], gates[i, 2 * n :]
-                    zr += u[: 2 * n]
-                    np.negative(zr, out=zr)
-                    np.minimum(zr, 30, out=zr)
-                    np.exp(zr, out=zr)
-                    zr += 1
-                    np.reciprocal(zr, out=zr)
-                    ugs[i] = u[2 * n :]
-                    g += zr[n:] * ugs[i]
-                    np.tanh(g, out=g)
+                    np.matmul(h, u_of, out=us[:, i])
+                    g = _gate(gates[:, i], us[:, i])
                     np.subtract(g, h, out=hs[i])
-                    hs[i] *= zr[:n]
+                    hs[i] *= gates[0, i]
                     hs[i] += h
                     h = hs[i]
                 use = y != self.start
                 if not use.any():
                     continue
                 grads = {k: np.zeros_like(v) for k, v in p.items()}
-                dall = np.zeros((len(y), n), np.float32)
-                states = hs.transpose(0, 2, 1).reshape(-1, n)
+                states = hs.reshape(-1, n)
                 if use.all():
                     _, dall = self.log_probs(states, y, grads)
                 else:
+                    dall = np.zeros((len(y), n), np.float32)
                     _, dall[use] = self.log_probs(states[use], y[use], grads)
-                dall = dall.reshape(len(xs), streams, n).transpose(0, 2, 1).copy()
-                z, r, g = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-                # what a step's gradient is multiplied by, for all steps at once
-                da, du = np.empty_like(gates), np.empty_like(gates)
-                np.multiply(z, 1 - g * g, out=da[:, 2 * n :])
-                np.multiply(da[:, 2 * n :], ugs * r * (1 - r), out=da[:, n : 2 * n])
-                keep = 1 - z
-                np.multiply(g - h0, z * keep, out=da[:, :n])
+                dall = dall.reshape(hs.shape)
+                # gradients of the three sums in the gates, and of the new value's part that comes from the state
+                da, dn = np.empty_like(gates), np.empty_like(h0)
+                u_back = p["U"].reshape(n, 3, n).transpose(1, 2, 0).copy()
                 back = np.zeros_like(h)
                 for i in range(len(xs) - 1, -1, -1):
-                    d = dall[i]
+                    d, (z, r, g), (dz, dr, dg) = dall[i], gates[:, i], da[:, i]
                     d += back
-                    by = da[i].reshape(3, n, streams)
-                    by *= d
-                    du[i] = da[i]
-                    du[i, 2 * n :] *= r[i]
-                    back = p["U"] @ du[i]
-                    d *= keep[i]
+                    keep = 1 - z
+                    np.multiply(g, g, out=dg)
+                    np.subtract(1, dg, out=dg)
+                    dg *= z
+                    dg *= d
+                    np.multiply(dg, r, out=dn[i])
+                    np.subtract(1, r, out=dr)
+                    dr *= dn[i]
+                    dr *= us[2, i]
+                    d *= keep
+                    np.subtract(g, h0[i], out=dz)
+                    dz *= z
+                    dz *= d
+                    back = dz @ u_back[0]
+                    back += dr @ u_back[1]
+                    back += dn[i] @ u_back[2]
                     back += d
                     if fresh[i]:
-                        back *= ~first[i]
-                flat = da.transpose(0, 2, 1).reshape(-1, 3 * n)
-                grads["U"] += (h0 @ du.transpose(0, 2, 1)).sum(axis=0)
-                grads["b"] += da.sum(axis=2).sum(axis=0)
-                order = np.argsort(xs.ravel().astype(np.int16 if self.start < 1 << 15 else np.int64), kind="stable")
-                sorted_words = xs.ravel()[order]
-                at = np.flatnonzero(np.diff(sorted_words, prepend=-1))
-                word, sums = sorted_words[at], np.add.reduceat(flat[order], at, axis=0)
-                grads["W"] += p["E"][word].T @ sums
-                grads["E"][word] = sums @ p["W"].T
+                        back *= ~first[i][:, None]
+                before = h0.reshape(-1, n).T
+                grads["U"] += np.concatenate([before @ d.reshape(-1, n) for d in (da[0], da[1], dn)], axis=1)
+                # sums over each word's places: a row for each part of the gates
+                present = np.zeros(len(p["E"]), bool)
+                present[xs] = True
+                word, place = np.flatnonzero(present), (np.cumsum(present) - 1)[xs.ravel()]
+                sums = np.stack([np.bincount(place, part, len(word)) for d in da for part in np.array(d.reshape(-1, n).T, np.float64, order="C")]).astype(np.float32)
+                grads["b"] += sums.sum(axis=1)
+                grads["W"] += (sums @ p["E"][word]).T
+                grads["E"][word] = (p["W"] @ sums).T
                 self.t, made, seen = self.t + 1, made + 1, seen + int(use.sum())
                 lr = rate * np.sqrt(1 - 0.999**made) / (1 - 0.9**made) / (1 + self.t / 400)
                 for k, g in grads.items():
@@ -245,14 +263,21 @@ class GRU:
 
     def score(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log probability of each whole document (word numbers, where each starts); all go forward together."""
-        p, n = self.p, self.p["U"].shape[0]
-        gates, u_of = (p["E"] @ p["W"] + p["b"]).T.copy(), p["U"].T.copy()
+        side, u_of = self.sides()
         lengths = np.diff(bounds)
         order = np.argsort(-lengths, kind="stable")
-        lengths, first = lengths[order], bounds[:-1][order]
-        total = np.zeros(len(order))
-        h = np.zeros((n, len(order)), np.float32)  # a column for each document
-        last = np.full(len(order), self.start)
+        out = np.zeros(len(order))
+        for a in range(0, len(order), GROUP):
+            at = order[a : a + GROUP]
+            out[at] = self._score(flat, lengths[at], bounds[at], side, u_of)
+        return out
+
+    def _score(self, flat: np.ndarray, lengths: np.ndarray, first: np.ndarray, side: np.ndarray, u_of: np.ndarray) -> np.ndarray:
+        """Scores of documents by length, the longest first; side and u_of come from `sides`."""
+        n = self.p["U"].shape[0]
+        total = np.zeros(len(first))
+        h = np.zeros((len(first), n), np.float32)
+        last = np.full(len(first), self.start)
         t, most = 0, int(lengths.max(initial=0))
         while t < most:
             # documents alive at the window's steps; a window holds STATES states or one step
@@ -262,29 +287,17 @@ class GRU:
             hs, ys = np.empty((int(alive.sum()), n), np.float32), np.empty(int(alive.sum()), np.int64)
             at = 0
             for k in alive.tolist():
-                a, x = gates.take(last[:k], axis=1), h[:, :k]
-                u = u_of @ x
-                zr = a[: 2 * n]
-                zr += u[: 2 * n]
-                np.negative(zr, out=zr)
-                np.minimum(zr, 30, out=zr)
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                g = a[2 * n :]
-                g += zr[n:] * u[2 * n :]
-                np.tanh(g, out=g)
+                a, x = side.take(last[:k], axis=1), h[:k]
+                g = _gate(a, x @ u_of)
                 g -= x
-                g *= zr[:n]
+                g *= a[0]
                 x += g
-                hs[at : at + k] = x.T
+                hs[at : at + k] = x
                 ys[at : at + k] = last[:k] = flat[first[:k] + t]
                 at, t = at + k, t + 1
             rows = np.concatenate([np.arange(k) for k in alive])
             total += np.bincount(rows, self.log_probs(hs, ys), minlength=len(total))
-        out = np.zeros(len(total))
-        out[order] = total
-        return out
+        return total
 
 
 def held_out(id_col: str = "doc_id"):
