@@ -60,6 +60,9 @@ _few_prefixes = _prefixes(np.maximum(np.arange(MOST_LENGTH + 1), 1))
 _code = np.arange(DISTANCES)
 EXTRA = np.where(_code < 4, 0, (_code - 2) >> 1)
 OFFSET = np.where(_code < 4, _code, (2 + (_code & 1)) << EXTRA) + 1
+#: By symbol of the green alphabet: what a length takes besides its code; lengths are told apart by 4096 more.
+_length_step = np.zeros(256 + LENGTHS + (1 << 11), np.int32)
+_length_step[256 : 256 + LENGTHS] = EXTRA[:LENGTHS] + 4096
 
 
 class Code:
@@ -233,17 +236,14 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
     if all(c.bits == 0 for c in (green, red, blue, alpha)) and green.symbol[0] < 256:
         return np.full(n, int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0]), np.uint32)
 
-    is_length = (green.symbol >= 256) & (green.symbol < 256 + LENGTHS)
     others = [c for c in (red, blue, alpha) if c.bits]
     if not green.bits and not others:
         raise ValueError("symbols without bits")
-    step = green.size.copy()
-    step[is_length] += EXTRA[green.symbol[is_length] - 256] + 4096  # told apart by what is added
-    pos, ends = _walk(ahead, first, end, n, step, codes)
+    pos, ends = _walk(ahead, first, end, n, green.size + _length_step[green.symbol], codes)
     w = ahead[pos]
     i = (w & green.mask).astype(np.int64)
     symbol, size = green.symbol[i], green.size[i]
-    copy, literal = is_length[i], symbol < 256
+    copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTHS))
     count = np.ones(len(pos), np.int64)
     c = symbol[copy] - 256
     count[copy] = OFFSET[c] + ((w[copy] >> size[copy]) & ((1 << EXTRA[c]) - 1))
@@ -251,9 +251,20 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
     have = int(np.searchsorted(start, n))
     if have == len(pos) and (start[-1] + count[-1] if have else 0) < n:
         raise ValueError("the image ends early")
-    pos, symbol, size, copy, literal, count, start = (x[:have] for x in (pos, symbol, size, copy, literal, count, start))
+    pos, symbol, size, count, start = (x[:have] for x in (pos, symbol, size, count, start))
+    copy, c = copy[: np.searchsorted(copy, have)], c[: np.searchsorted(copy, have)]
     count[-1] = min(count[-1], n - start[-1])
-
+    literal = np.flatnonzero(symbol < 256)
+
+    if not others and len(literal) + len(copy) == have:
+        # only green changes: its bytes are copied, and then made pixels
+        samples = np.zeros(n, np.uint8)
+        samples[start[literal]] = symbol[literal]
+        if len(copy):
+            samples = bytearray(samples)
+            _copy(samples, start[copy], count[copy], _distances(ahead, pos[copy] + size[copy] + EXTRA[c], far, start[copy], width))
+        bits.at = 8 * base + int(ends[have - 1])
+        return np.frombuffer(samples, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(blue.symbol[0]))
     out = np.zeros(n, np.uint32)
     q = pos[literal] + size[literal]
     value = symbol[literal].astype(np.uint32) << np.uint32(8)
@@ -265,21 +276,15 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
         value |= code.symbol[i].astype(np.uint32) << np.uint32(shift)
         q = q + code.size[i]
     out[start[literal]] = value
-    cached = ~literal & ~copy
+    cached = np.flatnonzero(symbol >= 256 + LENGTHS)
     to, source = np.empty(0, np.int64), None
-    if cached.any():
+    if len(cached):
         source = np.arange(n)
-    if copy.any():
-        c = symbol[copy] - 256
-        q = pos[copy] + size[copy] + EXTRA[c]
-        i = ahead[q] & far.mask
-        s = far.symbol[i]
-        dist = _distance(OFFSET[s] + (ahead[q + far.size[i]] & ((1 << EXTRA[s]) - 1)), width)
-        if (dist > start[copy]).any():
-            raise ValueError("a copy from before the image")
+    if len(copy):
+        dist = _distances(ahead, pos[copy] + size[copy] + EXTRA[c], far, start[copy], width)
         m = count[copy]
         if source is None:
-            _copy(out, start[copy], m, dist)
+            _copy(memoryview(out), start[copy], m, dist)
         else:
             to = np.repeat(start[copy] - np.cumsum(m) + m, m) + np.arange(m.sum())
             source[to] = to - np.repeat(dist, m)
@@ -291,9 +296,18 @@ def _pixels(bits: _Bits, width: int, height: int, cache: int, codes: list[Code])
     return out
 
 
-def _copy(out: np.ndarray, start: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
+def _distances(ahead: np.ndarray, at: np.ndarray, far: Code, start: np.ndarray, width: int) -> np.ndarray:
+    """How far back the copies at `start` reach, whose distances are told from the bits `at` on."""
+    i = ahead[at] & far.mask
+    s = far.symbol[i]
+    dist = _distance(OFFSET[s] + (ahead[at + far.size[i]] & ((1 << EXTRA[s]) - 1)), width)
+    if (dist > start).any():
+        raise ValueError("a copy from before the image")
+    return dist
+
+
+def _copy(pixels: np.ndarray | memoryview | bytearray, start: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
     """Copies earlier pixels, one copy after the other; one that runs into itself repeats what it has."""
-    pixels = memoryview(out)
     for a, m, d in zip(start.tolist(), length.tolist(), back.tolist(), strict=True):
         while m > d:
             pixels[a : a + d] = pixels[a - d : a]
@@ -705,10 +719,11 @@ def _write_code(out: _Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out.put(value, size)
     if len(used) == 1:
         return nothing, nothing
-    return codes_of(lengths), lengths
+    return np.array(_few_codes(lengths.tolist())) if len(lengths) <= 64 else codes_of(lengths), lengths
 
 
 GRAM = 5
+_log2 = np.log2(np.maximum(np.arange(1 << 14), 1))
 
 
 def copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -742,13 +757,15 @@ def copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok &= pixels[here + j] == pixels[here - back[here] + j]
         back[here[~ok]] = 0
     edge = np.flatnonzero(back[1:] != back[:-1]) + 1  # the first run has none before it
-    first = edge[back[edge] > 0]
-    last = np.append(edge, n)[np.searchsorted(edge, first) + 1] if len(first) else first
-    end = last + GRAM - 1
+    some = np.flatnonzero(back[edge])
+    first, edge = edge[some], np.append(edge, n)
+    end = edge[some + 1] + GRAM - 1
     start = np.maximum(first, np.concatenate(([0], end[:-1])))
     dist, length = back[first], end - start
     # a copy has to be worth more than its literals
-    worth = (length > 1) & (length * 9 > 2 * (11 + np.log2(dist + len(NEAR))))
+    far = dist + len(NEAR)
+    cost = _log2[far] if len(far) and far.max() < len(_log2) else np.log2(far)
+    worth = np.flatnonzero((length > 1) & (length * 9 > 2 * (11 + cost)))
     start, length, dist = start[worth], length[worth], dist[worth]
     parts = -(-length // MOST_LENGTH)
     if len(parts) and parts.max() > 1:
@@ -769,6 +786,9 @@ def _write_image(out: _Out, argb: np.ndarray, main: bool, cache: int = 0) -> Non
     green = (flat >> np.uint32(8)) & np.uint32(255)
     plain = bool((flat == flat[0] & np.uint32(0xFFFF00FF) | green << np.uint32(8)).all())  # the other parts never change
     start, length, dist = copies(green if plain else flat)
+    if plain and not cache and (len(length) == 0 or length.min() > 1):
+        _write_plain(out, green, int(flat[0]), start, length, dist)
+        return
     begins = np.zeros(n + 1, np.int64)
     begins[start] = 1
     covered = np.zeros(n + 1, np.int64)
@@ -820,6 +840,38 @@ def _write_image(out: _Out, argb: np.ndarray, main: bool, cache: int = 0) -> Non
         out.put_all(value[some], size[some])
 
 
+def _write_plain(out: _Out, green: np.ndarray, pixel: int, start: np.ndarray, length: np.ndarray, dist: np.ndarray) -> None:
+    """Codes and symbols of an image of which only green changes, with copies of two pixels or more."""
+    code_l, extra_l, bits_l = prefixes(length)
+    code_d, extra_d, bits_d = prefixes(dist + len(NEAR))
+    # a copy's first two pixels stand for its length and its distance, which have numbers after the green alphabet's
+    told = np.ones(len(green), bool)
+    if len(start):
+        runs = np.empty((len(start), 2), np.int64)
+        runs[:, 1] = length - 2
+        runs[0, 0] = start[0] + 2
+        runs[1:, 0] = start[1:] - start[:-1] - length[:-1] + 2
+        runs = runs.reshape(-1)
+        told[: start[-1] + length[-1]] = np.repeat(np.arange(len(runs)) & 1 == 0, runs)
+    symbol = green[told].astype(np.int64)
+    far = 256 + LENGTHS
+    at = start - np.cumsum(length) + length + 2 * np.arange(len(start))
+    after = at + 1
+    symbol[at] = 256 + code_l
+    symbol[after] = far + code_d
+    counts = np.bincount(symbol, minlength=far + DISTANCES)
+    first = _write_code(out, counts[:far])
+    for s in (16, 0, 24):  # one symbol each
+        out.put(5 | (pixel >> s & 255) << 3, 11)
+    code, lengths = (np.concatenate(x) for x in zip(first, _write_code(out, counts[far:]), strict=True))
+    value, size = code[symbol], lengths[symbol]
+    for place, bits, extra in ((at, bits_l, extra_l), (after, bits_d, extra_d)):
+        own = size[place]
+        value[place] |= bits << own
+        size[place] = own + extra
+    out.put_all(value, size)
+
+
 def encode(argb: np.ndarray, *, palette: bool = False, predictor: tuple[np.ndarray, int] | None = None, cross: tuple[np.ndarray, int] | None = None, subtract_green: bool = False, cache: int = 0) -> bytes:
     """A lossless WebP file of pixels (rows x columns, at most 2^20 of them), with the transforms asked for: predictor modes and cross-colour elements come by tile with the tile's power of two."""
     height, width = argb.shape
