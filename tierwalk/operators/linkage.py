@@ -196,12 +196,13 @@ def near(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
             made = [_keys(names.slice(at, 256), others, threshold, whole) for at in range(0, len(names), 256)]
             return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int64()))
 
-        # names are short and their keys many, so they are dealt to all tasks
-        rows = df.select("_k").filter(F.length("_k") <= top).repartition(parts, "_k")
+        # names are short and their keys many, so they are dealt to all tasks (by the name itself Spark would leave them as distinct has put them together)
+        rows = df.select("_k").filter(F.length("_k") <= top).repartition(parts, F.xxhash64("_k"))
         return rows.select(F.xxhash64("_k").alias("_a" if not whole else "_b"), F.explode(keys("_k")).alias("_key"))
 
-    met = keyed(left, short[1], False).join(keyed(right, short[0], True), "_key").select("_a", "_b").distinct()
-    out = met.join(left.select("_k", F.xxhash64("_k").alias("_a")), "_a").join(right.select(F.col("_k").alias("_o"), F.xxhash64("_k").alias("_b")), "_b").select("_k", "_o")
+    # names of either side may be many and look few as files, so none of them is broadcast
+    met = keyed(left, short[1], False).join(keyed(right, short[0], True).hint("merge"), "_key").select("_a", "_b").distinct()
+    out = met.join(left.select("_k", F.xxhash64("_k").alias("_a")).hint("merge"), "_a").join(right.select(F.col("_k").alias("_o"), F.xxhash64("_k").alias("_b")).hint("merge"), "_b").select("_k", "_o")
     is_long = F.length("_k") > top
     if len(short[0]) < len(sizes[0]):
         out = out.unionByName(_by_rare_characters(left.filter(is_long), right, threshold))
@@ -235,7 +236,7 @@ def _by_rare_characters(left: DataFrame, right: DataFrame, threshold: float) ->
     b = bags.filter("_side = 1").select("_token", F.col("_k").alias("_o"), F.col("_n").alias("_m"), F.col("_s0").alias("_z0"), F.col("_s1").alias("_z1"))
     apart = F.bit_count(F.col("_s0").bitwiseXOR(F.col("_z0"))) + F.bit_count(F.col("_s1").bitwiseXOR(F.col("_z1")))
     lengths = F.least("_n", "_m") >= F.greatest("_n", "_m") * LEAST_LENGTH - _SURE
-    return a.join(b, (a["_token"] == b["_token"]) & lengths & (apart <= (F.col("_n") + F.col("_m")) * (1 - t) + _SURE)).select("_k", "_o").distinct()
+    return a.join(b.hint("merge"), (a["_token"] == b["_token"]) & lengths & (apart <= (F.col("_n") + F.col("_m")) * (1 - t) + _SURE)).select("_k", "_o").distinct()
 
 
 def fuzzy(left: DataFrame, lookup: DataFrame, name: str, threshold: float = 0.8) -> DataFrame:
@@ -243,13 +244,15 @@ def fuzzy(left: DataFrame, lookup: DataFrame, name: str, threshold: float = 0.8)
 
     Names are compared without company suffixes. Without an equal one the most similar counts, if the ratio of its matching
     blocks is `threshold` (over 0) or more, the first place of several; names whose lengths differ by more than two fifths are left out.
+
+    The lookup and what comes of it grow with the registrants and look small as files, so they are merged and never broadcast.
     """
     names = left.select(F.col(name)).distinct().withColumn("_k", bare_name(F.col(name)))
-    known = lookup.select(F.col("key").alias("_k"), "place", "cik", F.col("title").alias("sec_name"), "ticker")
-    same = names.join(known.drop("place"), "_k").select(name, "cik", "sec_name", "ticker", F.lit("exact").alias("match_type"), F.lit(1.0).alias("match_score"))
-    rest = stored(names.join(same.select(name), name, "left_anti").filter("_k <> ''"), "unmatched")
+    known = stored(lookup.select(F.col("key").alias("_k"), "place", "cik", F.col("title").alias("sec_name"), "ticker"), "known")
+    same = names.join(known.drop("place").hint("merge"), "_k").select(name, "cik", "sec_name", "ticker", F.lit("exact").alias("match_type"), F.lit(1.0).alias("match_score"))
+    rest = stored(names.join(known.select("_k").hint("merge"), "_k", "left_anti").filter("_k <> ''"), "unmatched")
     # of registrants with one name the first
-    firsts = known.filter("_k <> ''").groupBy(F.col("_k").alias("_o")).agg(F.min_by(F.struct("place", "cik", "sec_name", "ticker"), "place").alias("_f"))
+    firsts = stored(known.filter("_k <> ''").groupBy(F.col("_k").alias("_o")).agg(F.min_by(F.struct("place", "cik", "sec_name", "ticker"), "place").alias("_f")), "firsts")
     pairs = near(rest.select("_k").distinct(), firsts.select(F.col("_o").alias("_k")), threshold)
     pairs = pairs.filter(F.abs(F.length("_o") - F.length("_k")) <= F.greatest(F.length("_o"), F.length("_k")) * 0.4)
 
@@ -264,8 +267,8 @@ def fuzzy(left: DataFrame, lookup: DataFrame, name: str, threshold: float = 0.8)
 
         return a.combine(b, one)
 
-    scored = pairs.withColumn("_s", ratio("_k", "_o")).filter(F.col("_s") >= threshold).join(firsts, "_o")
+    scored = pairs.withColumn("_s", ratio("_k", "_o")).filter(F.col("_s") >= threshold).join(firsts.hint("merge"), "_o")
     best = scored.groupBy("_k").agg(F.max_by(F.struct("_f", "_s"), F.struct(F.col("_s"), -F.col("_f.place"))).alias("_r"))
-    best = rest.join(best, "_k").select(name, "_r._f.cik", "_r._f.sec_name", "_r._f.ticker", F.lit("fuzzy").alias("match_type"), F.round("_r._s", 3).alias("match_score"))
-    out = left.join(same.unionByName(best), name, "left")
+    best = rest.join(best.hint("merge"), "_k").select(name, "_r._f.cik", "_r._f.sec_name", "_r._f.ticker", F.lit("fuzzy").alias("match_type"), F.round("_r._s", 3).alias("match_score"))
+    out = left.join(same.unionByName(best).hint("merge"), name, "left")
     return out.withColumns({"match_type": F.coalesce("match_type", F.lit("none")), "match_score": F.coalesce("match_score", F.lit(0.0)), **{c: F.coalesce(c, F.lit("")) for c in ("cik", "sec_name", "ticker")}})
