@@ -39,7 +39,7 @@ def without_tags(c: Column) -> Column:
 def plain(c: Column) -> Column:
     """Lines end in \\n, other than printable ASCII is a space, runs of blanks are one, at most one empty line in a row."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), r"[^\x09\x0A\x20-\x7E]", " ")
-    return stripped(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
 def _earliest(upper: Column, words: tuple[str, ...]) -> Column:
@@ -70,6 +70,8 @@ def countries(text: Column, names: tuple[str, ...] = COUNTRIES) -> Column:
 
 def sections(filings: DataFrame, content: str = "content") -> DataFrame:
     """filings with full_text, signatures, narrative and countries (an array) in the place of the content."""
-    whole = filings.withColumn("full_text", plain(unescaped(without_tags(F.col(content)))))
+    bare = filings.withColumn("full_text", without_tags(F.col(content)))
     t = F.col("full_text")
+    # only texts with entities go to Python
+    whole = bare.withColumn("full_text", plain(F.coalesce(unescaped(F.when(F.contains(t, F.lit("&")), t)), t)))
     return whole.withColumns({"signatures": signature_block(t), "narrative": narrative(t), "countries": countries(t)}).drop(content)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tierwalk.dims import tables
 from tierwalk.functions import dictionary
-from tierwalk.functions.text import blank_to_null
+from tierwalk.functions.text import blank_to_null, let
 
 
 def any_of(tokens: Sequence[str]) -> str:
@@ -82,16 +82,29 @@ def affiliation(name: Column, country: Column | None = None, table: Sequence[tab
 AROUND = 200
 
 
+def around(name: Column, context: Column, low: Column | None = None) -> Column:
+    """What stands around the name's first occurrence in the context in any case, the whole context without one; null where either is empty. low: the context in lower case, if it is at hand."""
+    ctx = F.coalesce(context, F.lit(""))
+    low = F.lower(ctx) if low is None else low
+
+    def window(at: Column) -> Column:
+        start = F.greatest(F.lit(1), at - AROUND)
+        return F.when(at > 0, F.substr(ctx, start, at + AROUND - start)).otherwise(ctx)
+
+    return F.when((F.coalesce(name, F.lit("")) != "") & (ctx != ""), let(F.instr(low, F.lower(name)), window))
+
+
 def role(name: Column, context: Column, table: Sequence[tuple[str, tuple[str, ...]]] | None = None) -> Column:
     """role, confidence and the flags executive, board, supervisory, ownership, obscuring: the first role with a phrase, as whole words, around the name's first occurrence.
 
     Without an occurrence the whole context counts. "officer" and "director" as parts of words are weak roles; then Unknown.
     """
+    return role_in(around(name, context), table)
+
+
+def role_in(window: Column, table: Sequence[tuple[str, tuple[str, ...]]] | None = None) -> Column:
+    """`role` of what stands around a name; Unknown where it is null."""
     table = tables.roles() if table is None else table
-    ctx = F.coalesce(context, F.lit(""))
-    at = F.instr(F.lower(ctx), F.lower(name))
-    start = F.greatest(F.lit(1), at - AROUND)
-    window = F.when(at > 0, F.substr(ctx, start, at + AROUND - start)).otherwise(ctx)
     every = [(n, w.lower()) for n, (_, words) in enumerate(table) for w in words]
     matcher, entries, names = dictionary.Matcher([w for _, w in every]), [n for n, _ in every], [r for r, _ in table]
 
@@ -100,9 +113,8 @@ def role(name: Column, context: Column, table: Sequence[tuple[str, tuple[str, ..
         hit = dictionary.first_entry(entries, matcher.first(low, words=True))
         return None if hit is None else names[hit[0]], "Officer" if "officer" in low else "Director" if "director" in low else None
 
-    usable = (F.coalesce(name, F.lit("")) != "") & (ctx != "")
     # both come out of one walk, so that the context goes no further than the walk
-    label = dictionary.struct_udf(one, "struct<strong: string, weak: string>")(F.when(usable, window))
+    label = dictionary.struct_udf(one, "struct<strong: string, weak: string>")(window)
     strong, weak = label["strong"], label["weak"]
     is_in = lambda roles: F.coalesce(strong.isin(*roles), F.lit(False))
     lone = strong.isNull() & weak.isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierwalk.dims import tables
 from tierwalk.functions import lookup, names, owners
-from tierwalk.functions.text import blank_to_null
+from tierwalk.functions.text import blank_to_null, let
 from tierwalk.operators import edges, graph
 from tierwalk.operators.order import numbered
 
@@ -38,11 +38,13 @@ def _named(filings: DataFrame, known: tables.Tables) -> DataFrame:
     """Extracts of every kind but owners; all texts go to the extractors once, side by side."""
     base = _base(filings)
     read = filings.select(*base, "full_text", names.signers(F.concat_ws("\n", "signatures", "full_text")).alias("_0"), names.people_in(F.col("narrative")).alias("_1"), names.institutions_in(F.col("narrative")).alias("_2"), F.col("countries").alias("_4"))
-    none = F.array().cast("array<struct<kind: int, ord: int, name: string>>")
-    of_kind = lambda k: F.coalesce(F.transform(f"_{k}", lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("ord"), x.alias("name"))), none)
-    out = read.select(*base, "full_text", F.explode(F.concat(*map(of_kind, (0, 1, 2, 4)))).alias("_f")).select(*base, "full_text", "_f.*")
-    person = F.col("kind") < 2
-    return out.withColumn("role", F.when(person, lookup.role(F.when(person, F.col("name")), F.when(person, F.col("full_text")), known.roles))).drop("full_text")
+    none = F.array().cast("array<struct<kind: int, ord: int, name: string, _around: string>>")
+    # what stands around people is cut out while the text is in one place, so that rows of names don't each carry it
+    around = lambda k, x, low: lookup.around(x, F.col("full_text"), low) if k < 2 else F.lit(None).cast("string")
+    of_kind = lambda k, low: F.coalesce(F.transform(f"_{k}", lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("ord"), x.alias("name"), around(k, x, low).alias("_around"))), none)
+    every = let(F.lower(F.coalesce("full_text", F.lit(""))), lambda low: F.concat(*[of_kind(k, low) for k in (0, 1, 2, 4)]))
+    out = read.select(*base, F.explode(every).alias("_f")).select(*base, "_f.*")
+    return out.withColumn("role", F.when(F.col("kind") < 2, lookup.role_in(F.col("_around"), known.roles))).drop("_around")
 
 
 def _held(filings: DataFrame) -> DataFrame:

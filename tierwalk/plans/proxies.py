@@ -86,8 +86,12 @@ NAMES = f"names AS (SELECT p_partkey AS key, {_sql_list(TOKENS)}[p_partkey % {le
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings with markup, header numbers, sections, signatures, owners and subsidiaries; one for each order."""
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """Filings with markup, header numbers, sections, signatures, owners and subsidiaries; one for each order.
+
+    Orders are some bytes each and a file of them few tasks, so they are dealt to all tasks before texts are made of them.
+    """
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "c_name")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     k = F.col("o_custkey").cast("string")
     place = _pick(("China", "Hong Kong", "Bermuda", "Qatar", "U.S."), F.pmod(F.col("o_orderkey"), F.lit(5)))
     parts = [
